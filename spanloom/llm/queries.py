@@ -6,8 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import format_conversations, read_back
+from .chosenpath import NearCopies
+from .decontaminate import contamination
+from .licenses import scan_licenses
+from .mixing import by_labels, mix
+from .sharding import shard
+from .spotsigs import fingerprints
 from .substring import remove_repeated_windows
 from .suffixes import remove_repeated_bytes
+from .toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,17 +24,86 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(read(spark, sf_dir, "documents"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(read(spark, sf_dir, "documents"))
+
+
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return NearCopies(shingle=3, num=85, den=100).run(read(spark, sf_dir, "documents"))
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_bytes(read(spark, sf_dir, "documents"), least=50)
 
 
+#: The conversation whose texts look like markup; every run formats it with the others.
+HOSTILE = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hostile = spark.createDataFrame(HOSTILE, "conv_id long, turn int, role string, text string")
+    return read_back(format_conversations(turns.unionByName(hostile)))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(read(spark, sf_dir, "documents"), by_labels(read(spark, sf_dir, "labels")))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "epochs", "chosen")
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(read(spark, sf_dir, "documents"), shards=8)
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_windows(read(spark, sf_dir, "documents"), n=20)
 
 
 QUERIES: dict[str, Query] = {
-    "op6_suffix_array_dedup": op6_suffix_array_dedup,
-    "op10_substring_dedup": op10_substring_dedup,
+    f.__name__: f
+    for f in (
+        op1_license_scan, op2_toxicity, op3_decontamination, op4_fingerprints, op5_near_dedup,
+        op6_suffix_array_dedup, op7_chat_format, op8_mixing, op9_sharding, op10_substring_dedup,
+    )
 }
 
-ORACLE: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE: dict[str, str] = {
+    "op3_decontamination": f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+iw AS (
+  SELECT item_id, w[k:k + 12] AS g, 13 AS n FROM i, unnest(range(1, len(w) - 11)) AS t(k) WHERE len(w) >= 13
+  UNION ALL SELECT item_id, w, len(w) FROM i WHERE len(w) BETWEEN 1 AND 12),
+n AS (SELECT DISTINCT n FROM iw),
+dw AS (SELECT doc_id, k, n, w[k:k + n - 1] AS g FROM d, n, unnest(range(1, len(w) - n + 2)) AS t(k)),
+hit AS (SELECT doc_id, k, dw.n, item_id FROM dw JOIN iw ON dw.n = iw.n AND dw.g = iw.g),
+c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hit, unnest(range(k, k + n)) AS t(p) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items
+      FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM hit) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op10_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, k, md5(array_to_string(w[k:k + 19], ' ')) AS g FROM d, unnest(range(1, len(w) - 18)) AS t(k) WHERE len(w) >= 20),
+later AS (SELECT doc_id, k FROM (SELECT doc_id, k, row_number() OVER (PARTITION BY g ORDER BY doc_id, k) AS r FROM g) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, p FROM later, unnest(range(k, k + 20)) AS t(p)),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS s
+         FROM (SELECT doc_id, p, w[p] AS x FROM d, unnest(range(1, len(w) + 1)) AS t(p)) ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)""",
+}
