@@ -2,5 +2,12 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from spanloom.operators import folds, intervals, learning, ranking, rules, text
+from spanloom.plans.dialect import Relational
+from spanloom.plans.views import VIEWS
+from spanloom.sources import queries as sources
+
+RELATIONAL: dict[str, Relational] = {k: Relational(v, VIEWS) for m in (text, intervals, ranking, learning, rules) for k, v in m.OPERATORS.items()}
+
+QUERIES: dict = {**RELATIONAL, **folds.QUERIES, **sources.QUERIES}
+ORACLE: dict[str, str] = {**{k: q.ansi() for k, q in RELATIONAL.items()}, **folds.ORACLE, **sources.ORACLE}
