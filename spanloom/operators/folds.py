@@ -1,2 +1,213 @@
-QUERIES: dict = {}
-ORACLE: dict = {}
+"""Operators whose decisions follow one another: folds over the bounded array of one source."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from spanloom.functions.prng import draw
+from spanloom.plans.dialect import Relational
+from spanloom.plans.views import VIEWS
+
+
+def _view(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Relational(VIEWS[name], VIEWS)(spark, sf_dir)
+
+
+def _ansi(name: str) -> str:
+    return Relational(VIEWS[name], VIEWS).ansi()
+
+
+def six(c) -> F.Column:
+    return F.floor(c * 1e6 + 0.5) / 1e6
+
+
+def dedupe(spans: DataFrame, iou: float = 0.5) -> DataFrame:
+    """src, id, s, e of spans that stay: by falling score, a span goes if its IoU with one that stays is ``iou`` or more."""
+    ordered = spans.groupBy("src").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("k"), "id", "s", "e"))).alias("xs"))
+    start = "cast(array() as array<struct<k:double,id:bigint,s:double,e:double>>)"
+    over = f"exists(kept, y -> greatest(0D, least(x.e, y.e) - greatest(x.s, y.s)) >= {iou} * (greatest(x.e, y.e) - least(x.s, y.s)) and y.e > x.s and x.e > y.s)"
+    kept = F.expr(f"aggregate(xs, {start}, (kept, x) -> if({over}, kept, array_append(kept, x)))")
+    return ordered.select("src", F.explode(kept).alias("k")).select("src", "k.id", "k.s", "k.e")
+
+
+def ndcg(ranked: DataFrame, matches: DataFrame, graded: DataFrame, k: int = 6) -> DataFrame:
+    """src, dcg, idcg, ndcg (0 without moments). Each place credits one moment that was not credited: the one of most gain, then cover, then least id."""
+    gain = F.pow(F.lit(2.0), F.col("grade")) - 1
+    hits = matches.join(graded.select("src", F.col("id").alias("mid"), gain.alias("gain")), ["src", "mid"]).join(
+        ranked.filter(F.col("pos") <= k).select("src", F.col("id").alias("cid"), F.col("pos").cast("long").alias("pos")), ["src", "cid"]
+    )
+    ms = hits.groupBy("src", "pos").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("gain")).alias("g"), (-F.col("cover")).alias("c"), "mid"))), lambda x: F.struct((-x["g"]).alias("gain"), x["mid"].alias("mid"))).alias("ms"))
+    per = ms.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("pos", "ms"))).alias("xs"))
+    start = "named_struct('done', cast(array() as array<bigint>), 'dcg', 0D)"
+    pick = "get(filter(x.ms, m -> not array_contains(acc.done, m.mid)), 0)"
+    dcg = F.expr(f"aggregate(xs, {start}, (acc, x) -> if({pick} is null, acc, named_struct('done', array_append(acc.done, {pick}.mid), 'dcg', acc.dcg + {pick}.gain / log2(x.pos + 1)))).dcg")
+    ideal = Window.partitionBy("src").orderBy(gain.desc(), "id")
+    idcg = graded.withColumn("r", F.row_number().over(ideal)).filter(F.col("r") <= k).groupBy("src").agg(F.sum(gain / F.log2(F.col("r") + 1)).alias("idcg"))
+    out = idcg.join(per.select("src", dcg.alias("dcg")), "src", "left").withColumn("dcg", F.coalesce("dcg", F.lit(0.0)))
+    return out.select("src", six(F.col("dcg")).alias("dcg"), six(F.col("idcg")).alias("idcg"), six(F.coalesce(F.try_divide("dcg", "idcg"), F.lit(0.0))).alias("ndcg"))
+
+
+def windows(sentences: DataFrame, length: float = 600.0, overlap: float = 60.0) -> DataFrame:
+    """src, first, last: windows of whole sentences; the next begins with the first sentence at or after the last start plus length - overlap."""
+    per = sentences.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("id", "s", "e"))).alias("xs"))
+    step = length - overlap
+    start = "named_struct('at', cast(array() as array<bigint>), 'next', cast(null as double))"
+    fold = F.expr(f"aggregate(xs, {start}, (acc, x) -> if(acc.next is null or x.s >= acc.next, named_struct('at', array_append(acc.at, x.id), 'next', x.s + {step}D), acc)).at")
+    at = per.select("src", "xs", F.explode(fold).alias("first"))
+    begin = F.expr("element_at(filter(xs, x -> x.id = first), 1).s")
+    last = F.expr(f"array_max(transform(filter(xs, x -> x.id >= first and x.s < begin + {length}D), x -> x.id))")
+    return at.withColumn("begin", begin).select("src", "first", last.alias("last"))
+
+
+def shots(series: DataFrame, floor: float = 14.0, times: float = 4.0, least: float = 0.6) -> DataFrame:
+    """series: src, id, t, d. src, id of cuts: d over max(floor, times * median of the 25 before), ``least`` seconds after the last cut."""
+    w = Window.partitionBy("src").orderBy("t", "id").rowsBetween(-25, -1)
+    flagged = series.withColumn("thr", F.greatest(F.lit(floor), F.coalesce(F.percentile("d", F.lit(0.5)).over(w), F.lit(0.0)) * times))
+    per = flagged.filter("d > thr").groupBy("src").agg(F.array_sort(F.collect_list(F.struct("t", "id"))).alias("xs"))
+    start = "named_struct('at', cast(array() as array<bigint>), 'last', cast(0 as double))"
+    fold = F.expr(f"aggregate(xs, {start}, (acc, x) -> if(x.t - acc.last >= {least}D, named_struct('at', array_append(acc.at, x.id), 'last', x.t), acc)).at")
+    return per.select("src", F.explode(fold).alias("id"))
+
+
+def bootstrap(values: DataFrame, runs: int = 1000, seed: int = 1) -> DataFrame:
+    """values: i (from 0 without gaps), x. n, mean, lo, hi: the mean and the 2.5 and 97.5 percent places of so many resampled means.
+
+    Draw it * n + i + 1 of the seed decides, so no draw waits for another."""
+    n = values.agg(F.count("*").alias("n"), F.avg("x").alias("mean"))
+    its = values.sparkSession.range(runs).withColumnRenamed("id", "it")
+    picks = its.join(F.broadcast(n)).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    picks = picks.select("it", F.floor(draw(seed, F.col("it") * F.col("n") + F.col("k") + 1) * F.col("n")).alias("i"))
+    means = picks.join(values, "i").groupBy("it").agg(F.avg("x").alias("m"))
+    r = means.select(F.col("m"), F.row_number().over(Window.orderBy("m")).alias("r"))
+    lo, hi = int(0.025 * runs) + 1, max(0, -(-975 * runs // 1000) - 1) + 1
+    return r.agg(F.min(F.when(F.col("r") == lo, F.col("m"))).alias("a"), F.min(F.when(F.col("r") == hi, F.col("m"))).alias("b")).join(F.broadcast(n)).select(
+        "n", six(F.col("mean")).alias("mean"), six(F.least("a", "mean")).alias("lo"), six(F.greatest("b", "mean")).alias("hi")
+    )
+
+
+def merge_short(pieces: DataFrame, least: float = 0.5) -> DataFrame:
+    """src, s, e: pieces shorter than ``least`` join the touching piece before, else the one after, again and again; lone ones stay."""
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        xs = [list(x) for x in frame.sort_values("s")[["s", "e"]].itertuples(index=False)]
+        again = True
+        while again:
+            again = False
+            for i, (s, e) in enumerate(xs):
+                if e - s < least:
+                    if i and abs(xs[i - 1][1] - s) < 1e-9:
+                        xs[i - 1][1] = e
+                    elif i + 1 < len(xs) and abs(xs[i + 1][0] - e) < 1e-9:
+                        xs[i + 1][0] = s
+                    else:
+                        continue
+                    del xs[i]
+                    again = True
+                    break
+        return pd.DataFrame({"src": frame["src"].iloc[0], "s": [x[0] for x in xs], "e": [x[1] for x in xs]})
+
+    return pieces.select("src", "s", "e").groupBy("src").applyInPandas(one, "src long, s double, e double")
+
+
+def caption_words(tokens: DataFrame) -> DataFrame:
+    """tokens: src, i, t, s, e. src, w, s, e: a token without leading space is glued to the kept one before it; [markers] go."""
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        out, glue = [], False
+        for t, s, e in frame.sort_values("i")[["t", "s", "e"]].itertuples(index=False):
+            if t.strip().startswith("[") and t.strip().endswith("]"):
+                glue = False
+            elif t.startswith(" ") or not glue:
+                if t.strip():
+                    out.append([t.strip(), s, e])
+                    glue = True
+            else:
+                out[-1][0] += t.rstrip()
+                out[-1][2] = e
+                if out[-1][0].startswith("[") and out[-1][0].endswith("]"):
+                    out.pop()
+                    glue = False
+        return pd.DataFrame({"src": frame["src"].iloc[0], "w": [x[0] for x in out], "s": [x[1] for x in out], "e": [x[2] for x in out]})
+
+    return tokens.groupBy("src").applyInPandas(one, "src long, w string, s double, e double")
+
+
+def random_baseline(ranked: DataFrame, matches: DataFrame, runs: int = 200, seed: int = 7, k: int = 6) -> DataFrame:
+    """src, precision: mean precision in the first k places over so many seeded shuffles."""
+    hit = ranked.join(matches.select("src", F.col("cid").alias("id")).distinct().withColumn("hit", F.lit(1.0)), ["src", "id"], "left")
+    per = hit.groupBy("src").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("hit", F.lit(0.0)).alias("hit")))), lambda x: x["hit"]).alias("hits"))
+
+    def one(frames):
+        import numpy as np
+
+        for frame in frames:
+            means = []
+            for src, hits in zip(frame["src"], frame["hits"], strict=True):
+                rng, h = np.random.default_rng([seed, int(src)]), np.asarray(hits)
+                means.append(float(np.mean([rng.permutation(h)[:k].mean() for _ in range(runs)])))
+            yield pd.DataFrame({"src": frame["src"], "precision": means})
+
+    return per.mapInPandas(one, "src long, precision double")
+
+
+def _sources_mean(spark, sf_dir):
+    s = _view("candidates", spark, sf_dir).groupBy("src").agg(F.avg("score").alias("x"))
+    return s.select(F.row_number().over(Window.orderBy("src")).cast("long").alias("i"), six(F.col("x")).alias("x")).withColumn("i", F.col("i") - 1)
+
+
+QUERIES = {
+    "span_dedupe": lambda spark, d: dedupe(_view("candidates", spark, d)).select("src", "id"),  # G1, G5
+    "bench_ndcg": lambda spark, d: ndcg(_view("ranked", spark, d), _view("matches", spark, d), _view("graded", spark, d)),  # I1-I3, D23
+    "text_windows": lambda spark, d: windows(_view("sentences", spark, d).withColumn("id", F.col("id").cast("long")), 120.0, 20.0),  # E9
+    "span_shots": lambda spark, d: shots(_view("spans", spark, d).select("src", "id", F.col("s").alias("t"), F.col("score").alias("d"))),  # E7
+    "bench_bootstrap": lambda spark, d: bootstrap(_sources_mean(spark, d)),  # I6, H16
+    "span_merge_short": lambda spark, d: merge_short(_view("shots", spark, d), 400.0),  # E21
+    "text_caption_words": lambda spark, d: caption_words(_view("words", spark, d).filter("p < 60").select("src", F.col("p").alias("i"), F.when(F.col("p") % 3 == 0, F.col("w")).otherwise(F.concat(F.lit(" "), "w")).alias("t"), "s", "e")),  # E13
+    "bench_random": lambda spark, d: random_baseline(_view("ranked", spark, d), _view("matches", spark, d)),  # I5
+}
+
+_SIX = "floor(({0}) * 1e6 + 0.5) / 1e6"
+_IMUL = "(({0})::HUGEINT * ({1}) % 4294967296)::BIGINT"
+_T1 = _IMUL.format("xor(a, a >> 15)", "a | 1")
+_T2 = "xor((t + " + _IMUL.format("xor(t, t >> 7)", "t | 61") + ") % 4294967296, t)"
+
+ORACLE = {
+    "span_dedupe": f"""
+WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, id) AS r FROM ({_ansi("candidates")})),
+g AS (SELECT DISTINCT src, 0::BIGINT AS r, [{{'id': 0::BIGINT, 's': -1e18, 'e': -1e18}}] AS kept FROM o
+  UNION ALL SELECT g.src, o.r, CASE WHEN len(list_filter(kept, lambda y: greatest(0e0, least(o.e, y.e) - greatest(o.s, y.s)) >= 0.5 * (greatest(o.e, y.e) - least(o.s, y.s)) AND y.e > o.s AND o.e > y.s)) = 0 THEN list_append(kept, {{'id': o.id, 's': o.s, 'e': o.e}}) ELSE kept END
+  FROM g JOIN o ON o.src = g.src AND o.r = g.r + 1)
+SELECT src, k.id AS id FROM (SELECT src, unnest(kept[2:]) AS k FROM (SELECT src, arg_max(kept, r) AS kept FROM g GROUP BY src))""",
+    "bench_ndcg": f"""
+WITH RECURSIVE graded AS MATERIALIZED ({_ansi("graded")}), ranked AS MATERIALIZED ({_ansi("ranked")}), matches AS MATERIALIZED ({_ansi("matches")}),
+h AS (SELECT m.src, r.pos, list({{'gain': power(2, grade) - 1, 'mid': m.mid}} ORDER BY power(2, grade) - 1 DESC, cover DESC, m.mid) AS ms
+  FROM matches m JOIN graded g ON g.src = m.src AND g.id = m.mid JOIN ranked r ON r.src = m.src AND r.id = m.cid WHERE pos <= 6 GROUP BY m.src, r.pos),
+f AS (SELECT DISTINCT src, 0::BIGINT AS pos, []::BIGINT[] AS done, 0e0 AS dcg FROM graded
+  UNION ALL SELECT src, pos, CASE WHEN p IS NULL THEN done ELSE list_append(done, p.mid) END, CASE WHEN p IS NULL THEN dcg ELSE dcg + p.gain / log2(pos + 1) END
+  FROM (SELECT f.src, f.pos + 1 AS pos, done, dcg, list_filter(h.ms, lambda m: NOT list_contains(done, m.mid))[1] AS p FROM f LEFT JOIN h ON h.src = f.src AND h.pos = f.pos + 1 WHERE f.pos < 6)),
+i AS (SELECT src, sum((power(2, grade) - 1) / log2(r + 1)) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY grade DESC, id) AS r FROM graded) WHERE r <= 6 GROUP BY src)
+SELECT f.src, {_SIX.format("dcg")} AS dcg, {_SIX.format("idcg")} AS idcg, {_SIX.format("coalesce(dcg / nullif(idcg, 0), 0)")} AS ndcg FROM f JOIN i ON f.src = i.src WHERE pos = 6""",
+    "text_windows": f"""
+WITH RECURSIVE s AS MATERIALIZED ({_ansi("sentences")}),
+w AS (SELECT src, id AS first, s AS b FROM s WHERE id = 0
+  UNION ALL SELECT src, first, b FROM (SELECT w.src, s.id AS first, s.s AS b, row_number() OVER (PARTITION BY w.src ORDER BY s.id) AS r FROM w JOIN s ON s.src = w.src AND s.s >= w.b + 100) WHERE r = 1)
+SELECT w.src, first::BIGINT AS first, max(s.id)::BIGINT AS last FROM w JOIN s ON s.src = w.src AND s.id >= first AND s.s < b + 120 GROUP BY w.src, first""",
+    "span_shots": f"""
+WITH RECURSIVE d AS (SELECT src, id, s AS t, score AS d, greatest(14e0, 4 * coalesce(quantile_cont(score, 0.5) OVER (PARTITION BY src ORDER BY s, id ROWS BETWEEN 25 PRECEDING AND 1 PRECEDING), 0e0)) AS thr FROM ({_ansi("spans")})),
+c AS MATERIALIZED (SELECT src, id, t, row_number() OVER (PARTITION BY src ORDER BY t, id) AS r FROM d WHERE d > thr),
+f AS (SELECT DISTINCT src, 0::BIGINT AS r, 0::BIGINT AS id, 0e0 AS last, false AS cut FROM c
+  UNION ALL SELECT c.src, c.r, c.id, CASE WHEN c.t - last >= 0.6 THEN c.t ELSE last END, c.t - last >= 0.6 FROM f JOIN c ON c.src = f.src AND c.r = f.r + 1)
+SELECT src, id FROM f WHERE cut""",
+    "bench_bootstrap": f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY src) - 1 AS i, {_SIX.format("x")} AS x FROM (SELECT src, avg(score) AS x FROM ({_ansi("candidates")}) GROUP BY src)),
+n AS (SELECT count(*) AS n, avg(x) AS mean FROM v),
+a AS (SELECT it, n, ((1 + (it * n + k + 1)::HUGEINT * 1831565813) % 4294967296)::BIGINT AS a FROM n, range(1000) r(it), range(100000) q(k) WHERE k < n),
+t AS (SELECT it, n, {_T1} AS t FROM a),
+u AS (SELECT it, n, {_T2} AS t FROM t),
+p AS (SELECT it, floor(xor(t, t >> 14) / 4294967296e0 * n)::BIGINT AS i FROM u),
+m AS (SELECT m, row_number() OVER (ORDER BY m) AS r FROM (SELECT it, avg(x) AS m FROM p JOIN v ON p.i = v.i GROUP BY it))
+SELECT n, {_SIX.format("mean")} AS mean, {_SIX.format("least(lo, mean)")} AS lo, {_SIX.format("greatest(hi, mean)")} AS hi
+FROM n, (SELECT min(CASE WHEN r = 26 THEN m END) AS lo, min(CASE WHEN r = 975 THEN m END) AS hi FROM m)""",
+}

@@ -12,8 +12,8 @@ OPERATORS = {
         JOIN (SELECT src, count(*) AS n, PCT(CAST(w1 - w0 + 1 AS DOUBLE), 0.5e0) AS med FROM {sentences} y GROUP BY src) b ON a.src = b.src""",
     # At most three sentences back while the one before is unfinished, and three on while the own end is
     "text_merge_fragments": """
-        SELECT src, I(id) AS id, I(id - CASE WHEN id >= 2 AND NOT b1 THEN CASE WHEN id >= 3 AND NOT b2 THEN CASE WHEN id >= 4 AND NOT b3 THEN 3 ELSE 2 END ELSE 1 END ELSE 0 END) AS first_id,
-          I(id + CASE WHEN NOT f0 AND id + 1 <= n THEN CASE WHEN NOT f1 AND id + 2 <= n THEN CASE WHEN NOT f2 AND id + 3 <= n THEN 3 ELSE 2 END ELSE 1 END ELSE 0 END) AS last_id
+        SELECT src, I(id) AS id, I(id - CASE WHEN id >= 1 AND NOT b1 THEN CASE WHEN id >= 2 AND NOT b2 THEN CASE WHEN id >= 3 AND NOT b3 THEN 3 ELSE 2 END ELSE 1 END ELSE 0 END) AS first_id,
+          I(id + CASE WHEN NOT f0 AND id + 1 < n THEN CASE WHEN NOT f1 AND id + 2 < n THEN CASE WHEN NOT f2 AND id + 3 < n THEN 3 ELSE 2 END ELSE 1 END ELSE 0 END) AS last_id
         FROM (SELECT src, id, done AS f0, lead(done, 1) OVER w AS f1, lead(done, 2) OVER w AS f2, lag(done, 1) OVER w AS b1, lag(done, 2) OVER w AS b2, lag(done, 3) OVER w AS b3, count(*) OVER (PARTITION BY src) AS n
               FROM (SELECT src, id, RX(txt, '[.?!]["'')]?[ ]*$') AS done FROM {sentences} s) a WINDOW w AS (PARTITION BY src ORDER BY id)) b""",
     # Bounds padded by .12 and .3 s, but clear of the neighbouring words by .02 s
@@ -22,10 +22,9 @@ OPERATORS = {
         FROM {sentences} s LEFT JOIN {words} b ON b.src = s.src AND b.p = s.w0 - 1 LEFT JOIN {words} a ON a.src = s.src AND a.p = s.w1 + 1""",
     # The first and the last two sentences
     "text_opening_closing": """
-        SELECT src, max(CASE WHEN id <= 2 THEN o END) AS opening, max(CASE WHEN id > n - 2 THEN c END) AS closing FROM (
-          SELECT src, id, n, txt || coalesce(' ' || nx, '') AS o, coalesce(pv || ' ', '') || txt AS c FROM (
-            SELECT src, id, txt, count(*) OVER (PARTITION BY src) AS n, lead(txt) OVER (PARTITION BY src ORDER BY id) AS nx, lag(txt) OVER (PARTITION BY src ORDER BY id) AS pv FROM {sentences} s) a
-          WHERE id = 1 OR id = n) b GROUP BY src""",
+        SELECT src, max(CASE WHEN id = 0 THEN txt || coalesce(' ' || nx, '') END) AS opening, max(CASE WHEN id = n - 1 THEN coalesce(pv || ' ', '') || txt END) AS closing FROM (
+          SELECT src, id, txt, count(*) OVER (PARTITION BY src) AS n, lead(txt) OVER (PARTITION BY src ORDER BY id) AS nx, lag(txt) OVER (PARTITION BY src ORDER BY id) AS pv FROM {sentences} s) a
+        WHERE id = 0 OR id = n - 1 GROUP BY src""",
     # The first sentence that ends, and that starts, after a point
     "text_next_sentence": """
         SELECT s.src, min(CASE WHEN s.e > x.at THEN R6(s.e) END) AS next_end, min(CASE WHEN s.s > x.at THEN R6(s.s) END) AS next_start

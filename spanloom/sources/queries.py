@@ -1,2 +1,33 @@
-QUERIES: dict = {}
-ORACLE: dict = {}
+"""Queries over what the scans of spanloom.sources give, made of the driver's tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from . import files
+
+
+def _lines(spark, d):
+    raw = F.concat_ws(",", F.when(F.col("o_orderkey") % 50 == 0, "").otherwise(F.col("o_orderkey").cast("string")), F.when(F.col("o_orderkey") % 7 == 0, "-5").otherwise(F.col("o_custkey").cast("string")), F.when(F.col("o_orderkey") % 11 == 0, "101").otherwise((F.col("o_orderkey") % 100).cast("string")))
+    return spark.read.parquet(f"{d}/orders.parquet").select((F.col("o_orderkey") + 1).alias("line"), raw.alias("raw"))
+
+
+_RAW = "SELECT o_orderkey AS k, o_orderkey + 1 AS line, concat(CASE WHEN o_orderkey % 50 = 0 THEN '' ELSE o_orderkey::VARCHAR END, ',', CASE WHEN o_orderkey % 7 = 0 THEN '-5' ELSE o_custkey::VARCHAR END, ',', CASE WHEN o_orderkey % 11 = 0 THEN '101' ELSE (o_orderkey % 100)::VARCHAR END) AS raw, o_custkey FROM orders"
+
+
+def _json(spark, d):
+    entry = F.struct(F.col("o_orderkey").cast("string").alias("id"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_custkey")).alias("view_count"))
+    o = spark.read.parquet(f"{d}/orders.parquet").groupBy((F.col("o_custkey") % 20).alias("k")).agg(F.collect_list(entry).alias("entries"))
+    return o.select(F.col("k").cast("string").alias("url"), F.to_json(F.struct("entries")).alias("json"))
+
+
+QUERIES = {
+    "stats_rows": lambda s, d: files.parse_stats(_lines(s, d))[0],  # A10
+    "stats_errors": lambda s, d: files.parse_stats(_lines(s, d))[1],  # A10
+    "listing_entries": lambda s, d: files.parse_listing(_json(s, d)).select("id", "title", "views", "uploadDate", "durationSec", "channelUrl"),  # A13
+}
+ORACLE = {
+    "stats_rows": f"SELECT line, k::VARCHAR AS \"clipId\", o_custkey::DOUBLE AS views, (k % 100)::DOUBLE AS \"avgViewPct\" FROM ({_RAW}) WHERE line > 1 AND k % 50 <> 0 AND k % 7 <> 0 AND k % 11 <> 0",
+    "stats_errors": f"SELECT line, raw, CASE WHEN k % 50 = 0 THEN 'no clip id' WHEN k % 7 = 0 THEN 'bad views' ELSE 'bad percentage' END AS message FROM ({_RAW}) WHERE line > 1 AND (k % 50 = 0 OR k % 7 = 0 OR k % 11 = 0)",
+    "listing_entries": "SELECT o_orderkey::VARCHAR AS id, '' AS title, CASE WHEN o_orderkey % 3 > 0 THEN o_custkey ELSE 0 END::BIGINT AS views, '' AS \"uploadDate\", 0e0 AS \"durationSec\", (o_custkey % 20)::VARCHAR AS \"channelUrl\" FROM orders",
+}
