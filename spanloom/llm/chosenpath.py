@@ -4,8 +4,10 @@ A document is the set of its distinct word shingles. Documents with equal sets a
 of each class is joined with the others. In each of several independent trees a class goes to the
 node that two of its minwise tokens, chosen by the tree, name; nodes with more members than a leaf may
 have branch again by two tokens that their path chooses, so a similar pair keeps its chance to meet.
-Small nodes are compared exhaustively by all minwise tokens; what looks similar is confirmed on full
-sets. The number of trees follows from the recall wanted.
+Small nodes are compared exhaustively by all minwise tokens. First each member is paired with the one
+most alike and with the two in the middle of its node, and pairs are confirmed on full sets; what is not
+linked by then and still may be similar is compared within its nodes on full sets. So large groups of
+near copies bring about as many pairs as members, and no link between them is lost. The number of trees follows from the recall wanted.
 """
 
 from __future__ import annotations
@@ -85,6 +87,34 @@ def _unsix(b) -> np.ndarray:
     return np.frombuffer(b, np.uint32, m).astype(np.uint64) | np.frombuffer(b, np.uint16, m, 4 * m).astype(np.uint64) << np.uint64(32)
 
 
+def _minority(labels: np.ndarray) -> np.ndarray:
+    """Places of the members that don't have the commonest label."""
+    values, count = np.unique(labels, return_counts=True)
+    return np.flatnonzero(labels != values[np.argmax(count)])
+
+
+def _by_node(rows: DataFrame, each, schema: str) -> DataFrame:
+    """Runs each(batch, cut) over whole nodes: cut has where each node of the batch begins, and its end."""
+
+    def cuts(batch):
+        node = batch.column(0).to_numpy()
+        return np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1], [True])))
+
+    def kernel(batches):
+        rest = None
+        for batch in batches:
+            rest = batch if rest is None else pa.concat_batches([rest, batch])
+            if len(rest):
+                cut = cuts(rest)
+                if len(cut) > 2:
+                    yield from each(rest.slice(0, cut[-2]), cut[:-1])
+                    rest = rest.slice(cut[-2])
+        if rest is not None and len(rest):
+            yield from each(rest, cuts(rest))
+
+    return rows.repartition("node").sortWithinPartitions("node", "id").mapInArrow(kernel, schema)
+
+
 class NearCopies:
     """shingle: words of a shingle; links are pairs with intersection * den >= num * union."""
 
@@ -145,64 +175,99 @@ class NearCopies:
             named = large.select("id", paths.alias("path")).join(classes.select("id", "tokens"), "id").select("id", self._child("path").alias("node"))
         return durable(found.join(classes.select("id", "n", "tokens"), "id")), dense
 
-    def _candidates(self, nodes: DataFrame, most: int | None) -> DataFrame:
-        """nodes: node, id, label, n, tokens. Pairs a < b of one node with different labels that may be
-        similar: of each member the ``most`` most alike and the node's first, or all."""
-        num, den, least = self.num, self.den, self.least
+    def _similar(self, n: np.ndarray, tokens: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """How many minwise tokens each member shares with the i-th, and which may be similar to it."""
+        like = (tokens == tokens[i]).sum(1)
+        return like, (like >= self.least) & (np.minimum(n, n[i]) * self.den >= self.num * np.maximum(n, n[i]))
+
+    def _likely(self, nodes: DataFrame) -> DataFrame:
+        """Pairs a < b that link most of what is similar: of each member of a node the one most alike, and
+        the node's two members that are most like all others."""
 
-        def pairs(ids, labels, n, tokens):
-            order = np.argsort(ids)
-            ids, labels, n, tokens = ids[order], labels[order], n[order], tokens[order]
+        def node(_, ids, __, n, tokens):
             m = len(ids)
+            best, middle = np.full(m, -1), np.zeros(m, np.int64)
             for i in range(m):
-                like = (tokens == tokens[i]).sum(1)
-                ok = (like >= least) & (labels != labels[i]) & (np.minimum(n, n[i]) * den >= num * np.maximum(n, n[i]))
-                j = np.flatnonzero(ok)
-                if most is None:
-                    j = j[j > i]
-                elif len(j) > most:
-                    first = j[0]
-                    j = np.append(j[np.lexsort((j, -like[j]))[:most]], first)
-                for x in j:
-                    yield (ids[i], ids[x]) if ids[i] < ids[x] else (ids[x], ids[i])
-
-        def kernel(batches):
-            rest = None
-            for batch in batches:
-                rest = batch if rest is None else pa.concat_batches([rest, batch])
-                node = rest.column(0).to_numpy()
-                if not len(node):
-                    continue
-                cut = int(np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))[-1])
-                if cut:
-                    yield from each(rest.slice(0, cut))
-                    rest = rest.slice(cut)
-            if rest is not None and len(rest):
-                yield from each(rest)
-
-        def each(batch):
-            node, ids, labels, n = (batch.column(k).to_numpy() for k in range(4))
+                like, ok = self._similar(n, tokens, i)
+                ok[i] = False
+                if ok.any():
+                    j = np.flatnonzero(ok)
+                    best[i] = j[np.lexsort((ids[j], -like[j]))[0]]
+                    middle[i] = like[j].sum()
+            some = best >= 0
+            a, b = [np.flatnonzero(some)], [best[some]]
+            for i in np.lexsort((ids, -middle))[: 2 if m > 3 else 0]:
+                j = np.flatnonzero(self._similar(n, tokens, i)[1])
+                a.append(j[j != i])
+                b.append(np.full(len(a[-1]), i))
+            return [np.concatenate(a), np.concatenate(b)]
+
+        def each(batch, cut):
+            node_of, ids, labels, n = (batch.column(k).to_numpy() for k in range(4))
             tokens = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint32).reshape(-1, TOKENS).astype(np.uint16)
-            cut = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1], [True])))
-            size = np.diff(cut)
-            out = set()
-            two = cut[:-1][size == 2]
-            if len(two):  # most nodes
-                ok = (labels[two] != labels[two + 1]) & ((tokens[two] == tokens[two + 1]).sum(1) >= least)
-                ok &= np.minimum(n[two], n[two + 1]) * den >= num * np.maximum(n[two], n[two + 1])
-                a, b = ids[two[ok]], ids[two[ok] + 1]
-                out.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
+            size, out = np.diff(cut), set()
+            two = cut[:-1][size == 2]  # most nodes
+            ok = ((tokens[two] == tokens[two + 1]).sum(1) >= self.least) & (np.minimum(n[two], n[two + 1]) * self.den >= self.num * np.maximum(n[two], n[two + 1]))
+            pairs = [(ids[two[ok]], ids[two[ok] + 1])]
             for i, m in zip(cut[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
                 s = slice(i, i + m)
-                if (labels[s] != labels[i]).any():
-                    for a, b in pairs(ids[s], labels[s], n[s], tokens[s]):
-                        out.add((int(a), int(b)))
+                a, b = node(node_of[i], ids[s], labels[s], n[s], tokens[s])
+                pairs.append((ids[s][a], ids[s][b]))
+            for a, b in pairs:
+                out.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
             if out:
                 a, b = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-        dealt = nodes.select("node", "id", "label", "n", "tokens").repartition("node").sortWithinPartitions("node")
-        return dealt.mapInArrow(kernel, "a long, b long").distinct()
+        return _by_node(nodes.select("node", "id", "label", "n", "tokens"), each, "a long, b long").distinct()
+
+    def _open(self, nodes: DataFrame) -> DataFrame:
+        """node, id, label of members that may be similar to a member of the node with another label."""
+
+        def each(batch, cut):
+            node_of, ids, labels, n = (batch.column(k).to_numpy() for k in range(4))
+            tokens = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint32).reshape(-1, TOKENS).astype(np.uint16)
+            keep = np.zeros(len(ids), bool)
+            for i, m in zip(cut[:-1].tolist(), np.diff(cut).tolist(), strict=True):
+                s = slice(i, i + m)
+                for k in _minority(labels[s]):
+                    hit = self._similar(n[s], tokens[s], k)[1] & (labels[s] != labels[i + k])
+                    if hit.any():
+                        keep[s] |= hit
+                        keep[i + k] = True
+            at = pa.array(np.flatnonzero(keep))
+            yield batch.select([0, 1, 2]).take(at)
+
+        return _by_node(nodes.select("node", "id", "label", "n", "tokens"), each, "node long, id long, label long")
+
+    def _exact(self, members: DataFrame) -> DataFrame:
+        """members: node, id, label, own. Links a, b between labels that full sets confirm, as few as join
+        the labels of a node: each member outside of the commonest label is compared with all others."""
+
+        def each(batch, cut):
+            ids, labels = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            out = []
+            for i, m in zip(cut[:-1].tolist(), np.diff(cut).tolist(), strict=True):
+                sets = [_unsix(x.as_buffer()) for x in batch.column(3).slice(i, m)]
+                size = np.array([len(x) for x in sets])
+                values, at = np.unique(np.concatenate(sets), return_inverse=True)
+                off = np.concatenate(([0], np.cumsum(size)))
+                label, mark = labels[i : i + m].copy(), np.zeros(len(values), np.int32)
+                for k in _minority(label):
+                    own = at[off[k] : off[k + 1]]
+                    mark[own] = 1
+                    both = np.add.reduceat(mark[at], off[:-1])
+                    mark[own] = 0
+                    hit = both * self.den >= self.num * (size + size[k] - both)
+                    for other in np.unique(label[hit & (label != label[k])]):
+                        j = int(np.flatnonzero(hit & (label == other))[0])
+                        out.append((int(ids[i + k]), int(ids[i + j])))
+                        label[label == other] = label[k]
+            if out:
+                a, b = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        return _by_node(members.select("node", "id", "label", "own"), each, "a long, b long")
 
     def _sets(self, docs: DataFrame, classes: DataFrame, ends: DataFrame) -> DataFrame:
         """id, own: the full sets of the classes in ends."""
@@ -246,21 +311,18 @@ class NearCopies:
         known = sk.filter("doc_id is not null and n > 0")
         classes = durable(known.groupBy("id", "n").agg(F.min("doc_id").alias("doc_id"), F.first("tokens").alias("tokens")))
         nodes, dense = self.nodes(classes)
-        label = tried = links = sets = None
-        for most in (1, 8, None):
-            members = self._members(nodes, label, dense)
-            pairs = self._candidates(members, most)
-            pairs = durable(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-            if pairs.isEmpty():
-                break
-            if sets is None:
-                ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-                sets = self._sets(docs, classes, ends)
-            good = durable(self._confirmed(pairs, sets))
-            tried = pairs if tried is None else tried.unionByName(pairs)
-            if not good.isEmpty():
-                links = good if links is None else links.unionByName(good)
-                label = components(links)
+        label = None
+        pairs = durable(self._likely(nodes.withColumn("label", F.col("id"))))
+        if not pairs.isEmpty():
+            ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+            sets = self._sets(docs, classes, ends)
+            links = durable(self._confirmed(pairs, sets))
+            label = components(links)
+            rest = durable(self._open(self._members(nodes, label, dense)))
+            if not rest.isEmpty():
+                more = durable(self._exact(rest.join(sets, "id")))
+                if not more.isEmpty():
+                    label = components(links.unionByName(more))
         smallest = classes.select("id", "doc_id")
         if label is not None:
             of = smallest.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
