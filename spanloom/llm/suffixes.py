@@ -22,6 +22,7 @@ from .sketch import ASKED, ANSWER, Sketch, ordered, two_pass
 from .textkit import covered, flat, grams, mix, pieces
 
 PIECE = 1 << 19
+PART = 1 << 18
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -67,23 +68,32 @@ def runs(data: np.ndarray, off: np.ndarray, least: int, gram: int) -> tuple[np.n
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of symbols below 512 sorted by their first ``depth`` symbols at least, by doubling."""
+    """Suffixes of symbols below 512 sorted by their first ``depth`` symbols at least, by doubling.
+
+    Up to 2M symbols a rank, the rank that follows and the place fit into one number, whose sort is much
+    faster than one that has to give places."""
     n = len(text)
-    padded = np.concatenate([text, np.zeros(7, text.dtype)]).astype(np.uint64)
+    small = n <= 1 << 21
+    have = 4 if small else 7
+    padded = np.concatenate([text, np.zeros(have, text.dtype)]).astype(np.uint64)
     key = np.zeros(n, np.uint64)
-    for i in range(7):
+    for i in range(have):
         key = key << np.uint64(9) | padded[i : i + n]
-    have = 7
+    place = np.arange(n, dtype=np.uint64)
     while True:
-        order = np.argsort(key, kind="stable")
+        if small:
+            packed = np.sort(key << np.uint64(21) | place)
+            order, s = (packed & np.uint64((1 << 21) - 1)).astype(np.int32), packed >> np.uint64(21)
+        else:
+            order = np.argsort(key)
+            s = key[order]
         if have >= depth:
             return order
-        s = key[order]
         rank = np.empty(n, np.uint64)
-        rank[order] = np.cumsum(np.concatenate(([0], s[1:] != s[:-1])), dtype=np.uint64) + np.uint64(1)
+        rank[order] = np.cumsum(np.concatenate(([0], s[1:] != s[:-1])), dtype=np.uint64) + np.uint64(not small)
         rest = np.zeros(n, np.uint64)
         rest[: max(n - have, 0)] = rank[have:]
-        key = rank << np.uint64(32) | rest
+        key = rank << np.uint64(21 if small else 32) | rest
         have *= 2
 
 
@@ -108,6 +118,25 @@ def expand(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return order, interval
 
 
+def _smallest(texts: list[bytes], size: np.ndarray, docs: np.ndarray, least: int) -> np.ndarray:
+    """For each window of the texts, one text after another, the smallest doc of a text that has it."""
+    begin = np.concatenate(([0], np.cumsum(size + 1)))[:-1]
+    text = np.zeros(int((size + 1).sum()), np.uint16)
+    inside = np.ones(len(text), bool)
+    inside[begin + size] = False
+    text[inside] = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint16) + np.uint16(1)
+    order, interval = expand(text, least)
+    windows = size - least + 1
+    total = np.concatenate(([0], np.cumsum(windows)))
+    at = np.repeat(begin - total[:-1], windows) + np.arange(total[-1])  # where each window starts in text
+    of = np.empty(len(text), np.int32)
+    of[order] = interval
+    cls = of[at]
+    found = np.full(int(interval[-1]) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(found, cls, np.repeat(docs, windows))
+    return found[cls]
+
+
 def remove_repeated_bytes(docs: DataFrame, least: int = 50, gram: int = 24, with_bytes: bool = False) -> DataFrame:
     """Removes each byte that a string of ``least`` bytes covers which starts in a smaller doc_id too.
 
@@ -163,40 +192,38 @@ def remove_repeated_bytes(docs: DataFrame, least: int = 50, gram: int = 24, with
             own = [distinct[x] for x in at]
             head = np.array([len(x) for x in own], "<u4").tobytes() + ids[doc[first[at]]].tobytes()
             k.append(q)
-            asked.append(struct.pack("<q", len(at)) + head + b"".join(own))
+            part = mix(key[first[at]], 8).astype(np.uint8).tobytes()
+            asked.append(struct.pack("<q", len(at)) + head + part + b"".join(own))
         return pa.table([pa.array(k, pa.int64()), pa.array([g] * len(k), pa.int64()), pa.array(asked, pa.binary())], schema=ASKED)
 
     def settle(table):
-        lots, distinct, least_doc = [], {}, []
+        lots, distinct, least_doc, part_of = [], {}, [], []
         for b in table["asked"]:
             b = b.as_buffer()
             (m,) = struct.unpack("<q", b[:8])
-            size, ids = np.frombuffer(b, "<u4", m, 8), np.frombuffer(b, np.int64, m, 8 + 4 * m)
-            raw, at, own = memoryview(b), 8 + 12 * m, np.empty(m, np.int64)
+            size, ids, part = np.frombuffer(b, "<u4", m, 8), np.frombuffer(b, np.int64, m, 8 + 4 * m), np.frombuffer(b, np.uint8, m, 8 + 12 * m)
+            raw, at, own = memoryview(b), 8 + 13 * m, np.empty(m, np.int64)
             for n, (s, i) in enumerate(zip(size.tolist(), ids.tolist(), strict=True)):
                 own[n] = x = distinct.setdefault(bytes(raw[at : at + s]), len(distinct))
                 if x == len(least_doc):
                     least_doc.append(i)
+                    part_of.append(part[n])
                 elif i < least_doc[x]:
                     least_doc[x] = i
                 at += s
             lots.append((own, ids, size))
-        size = np.array([len(x) for x in distinct], np.int64)
-        begin = np.concatenate(([0], np.cumsum(size + 1)))[:-1]
-        text = np.zeros(int((size + 1).sum()), np.uint16)
-        inside = np.ones(len(text), bool)
-        inside[begin + size] = False
-        text[inside] = np.frombuffer(b"".join(distinct), np.uint8).astype(np.uint16) + np.uint16(1)
-        order, interval = expand(text, least)
+        texts, least_doc = list(distinct), np.array(least_doc, np.int64)
+        size = np.array([len(x) for x in texts], np.int64)
         windows = size - least + 1
         total = np.concatenate(([0], np.cumsum(windows)))
-        at = np.repeat(begin - total[:-1], windows) + np.arange(total[-1])  # where each window starts in text
-        of = np.empty(len(text), np.int32)
-        of[order] = interval
-        cls = of[at]
-        smallest = np.full(int(interval[-1]) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(smallest, cls, np.repeat(np.array(least_doc, np.int64), windows))
-        smallest = smallest[cls]
+        smallest = np.empty(int(total[-1]), np.int64)
+        parts = min(256, int(size.sum()) // PART + 1)  # pieces with a window in common are of one part
+        part_of = np.array(part_of) % parts
+        for k in range(parts):
+            mine = np.flatnonzero(part_of == k)
+            if len(mine):
+                at = np.repeat(total[mine] - np.concatenate(([0], np.cumsum(windows[mine])))[:-1], windows[mine]) + np.arange(windows[mine].sum())
+                smallest[at] = _smallest([texts[x] for x in mine], size[mine], least_doc[mine], least)
         bits = []
         for own, ids, size in lots:
             c = size.astype(np.int64) - least + 1
