@@ -60,7 +60,7 @@ def _next_bucket(buckets: DataFrame) -> DataFrame:
     low = F.min("low").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     groups = groups.select("b2", F.coalesce(F.lead("low").over(line), low).alias("after"))
     inner = F.lead("b").over(Window.partitionBy("b2").orderBy("b"))
-    return own.withColumn("inner", inner).join(groups, "b2").select("b", "top", F.coalesce("inner", "after").alias("above"))
+    return own.withColumn("inner", inner).join(groups, "b2").select("b", F.coalesce("inner", "after").alias("above"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -76,13 +76,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     n = partitions(docs.sparkSession, text_bytes(docs), 16 << 20)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     d = d.withColumn("b", F.coalesce(F.shiftright("doc_id", 10), F.lit(FIRST))).withColumn("row", F.xxhash64("text"))
-    order = F.struct(F.coalesce("doc_id", F.lit(FIRST)), "row")
-    buckets = _next_bucket(d.groupBy("b").agg(F.max(order).alias("top")))
+    buckets = _next_bucket(d.select("b").distinct())
     dealt = d.repartition(n, "b")
-    first = dealt.join(buckets, "b").filter(order == F.col("top")).select(F.col("above").alias("b"), F.col("text").alias("first_text"))
-    first = with_signatures(first.groupBy("b").agg(F.max("first_text").alias("first_text")), "first_text", "first_sigs")
-    own = with_signatures(dealt, "text", "sigs")
     line = Window.partitionBy("b").orderBy(F.col("doc_id").desc_nulls_last(), F.col("row").desc())
+    first = dealt.withColumn("place", F.row_number().over(line)).filter("place = 1").select("b", F.col("text").alias("first_text"))
+    first = first.join(buckets, "b").select(F.col("above").alias("b"), "first_text")
+    first = with_signatures(first, "first_text", "first_sigs")
+    own = with_signatures(dealt, "text", "sigs")
     own = own.withColumn("next_text", F.lead("text").over(line)).withColumn("next_sigs", F.lead("sigs").over(line))
     own = own.join(first, "b")
     own = own.withColumn("next_sigs", F.coalesce("next_sigs", "first_sigs")).withColumn("next_text", F.coalesce("next_text", "first_text"))
