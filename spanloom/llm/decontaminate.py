@@ -19,10 +19,14 @@ def _winner(h: str, p: str, places: int) -> Column:
     return F.expr(f"least({', '.join(f'shiftleft(shiftrightunsigned(xxhash64({g}), 3), 3) | {o}L' for o, g in enumerate(gram))})")
 
 
-def _run(a: str, b: str, limit: str) -> str:
-    """How many of ``limit`` places agree from the first on; a, b: words at place d."""
-    same = f"array_position(transform(sequence(1, greatest({limit}, 1)), d -> {a} <=> {b}), false)"
-    return f"if({limit} < 1, 0, if({same} = 0, {limit}, cast({same} as int) - 1))"
+def _run(same: list[str]) -> Column:
+    """How many of these places agree from the first on; a place outside of either text doesn't.
+
+    Compiled code without lambdas: else the join would hand on each place of a document with all its words."""
+    out = str(len(same))
+    for k in reversed(range(len(same))):
+        out = f"if(coalesce({same[k]}, false), {out}, {k})"
+    return F.expr(out)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, block_rows: int = 100_000) -> DataFrame:
@@ -41,13 +45,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     item without item_id hits words but is not counted. Repeated rows of docs get equal results."""
     spark, d = docs.sparkSession, with_row(docs)
     places = window - GRAM + 1
-    w = d.select("doc_id", "row", words(folded(F.col("text"))).alias("w")).filter(F.size("w") > 0)
+    w = d.select("doc_id", "row", words(folded(F.col("text"))).alias("w"))
     w = w.withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), words(folded(F.col("text"))).alias("iw")).filter(F.size("iw") > 0)
     items = items.withColumn("h", F.transform("iw", lambda x: F.xxhash64(x)))
 
     def windows(t: DataFrame, *keep: str) -> DataFrame:
-        at = t.filter(F.size("h") >= window).select(*keep, "h", F.posexplode("h").alias("p", "_")).filter(F.col("p") <= F.size("h") - window)
+        at = t.select(*keep, "h", F.posexplode("h").alias("p", "_")).filter(F.col("p") <= F.size("h") - window)
         at = at.withColumn("m", _winner("h", "p", places))
         return at.select(*keep, F.expr("shiftleft(shiftrightunsigned(m, 3), 3)").alias("fp"), F.expr("p + cast(m & 7 as int)").alias("p"))
 
@@ -62,8 +66,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     found = []
     for part in _blocks(prints, "fp", block_rows):
         hit = windows(w, "doc_id", "row", "w").join(F.broadcast(part), "fp")
-        hit = hit.withColumn("before", F.expr(_run("get(w, p - d)", "get(near, q - d)", "least(p, q)")))
-        hit = hit.withColumn("after", F.expr(_run("get(w, p + d - 1)", "get(near, q + d - 1)", "least(size(w) - p, size(near) - q)")))
+        hit = hit.withColumn("before", _run([f"get(w, p - {k}) = get(near, q - {k})" for k in range(1, left + 1)]))
+        hit = hit.withColumn("after", _run([f"get(w, p + {k}) = get(near, q + {k})" for k in range(right)]))
         hit = hit.filter(F.col("before") + F.col("after") >= window)
         found.append(hit.select("doc_id", "row", "item", (F.col("p") - F.col("before")).alias("a"), (F.col("p") + F.col("after")).alias("b")))
     for n in lengths:

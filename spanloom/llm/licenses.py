@@ -56,7 +56,7 @@ def scan_licenses(docs: DataFrame, neighbours: int = 6, least_share: float = 0.6
 
     A null or empty text has no words, places or labels and score 0. Repeated rows get equal results."""
     d = with_row(docs)
-    w = d.select("doc_id", "row", words(folded(F.col("text"))).alias("w")).filter(F.size("w") > 1)
+    w = d.select("doc_id", "row", words(folded(F.col("text"))).alias("w"))
     w = w.withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
     at = w.select("doc_id", "row", "w", "h", F.posexplode("h").alias("p", "_"))
     hashed = [F.xxhash64(F.lit(k), *[F.expr(f"get(h, p + {o})") for o in range(k)]) for k in (SHORT, LONG)]
