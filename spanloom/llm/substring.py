@@ -66,7 +66,7 @@ def remove_repeated_windows(docs: DataFrame, n: int = 20, with_text: bool = Fals
         q = (mix(u, 7) % np.uint64(shards)).astype(np.int64)
         order = np.argsort(q, kind="stable")
         cut = np.flatnonzero(np.diff(q[order], prepend=-1))
-        for i, j in zip(cut, [*cut[1:], len(order)], strict=True):
+        for i, j in zip(cut, [*cut, len(order)][1:], strict=True):
             at = order[i:j]
             own, inside = np.unique(d[at], return_inverse=True)
             k.append(int(q[at[0]]))
@@ -103,7 +103,7 @@ def remove_repeated_windows(docs: DataFrame, n: int = 20, with_text: bool = Fals
         which = np.flatnonzero(maybe)
         order = np.argsort(q, kind="stable")
         cut = np.flatnonzero(np.diff(q[order], prepend=-1))
-        for i, j in zip(cut, [*cut[1:], len(order)], strict=True):
+        for i, j in zip(cut, [*cut, len(order)][1:], strict=True):
             at = which[order[i:j]]
             later[first[at]] = np.unpackbits(np.frombuffer(settled[int(q[order[i]])], np.uint8), count=j - i).astype(bool)
         del inverse
