@@ -10,23 +10,35 @@ from .native import folded, same_row, with_row, words
 GRAM = 8
 
 
-def _winner(h: str, p: str, places: int) -> Column:
-    """The smallest gram hash among ``places`` places from p, with the place in its low 3 bits: of equal ones the first.
+def _winner(g: str, p: str, places: int) -> Column:
+    """The smallest gram hash among ``places`` places from p, with the place in its low 3 bits: of equal ones the first."""
+    return F.expr(f"least({', '.join(f'shiftleft(shiftrightunsigned(get({g}, {p} + {o}), 3), 3) | {o}L' for o in range(places))})")
 
-    A gram's hash mixes its words' hashes by shifts, so that a place costs a few operations of compiled code."""
-    word = [f"get({h}, {p} + {k})" for k in range(places + GRAM - 1)]
-    gram = [" ^ ".join(f"shiftleft({word[o + k]}, {k})" for k in range(GRAM)) for o in range(places)]
-    return F.expr(f"least({', '.join(f'shiftleft(shiftrightunsigned(xxhash64({g}), 3), 3) | {o}L' for o, g in enumerate(gram))})")
 
+def _gram_hashes(t: DataFrame) -> DataFrame:
+    """Adds g: at each place the hash of GRAM words, from hashes of half as many, of their halves, and so on.
 
-def _run(same: list[str]) -> Column:
-    """How many of these places agree from the first on; a place outside of either text doesn't.
+    Lambdas run once a place here, before places become rows, so the method that makes rows of places and
+    probes the join stays small enough to be compiled."""
+    k, of = 1, "h"
+    while k < GRAM:
+        t = _held(t, f"g{2 * k}", F.expr(f"transform({of}, (x, i) -> xxhash64(x, get({of}, i + {k})))"))
+        k, of = 2 * k, f"g{2 * k}"
+    return t.withColumnRenamed(of, "g")
 
-    Compiled code without lambdas: else the join would hand on each place of a document with all its words."""
-    out = str(len(same))
-    for k in reversed(range(len(same))):
-        out = f"if(coalesce({same[k]}, false), {out}, {k})"
-    return F.expr(out)
+
+def _held(t: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column as a generator of one row: the optimiser can't put its expression in the places that use it, to run there once an element."""
+    return t.select("*", F.explode(F.array(value)).alias(name))
+
+
+def _agree(x: str, at: str, y: str, to: str, n: int, step: int) -> Column:
+    """How many words agree, of at most n, from x[at] and y[to] on in steps of ``step``; a place outside of either doesn't."""
+    first = 1 if step < 0 else 0
+    return F.expr(
+        f"aggregate(sequence({first}, {first + n - 1}), 0, (r, k) -> if(r = k - {first} and "
+        f"coalesce(get({x}, {at} + {step} * k) = get({y}, {to} + {step} * k), false), r + 1, r))"
+    )
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, block_rows: int = 100_000) -> DataFrame:
@@ -46,13 +58,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     spark, d = docs.sparkSession, with_row(docs)
     places = window - GRAM + 1
     w = d.select("doc_id", "row", words(folded(F.col("text"))).alias("w"))
-    w = w.withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
+    w = _held(w, "h", F.transform("w", lambda x: F.xxhash64(x)))
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), words(folded(F.col("text"))).alias("iw")).filter(F.size("iw") > 0)
-    items = items.withColumn("h", F.transform("iw", lambda x: F.xxhash64(x)))
+    items = _held(items, "h", F.transform("iw", lambda x: F.xxhash64(x)))
 
     def windows(t: DataFrame, *keep: str) -> DataFrame:
-        at = t.select(*keep, "h", F.posexplode("h").alias("p", "_")).filter(F.col("p") <= F.size("h") - window)
-        at = at.withColumn("m", _winner("h", "p", places))
+        at = _gram_hashes(t.filter(F.size("h") >= window)).select(*keep, "g", F.posexplode("g").alias("p", "_"))
+        at = at.filter(F.col("p") <= F.size("g") - window).withColumn("m", _winner("g", "p", places))
         return at.select(*keep, F.expr("shiftleft(shiftrightunsigned(m, 3), 3)").alias("fp"), F.expr("p + cast(m & 7 as int)").alias("p"))
 
     left, right = places - 1, window
@@ -64,17 +76,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     lengths = sorted(r.n for r in short.select("n").distinct().collect())
 
     found = []
-    for part in _blocks(prints, "fp", block_rows):
+    for part in _blocks(prints, block_rows):
         hit = windows(w, "doc_id", "row", "w").join(F.broadcast(part), "fp")
-        hit = hit.withColumn("before", _run([f"get(w, p - {k}) = get(near, q - {k})" for k in range(1, left + 1)]))
-        hit = hit.withColumn("after", _run([f"get(w, p + {k}) = get(near, q + {k})" for k in range(right)]))
-        hit = hit.filter(F.col("before") + F.col("after") >= window)
+        hit = hit.select(
+            "doc_id", "row", "item", "p", "near", "q",
+            F.expr(f"slice(w, greatest(p - {left}, 0) + 1, least(p, {left}) + {right})").alias("here"), F.expr(f"least(p, {left})").alias("c"),
+        )
+        # As a generator: a filter on its columns stays above the join, whose rows then are as short as a window.
+        reach = F.struct(_agree("here", "c", "near", "q", left, -1).alias("before"), _agree("here", "c", "near", "q", right, 1).alias("after"))
+        hit = hit.select("doc_id", "row", "item", "p", F.inline(F.array(reach))).filter(F.col("before") + F.col("after") >= window)
         found.append(hit.select("doc_id", "row", "item", (F.col("p") - F.col("before")).alias("a"), (F.col("p") + F.col("after")).alias("b")))
     for n in lengths:
-        mine = short.filter(F.col("n") == n).select(F.xxhash64("iw").alias("fp"), "item", "iw")
-        for part in _blocks(mine, "fp", block_rows):
-            at = w.select("doc_id", "row", "w", F.posexplode("h").alias("p", "_")).filter(F.col("p") <= F.size("w") - n)
-            hit = at.withColumn("fp", F.xxhash64(F.slice("w", F.col("p") + 1, n))).join(F.broadcast(part), "fp")
+        whole = F.xxhash64(*[F.expr(f"get(h, p + {k})") for k in range(n)]).alias("fp")
+        mine = short.filter(F.col("n") == n).select(F.xxhash64(*[F.expr(f"xxhash64(get(iw, {k}))") for k in range(n)]).alias("fp"), "item", "iw")
+        for part in _blocks(mine, block_rows):
+            at = w.filter(F.size("h") >= n).select("doc_id", "row", "w", "h", F.posexplode("h").alias("p", "_")).filter(F.col("p") <= F.size("h") - n)
+            hit = at.select("doc_id", "row", "w", "p", whole).join(F.broadcast(part), "fp")
             hit = hit.filter(F.slice("w", F.col("p") + 1, n) == F.col("iw"))
             found.append(hit.select("doc_id", "row", "item", F.col("p").alias("a"), (F.col("p") + n).alias("b")))
     rows = d.select("doc_id", "row", F.size(words(folded(F.col("text")))).cast("long").alias("n_words"))
@@ -98,7 +115,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     )
 
 
-def _blocks(table: DataFrame, key: str, rows: int) -> list[DataFrame]:
+def _blocks(table: DataFrame, rows: int) -> list[DataFrame]:
     """The table in parts of about ``rows`` rows; none if it has none. Only the count comes to the driver."""
     n = -(-table.count() // rows)
     return [table] if n == 1 else [table.filter(F.pmod(F.xxhash64(F.lit(11), *table.columns), F.lit(n)) == k) for k in range(n)]
