@@ -72,11 +72,11 @@ OPERATORS = {
     "text_truncate": "SELECT src, p, I(least(n, 600 - c)) AS n FROM (SELECT src, p, n, coalesce(sum(n) OVER (PARTITION BY src ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM {speeches} a) b WHERE c < 600",
     # Pages of three words that end punctuation or a gap over .3 s closes
     "text_caption_pages": """
-        SELECT src, seg, sub, min(p) AS p0, max(p) AS p1, TEXTAGG(w, p, ' ') AS txt, R6(least(max(e) + 4e-1, coalesce(min(nx), 1e9))) AS until FROM (
+        SELECT src, seg, sub, min(p) AS p0, max(p) AS p1, TEXTAGG(w, p, ' ') AS txt, R6(least(max(e) + 4e-1, max(nx))) AS until FROM (
           SELECT src, p, w, e, I(seg) AS seg, nx, I(floor((row_number() OVER (PARTITION BY src, seg ORDER BY p) - 1) / 3e0)) AS sub FROM (
             SELECT *, sum(brk) OVER (PARTITION BY src ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seg FROM (
-              SELECT *, lead(s, 3) OVER (PARTITION BY src ORDER BY p) AS nx, CASE WHEN RX(lag(w) OVER (PARTITION BY src ORDER BY p), '[.?!,]$') OR s - lag(e) OVER (PARTITION BY src ORDER BY p) > 3e-1 THEN 1 ELSE 0 END AS brk
-              FROM {words} a WHERE p < 400) b) c) d GROUP BY src, seg, sub""",
+              SELECT *, coalesce(lead(s) OVER (PARTITION BY src ORDER BY p), 1e9) AS nx, CASE WHEN RX(lag(w) OVER (PARTITION BY src ORDER BY p), '[.?!,]$') OR s - lag(e) OVER (PARTITION BY src ORDER BY p) > 3e-1 THEN 1 ELSE 0 END AS brk
+              FROM {words} a) b) c) d GROUP BY src, seg, sub""",
     # Minutes and seconds in lines of text
     "text_mmss": "SELECT src, I(id) AS id, concat(STR(I(floor(floor(s + 5e-1) / 60))), ':', lpad(STR(I(floor(s + 5e-1) - floor(floor(s + 5e-1) / 60) * 60)), 2, '0'), ' ', substr(txt, 1, 40)) AS line FROM {sentences} a",
 }
