@@ -34,16 +34,23 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest doc_id, once. Documents without doc_id stay."""
-    gone = NearCopies(shingle=5, num=80, den=100).run(docs.select("doc_id", "text")).filter("not kept").select("doc_id")
-    known = docs.join(gone.distinct(), "doc_id", "left_anti").filter("doc_id is not null").dropDuplicates(["doc_id"])
+    """One document of each group of near copies: that with the smallest doc_id, once. Documents without doc_id stay.
+
+    Rows that repeat a doc_id are judged each by its own text; of those of one group the one with the least hash stays."""
+    judged = NearCopies(shingle=5, num=80, den=100).run(docs.select("doc_id", "text"), by_text=True).filter("kept and doc_id is not null")
+    stay = judged.groupBy("doc_id", F.coalesce("component", "row").alias("component")).agg(F.min("row").alias("_row"))
+    stay = stay.select(F.col("doc_id").alias("_id"), "_row")
+    keyed = docs.filter("doc_id is not null").withColumn("_text", F.xxhash64("text"))
+    known = keyed.join(stay, (F.col("doc_id") == F.col("_id")) & (F.col("_text") == F.col("_row")), "left_semi").dropDuplicates(["doc_id", "_text"])
     return known.select(docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without contamination by the benchmark. Only doc_ids of contaminated ones are joined."""
-    found = contamination(docs.select("doc_id", "text"), _read(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id").distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_anti").select(docs.columns)
+    """Documents without contamination by the benchmark. Only doc_ids and text hashes of contaminated ones are joined."""
+    found = contamination(docs.select("doc_id", "text"), _read(spark, sf_dir, "benchmark"), by_text=True).filter("contaminated")
+    found = found.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).distinct()
+    keyed = docs.withColumn("_text", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return keyed.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_row")), "left_anti").select(docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -125,9 +125,9 @@ class NearCopies:
         t = self.threshold
         self.least = max(1, math.floor(TOKENS * t - 4.5 * math.sqrt(TOKENS * t * (1 - t))))
 
-    def sketches(self, docs: DataFrame) -> DataFrame:
-        """doc_id, n (size of the set), s1, s2 (its digest), tokens (minwise, 4 bytes each)."""
-        shingle = self.shingle
+    def sketches(self, docs: DataFrame, by_text: bool = False) -> DataFrame:
+        """doc_id, n (size of the set), s1, s2 (its digest), tokens (minwise, 4 bytes each); by_text: and row, a hash of the text."""
+        shingle, own = self.shingle, [F.xxhash64("text").alias("row")] if by_text else []
 
         def kernel(batches):
             for batch in batches:
@@ -137,12 +137,12 @@ class NearCopies:
                     m = len(off) - 1
                     tokens = minwise(values, off)
                     yield pa.RecordBatch.from_arrays(
-                        [ids.slice(done, m), pa.array(np.diff(off)), pa.array(s1), pa.array(s2), pa.array([x.tobytes() for x in tokens], pa.binary())],
-                        ["doc_id", "n", "s1", "s2", "tokens"],
+                        [ids.slice(done, m), pa.array(np.diff(off)), pa.array(s1), pa.array(s2), pa.array([x.tobytes() for x in tokens], pa.binary()), *(c.slice(done, m) for c in batch.columns[2:])],
+                        ["doc_id", "n", "s1", "s2", "tokens", *batch.schema.names[2:]],
                     )
                     done += m
 
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(kernel, "doc_id long, n long, s1 long, s2 long, tokens binary")
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *own).mapInArrow(kernel, "doc_id long, n long, s1 long, s2 long, tokens binary" + (", row long" if by_text else ""))
 
     def _child(self, path: str):
         """The child of a node below a tree's root: a hash of its path and of the minwise token that the path chooses."""
@@ -300,14 +300,15 @@ class NearCopies:
         full = pairs.join(sets.select(F.col("id").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("own").alias("y")), "b")
         return full.select("a", "b", "x", "y").mapInArrow(kernel, "a long, b long")
 
-    def run(self, docs: DataFrame) -> DataFrame:
+    def run(self, docs: DataFrame, by_text: bool = False) -> DataFrame:
         """docs: doc_id, text; other columns are not read. Returns doc_id, n_shingles, component_id, kept.
+        by_text: and row, a hash of the text, and component, which tells groups with one smallest doc_id apart.
 
         component_id: the smallest doc_id that links reach, equal sets included. A null or empty text
         has no shingles and is linked with nothing: it is its own component. So is a row without
         doc_id, whose component_id is null. Rows that repeat a doc_id are judged each by its own text.
         An empty table gives none."""
-        sk = durable(self.sketches(docs)).withColumn("id", F.xxhash64("s1", "s2", "n"))
+        sk = durable(self.sketches(docs, by_text)).withColumn("id", F.xxhash64("s1", "s2", "n"))
         known = sk.filter("doc_id is not null and n > 0")
         classes = durable(known.groupBy("id", "n").agg(F.min("doc_id").alias("doc_id"), F.first("tokens").alias("tokens")))
         nodes, dense = self.nodes(classes)
@@ -326,9 +327,14 @@ class NearCopies:
         smallest = classes.select("id", "doc_id")
         if label is not None:
             of = smallest.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-            smallest = of.join(of.groupBy("component").agg(F.min("doc_id").alias("least")), "component").select("id", F.col("least").alias("doc_id"))
-        same = known.select("doc_id", F.col("n").alias("n_shingles"), "id").join(smallest.withColumnRenamed("doc_id", "component_id"), "id").drop("id")
-        alone = sk.filter("doc_id is null or n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+            smallest = of.join(of.groupBy("component").agg(F.min("doc_id").alias("least")), "component").select("id", F.col("least").alias("doc_id"), "component")
+        else:
+            smallest = smallest.withColumn("component", F.col("id"))
+        own = ["row", "component"] if by_text else []
+        same = known.select("doc_id", F.col("n").alias("n_shingles"), "id", *own[:1]).join(smallest.withColumnRenamed("doc_id", "component_id"), "id")
+        alone = sk.filter("doc_id is null or n = 0").withColumn("component", F.lit(None).cast("long"))
+        same = same.select("doc_id", "n_shingles", "component_id", *own)
+        alone = alone.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *own)
         return same.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
     def _members(self, nodes: DataFrame, label: DataFrame | None, dense: bool) -> DataFrame:

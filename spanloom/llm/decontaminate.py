@@ -41,8 +41,8 @@ def _agree(x: str, at: str, y: str, to: str, n: int, step: int) -> Column:
     )
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, block_rows: int = 100_000) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each row of docs.
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, block_rows: int = 100_000, by_text: bool = False) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each row of docs; by_text: and row, the text's hash as in with_row.
 
     A word of a document is hit if any ``window`` consecutive words of an item that cover it occur there;
     an item of fewer words is one window. Contaminated: a hit, and ``share`` * n_hit >= n_words.
@@ -111,7 +111,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     return out.select(
         rows["doc_id"], "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")).cast("binary"), 256).alias("items_sha256"),
-        ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"),
+        ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"), *([rows["row"]] if by_text else []),
     )
 
 
