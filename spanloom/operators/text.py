@@ -54,10 +54,10 @@ OPERATORS = {
         size AS (SELECT src, count(*) AS n FROM {short_tokens} a GROUP BY src)
         SELECT short, ep, I(hits) AS hits, count(*) AS segments, R6(sum(held) / (max(n) * 1e0)) AS coverage, R6(min(s)) AS src_start, R6(max(e)) AS src_end
         FROM timed JOIN size ON short = src GROUP BY short, ep, hits HAVING sum(held) / (max(n) * 1e0) >= 25e-2""",
-    # C17, H2: titles and openings of held-out items that a text holds, between word boundaries
+    # C17, H2: openings (the first 12 words, 6 at least) of held-out items that a text holds, between word boundaries; items have no titles
     "bench_leaks": """
-        SELECT i.item_id AS item, d.doc_id AS src FROM (SELECT item_id, concat(' ', trim(STRIP(lower(substr(text, 1, 60)), '[^a-z0-9]+', ' ')), ' ') AS k FROM {benchmark}) i
-        JOIN (SELECT doc_id, concat(' ', trim(STRIP(lower(text), '[^a-z0-9]+', ' ')), ' ') AS n FROM {documents}) d ON contains(n, k) WHERE length(k) > 12""",
+        SELECT i.item_id AS item, d.doc_id AS src FROM (SELECT item_id, concat(' ', RX1(trim(STRIP(lower(text), '[^a-z0-9]+', ' ')), '^([a-z0-9]+( [a-z0-9]+){5,11})'), ' ') AS k FROM {benchmark}) i
+        JOIN (SELECT doc_id, concat(' ', trim(STRIP(lower(text), '[^a-z0-9]+', ' ')), ' ') AS n FROM {documents}) d ON contains(n, k) WHERE length(k) > 2""",
     # How many items align, and how many do not
     "mine_report": "SELECT count(*) AS items, I(sum(CASE WHEN n >= 30 THEN 1 ELSE 0 END)) AS long_items, I(max(n)) AS most_tokens, R6(avg(n)) AS mean_tokens FROM (SELECT src, count(*) AS n FROM {short_tokens} a GROUP BY src) b",
     # Most characters of a page of text

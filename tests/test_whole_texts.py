@@ -51,3 +51,15 @@ def test_caption_words_reach_the_end_of_a_text(spark, documents):
             else:
                 want.append((src, s, w))
     assert got == want
+
+
+def test_leaks_are_found_by_the_first_twelve_words(spark, tmp_path):
+    long = [f"Considerable{k}" for k in range(14)]
+    items = [("long", " ".join(long)), ("six", "One two, three-four five six!"), ("five", "just five words of text"), ("none", ""), ("null", None)]
+    docs = [(1, "So: " + "  ".join(long[:12]) + " and on"), (2, " ".join(long[:11]) + " and on"), (3, "zone two three four five six"), (4, "is one two three four five six"), (5, "just five words of text"), (6, None)]
+    spark.createDataFrame(items, "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    flat = {k: re.sub("[^a-z0-9]+", " ", (t or "").lower()).strip() for k, t in items + docs}
+    want = {(i, d) for i, _ in items for d, _ in docs if len(w := flat[i].split(" ")) >= 6 and f" {' '.join(w[:12])} " in f" {flat[d]} "}
+    assert want == {("long", 1), ("six", 4)}
+    assert {tuple(r) for r in catalog.QUERIES["bench_leaks"](spark, str(tmp_path)).select("item", "src").collect()} == want
