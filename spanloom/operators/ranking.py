@@ -83,5 +83,5 @@ OPERATORS = {
     # Valid ranges in the band of lengths
     "rank_valid": "SELECT src, id FROM {candidates} c WHERE e - s BETWEEN 85e-2 * 20 AND 115e-2 * 1200 AND s >= 0 AND s <= e",
     # hooks by score, none blank or long
-    "rank_hooks": "SELECT src, p, trim(substr(text, 1, 70)) AS hook, n FROM {speeches} x WHERE length(trim(text)) BETWEEN 1 AND 400 AND role = 'user'",
+    "rank_hooks": "SELECT src, p, trim(text) AS hook, n FROM {speeches} x WHERE length(trim(text)) BETWEEN 1 AND 70 AND role = 'user'",
 }

@@ -42,8 +42,10 @@ OPERATORS = {
     "clamp_duration": "SELECT id, least(a, b) AS lo, greatest(a, b) AS hi FROM (SELECT id, greatest(12e0, least(180e0, dur)) AS a, greatest(12e0, least(180e0, hours)) AS b FROM {clips} c) x",
     # Timeouts in minutes
     "render_timeouts": "SELECT id, CASE WHEN hook > 0 THEN hook * 6e4 ELSE 9e5 END AS hard_ms, least(payoff * 6e4, CASE WHEN hook > 0 THEN hook * 6e4 ELSE 9e5 END) AS stall_ms FROM {clips} c",
-    # A description that keeps its last line
-    "clamp_description": "SELECT doc_id AS id, concat(substr(text, 1, 80), ' | ', source) AS description FROM {documents}",
+    # A description of 4,900 characters at most that keeps its attribution; only the body is cut, and marked
+    "clamp_description": """
+        SELECT id, CASE WHEN length(body) + length(a) <= 4900 THEN body || a WHEN length(a) >= 4900 THEN substr(a, 1, 4900) ELSE substr(body, 1, I(4899 - length(a))) || '…' || a END AS description
+        FROM (SELECT doc_id AS id, coalesce(text, '') AS body, coalesce(' | ' || source, '') AS a FROM {documents}) d""",
     # H8: keys of caches
     "cache_keys": "SELECT doc_id AS id, substr(sha1(coalesce(text, '')), 1, 12) AS h FROM {documents}",
     # Rows with and without their clip

@@ -63,3 +63,18 @@ def test_leaks_are_found_by_the_first_twelve_words(spark, tmp_path):
     want = {(i, d) for i, _ in items for d, _ in docs if len(w := flat[i].split(" ")) >= 6 and f" {' '.join(w[:12])} " in f" {flat[d]} "}
     assert want == {("long", 1), ("six", 4)}
     assert {tuple(r) for r in catalog.QUERIES["bench_leaks"](spark, str(tmp_path)).select("item", "src").collect()} == want
+
+
+def test_descriptions_are_cut_over_4900_characters_only_and_in_the_body(spark, tmp_path):
+    docs = [(1, "a" * 81, "web"), (2, "b" * 4894, "web"), (3, "c" * 4895, "web"), (4, "d" * 20000, "web"), (5, "e", "s" * 5000), (6, "f", None)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.id: r.description for r in catalog.QUERIES["clamp_description"](spark, str(tmp_path)).collect()}
+    cut = {k: f"{c * 4893}… | web" for k, c in ((3, "c"), (4, "d"))}
+    assert got == {1: "a" * 81 + " | web", 2: "b" * 4894 + " | web", 5: " | " + "s" * 4897, 6: "f", **cut}
+
+
+def test_hooks_over_70_characters_go_and_none_is_cut(spark, tmp_path):
+    turns = [(1, 0, "user", "  fits "), (1, 1, "user", "x" * 70), (1, 2, "user", "y" * 71), (1, 3, "user", " "), (1, 4, "assistant", "no")]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = [(r.p, r.hook) for r in catalog.QUERIES["rank_hooks"](spark, str(tmp_path)).orderBy("p").collect()]
+    assert got == [(0, "fits"), (1, "x" * 70)]
