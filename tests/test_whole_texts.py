@@ -1,9 +1,12 @@
 """Operators over whole inputs, against plain models of the reference's rules."""
 
+import math
+import random
 import re
 
 import pytest
 
+from spanloom.functions.prng import stream
 from spanloom.operators import folds
 from spanloom.plans import catalog
 
@@ -78,3 +81,70 @@ def test_hooks_over_70_characters_go_and_none_is_cut(spark, tmp_path):
     spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = [(r.p, r.hook) for r in catalog.QUERIES["rank_hooks"](spark, str(tmp_path)).orderBy("p").collect()]
     assert got == [(0, "fits"), (1, "x" * 70)]
+
+
+def mulberry(seed):
+    a = seed
+    while True:
+        a = (a + 0x6D2B79F5) % 2**32
+        t = (a ^ a >> 15) * (a | 1) % 2**32
+        t = (t + (t ^ t >> 7) * (t | 61)) % 2**32 ^ t
+        yield (t ^ t >> 14) / 2**32
+
+
+def test_streams_equal_the_sequential_generator():
+    g = mulberry(3)
+    assert list(stream(3, 1, 4000)) == [next(g) for _ in range(4000)]
+
+
+def metrics(order, moments, cover, k=6):
+    """order: candidates; moments: [(id, gain)] by id; cover: {(cid, mid): share} of matches."""
+    done, got = set(), 0.0
+    for c, cid in enumerate(order[:k]):
+        open_ = [(-g, -cover[cid, m], m) for m, g in moments if (cid, m) in cover and m not in done]
+        if open_:
+            g, _, m = min(open_)
+            done.add(m)
+            got += -g / math.log2(c + 2)
+
+    def ideal(gains):
+        return sum(g / math.log2(c + 2) for c, g in enumerate(sorted(gains, reverse=True)[:k]))
+
+    hit = [any((cid, m) in cover for m, _ in moments) for cid in order]
+    reached = [g for m, g in moments if any((cid, m) in cover for cid in order)]
+    top = [m for m, _ in moments if any((cid, m) in cover for cid in order[:k])]
+    return [
+        len(moments), len(reached), len(reached) / len(moments) if moments else 0.0, got / ideal(reached) if reached else None, got / ideal([g for _, g in moments]) if moments else 0.0,
+        sum(hit[:k]) / len(hit[:k]) if hit else 0.0, len(top) / len(moments) if moments else 0.0, 1 / (hit.index(True) + 1) if any(hit) else 0.0,
+    ]
+
+
+def test_random_baseline_equals_the_sequential_shuffles(spark):
+    rand = random.Random(5)
+    ranked, graded, matches = [], [], []
+    for src, n, m in ((1, 12, 5), (2, 3, 2), (3, 1, 1), (4, 9, 0), (5, 0, 3), (6, 8, 2)):
+        ranked += [(src, src * 100 + (i * 7) % 13, i + 1) for i in range(n)]
+        graded += [(src, src * 1000 + j, rand.randint(1, 3)) for j in range(m)]
+        matches += [(src, c, j, rand.choice([0.5, 0.7, 1.0])) for s, c, _ in ranked if s == src for r, j, _ in graded if r == src and src != 6 and rand.random() < 0.3]
+    args = (spark.createDataFrame(x, t) for x, t in ((ranked, "src long, id long, pos int"), (matches, "src long, cid long, mid long, cover double"), (graded, "src long, id long, grade int")))
+    got = {r[0]: list(r)[1:] for r in folds.random_baseline(*args).collect()}
+    assert sorted(got) == [1, 2, 3, 4, 5, 6]
+    for src, mine in got.items():
+        pool, g, runs = [i for s, i, _ in ranked if s == src], mulberry(1), []
+        moments, cover = [(i, 2**x - 1) for s, i, x in graded if s == src], {(c, j): v for s, c, j, v in matches if s == src}
+        for _ in range(2000):
+            order = list(pool)
+            for i in range(len(order) - 1, 0, -1):
+                j = int(next(g) * (i + 1))
+                order[i], order[j] = order[j], order[i]
+            runs.append(metrics(order, moments, cover))
+        want = [None if x[0] is None else sum(x) / 2000 for x in zip(*runs, strict=True)]
+        assert mine == pytest.approx(want, abs=1e-9), src
+
+
+def test_bootstrap_equals_ten_thousand_sequential_resamples(spark):
+    xs = [round(math.sin(i) * 10, 3) for i in range(23)]
+    g = mulberry(1)
+    means = sorted(sum(xs[int(next(g) * len(xs))] for _ in xs) / len(xs) for _ in range(10000))
+    got = folds.bootstrap(spark.createDataFrame(list(enumerate(xs)), "i long, x double")).first()
+    assert list(got) == pytest.approx([23, sum(xs) / 23, means[250], means[9749]], abs=1e-6)
