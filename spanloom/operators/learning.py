@@ -20,7 +20,7 @@ OPERATORS = {
         SELECT feature, v, count(*) AS n, R6(avg(y)) AS mean_y FROM (
           SELECT 'cold' AS feature, CASE WHEN cold = 1 THEN 'yes' ELSE 'no' END AS v, y FROM {outcomes} a UNION ALL SELECT 'lang', lang, y FROM {outcomes} b
           UNION ALL SELECT 'dur', CASE WHEN dur < 30 THEN '<30' WHEN dur < 45 THEN '30-45' WHEN dur < 60 THEN '45-60' ELSE '>=60' END, y FROM {outcomes} c) x GROUP BY feature, v HAVING count(*) >= 3""",
-    # Findings with a mean of .3 from five
+    # Means of languages with five outcomes or more; D11's threshold of .3 isn't applied
     "learn_findings": "SELECT lang, count(*) AS n, R6(avg(y)) AS mean_y, CASE WHEN avg(y) > 0 THEN 'over' ELSE 'under' END AS way FROM {outcomes} o GROUP BY lang HAVING count(*) >= 5 AND abs(avg(y)) >= 1e-3",
     "learn_latest": "SELECT src, ARGMAX(id, s) AS id, R6(max(s)) AS s FROM {spans} a GROUP BY src",  # E8
     # the last 20 reviews

@@ -44,13 +44,13 @@ OPERATORS = {
         SELECT signal, R6(coalesce(DIV(avg(a * b) - avg(a) * avg(b), STDPOP(a) * STDPOP(b)), 0e0)) AS rho, count(*) AS n FROM (
           SELECT signal, rank() OVER (PARTITION BY signal ORDER BY x) + (count(*) OVER (PARTITION BY signal, x) - 1) / 2e0 AS a, rank() OVER (PARTITION BY signal ORDER BY quality) + (count(*) OVER (PARTITION BY signal, quality) - 1) / 2e0 AS b
           FROM {signals} s) z GROUP BY signal""",
-    # Paired differences of two variants where both have a figure
+    # Mean paired difference of two variants where both have a figure, without the intervals of I7 and the noise floor of I10
     "bench_paired": """
         SELECT count(*) AS n, R6(avg(a - b)) AS mean, R6(abs(avg(a - b))) AS noise FROM (SELECT src, max(CASE WHEN kind = 'view' THEN m END) AS a, max(CASE WHEN kind = 'click' THEN m END) AS b
           FROM (SELECT src, kind, avg(score) AS m FROM {spans} s GROUP BY src, kind) x GROUP BY src) y WHERE a IS NOT NULL AND b IS NOT NULL""",
     # One row a source, a column a variant
     "bench_matrix": "SELECT src, " + ", ".join(f"R6(avg(CASE WHEN kind = '{k}' THEN score END)) AS m_{k}" for k in ("click", "error", "purchase", "signup", "view")) + " FROM {spans} s GROUP BY src",
-    # What a variant needs for promotion
+    # The checks of a promotion on least and greatest scores; I11's bootstrap bounds and noise aren't built
     "bench_promotion": """
         SELECT src, m > 3e0 AND lo > 0 AS better, hi >= 0 AS no_worse, coalesce(ratio <= 15e-1, true) AS cheap, m > 3e0 AND lo > 0 AND hi >= 0 AND coalesce(ratio <= 15e-1, true) AS promoted
         FROM (SELECT src, avg(score) AS m, min(score) AS lo, max(score) AS hi, DIV(max(score), PCT(score, 0.5e0)) AS ratio FROM {spans} s GROUP BY src) a""",

@@ -58,7 +58,7 @@ OPERATORS = {
     "bench_leaks": """
         SELECT i.item_id AS item, d.doc_id AS src FROM (SELECT item_id, concat(' ', RX1(trim(STRIP(lower(text), '[^a-z0-9]+', ' ')), '^([a-z0-9]+( [a-z0-9]+){5,11})'), ' ') AS k FROM {benchmark}) i
         JOIN (SELECT doc_id, concat(' ', trim(STRIP(lower(text), '[^a-z0-9]+', ' ')), ' ') AS n FROM {documents}) d ON contains(n, k) WHERE length(k) > 2""",
-    # How many items align, and how many do not
+    # Tokens of items; D24 (how many align) isn't built
     "mine_report": "SELECT count(*) AS items, I(sum(CASE WHEN n >= 30 THEN 1 ELSE 0 END)) AS long_items, I(max(n)) AS most_tokens, R6(avg(n)) AS mean_tokens FROM (SELECT src, count(*) AS n FROM {short_tokens} a GROUP BY src) b",
     # Most characters of a page of text
     "text_longest_turn": "SELECT src, I(max(n)) AS longest, count(*) AS turns FROM {speeches} a GROUP BY src",
