@@ -8,13 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that spark.checkpoint.dir names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, set as the session's checkpoint folder.
+
+    Where none is set, a temporary folder serves a session that runs on this machine alone; on a
+    cluster, whose executors couldn't read it, that is an error."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints"))
+    return context.getCheckpointDir()
+
 
-    Only where no folder is set (tests on one machine) a temporary one is used."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
+def durable(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -23,6 +33,10 @@ def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
+#: Partitions of a shuffle that a driver can track with ease; beyond, partitions grow and not their number.
+MOST_PARTITIONS = 1 << 15
+
+
 def partitions(spark: SparkSession, total: int, each: int) -> int:
     """Enough partitions for ``total`` bytes at ``each`` a partition, and no fewer than the session shuffles into."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // each), 1)
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-total // each), MOST_PARTITIONS), 1)

@@ -3,9 +3,12 @@
 Documents are dealt into chunks by a hash of doc_id. A chunk reports each of its distinct keys
 once, as counters of a wide count-min sketch: sorted counters as byte planes of their gaps, about
 two bytes each. A shard of counters merges what all chunks report and answers each chunk with one
-bit for each of its counters: set if two chunks or more hold it. A key whose counters are all set
-may be repeated (an overestimate); a key with a counter that is not set surely is not. Nothing is
-collected: the sketch's width follows the input, and its shards are groups of a shuffle.
+bit for each of its counters: set if two chunks or more hold it; and of those that are set with one
+more: set if HOT chunks or more do. A key whose counters are all set may be repeated (an
+overestimate); a key with a counter that is not set surely is not. Nothing is collected: the
+sketch's width follows the input, and its shards are groups of a shuffle. Their number is bounded, as
+that of messages is chunks times shards: beyond SHARDS of them a shard has more counters, which it
+merges slice by slice.
 
 Keys that may be repeated go, with what the operator says of them, to shards by key, which answer
 in the same way with one bit for each thing asked. A chunk is determined by its documents alone, so
@@ -23,16 +26,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cluster import partitions, text_bytes
-from .textkit import mix
+from .textkit import distinct, mix
 
 DEPTH = 2
 SHARD_BITS = 25
+SHARDS = 1 << 16
+HOT = 128
 ASKED = pa.schema([("k", pa.int64()), ("g", pa.int64()), ("asked", pa.binary())])
 ANSWER = pa.schema([("g", pa.int64()), ("k", pa.int64()), ("answer", pa.binary())])
 
 
 def chunked(docs: DataFrame, chunk_bytes: int = 2 << 20) -> tuple[DataFrame, int]:
-    """Documents as (g, doc_id, text), all of a chunk g in one task. Chunks grow with the root of the input."""
+    """Documents as (g, doc_id, text), all of a chunk g in one task. Chunks grow with the root of the input,
+    as far as a task's memory bears."""
     spark = docs.sparkSession
     total = text_bytes(docs)
     each = int(min(64 << 20, chunk_bytes * max(1.0, math.sqrt(total / 1e9))))
@@ -52,11 +58,12 @@ def unplanes(b: bytes) -> np.ndarray:
 
 
 class Sketch:
-    """bits: log2 of the counters in a row of the sketch."""
+    """bits: log2 of the counters in a row of the sketch; shard_bits: of those in a shard, below 32."""
 
-    def __init__(self, keys: int, load: int = 8):
+    def __init__(self, keys: int, load: int = 8, shard_bits: int = SHARD_BITS, shards: int = SHARDS):
         self.bits = max(16, math.ceil(math.log2(max(keys, 1) * load)))
-        self.shard_bits = min(self.bits, SHARD_BITS)
+        self.slice_bits = min(self.bits, shard_bits)
+        self.shard_bits = min(31, max(self.slice_bits, self.bits - int(math.log2(shards))))
 
     def counters(self, keys: np.ndarray, row: int) -> np.ndarray:
         return mix(keys, 101 + row) >> np.uint64(64 - self.bits)
@@ -69,10 +76,9 @@ class Sketch:
             yield int(s), int(at[s]), int(at[s + 1])
 
     def report(self, g: int, keys: np.ndarray) -> pa.Table:
-        """keys: distinct."""
         k, asked = [], []
         for row in range(DEPTH):
-            c = np.unique(self.counters(keys, row))
+            c = distinct(self.counters(keys, row))
             for s, i, j in self.cut(c):
                 own = (c[i:j] & np.uint64((1 << self.shard_bits) - 1)).astype(np.uint32)
                 k.append(row << 40 | s)
@@ -80,25 +86,59 @@ class Sketch:
         return pa.table([pa.array(k, pa.int64()), pa.array([g] * len(k), pa.int64()), pa.array(asked, pa.binary())], schema=ASKED)
 
     def merge(self, table: pa.Table) -> pa.Table:
-        """One shard: the counters of all chunks, added up as far as two."""
-        seen = np.zeros(1 << self.shard_bits, np.uint8)
-        for b in table["asked"]:
-            own = np.cumsum(unplanes(b.as_buffer()), dtype=np.uint32)
-            seen[own] = np.minimum(seen[own] + 1, 2)
-        bits = [np.packbits(seen[np.cumsum(unplanes(b.as_buffer()), dtype=np.uint32)] > 1).tobytes() for b in table["asked"]]
+        """One shard: in how many chunks each counter is, added up slice by slice as far as HOT."""
+        told = [np.cumsum(unplanes(b.as_buffer()), dtype=np.uint32) for b in table["asked"]]
+        count = [np.empty(len(own), np.uint8) for own in told]
+        edges = np.arange((1 << (self.shard_bits - self.slice_bits)) + 1, dtype=np.uint64) << np.uint64(self.slice_bits)
+        cuts = [np.searchsorted(own, edges) for own in told]
+        for s in range(len(edges) - 1):
+            seen = np.zeros(1 << self.slice_bits, np.uint8)
+            inside = [own[at[s] : at[s + 1]] - np.uint32(edges[s]) for own, at in zip(told, cuts, strict=True)]
+            for own in inside:
+                so_far = seen[own]
+                seen[own] = so_far + (so_far < HOT)
+            for own, at, n in zip(inside, cuts, count, strict=True):
+                n[at[s] : at[s + 1]] = seen[own]
+        bits = [np.packbits(n > 1).tobytes() + np.packbits(n[n > 1] >= HOT).tobytes() for n in count]
         return pa.table([table["g"], table["k"], pa.array(bits, pa.binary())], schema=ANSWER)
 
-    def repeated(self, keys: np.ndarray, answers: dict[int, bytes]) -> np.ndarray:
-        """Which of the distinct keys may be held by another chunk too."""
-        out = np.ones(len(keys), bool)
+    def repeated(self, keys: np.ndarray, answers: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the keys may be held by another chunk too, and which may be held by HOT chunks.
+
+        Counters that are set are looked up in a bit table of their low bits, which may only add to them;
+        hot ones in themselves, so that all chunks say the same of a key."""
+        out, hot = np.ones(len(keys), bool), np.ones(len(keys), bool)
+        low = _low(keys)
         for row in range(DEPTH):
             c = self.counters(keys, row)
-            u = np.unique(c)
-            hit = np.zeros(len(u), bool)
+            u = distinct(c)
+            often, most = np.zeros(int(low) + 1, bool), []
             for s, i, j in self.cut(u):
-                hit[i:j] = np.unpackbits(np.frombuffer(answers[row << 40 | s], np.uint8), count=j - i).astype(bool)
-            out &= hit[np.searchsorted(u, c)]
-        return out
+                answer = np.frombuffer(answers[row << 40 | s], np.uint8)
+                several = u[i:j][np.unpackbits(answer[: (j - i + 7) // 8], count=j - i).astype(bool)]
+                often[several & low] = True
+                most.append(several[np.unpackbits(answer[(j - i + 7) // 8 :], count=len(several)).astype(bool)])
+            out &= often[c & low]
+            most = np.concatenate(most) if most else u
+            if len(most) and hot.any():
+                at = np.minimum(np.searchsorted(most, c[hot]), len(most) - 1)
+                hot[hot] = most[at] == c[hot]
+            else:
+                hot[:] = False
+        return out, hot
+
+
+def _low(keys: np.ndarray) -> np.uint64:
+    """The bits of a hash that a bit table of these keys goes by: eight entries a key or more."""
+    return np.uint64((1 << max(16, len(keys).bit_length() + 3)) - 1)
+
+
+def inside_twice(keys: np.ndarray) -> np.ndarray:
+    """Which keys may be there more than once: those that are, and a few others."""
+    s, low = np.sort(keys), _low(keys)
+    often = np.zeros(int(low) + 1, bool)
+    often[s[1:][s[1:] == s[:-1]] & low] = True
+    return often[keys & low]
 
 
 def answers_of(table: pa.Table, exact: bool) -> dict[int, bytes]:
@@ -106,6 +146,14 @@ def answers_of(table: pa.Table, exact: bool) -> dict[int, bytes]:
     return {(-1 - k if exact else k): a for k, a in zip(table["k"].to_pylist(), table["answer"].to_pylist(), strict=True) if (k < 0) == exact}
 
 
+def dealt(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, places of what goes there), by shard."""
+    order = np.argsort(shard, kind="stable")
+    cut = np.flatnonzero(np.diff(shard[order], prepend=-1))
+    for i, j in zip(cut, [*cut[1:], len(order)], strict=True) if len(order) else ():
+        yield int(shard[order[i]]), order[i:j]
+
+
 def two_pass(
     docs: DataFrame,
     keys_per_byte: float,
@@ -121,7 +169,7 @@ def two_pass(
     The shuffle of the texts and that of the sketch's answers are each written once and read again."""
     chunks, total = chunked(docs)
     sketch = Sketch(int(total * keys_per_byte))
-    shards = max(-(-total // shard_bytes), 1)
+    shards = min(max(-(-total // shard_bytes), 1), 2 * SHARDS)
 
     def report(key, table):
         return sketch.report(key[0].as_py(), keys_of(table))
@@ -144,8 +192,9 @@ def two_pass(
     return chunks.groupBy("g").cogroup(both.groupBy("g")).applyInArrow(ending, schema)
 
 
-def ordered(table: pa.Table) -> tuple[list[int | None], list[str | None], np.ndarray, pa.Array]:
-    """Distinct (doc_id, text) of a chunk in order, each row's place among them, and the ordered texts.
+def ordered(table: pa.Table) -> tuple[list[int | None], list[str | None], np.ndarray, pa.Array, np.ndarray]:
+    """doc_ids and texts of a chunk's rows, each row's place among the distinct (doc_id, text) in order, and the
+    texts and doc_ids in that order.
 
     Rows without doc_id have no place in the order: place -1."""
     ids, texts = table["doc_id"].to_pylist(), table["text"].fill_null("").to_pylist()

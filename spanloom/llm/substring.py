@@ -4,35 +4,62 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .sketch import ASKED, ANSWER, Sketch, ordered, two_pass
+from .sketch import ASKED, ANSWER, Sketch, dealt, inside_twice, ordered, two_pass
 from .textkit import BLANK, covered, flat, grams, mix, pieces, whole, word_hashes, words
 
-PIECE = 1 << 20
+PIECE = 1 << 17
 
 
-def _windows(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash pair and place (document, start in words) of every window, in order; n words each."""
+class Words(NamedTuple):
+    """Bytes of texts and where each begins; starts and ends of all words, and each text's first word."""
+
+    data: np.ndarray
+    off: np.ndarray
+    s: np.ndarray
+    e: np.ndarray
+    woff: np.ndarray
+
+
+def scan(texts: pa.Array, n: int) -> tuple[Words, np.ndarray, np.ndarray]:
+    """Words of texts; hash and first word of every window of n words, in order."""
     data, off = flat(texts)
-    h1, h2, doc, start = [], [], [], []
+    starts, ends, firsts, hashes, at, done = [], [], [np.zeros(1, np.int64)], [], [], 0
     for i, j in pieces(off, PIECE):
-        own, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
-        s, e, woff = words(own, o, BLANK)
-        w = word_hashes(own, s, e)
-        g = grams(w, n)
+        own = data[off[i] : off[j]]
+        s, e, woff = words(own, off[i : j + 1] - off[i], BLANK)
+        g = grams(word_hashes(own, s, e), n)
         ok = np.flatnonzero(whole(woff, n, len(g)))
-        d = np.repeat(np.arange(j - i), np.diff(woff))[ok]
-        h1.append(mix(g[ok], 1))
-        h2.append(mix(grams(mix(w, 3), n)[ok], 2).astype(np.uint32))
-        doc.append((d + i).astype(np.int32))
-        start.append((ok - woff[:-1][d]).astype(np.int32))
-    if not h1:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int32), np.zeros(0, np.int32)
-    return np.concatenate(h1), np.concatenate(h2), np.concatenate(doc), np.concatenate(start)
+        starts.append(s + off[i])
+        ends.append(e + off[i])
+        firsts.append(woff[1:] + done)
+        hashes.append(mix(g[ok], 1))
+        at.append(ok + done)
+        done += len(s)
+    none = np.zeros(0, np.int64)
+    s, e, at = (np.concatenate(x) if x else none for x in (starts, ends, at))
+    return Words(data, off, s, e, np.concatenate(firsts)), np.concatenate(hashes) if hashes else none.astype(np.uint64), at
+
+
+def digests(w: Words, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of BLAKE2b over each window's words, joined by one space."""
+    data, keep = w.data.copy(), np.zeros(len(w.data) + 1, np.int8)
+    keep[w.s] += 1
+    keep[w.e] -= 1
+    keep = np.cumsum(keep[:-1], dtype=np.int8)
+    gap = w.e[:-1][w.s[1:] > w.e[:-1]]
+    data[gap] = 0x20
+    keep[gap] = 1
+    place = np.concatenate(([0], np.cumsum(keep)))
+    raw, blake = memoryview(data[keep.view(bool)]), hashlib.blake2b
+    out = [blake(raw[a:b], digest_size=16).digest() for a, b in zip(place[w.s[at]].tolist(), place[w.e[at + (n - 1)]].tolist(), strict=True)]
+    both = np.frombuffer(b"".join(out), np.uint64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
 
 
 def remove_repeated_windows(docs: DataFrame, n: int = 20, with_text: bool = False) -> DataFrame:
@@ -43,49 +70,51 @@ def remove_repeated_windows(docs: DataFrame, n: int = 20, with_text: bool = Fals
     place; windows are judged on the input. Returns doc_id, n_words, n_removed, kept_sha256, and
     kept_text if asked for: the kept words, joined by one space.
 
+    The sketch counts 64-bit hashes, so it may only let through too many windows; those are grouped by
+    a cryptographic digest of 128 bits of their words.
+
     A null text has no words. A row without doc_id has no place in the order: it keeps all and
     removes nothing. A row repeated with the same doc_id and text gets the same result as the
     other; of two texts with one doc_id, the smaller text comes first. An empty table gives none.
     """
 
     def keys_of(table):
-        *_, texts, _ = ordered(table)
-        return np.unique(_windows(texts, n)[0])
-
-    def flagged(table, sketch: Sketch, told):
-        """Distinct windows of the chunk; which may be elsewhere; the first place of each."""
-        *_, place, texts, ids = ordered(table)
-        h1, h2, doc, start = _windows(texts, n)
-        u, first, inverse = np.unique(h1, return_index=True, return_inverse=True)
-        return place, texts, ids, doc, start, u, h2[first], first, inverse, sketch.repeated(u, told)
+        return scan(ordered(table)[3], n)[1]
+
+    def flagged(texts, sketch: Sketch, told):
+        """The words; first words of the windows that may be elsewhere, their digests, the places of the first of
+        each among them, and which those are."""
+        w, h, at = scan(texts, n)
+        at = at[sketch.repeated(h, told)[0] | inside_twice(h)]
+        lo, hi = digests(w, at, n)
+        order = np.lexsort((hi, lo))
+        new = np.ones(len(at), bool)
+        new[1:] = (lo[order][1:] != lo[order][:-1]) | (hi[order][1:] != hi[order][:-1])
+        return w, at, lo, hi, np.sort(order[new])
 
     def ask(g, table, sketch, told, shards):
-        _, _, ids, doc, _, u, h2, first, _, maybe = flagged(table, sketch, told)
+        *_, texts, ids = ordered(table)
+        w, at, lo, hi, first = flagged(texts, sketch, told)
+        lo, hi, doc = lo[first], hi[first], np.searchsorted(w.woff, at[first], "right") - 1
         k, asked = [], []
-        u, h2, d = u[maybe], h2[maybe], doc[first[maybe]]
-        q = (mix(u, 7) % np.uint64(shards)).astype(np.int64)
-        order = np.argsort(q, kind="stable")
-        cut = np.flatnonzero(np.diff(q[order], prepend=-1))
-        for i, j in zip(cut, [*cut, len(order)][1:], strict=True):
-            at = order[i:j]
-            own, inside = np.unique(d[at], return_inverse=True)
-            k.append(int(q[at[0]]))
-            asked.append(struct.pack("<ii", len(at), len(own)) + u[at].tobytes() + h2[at].tobytes() + inside.astype("<u4").tobytes() + ids[own].tobytes())
+        for q, own in dealt((lo % np.uint64(shards)).astype(np.int64)):
+            in_docs, inside = np.unique(doc[own], return_inverse=True)
+            k.append(q)
+            asked.append(struct.pack("<qq", len(own), len(in_docs)) + lo[own].tobytes() + hi[own].tobytes() + ids[in_docs].tobytes() + inside.astype("<u4").tobytes())
         return pa.table([pa.array(k, pa.int64()), pa.array([g] * len(k), pa.int64()), pa.array(asked, pa.binary())], schema=ASKED)
 
     def settle(table):
-        h1, h2, ids, sizes = [], [], [], []
+        lo, hi, ids = [], [], []
         for b in table["asked"]:
             b = b.as_buffer()
-            m, docs_in = struct.unpack("<ii", b[:8])
-            a = 8
-            h1.append(np.frombuffer(b, np.uint64, m, a))
-            h2.append(np.frombuffer(b, np.uint32, m, a + 8 * m))
-            ids.append(np.frombuffer(b, np.int64, docs_in, a + 16 * m)[np.frombuffer(b, "<u4", m, a + 12 * m)])
-            sizes.append(m)
-        h1, h2, ids = np.concatenate(h1), np.concatenate(h2), np.concatenate(ids)
-        order = np.lexsort((ids, h2, h1))
-        a, b = h1[order], h2[order]
+            m, docs_in = struct.unpack("<qq", b[:16])
+            lo.append(np.frombuffer(b, np.uint64, m, 16))
+            hi.append(np.frombuffer(b, np.uint64, m, 16 + 8 * m))
+            ids.append(np.frombuffer(b, np.int64, docs_in, 16 + 16 * m)[np.frombuffer(b, "<u4", m, 16 + 16 * m + 8 * docs_in)])
+        sizes = [len(x) for x in lo]
+        lo, hi, ids = np.concatenate(lo), np.concatenate(hi), np.concatenate(ids)
+        order = np.lexsort((ids, hi, lo))
+        a, b = lo[order], hi[order]
         new = np.ones(len(order), bool)
         new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
         least = ids[order][np.flatnonzero(new)][np.cumsum(new) - 1]
@@ -95,43 +124,33 @@ def remove_repeated_windows(docs: DataFrame, n: int = 20, with_text: bool = Fals
         return pa.table([table["g"], table["k"], pa.array(bits, pa.binary())], schema=ANSWER)
 
     def finish(table, sketch, told, settled, shards):
-        rows_ids, rows_texts, *_ = ordered(table)
-        place, texts, ids, doc, start, u, _, first, inverse, maybe = flagged(table, sketch, told)
-        later = np.ones(len(doc), bool)
-        later[first] = False
-        q = (mix(u[maybe], 7) % np.uint64(shards)).astype(np.int64)
-        which = np.flatnonzero(maybe)
-        order = np.argsort(q, kind="stable")
-        cut = np.flatnonzero(np.diff(q[order], prepend=-1))
-        for i, j in zip(cut, [*cut, len(order)][1:], strict=True):
-            at = which[order[i:j]]
-            later[first[at]] = np.unpackbits(np.frombuffer(settled[int(q[order[i]])], np.uint8), count=j - i).astype(bool)
-        del inverse
-        results, kept_texts = _cut(texts, doc[later], start[later], n, with_text)
-        alone = {t: None for p, t in zip(place, rows_texts, strict=True) if p < 0}
+        rows_ids, rows_texts, place, texts, _ = ordered(table)
+        w, at, lo, _, first = flagged(texts, sketch, told)
+        later = np.ones(len(at), bool)
+        for q, own in dealt((lo[first] % np.uint64(shards)).astype(np.int64)):
+            later[first[own]] = np.unpackbits(np.frombuffer(settled[q], np.uint8), count=len(own)).astype(bool)
+        results = _cut(w, covered(at[later], n, len(w.s)), with_text)
+        alone = list({t for p, t in zip(place, rows_texts, strict=True) if p < 0})
         if alone:
-            none = np.zeros(0, np.int32)
-            found, texts_alone = _cut(pa.array(list(alone), pa.large_string()), none, none, n, with_text)
-            alone = {t: (r, x) for t, r, x in zip(alone, found, texts_alone, strict=True)}
-        rows = [(results[p], kept_texts[p]) if p >= 0 else alone[t] for p, t in zip(place, rows_texts, strict=True)]
-        out = [pa.array(rows_ids, pa.int64()), *(pa.array([r[c] for r, _ in rows], kind) for c, kind in enumerate((pa.int64(), pa.int64(), pa.string())))]
-        names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
-        return pa.table([*out, pa.array([x for _, x in rows], pa.string())] if with_text else out, [*names, "kept_text"] if with_text else names)
+            w = scan(pa.array(alone, pa.large_string()), n)[0]
+            alone = dict(zip(alone, _cut(w, np.zeros(len(w.s), bool), with_text), strict=True))
+        rows = [results[p] if p >= 0 else alone[t] for p, t in zip(place, rows_texts, strict=True)]
+        kinds, names = [pa.int64(), pa.int64(), pa.string(), pa.string()], ["n_words", "n_removed", "kept_sha256", "kept_text"]
+        own = 3 + with_text
+        return pa.table([pa.array(rows_ids, pa.int64()), *(pa.array([r[c] for r in rows], kinds[c]) for c in range(own))], ["doc_id", *names[:own]])
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return two_pass(docs, 1 / 6, keys_of, ask, settle, finish, schema)
 
 
-def _cut(texts: pa.Array, doc: np.ndarray, start: np.ndarray, n: int, with_text: bool) -> tuple[list[tuple[int, int, str]], list[str | None]]:
-    """Of each text (words, removed words, digest of the rest), and the rest; doc, start: windows to remove."""
-    data, off = flat(texts)
-    results, kept_texts = [], []
-    for i, j in pieces(off, PIECE):
-        own, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
-        s, e, woff = words(own, o, BLANK)
-        here = slice(*np.searchsorted(doc, [i, j]))
-        gone = covered(woff[doc[here] - i] + start[here], n, len(s))
-        kept = ~gone
+def _cut(w: Words, gone: np.ndarray, with_text: bool) -> list[tuple[int, int, str, str | None]]:
+    """Of each text (words, removed words, digest of the rest, the rest); gone: which words go."""
+    results = []
+    for i, j in pieces(w.off, PIECE):
+        at, woff = w.off[i], w.woff[i : j + 1] - w.woff[i]
+        mine = slice(w.woff[i], w.woff[j])
+        s, e, kept = w.s[mine] - at, w.e[mine] - at, ~gone[mine]
+        own = w.data[at : w.off[j]].copy()
         total = np.concatenate(([0], np.cumsum(kept)))
         step = np.zeros(len(own) + 1, np.int8)
         step[s[kept]] += 1
@@ -141,15 +160,13 @@ def _cut(texts: pa.Array, doc: np.ndarray, start: np.ndarray, n: int, with_text:
         more = np.ones(len(index), bool)  # not the last that is kept of its document
         ends = total[woff[1:]]
         more[ends[ends > total[woff[:-1]]] - 1] = False
-        own = own.copy()
         gap = e[index[more]]
         own[gap] = 0x20
         keep[gap] = True
         out = own[keep].tobytes()
-        cut = np.concatenate(([0], np.cumsum(keep)))[o]
+        cut = np.concatenate(([0], np.cumsum(keep)))[w.off[i : j + 1] - at]
         for d in range(j - i):
             rest = out[cut[d] : cut[d + 1]]
             m = int(woff[d + 1] - woff[d])
-            results.append((m, m - int(total[woff[d + 1]] - total[woff[d]]), hashlib.sha256(rest).hexdigest()))
-            kept_texts.append(rest.decode() if with_text else None)
-    return results, kept_texts
+            results.append((m, m - int(total[woff[d + 1]] - total[woff[d]]), hashlib.sha256(rest).hexdigest(), rest.decode() if with_text else None))
+    return results

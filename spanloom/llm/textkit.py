@@ -52,6 +52,12 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; much faster on hashes than a hash table of them."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
 def flat(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts one after another, and where each begins; null is empty."""
     a = array.combine_chunks() if isinstance(array, pa.ChunkedArray) else array
@@ -132,6 +138,16 @@ def grams(values: np.ndarray, n: int, base: int = 0xD1342543DE82EF95) -> np.ndar
     return out
 
 
+def byte_grams(data: np.ndarray, n: int) -> np.ndarray:
+    """Polynomial hash of each run of n bytes by prefix sums; at most BLOCK bytes at once."""
+    m = len(data) - n + 1
+    if m <= 0:
+        return np.zeros(0, np.uint64)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _POW[: len(data)], out=total[1:])
+    return (total[n:] - total[:m]) * _INV[:m]
+
+
 def whole(woff: np.ndarray, n: int, total: int) -> np.ndarray:
     """Which of the ``total`` runs of n words that start at each word lie in one document."""
     ok = np.zeros(max(total, 0), bool)
