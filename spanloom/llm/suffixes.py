@@ -2,8 +2,8 @@
 
 Every window of ``least`` bytes is filed under the smallest hash of the grams in it, so equal windows
 meet in one shard; runs of windows with one such hash are kept as one piece of text. Hashes that only
-one chunk of documents has, and there only one document, are dropped by the count-min prefilter. A
-shard sorts the suffixes of its distinct pieces to a bounded depth, and extends all intervals of its
+one chunk of documents has, and there only one document, are dropped by the count-min prefilter; windows
+under a hash that very many chunks have are filed each under a hash of all its bytes. A shard sorts the suffixes of its distinct pieces to a bounded depth, and extends all intervals of its
 Burrows-Wheeler transform backward by one byte at a time, breadth first: each step yields the
 suffixes whose common prefix with the one before has just that length. It stops at ``least``; what
 still shares an interval then is one string.
@@ -18,12 +18,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .sketch import ASKED, ANSWER, Sketch, ordered, two_pass
-from .textkit import covered, flat, grams, mix, pieces
+from .sketch import ASKED, ANSWER, Sketch, dealt, inside_twice, ordered, two_pass
+from .textkit import byte_grams, covered, distinct, flat, mix, pieces
 
-PIECE = 1 << 19
-PART = 1 << 18
-NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+PIECE = 1 << 16
+PART = 1 << 16
 
 
 def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -36,39 +35,47 @@ def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
 
 def runs(data: np.ndarray, off: np.ndarray, least: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, document, first window's place in data and number of windows of each run."""
-    keys, docs, starts, counts = [], [], [], []
+    none = np.zeros(0, np.int64)
+    keys, docs, starts, counts = [none.astype(np.uint64)], [none], [none], [none]
     for i, j in pieces(off, PIECE):
         for lo in range(int(off[i]), int(off[j]), 4 * PIECE):  # a very long document in parts
             hi = min(lo + 4 * PIECE + least - 1, int(off[j]))
             o = np.clip(off[i : j + 1] - lo, 0, hi - lo)
-            own = data[lo:hi].astype(np.uint64) + np.uint64(1)
-            m = len(own) - least + 1
-            if m <= 0:
-                continue
-            low = _sliding_min(mix(grams(own, gram), 5), least - gram + 1)
-            size = np.diff(o)
-            fits = np.zeros(m, bool)
-            doc = np.repeat(np.arange(j - i), size)[:m]
-            fits[:] = np.arange(m) + least <= o[1:][doc]
-            at = np.flatnonzero(fits)
-            if not len(at):
-                continue
-            v, d = low[at], doc[at]
-            new = np.ones(len(at), bool)
-            new[1:] = (v[1:] != v[:-1]) | (d[1:] != d[:-1])
+            low = _sliding_min(mix(byte_grams(data[lo:hi], gram), 5), least - gram + 1)
+            m = len(low)
+            doc = np.repeat(np.arange(j - i, dtype=np.int32), np.diff(o))[:m]
+            fits = np.arange(m, dtype=np.int32) + np.int32(least) <= o[1:].astype(np.int32)[doc]
+            new = fits.copy()
+            new[1:] &= ~fits[:-1] | (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])
             first = np.flatnonzero(new)
-            keys.append(v[first])
-            docs.append((d[first] + i).astype(np.int64))
-            starts.append(at[first] + lo)
-            counts.append(np.diff(np.append(first, len(at))))
-    if not keys:
-        none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none, none, none
+            keys.append(low[first])
+            docs.append(doc[first].astype(np.int64) + i)
+            starts.append(first + lo)
+            counts.append(np.add.reduceat(fits, first, dtype=np.int64) if len(first) else none)
     return np.concatenate(keys), np.concatenate(docs), np.concatenate(starts), np.concatenate(counts)
 
 
+def windows_alone(data: np.ndarray, least: int, which: np.ndarray, key, doc, start, count):
+    """The same, with the runs in ``which`` cut into single windows, each filed under a hash of its own.
+
+    So a gram that is everywhere doesn't bring all that surrounds it to one shard."""
+    c = count[which]
+    at = np.repeat(start[which], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+    whole = np.empty(len(at), np.uint64)
+    for i in range(0, len(at), PIECE):
+        own = at[i : i + PIECE]
+        total = np.zeros(len(own), np.uint64)
+        for x in range(least):
+            total = total * np.uint64(0xD1342543DE82EF95) + data[own + x] + np.uint64(1)
+        whole[i : i + PIECE] = mix(total, 6)
+    key, doc = np.concatenate((key[~which], whole)), np.concatenate((doc[~which], np.repeat(doc[which], c)))
+    start, count = np.concatenate((start[~which], at)), np.concatenate((count[~which], np.ones(len(at), np.int64)))
+    order = np.lexsort((start, doc))
+    return key[order], doc[order], start[order], count[order]
+
+
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of symbols below 512 sorted by their first ``depth`` symbols at least, by doubling.
+    """Suffixes of symbols below 512 sorted by their first ``depth`` symbols at least, by doubling of what is tied.
 
     Up to 2M symbols a rank, the rank that follows and the place fit into one number, whose sort is much
     faster than one that has to give places."""
@@ -79,41 +86,58 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for i in range(have):
         key = key << np.uint64(9) | padded[i : i + n]
-    place = np.arange(n, dtype=np.uint64)
+    low = np.uint64((1 << 21) - 1)
+    if small:
+        s = np.sort(key << np.uint64(21) | np.arange(n, dtype=np.uint64))
+        order, s = (s & low).astype(np.int64), s >> np.uint64(21)
+    else:
+        order = np.argsort(key)
+        s = key[order]
+    new = np.concatenate(([True], s[1:] != s[:-1]))
+    where, tied = np.arange(n), order  # ranks that aren't settled, and the suffixes that have them
+    rank = np.zeros(n + 1, np.int64)  # of each suffix the first rank of those like it, from 1; past the end 0
     while True:
+        rank[tied] = where[np.maximum.accumulate(np.where(new, np.arange(len(where)), 0))] + 1
+        alone = new & np.append(new[1:], True)
+        where, tied = where[~alone], tied[~alone]
+        if have >= depth or not len(where):
+            return order
+        first, then = rank[tied].astype(np.uint64), rank[np.minimum(tied + have, n)].astype(np.uint64)
         if small:
-            packed = np.sort(key << np.uint64(21) | place)
-            order, s = (packed & np.uint64((1 << 21) - 1)).astype(np.int32), packed >> np.uint64(21)
+            s = np.sort((first - np.uint64(1)) << np.uint64(43) | then << np.uint64(21) | tied.astype(np.uint64))
+            tied, s = (s & low).astype(np.int64), s >> np.uint64(21)
         else:
-            order = np.argsort(key)
-            s = key[order]
-        if have >= depth:
-            return order
-        rank = np.empty(n, np.uint64)
-        rank[order] = np.cumsum(np.concatenate(([0], s[1:] != s[:-1])), dtype=np.uint64) + np.uint64(not small)
-        rest = np.zeros(n, np.uint64)
-        rest[: max(n - have, 0)] = rank[have:]
-        key = rank << np.uint64(21 if small else 32) | rest
+            s = first << np.uint64(32) | then
+            by = np.argsort(s)
+            tied, s = tied[by], s[by]
+        order[where] = tied
+        new = np.concatenate(([True], s[1:] != s[:-1]))
         have *= 2
 
 
 def expand(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array, and of each rank the interval of suffixes that share ``least`` symbols."""
+    """Suffix array, and of each rank the interval of suffixes that share ``least`` symbols.
+
+    A step extends all intervals backward by one symbol. Where neighbours come to lie in two intervals,
+    their common prefix has just the length of that step, and they need not be looked at again."""
     n = len(text)
     order = suffix_array(text, least)
     rank = np.empty(n, np.int32)
     rank[order] = np.arange(n, dtype=np.int32)
-    ahead = np.empty(n, np.int32)  # from a suffix's rank to that of the suffix that it extends by its first symbol
-    ahead[:] = np.append(rank[1:], rank[:1])[order]
+    ahead = np.append(rank[1:], rank[:1])[order]  # from a suffix's rank to that of the suffix that it extends by its first symbol
     head = text[order]
     split = np.empty(n, bool)
     split[0] = True
-    heads = head[1:] != head[:-1]
-    interval = np.zeros(n, np.int32)
-    for _ in range(least):
-        back = interval[ahead]
-        np.not_equal(back[1:], back[:-1], out=split[1:])
-        split[1:] |= heads
+    np.not_equal(head[1:], head[:-1], out=split[1:])
+    open_ = np.flatnonzero(~split)
+    a, b = ahead[open_ - 1], ahead[open_]
+    interval = np.cumsum(split, dtype=np.int32)
+    for _ in range(least - 1):
+        parted = interval[a] != interval[b]
+        if not parted.any():
+            break
+        split[open_[parted]] = True
+        open_, a, b = open_[~parted], a[~parted], b[~parted]
         interval = np.cumsum(split, dtype=np.int32)
     return order, interval
 
@@ -150,80 +174,71 @@ def remove_repeated_bytes(docs: DataFrame, least: int = 50, gram: int = 24, with
     """
 
     def keys_of(table):
-        *_, texts, _ = ordered(table)
-        return np.unique(runs(*flat(texts), least, gram)[0])
+        return distinct(runs(*flat(ordered(table)[3]), least, gram)[0])
 
-    def asked_pieces(table, sketch: Sketch, told):
-        """The chunk's runs, and its distinct pieces in order: key, bytes, index of the first run."""
-        *_, place, texts, ids = ordered(table)
+    def asked_pieces(texts, ids, sketch: Sketch, told):
+        """The chunk's runs that may be elsewhere: hash, document, start, number of windows; of each its piece; of
+        each piece the first run; and the pieces."""
         data, off = flat(texts)
         key, doc, start, count = runs(data, off, least, gram)
-        u, inverse = np.unique(key, return_inverse=True)
-        maybe = sketch.repeated(u, told)
+        maybe, hot = sketch.repeated(key, told)
+        inside = np.flatnonzero(inside_twice(key) & ~maybe)
+        u, inverse = np.unique(key[inside], return_inverse=True)
         low, high = np.full(len(u), len(ids), np.int64), np.full(len(u), -1, np.int64)
-        np.minimum.at(low, inverse, doc)
-        np.maximum.at(high, inverse, doc)
-        maybe |= low != high
-        mine = np.flatnonzero(maybe[inverse])
-        mine = mine[np.argsort(doc[mine], kind="stable")]
-        raw = memoryview(data)
-        distinct: dict[bytes, int] = {}
-        piece = np.empty(len(mine), np.int64)
-        first = []
-        for n, (r, s, c) in enumerate(zip(mine.tolist(), start[mine].tolist(), count[mine].tolist(), strict=True)):
-            b = bytes(raw[s : s + c + least - 1])
-            at = distinct.setdefault(b, len(distinct))
+        np.minimum.at(low, inverse, doc[inside])
+        np.maximum.at(high, inverse, doc[inside])
+        maybe[inside] = (low != high)[inverse]
+        hot = hot[maybe]
+        key, doc, start, count = key[maybe], doc[maybe], start[maybe], count[maybe]
+        if hot.any():
+            key, doc, start, count = windows_alone(data, least, hot, key, doc, start, count)
+        raw, pieces_of, first = data.tobytes(), {}, []
+        piece = np.empty(len(key), np.int64)
+        for n, (s, e) in enumerate(zip(start.tolist(), (start + count + (least - 1)).tolist(), strict=True)):
+            piece[n] = at = pieces_of.setdefault(raw[s:e], len(first))
             if at == len(first):
-                first.append(r)
-            piece[n] = at
-        return place, texts, ids, data, off, doc, start, count, mine, piece, np.array(first, np.int64), list(distinct), key
+                first.append(n)
+        return data, off, key, doc, start, count, piece, np.array(first, np.int64), list(pieces_of)
 
-    def dealt(key, shards):
-        q = (mix(key, 7) % np.uint64(shards)).astype(np.int64)
-        order = np.argsort(q, kind="stable")
-        cut = np.flatnonzero(np.diff(q[order], prepend=-1))
-        for i, j in zip(cut, [*cut[1:], len(order)], strict=True):
-            yield int(q[order[i]]), order[i:j]
+    def shard_of(key, shards):
+        return (mix(key, 7) % np.uint64(shards)).astype(np.int64)
 
     def ask(g, table, sketch, told, shards):
-        _, _, ids, _, _, doc, _, _, _, _, first, distinct, key = asked_pieces(table, sketch, told)
+        *_, texts, ids = ordered(table)
+        _, _, key, doc, _, count, _, first, found = asked_pieces(texts, ids, sketch, told)
         k, asked = [], []
-        for q, at in dealt(key[first], shards) if len(first) else ():
-            own = [distinct[x] for x in at]
-            head = np.array([len(x) for x in own], "<u4").tobytes() + ids[doc[first[at]]].tobytes()
+        for q, at in dealt(shard_of(key[first], shards)):
+            run = first[at]
+            head = (count[run] + (least - 1)).astype("<u4").tobytes() + ids[doc[run]].tobytes() + mix(key[run], 8).astype("<u2").tobytes()
             k.append(q)
-            part = mix(key[first[at]], 8).astype(np.uint8).tobytes()
-            asked.append(struct.pack("<q", len(at)) + head + part + b"".join(own))
+            asked.append(struct.pack("<q", len(at)) + head + b"".join([found[x] for x in at.tolist()]))
         return pa.table([pa.array(k, pa.int64()), pa.array([g] * len(k), pa.int64()), pa.array(asked, pa.binary())], schema=ASKED)
 
     def settle(table):
-        lots, distinct, least_doc, part_of = [], {}, [], []
+        lots, found, least_doc, part_of = [], {}, [], []
         for b in table["asked"]:
-            b = b.as_buffer()
-            (m,) = struct.unpack("<q", b[:8])
-            size, ids, part = np.frombuffer(b, "<u4", m, 8), np.frombuffer(b, np.int64, m, 8 + 4 * m), np.frombuffer(b, np.uint8, m, 8 + 12 * m)
-            raw, at, own = memoryview(b), 8 + 13 * m, np.empty(m, np.int64)
-            for n, (s, i) in enumerate(zip(size.tolist(), ids.tolist(), strict=True)):
-                own[n] = x = distinct.setdefault(bytes(raw[at : at + s]), len(distinct))
+            raw = b.as_py()
+            (m,) = struct.unpack("<q", raw[:8])
+            size, ids, part = np.frombuffer(raw, "<u4", m, 8), np.frombuffer(raw, np.int64, m, 8 + 4 * m), np.frombuffer(raw, "<u2", m, 8 + 12 * m)
+            ends = 8 + 14 * m + np.cumsum(size, dtype=np.int64)
+            own = np.empty(m, np.int64)
+            for n, (s, e, i) in enumerate(zip((ends - size).tolist(), ends.tolist(), ids.tolist(), strict=True)):
+                own[n] = x = found.setdefault(raw[s:e], len(least_doc))
                 if x == len(least_doc):
                     least_doc.append(i)
                     part_of.append(part[n])
                 elif i < least_doc[x]:
                     least_doc[x] = i
-                at += s
             lots.append((own, ids, size))
-        texts, least_doc = list(distinct), np.array(least_doc, np.int64)
+        texts, least_doc = list(found), np.array(least_doc, np.int64)
         size = np.array([len(x) for x in texts], np.int64)
         windows = size - least + 1
         total = np.concatenate(([0], np.cumsum(windows)))
         smallest = np.empty(int(total[-1]), np.int64)
-        parts = min(256, int(size.sum()) // PART + 1)  # pieces with a window in common are of one part
-        part_of = np.array(part_of) % parts
-        for k in range(parts):
-            mine = np.flatnonzero(part_of == k)
-            if len(mine):
-                at = np.repeat(total[mine] - np.concatenate(([0], np.cumsum(windows[mine])))[:-1], windows[mine]) + np.arange(windows[mine].sum())
-                smallest[at] = _smallest([texts[x] for x in mine], size[mine], least_doc[mine], least)
+        parts = min(1 << 16, int(size.sum()) // PART + 1)  # pieces with a window in common are of one part
+        for _, mine in dealt(np.array(part_of, np.int64) % parts):
+            at = np.repeat(total[mine] - np.concatenate(([0], np.cumsum(windows[mine])))[:-1], windows[mine]) + np.arange(windows[mine].sum())
+            smallest[at] = _smallest([texts[x] for x in mine.tolist()], size[mine], least_doc[mine], least)
         bits = []
         for own, ids, size in lots:
             c = size.astype(np.int64) - least + 1
@@ -233,24 +248,22 @@ def remove_repeated_bytes(docs: DataFrame, least: int = 50, gram: int = 24, with
         return pa.table([table["g"], table["k"], pa.array(bits, pa.binary())], schema=ANSWER)
 
     def finish(table, sketch, told, settled, shards):
-        rows_ids, rows_texts, *_ = ordered(table)
-        place, _, ids, data, off, doc, start, count, mine, piece, first, distinct, key = asked_pieces(table, sketch, told)
-        gone = []
-        windows = np.array([len(x) for x in distinct], np.int64) - least + 1
+        rows_ids, rows_texts, place, texts, ids = ordered(table)
+        data, off, key, doc, start, count, piece, first, found = asked_pieces(texts, ids, sketch, told)
+        windows = count[first]
         total = np.concatenate(([0], np.cumsum(windows)))
         removed = np.zeros(int(total[-1]), bool)
-        for q, at in dealt(key[first], shards) if len(first) else ():
+        for q, at in dealt(shard_of(key[first], shards)):
             w = np.repeat(total[at] - np.concatenate(([0], np.cumsum(windows[at])))[:-1], windows[at]) + np.arange(windows[at].sum())
             removed[w] = np.unpackbits(np.frombuffer(settled[q], np.uint8), count=len(w)).astype(bool)
-        if len(mine):
-            c = count[mine]
-            t = np.concatenate(([0], np.cumsum(c)))[:-1]
-            here = np.arange(c.sum())
-            w = np.repeat(total[piece] - t, c) + here
-            later = ids[doc[mine]] > ids[doc[first[piece]]]
-            hit = removed[w] | np.repeat(later, c)
-            gone = (np.repeat(start[mine] - t, c) + here)[hit]
-        mask = covered(np.asarray(gone, np.int64), least, len(data))
+        gone = np.zeros(0, np.int64)
+        if len(key):
+            t = np.cumsum(count) - count
+            here = np.arange(count.sum())
+            later = ids[doc] > ids[doc[first]][piece]
+            hit = removed[np.repeat(total[piece] - t, count) + here] | np.repeat(later, count)
+            gone = (np.repeat(start - t, count) + here)[hit]
+        mask = covered(gone, least, len(data))
         edge = mask & ~np.concatenate(([False], mask))[:-1]
         inner = off[(off < len(data))]
         edge[inner] |= mask[inner]
