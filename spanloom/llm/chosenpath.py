@@ -87,10 +87,10 @@ def _unsix(b) -> np.ndarray:
     return np.frombuffer(b, np.uint32, m).astype(np.uint64) | np.frombuffer(b, np.uint16, m, 4 * m).astype(np.uint64) << np.uint64(32)
 
 
-def _minority(labels: np.ndarray) -> np.ndarray:
-    """Places of the members that don't have the commonest label."""
-    values, count = np.unique(labels, return_counts=True)
-    return np.flatnonzero(labels != values[np.argmax(count)])
+def _minority(labels: np.ndarray, native: np.ndarray) -> np.ndarray:
+    """Places of the members that don't have the commonest label of the native ones."""
+    values, count = np.unique(labels[native], return_counts=True)
+    return np.flatnonzero(labels != values[np.argmax(count)]) if len(values) else np.arange(len(labels))
 
 
 def _by_node(rows: DataFrame, each, schema: str) -> DataFrame:
@@ -122,6 +122,8 @@ class NearCopies:
         self.shingle, self.num, self.den, self.leaf, self.levels = shingle, num, den, leaf, levels
         self.threshold = num / den
         self.trees = trees_for(self.threshold, recall)
+        if 2 * self.trees > TOKENS:
+            raise ValueError(f"{self.trees} trees take {2 * self.trees} minwise tokens of {TOKENS}: ask for less recall or more similarity")
         t = self.threshold
         self.least = max(1, math.floor(TOKENS * t - 4.5 * math.sqrt(TOKENS * t * (1 - t))))
 
@@ -149,15 +151,16 @@ class NearCopies:
         return F.xxhash64(F.col(path), F.expr(f"substring(tokens, cast(1 + 4 * pmod(shiftright({path}, 3), {TOKENS}) as int), 4)"))
 
     def nodes(self, classes: DataFrame) -> tuple[DataFrame, bool]:
-        """node, base, id, n, tokens: members of the leaves with two members or more; and whether nodes that
-        are still large at the last level were dealt into parts. base: the node before that."""
+        """node, base, id, native, n, tokens: members of the leaves with two members or more; and whether nodes that
+        are still large at the last level were dealt into parts. base: the node before that; native: false
+        where a member is a guest in a part that isn't its own."""
         root = F.expr(f"transform(sequence(0, {self.trees - 1}), t -> xxhash64(t, substring(tokens, 1 + 8 * t, 8)))")
         named, found = classes.select("id", F.explode(root).alias("node")), None
         dense = False
         for level in range(self.levels):
             size = named.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
             named = durable(named.join(size, "node"))
-            leaves = named.filter(F.col("size") <= self.leaf).select("node", F.col("node").alias("base"), "id")
+            leaves = named.filter(F.col("size") <= self.leaf).select("node", F.col("node").alias("base"), "id", F.lit(True).alias("native"))
             found = leaves if found is None else found.unionByName(leaves)
             large = named.filter(F.col("size") > self.leaf)
             if large.isEmpty():
@@ -166,10 +169,10 @@ class NearCopies:
                 dense = True
                 part = F.pmod(F.xxhash64(F.lit(5), "id"), F.ceil(F.col("size") / self.leaf))
                 hub = large.groupBy("node", "size").agg(F.min("id").alias("id"))
-                parts = large.select("node", "id", part.alias("part")).unionByName(
-                    hub.select("node", "id", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / self.leaf) - 1)).alias("part"))
-                ).distinct()
-                found = found.unionByName(parts.select(F.xxhash64("node", "part").alias("node"), F.col("node").alias("base"), "id"))
+                guests = hub.select("node", "id", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / self.leaf) - 1)).alias("part"), F.lit(False).alias("native"))
+                parts = large.select("node", "id", part.alias("part"), F.lit(True).alias("native")).unionByName(guests)
+                parts = parts.groupBy("node", "id", "part").agg(F.max("native").alias("native"))
+                found = found.unionByName(parts.select(F.xxhash64("node", "part").alias("node"), F.col("node").alias("base"), "id", "native"))
                 break
             paths = F.explode(F.array(F.xxhash64(F.lit(0), "node"), F.xxhash64(F.lit(1), "node")))
             named = large.select("id", paths.alias("path")).join(classes.select("id", "tokens"), "id").select("id", self._child("path").alias("node"))
@@ -222,43 +225,46 @@ class NearCopies:
         return _by_node(nodes.select("node", "id", "label", "n", "tokens"), each, "a long, b long").distinct()
 
     def _open(self, nodes: DataFrame) -> DataFrame:
-        """node, id, label of members that may be similar to a member of the node with another label."""
+        """node, id, label, native of members that may be similar to a member of the node with another label. A guest is
+        compared with native members alone: every two members meet where one of them is native."""
 
         def each(batch, cut):
-            node_of, ids, labels, n = (batch.column(k).to_numpy() for k in range(4))
+            ids, labels, n = (batch.column(k).to_numpy() for k in range(1, 4))
             tokens = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint32).reshape(-1, TOKENS).astype(np.uint16)
+            native = batch.column(5).to_numpy(zero_copy_only=False)
             keep = np.zeros(len(ids), bool)
             for i, m in zip(cut[:-1].tolist(), np.diff(cut).tolist(), strict=True):
                 s = slice(i, i + m)
-                for k in _minority(labels[s]):
-                    hit = self._similar(n[s], tokens[s], k)[1] & (labels[s] != labels[i + k])
+                for k in _minority(labels[s], native[s]):
+                    hit = self._similar(n[s], tokens[s], k)[1] & (labels[s] != labels[i + k]) & native[s]
                     if hit.any():
                         keep[s] |= hit
                         keep[i + k] = True
             at = pa.array(np.flatnonzero(keep))
-            yield batch.select([0, 1, 2]).take(at)
+            yield batch.select([0, 1, 2, 5]).take(at)
 
-        return _by_node(nodes.select("node", "id", "label", "n", "tokens"), each, "node long, id long, label long")
+        return _by_node(nodes.select("node", "id", "label", "n", "tokens", "native"), each, "node long, id long, label long, native boolean")
 
     def _exact(self, members: DataFrame) -> DataFrame:
-        """members: node, id, label, own. Links a, b between labels that full sets confirm, as few as join
-        the labels of a node: each member outside of the commonest label is compared with all others."""
+        """members: node, id, label, own, native. Links a, b between labels that full sets confirm, as few as join
+        the labels of a node: each member outside of the commonest label is compared with all native ones."""
 
         def each(batch, cut):
             ids, labels = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            natives = batch.column(4).to_numpy(zero_copy_only=False)
             out = []
             for i, m in zip(cut[:-1].tolist(), np.diff(cut).tolist(), strict=True):
                 sets = [_unsix(x.as_buffer()) for x in batch.column(3).slice(i, m)]
                 size = np.array([len(x) for x in sets])
                 values, at = np.unique(np.concatenate(sets), return_inverse=True)
                 off = np.concatenate(([0], np.cumsum(size)))
-                label, mark = labels[i : i + m].copy(), np.zeros(len(values), np.int32)
-                for k in _minority(label):
+                label, native, mark = labels[i : i + m].copy(), natives[i : i + m], np.zeros(len(values), np.int32)
+                for k in _minority(label, native):
                     own = at[off[k] : off[k + 1]]
                     mark[own] = 1
                     both = np.add.reduceat(mark[at], off[:-1])
                     mark[own] = 0
-                    hit = both * self.den >= self.num * (size + size[k] - both)
+                    hit = (both * self.den >= self.num * (size + size[k] - both)) & native
                     for other in np.unique(label[hit & (label != label[k])]):
                         j = int(np.flatnonzero(hit & (label == other))[0])
                         out.append((int(ids[i + k]), int(ids[i + j])))
@@ -267,7 +273,7 @@ class NearCopies:
                 a, b = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-        return _by_node(members.select("node", "id", "label", "own"), each, "a long, b long")
+        return _by_node(members.select("node", "id", "label", "own", "native"), each, "a long, b long")
 
     def _sets(self, docs: DataFrame, classes: DataFrame, ends: DataFrame) -> DataFrame:
         """id, own: the full sets of the classes in ends."""
@@ -282,8 +288,8 @@ class NearCopies:
 
         first = classes.join(ends, "id", "left_semi").select("doc_id").distinct()
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(first, "doc_id", "left_semi").select("text")
-        own = texts.mapInArrow(kernel, "s1 long, s2 long, n long, own binary").select(F.xxhash64("s1", "s2", "n").alias("id"), "own")
-        return durable(own.dropDuplicates(["id"]))
+        own = texts.mapInArrow(kernel, "s1 long, s2 long, n long, own binary").dropDuplicates(["s1", "s2", "n"])
+        return durable(own.join(classes.join(ends, "id", "left_semi").select("s1", "s2", "n", "id"), ["s1", "s2", "n"]).select("id", "own"))
 
     def _confirmed(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         num, den = self.num, self.den
@@ -308,30 +314,36 @@ class NearCopies:
         has no shingles and is linked with nothing: it is its own component. So is a row without
         doc_id, whose component_id is null. Rows that repeat a doc_id are judged each by its own text.
         An empty table gives none."""
-        sk = durable(self.sketches(docs, by_text)).withColumn("id", F.xxhash64("s1", "s2", "n"))
+        sk = durable(self.sketches(docs, by_text))
         known = sk.filter("doc_id is not null and n > 0")
-        classes = durable(known.groupBy("id", "n").agg(F.min("doc_id").alias("doc_id"), F.first("tokens").alias("tokens")))
+        classes = known.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("doc_id"), F.first("tokens").alias("tokens"))
+        classes = durable(classes.withColumn("id", F.monotonically_increasing_id()))
         nodes, dense = self.nodes(classes)
-        label = None
+        label, ends, links = None, None, None
         pairs = durable(self._likely(nodes.withColumn("label", F.col("id"))))
         if not pairs.isEmpty():
             ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
             sets = self._sets(docs, classes, ends)
             links = durable(self._confirmed(pairs, sets))
             label = components(links)
+        if dense or label is not None:
             rest = durable(self._open(self._members(nodes, label, dense)))
             if not rest.isEmpty():
+                new = rest.select("id").distinct()
+                if dense:  # members that met nobody in their own part
+                    sets = self._sets(docs, classes, new) if ends is None else sets.unionByName(self._sets(docs, classes, new.join(ends, "id", "left_anti")))
                 more = durable(self._exact(rest.join(sets, "id")))
                 if not more.isEmpty():
-                    label = components(links.unionByName(more))
+                    label = components(more if links is None else links.unionByName(more))
         smallest = classes.select("id", "doc_id")
         if label is not None:
             of = smallest.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
             smallest = of.join(of.groupBy("component").agg(F.min("doc_id").alias("least")), "component").select("id", F.col("least").alias("doc_id"), "component")
         else:
             smallest = smallest.withColumn("component", F.col("id"))
+        smallest = smallest.join(classes.select("id", "s1", "s2", "n"), "id")
         own = ["row", "component"] if by_text else []
-        same = known.select("doc_id", F.col("n").alias("n_shingles"), "id", *own[:1]).join(smallest.withColumnRenamed("doc_id", "component_id"), "id")
+        same = known.select("doc_id", "s1", "s2", "n", *own[:1]).join(smallest.withColumnRenamed("doc_id", "component_id"), ["s1", "s2", "n"]).withColumnRenamed("n", "n_shingles")
         alone = sk.filter("doc_id is null or n = 0").withColumn("component", F.lit(None).cast("long"))
         same = same.select("doc_id", "n_shingles", "component_id", *own)
         alone = alone.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *own)
@@ -339,14 +351,15 @@ class NearCopies:
 
     def _members(self, nodes: DataFrame, label: DataFrame | None, dense: bool) -> DataFrame:
         """Members of nodes with their labels so far. Where a large node was dealt into parts, the members
-        whose label isn't that of its first are in all of its parts from the second round on."""
+        whose label isn't that of its first are guests in all of its parts."""
         if label is None:
-            return nodes.withColumn("label", F.col("id"))
-        members = nodes.join(label.withColumnRenamed("component", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+            members = nodes.withColumn("label", F.col("id"))
+        else:
+            members = nodes.join(label.withColumnRenamed("component", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
         if not dense:
             return members
         parts = members.filter("node <> base")
         main = parts.groupBy("base").agg(F.min(F.struct("id", "label")).alias("h")).select("base", F.col("h.label").alias("main"))
-        odd = parts.join(main, "base").filter("label <> main").drop("main", "node").distinct()
-        again = odd.join(parts.select("base", "node").distinct(), "base").select(members.columns)
-        return members.unionByName(again).dropDuplicates(["node", "id"])
+        odd = parts.filter("native").join(main, "base").filter("label <> main").drop("main", "node", "native")
+        again = odd.join(parts.select("base", "node").distinct(), "base").withColumn("native", F.lit(False)).select(members.columns)
+        return members.unionByName(again.join(members.filter("native").select("node", "id"), ["node", "id"], "left_anti"))

@@ -1,6 +1,7 @@
 """Edge cases of every training-data operator, and brute force where SQL cannot say it."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -107,20 +108,48 @@ def test_mix_reaches_its_targets(spark):
     assert abs(sum({r.source: r.target for r in got}.values()) - sum(r.size for r in got)) < 1e-6
 
 
+def linked(rows, n, num, den):
+    """Brute force: the smallest doc_id that links of n-word shingle sets reach."""
+    sets = {}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t.lower())
+        sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} or ({tuple(w)} if w else set())
+    comp, ids = {i: i for i in sets}, sorted(sets)
+    near = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if sets[a] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])]
+    while any(comp[a] != comp[b] for a, b in near):
+        for a, b in near:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+    return comp
+
+
+def boilerplate(seed, groups=30):
+    """Documents of one common passage and an end of their own, in pairs that differ in a word: alike enough to share
+    many minwise tokens with all, near copies only in pairs."""
+    r, rows = random.Random(seed), []
+    common = [f"c{seed}x{k}" for k in range(90)]
+    for g in range(groups):
+        own = [f"g{g}x{k}" for k in range(r.randint(20, 40))]
+        rows += [(10_000 * seed + 2 * g, " ".join(common + own)), (10_000 * seed + 2 * g + 1, " ".join(common + own + ["end"] * r.randint(1, 2)))]
+    return rows
+
+
+@pytest.mark.parametrize("levels", [1, 2, 3])
+def test_no_link_is_lost_in_large_nodes(spark, levels):
+    rows = [x for seed in range(7 * levels, 7 * levels + 7) for x in boilerplate(seed)]
+    got = NearCopies(3, 85, 100, leaf=3, levels=levels).run(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = linked(rows, 3, 85, 100)
+    wrong = [r.doc_id for r in got if want[r.doc_id] != r.component_id]
+    assert len(got) == len(rows) and len(set(want.values())) < len(rows) and not wrong
+
+
+def test_too_many_trees_are_refused():
+    with pytest.raises(ValueError):
+        NearCopies(3, 50, 100)
+
+
 @pytest.mark.parametrize("leaf,levels", [(2000, 8), (3, 2)])
 def test_near_copies_against_brute_force(spark, leaf, levels):
     base = [f"a{i}" for i in range(80)]
     rows = [(k, " ".join(base[: k % 7] + [f"z{k}"] * (k % 4) + base[k % 7 :])) for k in range(60)]
-    sets = {}
-    for i, t in rows:
-        w = re.findall(r"\S+", t)
-        sets[i] = {tuple(w[k : k + 3]) for k in range(len(w) - 2)}
-    comp = {i: i for i, _ in rows}
-    for _ in range(60):
-        for a in comp:
-            for b in comp:
-                both = len(sets[a] & sets[b])
-                if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
-                    comp[a] = comp[b] = min(comp[a], comp[b])
     got = NearCopies(3, 85, 100, leaf=leaf, levels=levels).run(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r.doc_id: r.component_id for r in got} == comp
+    assert {r.doc_id: r.component_id for r in got} == linked(rows, 3, 85, 100)
