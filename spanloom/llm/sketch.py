@@ -2,9 +2,10 @@
 
 Documents are dealt into chunks by a hash of doc_id. A chunk reports each of its distinct keys
 once, as counters of a wide count-min sketch: sorted counters as byte planes of their gaps, about
-two bytes each. A shard of counters merges what all chunks report and answers each chunk with one
-bit for each of its counters: set if two chunks or more hold it; and of those that are set with one
-more: set if HOT chunks or more do. A key whose counters are all set may be repeated (an
+two bytes each, and where it is asked for how often it has them. A shard of counters merges what all
+chunks report and answers each chunk with one bit for each of its counters: set if two chunks or more
+hold it; and of those that are set with one more: set if all chunks together have it HOT times or more,
+so that what belongs to one key is too much for a task. A key whose counters are all set may be repeated (an
 overestimate); a key with a counter that is not set surely is not. Nothing is collected: the
 sketch's width follows the input, and its shards are groups of a shuffle. Their number is bounded, as
 that of messages is chunks times shards: beyond SHARDS of them a shard has more counters, which it
@@ -29,9 +30,9 @@ from .cluster import partitions, text_bytes
 from .textkit import distinct, mix
 
 DEPTH = 2
-SHARD_BITS = 25
+SHARD_BITS = 24
 SHARDS = 1 << 16
-HOT = 128
+HOT = 1 << 20
 ASKED = pa.schema([("k", pa.int64()), ("g", pa.int64()), ("asked", pa.binary())])
 ANSWER = pa.schema([("g", pa.int64()), ("k", pa.int64()), ("answer", pa.binary())])
 
@@ -58,12 +59,14 @@ def unplanes(b: bytes) -> np.ndarray:
 
 
 class Sketch:
-    """bits: log2 of the counters in a row of the sketch; shard_bits: of those in a shard, below 32."""
+    """bits: log2 of the counters in a row of the sketch; shard_bits: of those in a shard, below 32; weigh: whether
+    chunks say how often they have a key, up to 255 times a chunk, so that hot keys are known."""
 
-    def __init__(self, keys: int, load: int = 8, shard_bits: int = SHARD_BITS, shards: int = SHARDS):
+    def __init__(self, keys: int, load: int = 8, shard_bits: int = SHARD_BITS, shards: int = SHARDS, weigh: bool = False, hot: int = HOT):
         self.bits = max(16, math.ceil(math.log2(max(keys, 1) * load)))
         self.slice_bits = min(self.bits, shard_bits)
         self.shard_bits = min(31, max(self.slice_bits, self.bits - int(math.log2(shards))))
+        self.weigh, self.hot = weigh, hot
 
     def counters(self, keys: np.ndarray, row: int) -> np.ndarray:
         return mix(keys, 101 + row) >> np.uint64(64 - self.bits)
@@ -76,55 +79,65 @@ class Sketch:
             yield int(s), int(at[s]), int(at[s + 1])
 
     def report(self, g: int, keys: np.ndarray) -> pa.Table:
+        """keys: as often as the chunk has them, or distinct ones."""
         k, asked = [], []
         for row in range(DEPTH):
-            c = distinct(self.counters(keys, row))
+            every = np.sort(self.counters(keys, row))
+            first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1]))) if len(every) else np.zeros(0, np.int64)
+            c, times = every[first], np.minimum(np.diff(np.append(first, len(every))), 255).astype(np.uint8)
             for s, i, j in self.cut(c):
                 own = (c[i:j] & np.uint64((1 << self.shard_bits) - 1)).astype(np.uint32)
                 k.append(row << 40 | s)
-                asked.append(planes(np.diff(own, prepend=np.uint32(0))))
+                asked.append(planes(np.diff(own, prepend=np.uint32(0))) + (times[i:j].tobytes() if self.weigh and not row else b""))
         return pa.table([pa.array(k, pa.int64()), pa.array([g] * len(k), pa.int64()), pa.array(asked, pa.binary())], schema=ASKED)
 
     def merge(self, table: pa.Table) -> pa.Table:
-        """One shard: in how many chunks each counter is, added up slice by slice as far as HOT."""
-        told = [np.cumsum(unplanes(b.as_buffer()), dtype=np.uint32) for b in table["asked"]]
-        count = [np.empty(len(own), np.uint8) for own in told]
+        """One shard, slice by slice: how many chunks have each counter, as far as two, and how often they do."""
+        weigh = self.weigh and table["k"][0].as_py() >> 40 == 0
+        told, times = [], []
+        for b in table["asked"]:
+            b = b.as_buffer()
+            n = len(b) // (5 if weigh else 4)
+            told.append(np.cumsum(unplanes(b[: 4 * n]), dtype=np.uint32))
+            times.append(np.frombuffer(b, np.uint8, n, 4 * n) if weigh else None)
         edges = np.arange((1 << (self.shard_bits - self.slice_bits)) + 1, dtype=np.uint64) << np.uint64(self.slice_bits)
         cuts = [np.searchsorted(own, edges) for own in told]
+        several, hot = [np.empty(len(own), bool) for own in told], [np.zeros(len(own), bool) for own in told]
         for s in range(len(edges) - 1):
-            seen = np.zeros(1 << self.slice_bits, np.uint8)
+            seen, often = np.zeros(1 << self.slice_bits, np.uint8), np.zeros(1 << self.slice_bits if weigh else 0, np.uint32)
             inside = [own[at[s] : at[s + 1]] - np.uint32(edges[s]) for own, at in zip(told, cuts, strict=True)]
-            for own in inside:
+            for own, t, at in zip(inside, times, cuts, strict=True):
                 so_far = seen[own]
-                seen[own] = so_far + (so_far < HOT)
-            for own, at, n in zip(inside, cuts, count, strict=True):
-                n[at[s] : at[s + 1]] = seen[own]
-        bits = [np.packbits(n > 1).tobytes() + np.packbits(n[n > 1] >= HOT).tobytes() for n in count]
+                seen[own] = so_far + (so_far < 2)
+                if weigh:
+                    so_far = often[own]
+                    often[own] = np.minimum(so_far + t[at[s] : at[s + 1]], np.uint32(self.hot))
+            for k, (own, at) in enumerate(zip(inside, cuts, strict=True)):
+                several[k][at[s] : at[s + 1]] = seen[own] > 1
+                if weigh:
+                    hot[k][at[s] : at[s + 1]] = often[own] >= self.hot
+        bits = [np.packbits(x).tobytes() + np.packbits(y[x]).tobytes() for x, y in zip(several, hot, strict=True)]
         return pa.table([table["g"], table["k"], pa.array(bits, pa.binary())], schema=ANSWER)
 
     def repeated(self, keys: np.ndarray, answers: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Which of the keys may be held by another chunk too, and which may be held by HOT chunks.
+        """Which of the keys may be held by another chunk too, and which are hot.
 
         Counters that are set are looked up in a bit table of their low bits, which may only add to them;
         hot ones in themselves, so that all chunks say the same of a key."""
-        out, hot = np.ones(len(keys), bool), np.ones(len(keys), bool)
+        out, hot = np.ones(len(keys), bool), np.zeros(len(keys), bool)
         low = _low(keys)
         for row in range(DEPTH):
             c = self.counters(keys, row)
             u = distinct(c)
             often, most = np.zeros(int(low) + 1, bool), []
             for s, i, j in self.cut(u):
-                answer = np.frombuffer(answers[row << 40 | s], np.uint8)
-                several = u[i:j][np.unpackbits(answer[: (j - i + 7) // 8], count=j - i).astype(bool)]
+                answer, n = np.frombuffer(answers[row << 40 | s], np.uint8), (j - i + 7) // 8
+                several = u[i:j][np.unpackbits(answer[:n], count=j - i).astype(bool)]
                 often[several & low] = True
-                most.append(several[np.unpackbits(answer[(j - i + 7) // 8 :], count=len(several)).astype(bool)])
+                most.append(several[np.unpackbits(answer[n:], count=len(several)).astype(bool)])
             out &= often[c & low]
-            most = np.concatenate(most) if most else u
-            if len(most) and hot.any():
-                at = np.minimum(np.searchsorted(most, c[hot]), len(most) - 1)
-                hot[hot] = most[at] == c[hot]
-            else:
-                hot[:] = False
+            if not row and len(most := np.concatenate([u[:0], *most])):
+                hot = most[np.minimum(np.searchsorted(most, c), len(most) - 1)] == c
         return out, hot
 
 
@@ -163,12 +176,13 @@ def two_pass(
     finish: Callable[[pa.Table, Sketch, dict[int, bytes], dict[int, bytes], int], pa.Table],
     schema: str,
     shard_bytes: int = 4 << 20,
+    **sketch_options,
 ) -> DataFrame:
     """The whole job as one lazy plan: sketch, merge, ask the exact shards, settle, finish.
 
     The shuffle of the texts and that of the sketch's answers are each written once and read again."""
     chunks, total = chunked(docs)
-    sketch = Sketch(int(total * keys_per_byte))
+    sketch = Sketch(int(total * keys_per_byte), **sketch_options)
     shards = min(max(-(-total // shard_bytes), 1), 2 * SHARDS)
 
     def report(key, table):

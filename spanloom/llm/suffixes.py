@@ -3,7 +3,7 @@
 Every window of ``least`` bytes is filed under the smallest hash of the grams in it, so equal windows
 meet in one shard; runs of windows with one such hash are kept as one piece of text. Hashes that only
 one chunk of documents has, and there only one document, are dropped by the count-min prefilter; windows
-under a hash that very many chunks have are filed each under a hash of all its bytes. A shard sorts the suffixes of its distinct pieces to a bounded depth, and extends all intervals of its
+under a hash that is too common for one task (HOT) are filed each under a hash of all its bytes. A shard sorts the suffixes of its distinct pieces to a bounded depth, and extends all intervals of its
 Burrows-Wheeler transform backward by one byte at a time, breadth first: each step yields the
 suffixes whose common prefix with the one before has just that length. It stops at ``least``; what
 still shares an interval then is one string.
@@ -18,8 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .sketch import ASKED, ANSWER, Sketch, dealt, inside_twice, ordered, two_pass
-from .textkit import byte_grams, covered, distinct, flat, mix, pieces
+from .sketch import ASKED, ANSWER, HOT, Sketch, dealt, inside_twice, ordered, two_pass
+from .textkit import byte_grams, covered, flat, mix, pieces
 
 PIECE = 1 << 16
 PART = 1 << 16
@@ -161,7 +161,7 @@ def _smallest(texts: list[bytes], size: np.ndarray, docs: np.ndarray, least: int
     return found[cls]
 
 
-def remove_repeated_bytes(docs: DataFrame, least: int = 50, gram: int = 24, with_bytes: bool = False) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, least: int = 50, gram: int = 18, with_bytes: bool = False, hot: int = HOT) -> DataFrame:
     """Removes each byte that a string of ``least`` bytes covers which starts in a smaller doc_id too.
 
     docs: doc_id, text; other columns are not read. Texts are UTF-8 bytes; matches never cross
@@ -171,10 +171,11 @@ def remove_repeated_bytes(docs: DataFrame, least: int = 50, gram: int = 24, with
 
     A null text has no bytes. A row without doc_id keeps all and removes nothing. Rows that repeat a
     doc_id are one document to each other: they remove nothing of each other. An empty table gives none.
+    hot: from how many places on the windows around one common gram are spread over the shards.
     """
 
     def keys_of(table):
-        return distinct(runs(*flat(ordered(table)[3]), least, gram)[0])
+        return runs(*flat(ordered(table)[3]), least, gram)[0]
 
     def asked_pieces(texts, ids, sketch: Sketch, told):
         """The chunk's runs that may be elsewhere: hash, document, start, number of windows; of each its piece; of
@@ -282,4 +283,4 @@ def remove_repeated_bytes(docs: DataFrame, least: int = 50, gram: int = 24, with
         return pa.table([pa.array(rows_ids, pa.int64()), *(pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds))], names)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes
-    return two_pass(docs, 1 / 13, keys_of, ask, settle, finish, schema, 2 << 20)
+    return two_pass(docs, 1 / 13, keys_of, ask, settle, finish, schema, 2 << 20, weigh=True, hot=hot)
