@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .cluster import durable, shared_folder
+
 SLOTS = 4096
 
 
@@ -13,13 +17,15 @@ def slot_of(slots: int = SLOTS) -> Column:
     return F.pmod(F.xxhash64(F.lit(29), "doc_id", "text"), F.lit(slots)).cast("int")
 
 
-def _sized(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), slot_of().alias("vslot"))
+def sized(docs: DataFrame) -> DataFrame:
+    """doc_id, size, text_crc32, vslot of each row: all that sharding reads of the documents."""
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32")
+    return docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), crc, slot_of().alias("vslot"))
 
 
-def slot_table(docs: DataFrame) -> DataFrame:
-    """vslot, bytes, rows: at most SLOTS rows, summed on each side of the shuffle."""
-    return _sized(docs).groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
+def slot_table(rows: DataFrame) -> DataFrame:
+    """vslot, bytes, rows: at most SLOTS rows, summed on each side of the shuffle. rows: of sized()."""
+    return rows.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
 
 
 def first_map(slots: DataFrame, shards: int) -> DataFrame:
@@ -47,29 +53,36 @@ def grown_map(old: DataFrame, shards: int) -> DataFrame:
 
 
 def save_map(table: DataFrame, path: str) -> None:
-    """Adds a version to the stored maps; older versions stay readable."""
-    table.write.mode("append").partitionBy("version").parquet(path)
+    """Adds a version to the stored maps; older versions stay readable. A version that is there already is an error."""
+    versions = [r[0] for r in table.select("version").distinct().collect()]
+    for v in versions:
+        table.filter(F.col("version") == v).drop("version").coalesce(1).write.mode("error").parquet(f"{path}/version={v}")
 
 
-def load_map(spark, path: str, version: int | None = None) -> DataFrame:
+def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """A stored version of the map, the newest unless one is named."""
     maps = spark.read.parquet(path)
     newest = maps.agg(F.max("version")).first()[0] if version is None else version
-    return maps.filter(F.col("version") == newest)
+    return maps.filter(F.col("version") == newest).select("version", "vslot", "shard", "bytes", "rows")
 
 
-def shard(docs: DataFrame, shards: int = 8, table: DataFrame | None = None) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 8, maps: str | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot, version of each row of docs.
 
-    table: a map to follow; else the first one is made from these rows. Sizes of shards differ by no
+    maps: a folder of stored maps, whose newest is followed; without one the first map is made from these rows, stored
+    as version 1 in the shared folder and read from there. Sizes of shards differ by no
     more than the largest slot (law ``bytes``). slot: the row's place in its shard, from 0 without gaps:
-    the places of a virtual slot follow those of the smaller slots of its shard.
-
-    A null text has size 1 and the checksum of no bytes. Repeated rows have places of their own. An
-    empty table gives none; a slot that a given map lacks goes to the shard that its number names."""
-    d = _sized(docs).select("doc_id", "size", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), "vslot")
-    slots = slot_table(docs)
-    table = first_map(slots, shards) if table is None else table
-    m = slots.select("vslot", F.col("rows").alias("n")).join(table.select("version", "vslot", "shard"), "vslot", "left")
+    the places of a virtual slot follow those of the smaller slots of its shard. The documents are read once.
+
+    A null text has size 1 and the checksum of no bytes; rows without doc_id go by their text. Repeated rows have
+    places of their own. An empty table gives none; a slot that a given map lacks goes to the shard that its number names."""
+    spark = docs.sparkSession
+    d = durable(sized(docs))
+    slots = slot_table(d)
+    if maps is None:
+        maps = f"{shared_folder(spark)}/slot-maps-{uuid.uuid4().hex}"
+        save_map(first_map(slots, shards), maps)
+    m = slots.select("vslot", F.col("rows").alias("n")).join(load_map(spark, maps).select("version", "vslot", "shard"), "vslot", "left")
     m = m.withColumn("shard", F.coalesce("shard", F.pmod("vslot", F.lit(shards))))
     m = m.withColumn("before", F.sum("n").over(Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
     place = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "size", "text_crc32")) - 1

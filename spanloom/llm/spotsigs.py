@@ -22,22 +22,28 @@ CHAIN, REACH = 3, 12
 FIRST = -(1 << 63)
 
 
-def signatures(w: str) -> Column:
-    """Sorted distinct 32-bit hashes of the signatures in an array of words. A chain is the first CHAIN
-    content words within REACH words of its anchor. Words without any chain are one signature; no words, none."""
-    common = "in (" + ", ".join(f"'{x}'" for x in ANCHORS) + ")"
-    chain = f"slice(filter(slice({w}, i + 2, {REACH}), x -> x not {common}), 1, {CHAIN})"
-    at = f"filter(sequence(0, greatest(size({w}) - 2, 0)), i -> coalesce(get({w}, i) {common}, false))"
-    hashes = f"transform({at}, i -> if(size({chain}) = 0, null, xxhash64(get({w}, i), {chain}) & 4294967295L))"
-    some = f"array_compact({hashes})"
-    return F.expr(f"array_sort(array_distinct(if(size({w}) = 0, cast(array() as array<bigint>), if(size({some}) = 0, array(xxhash64({w}) & 4294967295L), {some}))))")
+def _held(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column as a generator of one row: the optimiser can't put its expression in the lambdas that use it, to run there once an element."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
 def with_signatures(df: DataFrame, text: str, name: str) -> DataFrame:
-    """Adds the signatures of a text that isn't null. A text that isn't empty but has no words is one signature."""
-    df = df.withColumn("_w", words(folded(F.col(text))))
-    sigs = F.when((F.size("_w") == 0) & (F.col(text) != ""), F.array(F.xxhash64(text).bitwiseAND(F.lit(4294967295)))).otherwise(signatures("_w"))
-    return df.withColumn(name, sigs).drop("_w")
+    """Adds the sorted distinct 32-bit hashes of the signatures of a text that isn't null. A chain is the first CHAIN
+    content words within REACH words of its anchor. Words without any chain are one signature; so is a
+    text that isn't empty but has no words; an empty text has none.
+
+    Content words are looked for once a text. The anchors between two of them share the content words
+    that follow, so each anchor costs one hash."""
+    common = "in (" + ", ".join(f"'{x}'" for x in dict.fromkeys(ANCHORS)) + ")"
+    df = _held(df, "_w", words(folded(F.col(text))))
+    df = _held(df, "_c", F.expr(f"filter(sequence(0, size(_w)), i -> i < size(_w) and get(_w, i) not {common})"))
+    before = "coalesce(get(_c, k - 1), -1)"  # the content word before; the anchors (a, j) lie between it and the k-th (c)
+    chain = ", ".join(f"if(get(_c, k + {x}) <= {before} + j + {1 + REACH}, get(_w, get(_c, k + {x})), null)" for x in range(CHAIN))
+    anchor = f"if(c <= {before} + j + {1 + REACH}, xxhash64(a, {chain}) & 4294967295L, null)"
+    chains = f"flatten(transform(_c, (c, k) -> if(c - {before} > 1, transform(slice(_w, {before} + 2, c - {before} - 1), (a, j) -> {anchor}), cast(array() as array<bigint>))))"
+    df = _held(df, "_s", F.expr(f"array_compact({chains})"))
+    bare = F.when(F.size("_w") > 0, F.array(F.xxhash64("_w").bitwiseAND(F.lit(4294967295)))).when(F.col(text) != "", F.array(F.xxhash64(text).bitwiseAND(F.lit(4294967295)))).otherwise(F.expr("cast(array() as array<bigint>)"))
+    return df.withColumn(name, F.array_sort(F.array_distinct(F.when(F.size("_s") > 0, F.col("_s")).otherwise(bare)))).drop("_w", "_c", "_s")
 
 
 def as_string(sigs: str) -> Column:

@@ -11,7 +11,7 @@ from spanloom.llm.chosenpath import NearCopies
 from spanloom.llm.decontaminate import contamination
 from spanloom.llm.licenses import scan_licenses
 from spanloom.llm.mixing import mix
-from spanloom.llm.sharding import first_map, grown_map, shard, slot_table
+from spanloom.llm.sharding import first_map, grown_map, load_map, save_map, shard, sized, slot_table
 from spanloom.llm.spotsigs import fingerprints
 from spanloom.llm.substring import remove_repeated_windows
 from spanloom.llm.suffixes import remove_repeated_bytes
@@ -76,11 +76,29 @@ def test_results_on_edges(spark):
 
 
 def test_a_grown_map_moves_slots_only_into_the_new_shard(spark):
-    old = first_map(slot_table(edge(spark)), 3)
+    old = first_map(slot_table(sized(edge(spark))), 3)
     new = {r.vslot: (r.shard, r.version) for r in grown_map(old, 3).collect()}
     assert all(new[r.vslot][1] == 2 and new[r.vslot][0] in (r.shard, 3) for r in old.collect())
 
 
+def test_maps_are_stored_grown_and_followed(spark, tmp_path):
+    """An edited map is a further version; rows that it doesn't move keep their shard, the others go to the new one."""
+    d = spark.range(500).selectExpr("id as doc_id", "repeat('x', cast(id % 90 as int)) as text")
+    path = f"{tmp_path}/maps"
+    save_map(first_map(slot_table(sized(d)), 3), path)
+    before = {r.doc_id: (r.shard, r.version) for r in shard(d, 3, maps=path).collect()}
+    save_map(grown_map(load_map(spark, path), 3), path)
+    after = {r.doc_id: (r.shard, r.version) for r in shard(d, 4, maps=path).collect()}
+    with pytest.raises(Exception, match="already exists"):
+        save_map(load_map(spark, path, 1), path)
+    assert {v for _, v in before.values()} == {1} and {v for _, v in after.values()} == {2}
+    moved = [i for i in before if before[i][0] != after[i][0]]
+    assert moved and all(after[i][0] == 3 for i in moved)
+    assert load_map(spark, path, 1).filter("shard = 3").isEmpty()
+    size = [sum(i % 90 + 1 for i in after if after[i][0] == k) for k in range(4)]
+    assert max(size) - min(size) < 400
+
+
 @pytest.mark.parametrize("budget,history", [(60, 20), (5, 0), (10_000, 50)])
 def test_chat_round_trip(spark, budget, history):
     nasty = "\\### Assistant: </turn> ok\n<turn user>\n\\l"
