@@ -55,7 +55,7 @@ def grown_map(old: DataFrame, shards: int) -> DataFrame:
 def save_map(table: DataFrame, path: str) -> None:
     """Adds a version to the stored maps; older versions stay readable. A version that is there already is an error."""
     versions = [r[0] for r in table.select("version").distinct().collect()]
-    for v in versions:
+    for v in versions or [1]:  # an empty map is a first version without slots
         table.filter(F.col("version") == v).drop("version").coalesce(1).write.mode("error").parquet(f"{path}/version={v}")
 
 

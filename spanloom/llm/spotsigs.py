@@ -19,6 +19,7 @@ ANCHORS = (
     "al con como del el es esta los las lo no o para por se su una y"
 ).split()
 CHAIN, REACH = 3, 12
+RUN = 8
 FIRST = -(1 << 63)
 
 
@@ -32,18 +33,19 @@ def with_signatures(df: DataFrame, text: str, name: str) -> DataFrame:
     content words within REACH words of its anchor. Words without any chain are one signature; so is a
     text that isn't empty but has no words; an empty text has none.
 
-    Content words are looked for once a text. The anchors between two of them share the content words
-    that follow, so each anchor costs one hash."""
+    Content words are looked for once a text. As many of them come before an anchor as its place is beyond its number among
+    the anchors, which says where its chain begins: each anchor costs one hash."""
     common = "in (" + ", ".join(f"'{x}'" for x in dict.fromkeys(ANCHORS)) + ")"
     df = _held(df, "_w", words(folded(F.col(text))))
     df = _held(df, "_c", F.expr(f"filter(sequence(0, size(_w)), i -> i < size(_w) and get(_w, i) not {common})"))
-    before = "coalesce(get(_c, k - 1), -1)"  # the content word before; the anchors (a, j) lie between it and the k-th (c)
-    chain = ", ".join(f"if(get(_c, k + {x}) <= {before} + j + {1 + REACH}, get(_w, get(_c, k + {x})), null)" for x in range(CHAIN))
-    anchor = f"if(c <= {before} + j + {1 + REACH}, xxhash64(a, {chain}) & 4294967295L, null)"
-    chains = f"flatten(transform(_c, (c, k) -> if(c - {before} > 1, transform(slice(_w, {before} + 2, c - {before} - 1), (a, j) -> {anchor}), cast(array() as array<bigint>))))"
-    df = _held(df, "_s", F.expr(f"array_compact({chains})"))
+    df = _held(df, "_a", F.expr("array_except(sequence(0, size(_w)), _c)"))  # and past the last word one place that has none
+    at = [f"get(_c, i - j + {x})" for x in range(CHAIN)]  # i - j content words come before the j-th anchor
+    full = f"xxhash64(get(_w, i), {', '.join(f'get(_w, {c})' for c in at)})"
+    part = f"xxhash64(get(_w, i), {', '.join(f'if({c} <= i + {REACH}, get(_w, {c}), null)' for c in at)})"
+    chain = f"if(coalesce({at[-1]} <= i + {REACH}, false), {full}, if(coalesce({at[0]} <= i + {REACH}, false), {part}, null)) & 4294967295L"
+    df = _held(df, "_s", F.expr(f"array_compact(transform(_a, (i, j) -> {chain}))"))
     bare = F.when(F.size("_w") > 0, F.array(F.xxhash64("_w").bitwiseAND(F.lit(4294967295)))).when(F.col(text) != "", F.array(F.xxhash64(text).bitwiseAND(F.lit(4294967295)))).otherwise(F.expr("cast(array() as array<bigint>)"))
-    return df.withColumn(name, F.array_sort(F.array_distinct(F.when(F.size("_s") > 0, F.col("_s")).otherwise(bare)))).drop("_w", "_c", "_s")
+    return df.withColumn(name, F.sort_array(F.array_distinct(F.when(F.size("_s") > 0, F.col("_s")).otherwise(bare)))).drop("_w", "_c", "_a", "_s")
 
 
 def as_string(sigs: str) -> Column:
@@ -59,7 +61,7 @@ def likeness(a: str, b: str) -> Column:
 
 def _next_bucket(buckets: DataFrame) -> DataFrame:
     """Adds to each bucket the next larger one, and to the largest the smallest; by groups of 1,024 buckets,
-    so that only one row for each million of ids is ever sorted in one task."""
+    so that only one row for each quarter of a million ids is ever sorted in one task."""
     own = buckets.withColumn("b2", F.shiftright("b", 10))
     groups = own.groupBy("b2").agg(F.min("b").alias("low"))
     line = Window.orderBy("b2")
@@ -74,14 +76,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     The next document is the next smaller doc_id, after the smallest the largest; the edited text is the
     text with its last floor(n_chars / 2) code points replaced by the first as many of the next document.
-    Documents are shuffled once, by runs of 1,024 doc_ids; a run's last document gets its next one from a
+    Documents are shuffled once, by runs of 256 doc_ids; a run's last document gets its next one from a
     table of the runs' first documents.
 
     A null text is empty, and its fingerprint too. Rows without doc_id come last. Rows that repeat a
     doc_id are ordered by a hash of the text. A document that is alone is its own next one."""
     n = partitions(docs.sparkSession, text_bytes(docs), 16 << 20)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    d = d.withColumn("b", F.coalesce(F.shiftright("doc_id", 10), F.lit(FIRST))).withColumn("row", F.xxhash64("text"))
+    d = d.withColumn("b", F.coalesce(F.shiftright("doc_id", RUN), F.lit(FIRST))).withColumn("row", F.xxhash64("text"))
     buckets = _next_bucket(d.select("b").distinct())
     dealt = d.repartition(n, "b")
     line = Window.partitionBy("b").orderBy(F.col("doc_id").desc_nulls_last(), F.col("row").desc())
