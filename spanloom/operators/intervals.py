@@ -12,10 +12,10 @@ OPERATORS = {
         SELECT a.src, n, found, R6(found / (n * 1e0)) AS recall, R6(hit / (listed * 1e0)) AS precision FROM
           (SELECT m.src, count(*) AS n, I(sum(CASE WHEN k.mid IS NOT NULL THEN 1 ELSE 0 END)) AS found FROM {moments} m LEFT JOIN (SELECT DISTINCT src, mid FROM {matches} x) k ON m.src = k.src AND m.id = k.mid GROUP BY m.src) a
           JOIN (SELECT c.src, count(*) AS listed, I(sum(CASE WHEN k.cid IS NOT NULL THEN 1 ELSE 0 END)) AS hit FROM {ranked} c LEFT JOIN (SELECT DISTINCT src, cid FROM {matches} x) k ON c.src = k.src AND c.id = k.cid WHERE pos <= 10 GROUP BY c.src) b ON a.src = b.src""",
-    # Pairs of one source with half of their union in common
+    # Pairs of one source with half of their union in common; they meet in the stretch of time where their overlap begins
     "span_iou": """
         SELECT * FROM (SELECT a.src, a.id AS a, b.id AS b, R6(greatest(0e0, least(a.e, b.e) - greatest(a.s, b.s)) / (greatest(a.e, b.e) - least(a.s, b.s))) AS iou
-          FROM {candidates} a JOIN {candidates} b ON a.src = b.src AND a.id < b.id AND a.s < b.e AND b.s < a.e) x WHERE iou >= 5e-1""",
+          FROM {candidate_bins} a JOIN {candidate_bins} b ON a.src = b.src AND a.bin = b.bin AND a.id < b.id AND a.s < b.e AND b.s < a.e WHERE a.bin = floor(greatest(a.s, b.s) / 36e2)) x WHERE iou >= 5e-1""",
     # Union of spans that overlap or touch
     "span_merge": """
         SELECT src, R6(min(s)) AS s, R6(max(e)) AS e, count(*) AS n FROM (
@@ -30,16 +30,18 @@ OPERATORS = {
     "span_clip": """
         SELECT s.src, s.id, R6(greatest(s.s, r.a)) AS s, R6(least(s.e, r.b)) AS e FROM {shots} s
         JOIN (SELECT src, min(s) + 1000000 AS a, min(s) + 9000000 AS b FROM {spans} x GROUP BY src) r ON s.src = r.src AND s.s < r.b AND s.e > r.a""",
-    # Samples in shots, both ends in
+    # Samples in shots, both ends in, and the length of the source's middle shot
     "span_samples": """
-        SELECT s.src, s.id, count(x.t) AS samples, I(sum(CASE WHEN x.faces >= 1 THEN 1 ELSE 0 END)) AS with_face, I(sum(CASE WHEN x.faces >= 2 THEN 1 ELSE 0 END)) AS with_two
-        FROM {shots} s JOIN {samples} x ON s.src = x.src AND x.t >= s.s AND x.t <= s.e GROUP BY s.src, s.id""",
-    # C11: the two samples nearest to a shot's middle
+        SELECT c.src, c.id, samples, with_face, with_two, R6(median) AS median_shot FROM {shot_samples} c JOIN (SELECT src, PCT(e - s, 0.5e0) AS median FROM {shots} y GROUP BY src) m ON c.src = m.src""",
+    # C11: of shots without samples the two nearest to their middle, the earlier of equals: among the two before and the two after
     "span_nearest": """
-        SELECT src, id, t, I(r) AS r FROM (SELECT s.src, s.id, R6(x.t) AS t, row_number() OVER (PARTITION BY s.src, s.id ORDER BY abs(x.t - (s.s + s.e) / 2), x.t) AS r
-          FROM {shots} s JOIN {samples} x ON s.src = x.src) a WHERE r <= 2""",
-    # The first shot that holds a point
-    "span_point": "SELECT src, pid, id FROM (SELECT m.src, m.id AS pid, s.id, row_number() OVER (PARTITION BY m.src, m.id ORDER BY s.s, s.id) AS r FROM {moments} m JOIN {shots} s ON m.src = s.src AND s.s <= m.s AND m.s < s.e) a WHERE r = 1",
+        SELECT src, id, t, I(r) AS r FROM (SELECT m.src, m.id, R6(x.t) AS t, row_number() OVER (PARTITION BY m.src, m.id ORDER BY abs(x.t - m.mid), x.t) AS r
+          FROM (SELECT z.*, n + o AS k FROM {shot_middles} z, (SELECT -1 AS o UNION ALL SELECT 0 UNION ALL SELECT 1 UNION ALL SELECT 2) y) m JOIN {numbered_samples} x ON m.src = x.src AND m.k = x.k) a WHERE r <= 2""",
+    # The first shot that holds a point, and where none does the point itself
+    "span_point": """
+        SELECT m.src, m.id AS pid, f.id, R6(coalesce(f.s, m.s)) AS since FROM {moments} m LEFT JOIN (
+          SELECT src, pid, id, s FROM (SELECT p.src, p.id AS pid, s.id, s.s, row_number() OVER (PARTITION BY p.src, p.id ORDER BY s.s, s.id) AS r
+            FROM (SELECT src, id, s, floor(s / 36e2) AS bin FROM {moments} q) p JOIN {shot_bins} s ON p.src = s.src AND p.bin = s.bin AND s.s <= p.s AND p.s < s.e) a WHERE r = 1) f ON m.src = f.src AND m.id = f.pid""",
     # Each word to the piece it overlaps most, the earliest of equals
     "span_most_overlap": """
         SELECT src, cid, mid, R6(cover) AS cover FROM (SELECT *, row_number() OVER (PARTITION BY src, cid ORDER BY cover DESC, mid) AS r FROM {overlaps} o) a WHERE r = 1""",
@@ -47,17 +49,20 @@ OPERATORS = {
     "span_split": """
         SELECT src, id, R6(since) AS s, R6(coalesce(lead(since) OVER (PARTITION BY src, id ORDER BY since), e)) AS e FROM (
           SELECT src, id, e, s AS since FROM {moments} m UNION
-          SELECT m.src, m.id, m.e, x.s FROM {moments} m JOIN {shots} x ON m.src = x.src AND x.s > m.s + 3e-1 AND x.s < m.e - 3e-1) a""",
+          SELECT m.src, m.id, m.e, x.s FROM {moment_bins} m JOIN {shot_starts} x ON m.src = x.src AND m.bin = x.bin AND x.s > m.s + 3e-1 AND x.s < m.e - 3e-1) a""",
     # What merged spans leave free
     "span_gaps": """
         SELECT src, R6(done) AS s, R6(s) AS e FROM (SELECT src, s, max(e) OVER (PARTITION BY src ORDER BY s, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS done FROM {spans} a) b WHERE s > done""",
-    # Visual figures of a source
+    # Visual figures of a source: faces that qualify, two of them, the middle height, the share of time laid out to fit
     "span_visual": """
-        SELECT src, R6(avg(CASE WHEN face_score >= 7e-1 AND h >= 6e-2 AND faces > 0 THEN 1e0 ELSE 0e0 END)) AS coverage, R6(avg(CASE WHEN faces >= 2 THEN 1e0 ELSE 0e0 END)) AS two_shot,
-          R6(coalesce(PCT(CASE WHEN face_score >= 7e-1 AND h >= 6e-2 THEN h END, 0.5e0), 0e0)) AS median_h, count(*) AS samples FROM {samples} a GROUP BY src""",
+        SELECT v.src, R6(coverage) AS coverage, R6(two_shot) AS two_shot, R6(median_h) AS median_h, samples, R6(coalesce(fit_ratio, 0e0)) AS fit_ratio FROM (
+          SELECT src, avg(CASE WHEN {qualifies} THEN 1e0 ELSE 0e0 END) AS coverage, coalesce(avg(CASE WHEN {qualifies} THEN CASE WHEN faces >= 2 THEN 1e0 ELSE 0e0 END END), 0e0) AS two_shot,
+            coalesce(PCT(CASE WHEN {qualifies} THEN h END, 0.5e0), 0e0) AS median_h, count(*) AS samples FROM {samples} a GROUP BY src) v
+        LEFT JOIN (SELECT src, sum(CASE WHEN kind = 'fit' THEN e - s ELSE 0e0 END) / sum(e - s) AS fit_ratio FROM {layouts} l WHERE e > s GROUP BY src) l ON v.src = l.src""",
     # Cuts a minute, boundaries strictly inside
     "span_cuts": """
-        SELECT m.src, m.id, count(x.id) AS cuts, R6(count(x.id) / ((m.e - m.s) / 60)) AS per_minute FROM {moments} m LEFT JOIN {shots} x ON m.src = x.src AND x.s > m.s AND x.s < m.e WHERE m.e > m.s GROUP BY m.src, m.id, m.s, m.e""",
+        SELECT m.src, m.id, coalesce(cuts, 0) AS cuts, R6(coalesce(cuts, 0) / ((m.e - m.s) / 60)) AS per_minute FROM {moments} m LEFT JOIN (
+          SELECT b.src, b.id, count(*) AS cuts FROM {moment_bins} b JOIN {shot_starts} x ON b.src = x.src AND b.bin = x.bin AND x.s > b.s AND x.s < b.e GROUP BY b.src, b.id) c ON m.src = c.src AND m.id = c.id WHERE m.e > m.s""",
     # The kind with most time, the first seen of equals
     "span_dominant": """
         SELECT src, kind, R6(dur) AS dur FROM (SELECT src, kind, dur, row_number() OVER (PARTITION BY src ORDER BY dur DESC, first) AS r FROM (SELECT src, kind, sum(e - s) AS dur, min(s) AS first FROM {spans} a GROUP BY src, kind) b) c WHERE r = 1""",
@@ -72,11 +77,10 @@ OPERATORS = {
     "span_even_samples": """
         SELECT src, I(k) AS k, R6(t) AS t FROM (SELECT src, t, row_number() OVER (PARTITION BY src ORDER BY t) - 1 AS r, count(*) OVER (PARTITION BY src) AS n FROM {samples} a) b
         JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) c ON r = floor((k + 5e-1) * n / 5)""",
-    # A crop around a face, and a fade
-    "span_crop": "SELECT src, id, R6(least(greatest(score / 100 - 158203e-6, 0e0), 1 - 316406e-6)) AS x, R6(least(1e0, greatest(0e0, least(score / 10, (100 - score) / 10)))) AS volume FROM {spans} a",
-    # Layout by faces of a shot
-    "span_layout": """
-        SELECT src, id, CASE WHEN n = 0 THEN 'fit' WHEN two / n >= 5e-1 THEN 'split' WHEN spread > 316e-3 THEN 'fit' ELSE 'face' END AS kind, CASE WHEN h < 16e-2 THEN 135e-2 ELSE 1e0 END AS zoom FROM (
-          SELECT s.src, s.id, count(x.t) * 1e0 AS n, sum(CASE WHEN x.faces >= 2 THEN 1e0 ELSE 0e0 END) AS two, max(x.face_score) - min(x.face_score) AS spread, PCT(x.h, 0.5e0) AS h
-          FROM {shots} s JOIN {samples} x ON s.src = x.src AND x.t >= s.s AND x.t <= s.e GROUP BY s.src, s.id) a""",
+    # A crop of .316 of the width around a face, inside of the picture
+    "span_crop": "SELECT src, id, R6(least(greatest(cx - 158203e-6, 0e0), 1 - 316406e-6)) AS x, R6(least(greatest(cy - 5e-1 / zoom, 0e0), 1 - 1 / zoom)) AS y, R6(316406e-6 / zoom) AS w, R6(1 / zoom) AS h FROM {layouts} l WHERE kind = 'face'",
+    # A fade of a tenth of a second at both ends
+    "span_fade": "SELECT src, id, R6(least(1e0, greatest(0e0, least(place, length - place) / 1e-1))) AS volume FROM (SELECT src, id, e - s AS length, score / 1e2 * (e - s) AS place FROM {spans} a) b",
+    # Layout by the faces of a shot that qualify: none, or scattered ones, are fitted; two at once are split; else the face, nearer if small
+    "span_layout": "SELECT src, id, kind, R6(cx) AS cx, R6(cy) AS cy, R6(zoom) AS zoom FROM {layouts} l",
 }

@@ -16,12 +16,13 @@ OPERATORS = {
             SELECT signal, rank() OVER (PARTITION BY signal ORDER BY x) + (count(*) OVER (PARTITION BY signal, x) - 1) / 2e0 AS a, rank() OVER (PARTITION BY signal ORDER BY y) + (count(*) OVER (PARTITION BY signal, y) - 1) / 2e0 AS b
             FROM (SELECT s.signal, s.x, R6(o.y) AS y FROM {signals} s JOIN {outcomes} o ON s.id = o.id) j) k GROUP BY signal) l""",
     # Means by feature and value, three of each at least
-    "learn_buckets": """
-        SELECT feature, v, count(*) AS n, R6(avg(y)) AS mean_y FROM (
-          SELECT 'cold' AS feature, CASE WHEN cold = 1 THEN 'yes' ELSE 'no' END AS v, y FROM {outcomes} a UNION ALL SELECT 'lang', lang, y FROM {outcomes} b
-          UNION ALL SELECT 'dur', CASE WHEN dur < 30 THEN '<30' WHEN dur < 45 THEN '30-45' WHEN dur < 60 THEN '45-60' ELSE '>=60' END, y FROM {outcomes} c) x GROUP BY feature, v HAVING count(*) >= 3""",
-    # Means of languages with five outcomes or more; D11's threshold of .3 isn't applied
-    "learn_findings": "SELECT lang, count(*) AS n, R6(avg(y)) AS mean_y, CASE WHEN avg(y) > 0 THEN 'over' ELSE 'under' END AS way FROM {outcomes} o GROUP BY lang HAVING count(*) >= 5 AND abs(avg(y)) >= 1e-3",
+    "learn_buckets": "SELECT feature, v, n, R6(mean_y) AS mean_y FROM {buckets} b",
+    # Buckets of five or more whose mean is .3 or more off, as a line
+    "learn_findings": """
+        SELECT feature, v, n, R6(mean_y) AS mean_y, concat(CASE feature WHEN 'coldOpen' THEN CASE v WHEN 'yes' THEN 'Clips with cold opens' ELSE 'Clips without cold opens' END WHEN 'duration' THEN concat('Clips ', v, 's')
+          WHEN 'hookPattern' THEN concat('Clips with the "', v, '" hook pattern') ELSE concat('Clips with "', v, '" layout') END, ': ', CASE WHEN mean_y >= 0 THEN '+' ELSE '-' END,
+          STR(I(floor(floor(abs(mean_y) * 100 + 5e-1) / 100))), '.', lpad(STR(I(floor(abs(mean_y) * 100 + 5e-1) - floor(floor(abs(mean_y) * 100 + 5e-1) / 100) * 100)), 2, '0'), ' vs median (n=', STR(n), ')') AS line
+        FROM {buckets} b WHERE n >= 5 AND abs(mean_y) >= 3e-1""",
     "learn_latest": "SELECT src, ARGMAX(id, s) AS id, R6(max(s)) AS s FROM {spans} a GROUP BY src",  # E8
     # the last 20 reviews
     "learn_reviews": "SELECT creator, id, CASE WHEN quality = 1 THEN 1 ELSE -1 END * 1e0 AS y FROM (SELECT *, row_number() OVER (PARTITION BY creator ORDER BY id DESC) AS r FROM {clips} c) a WHERE r <= 20",

@@ -27,8 +27,8 @@ OPERATORS = {
     "bench_folds": "SELECT fold, count(*) AS sources FROM {folds} f GROUP BY fold",
     # Sources out of each fold
     "bench_out_of_fold": "SELECT k.fold AS held, f.src FROM {folds} f JOIN (SELECT DISTINCT fold FROM {folds} g) k ON f.fold <> k.fold",
-    # What a fold holds out
-    "bench_held_out": "SELECT fold, m.src, m.id FROM {moments} m JOIN {folds} f ON m.src = f.src WHERE fold = 1",
+    # What each fold holds out
+    "bench_held_out": "SELECT fold, m.src, m.id FROM {moments} m JOIN {folds} f ON m.src = f.src",
     # Grades and gains
     "bench_grades": "SELECT src, id, I(grade) AS grade, I(power(2, grade) - 1) AS gain FROM {graded} g",
     # Precision and recall in the first six, and the place of the first hit in the whole list
@@ -39,29 +39,21 @@ OPERATORS = {
     "bench_ideal": "SELECT src, R6(sum((power(2, grade) - 1) / LOG2(r + 1e0))) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY grade DESC, id) AS r FROM {graded} g) a WHERE r <= 6 GROUP BY src",
     # I4: moments that any candidate reaches
     "bench_pool_recall": "SELECT m.src, R6(count(DISTINCT x.mid) / (count(DISTINCT m.id) * 1e0)) AS pool_recall FROM {moments} m LEFT JOIN {matches} x ON m.src = x.src GROUP BY m.src",
-    # Per signal the rank correlation with quality
+    # Per signal the rank correlation with the most gain of a moment that a candidate matches, 0 without any
     "bench_signals": """
         SELECT signal, R6(coalesce(DIV(avg(a * b) - avg(a) * avg(b), STDPOP(a) * STDPOP(b)), 0e0)) AS rho, count(*) AS n FROM (
-          SELECT signal, rank() OVER (PARTITION BY signal ORDER BY x) + (count(*) OVER (PARTITION BY signal, x) - 1) / 2e0 AS a, rank() OVER (PARTITION BY signal ORDER BY quality) + (count(*) OVER (PARTITION BY signal, quality) - 1) / 2e0 AS b
-          FROM {signals} s) z GROUP BY signal""",
-    # Mean paired difference of two variants where both have a figure, without the intervals of I7 and the noise floor of I10
-    "bench_paired": """
-        SELECT count(*) AS n, R6(avg(a - b)) AS mean, R6(abs(avg(a - b))) AS noise FROM (SELECT src, max(CASE WHEN kind = 'view' THEN m END) AS a, max(CASE WHEN kind = 'click' THEN m END) AS b
-          FROM (SELECT src, kind, avg(score) AS m FROM {spans} s GROUP BY src, kind) x GROUP BY src) y WHERE a IS NOT NULL AND b IS NOT NULL""",
+          SELECT signal, rank() OVER (PARTITION BY signal ORDER BY x) + (count(*) OVER (PARTITION BY signal, x) - 1) / 2e0 AS a, rank() OVER (PARTITION BY signal ORDER BY y) + (count(*) OVER (PARTITION BY signal, y) - 1) / 2e0 AS b
+          FROM {credited} s) z GROUP BY signal""",
     # One row a source, a column a variant
     "bench_matrix": "SELECT src, " + ", ".join(f"R6(avg(CASE WHEN kind = '{k}' THEN score END)) AS m_{k}" for k in ("click", "error", "purchase", "signup", "view")) + " FROM {spans} s GROUP BY src",
-    # The checks of a promotion on least and greatest scores; I11's bootstrap bounds and noise aren't built
-    "bench_promotion": """
-        SELECT src, m > 3e0 AND lo > 0 AS better, hi >= 0 AS no_worse, coalesce(ratio <= 15e-1, true) AS cheap, m > 3e0 AND lo > 0 AND hi >= 0 AND coalesce(ratio <= 15e-1, true) AS promoted
-        FROM (SELECT src, avg(score) AS m, min(score) AS lo, max(score) AS hi, DIV(max(score), PCT(score, 0.5e0)) AS ratio FROM {spans} s GROUP BY src) a""",
     # Moments of a source with grades and count
     "bench_dataset": "SELECT g.src, fold, count(*) AS moments, I(sum(CASE WHEN grade = 3 THEN 1 ELSE 0 END)) AS top_grade FROM {graded} g JOIN {folds} f ON g.src = f.src GROUP BY g.src, fold",
     # I16: spend as long as what went before is under the cap
     "bench_budget": "SELECT src, id FROM (SELECT src, id, coalesce(sum(score) OVER (PARTITION BY src ORDER BY s, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS spent FROM {candidates} c) a WHERE spent < 100",
     # Figures of the pools
     "bench_pools": "SELECT R6(avg(n)) AS mean_size, R6(sum(total)) AS score, R6(avg(dur)) AS dur FROM (SELECT src, count(*) * 1e0 AS n, sum(score) AS total, sum(e - s) AS dur FROM {ranked} r WHERE pos <= 25 GROUP BY src) a",
-    # Ids that are there twice
-    "rank_duplicates": "SELECT id % 5000 AS k, count(*) AS n FROM {spans} s GROUP BY id % 5000 HAVING count(*) > 1",
+    # What was proposed twice; selection.assert_unique fails on it
+    "rank_duplicates": "SELECT src, sid, count(*) AS n FROM {openings} o GROUP BY src, sid HAVING count(*) > 1",
     # Distinct sources; the last of equal ids with the place of the first
     "rank_last_wins": "SELECT k, id, first FROM (SELECT id % 700 AS k, id, min(id) OVER (PARTITION BY id % 700) AS first, row_number() OVER (PARTITION BY id % 700 ORDER BY id DESC) AS r FROM {spans} s) a WHERE r = 1",
     # C20: newest listing without what is there already, long ones only
@@ -70,18 +62,21 @@ OPERATORS = {
     "rank_resume": "SELECT a.id, b.status FROM {clips} a LEFT JOIN (SELECT id, status FROM {clips} x WHERE quality = 0) b ON a.id = b.id WHERE b.status IS NULL OR b.status NOT IN ('approved', 'published')",
     # Ids by hash, and weighted means of signals
     "rank_composite": "SELECT id, concat('cand_', substr(sha1(concat(STR(id), ':', status)), 1, 8)) AS cand, floor((hook * 3 + payoff + clarity + emotion + novelty + pace + fit) / 9e0 * 100 + 5e-1) / 1e2 AS composite FROM {clips} c",
-    # Points off for visual faults
+    # Points off for visual faults, which are named; what a vision check found takes up to three more; a candidate under five
+    # loses .4 of its composite for each point that is missing
     "rank_visual_score": """
-        SELECT id, greatest(1e0, v) AS score, CASE WHEN v < 5 THEN floor((base - (5 - greatest(1e0, v)) * 4e-1) * 100 + 5e-1) / 1e2 ELSE base END AS composite FROM (
-          SELECT id, hook AS base, 10 - CASE WHEN payoff < 3 THEN 3e0 ELSE 0e0 END - CASE WHEN clarity < 4 THEN 2e0 ELSE 0e0 END - CASE WHEN novelty > 4 THEN 2e0 ELSE 0e0 END - CASE WHEN pace > 6 THEN 1e0 ELSE 0e0 END - CASE WHEN fit < 2 THEN 1e0 ELSE 0e0 END AS v FROM {clips} c) a""",
-    # Repaired bounds only near the old ones; the end against the repaired start
-    "rank_boundary": """
-        SELECT src, id, R6(s1) AS s, R6(CASE WHEN e1 BETWEEN e - 3 AND e + 4 AND e1 - s1 BETWEEN 17 AND 138 THEN e1 ELSE e END) AS e, CASE WHEN s1 <> s THEN 1 ELSE 0 END = 1 AS repaired FROM (
-          SELECT src, id, s, e, e1, CASE WHEN n1 BETWEEN s - 5 AND s + 3 AND e - n1 BETWEEN 17 AND 138 THEN n1 ELSE s END AS s1 FROM (SELECT src, id, s, e, s - id % 9 + 2 AS n1, e + id % 7 - 2 AS e1 FROM {candidates} c) a) b""",
-    # How many bounds were repaired
-    "rank_boundary_counts": "SELECT src, I(sum(CASE WHEN id % 9 <= 5 THEN 1 ELSE 0 END)) AS repaired, I(sum(CASE WHEN id % 9 > 5 THEN 1 ELSE 0 END)) AS penalised FROM {candidates} c GROUP BY src",
+        SELECT src, id, v AS score, issues, CASE WHEN v < 5 THEN floor((composite - (5 - v) * 4e-1) * 100 + 5e-1) / 1e2 ELSE composite END AS composite FROM (
+          SELECT f.src, p.id, p.composite, issues, greatest(0e0, greatest(0e0, points) - least(3, found)) AS v FROM (
+            SELECT src, 10e0 - CASE WHEN coverage < 6e-1 THEN 3 ELSE 0 END - CASE WHEN fit_ratio > 4e-1 THEN 2 ELSE 0 END - CASE WHEN no_face > 8 THEN 2 ELSE 0 END - CASE WHEN cuts_per_min > 20 THEN 1 ELSE 0 END - CASE WHEN median_h < 12e-2 THEN 1 ELSE 0 END AS points,
+              concat_ws(',', CASE WHEN coverage < 6e-1 THEN 'few faces' END, CASE WHEN fit_ratio > 4e-1 THEN 'no subject' END, CASE WHEN no_face > 8 THEN 'long without face' END, CASE WHEN cuts_per_min > 20 THEN 'jittery' END, CASE WHEN median_h < 12e-2 THEN 'small' END) AS issues
+            FROM {visual_figures} g) f JOIN {judged} p ON f.src = p.src) x""",
     # Valid ranges in the band of lengths
     "rank_valid": "SELECT src, id FROM {candidates} c WHERE e - s BETWEEN 85e-2 * 20 AND 115e-2 * 1200 AND s >= 0 AND s <= e",
-    # hooks by score, none blank or long
-    "rank_hooks": "SELECT src, p, trim(text) AS hook, n FROM {speeches} x WHERE length(trim(text)) BETWEEN 1 AND 70 AND role = 'user'",
+    # hooks of 1 to 70 characters when trimmed, by falling score, equal ones in their order
+    "rank_hooks": "SELECT src, p, hook, I(row_number() OVER (PARTITION BY src ORDER BY score DESC, p)) AS place FROM (SELECT src, p, trim(hook) AS hook, score FROM {hooks} x) y WHERE length(hook) BETWEEN 1 AND 70",
+    # new listings of a channel in their order, the first so many
+    "rank_new": "SELECT channel, id, I(r) AS place FROM (SELECT channel, id, row_number() OVER (PARTITION BY channel ORDER BY id) AS r FROM {listing} x WHERE dur >= 930 AND NOT EXISTS (SELECT 1 FROM {lineitem} y WHERE y.l_orderkey = x.id AND y.l_returnflag = 'R')) z WHERE r <= 3",
+    # A cold open is a sentence after the clip's first and up to its last, 1.5 to 7 seconds long; else none
+    "rank_cold_open": """
+        SELECT o.src, o.id, CASE WHEN o.sid > o.a AND o.sid <= o.b AND s.e - s.s BETWEEN 15e-1 AND 7e0 THEN o.sid END AS cold_open FROM {openings} o LEFT JOIN {sentences} s ON o.src = s.src AND o.sid = s.id""",
 }

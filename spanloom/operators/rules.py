@@ -13,41 +13,39 @@ OPERATORS = {
     # Clips of one status, newest first
     "clip_list": "SELECT id, status, I(row_number() OVER (ORDER BY id DESC)) AS place FROM {clips} c WHERE status = 'ready'",
     # B1: the columns that a list needs
-    "clip_api": "SELECT c.id, c.status, c.creator, d.n_chars, coalesce(substr(d.text, 1, 20), '') AS title FROM {clips} c LEFT JOIN {documents} d ON c.id = d.doc_id",
-    # Who may be published under a cap, and why others may not
+    "clip_api": "SELECT c.id, c.status, c.creator, d.n_chars, coalesce(d.text, '') AS title FROM {clips} c LEFT JOIN {documents} d ON c.id = d.doc_id",
+    # Who may be published, and why others may not: public ones, not approved ones, QC without override, the daily cap
+    # less what went public within a day; the cap's places go in the clips' order
     "publish_eligible": """
-        SELECT id, CASE WHEN NOT approved THEN 'not approved' WHEN NOT passed THEN 'qc' WHEN r > 40 THEN 'cap' ELSE 'ok' END AS reason FROM (
-          SELECT id, status = 'approved' AS approved, hook > 1 OR payoff > 8 AS passed, sum(CASE WHEN status = 'approved' AND (hook > 1 OR payoff > 8) THEN 1 ELSE 0 END) OVER (PARTITION BY lang ORDER BY id) AS r FROM {clips} c) a""",
-    # What an action makes of a status
+        SELECT id, CASE WHEN public THEN 'already published' WHEN status <> 'approved' THEN 'not approved' WHEN NOT passed AND NOT forced THEN 'qc' WHEN r > greatest(0, cap - recent) THEN 'cap' ELSE 'ok' END AS reason FROM (
+          SELECT a.*, cap, recent, sum(CASE WHEN NOT public AND status = 'approved' AND (passed OR forced) THEN 1 ELSE 0 END) OVER (PARTITION BY creator ORDER BY id) AS r FROM {publishing} a
+          JOIN (SELECT creator AS k, I(sum(CASE WHEN NOT dry AND hours < 24 THEN 1 ELSE 0 END)) AS recent, 40 AS cap FROM {publishing} b GROUP BY creator) c ON creator = k) d""",
+    # What a request makes of a clip: its status and code, and why it is refused; nothing changes then
     "review_transitions": """
-        SELECT id, status, act, CASE WHEN act = 'approve' AND status = 'ready' THEN 'approved' WHEN act = 'approve' AND status = 'qc_failed' AND id % 2 = 0 THEN 'approved' WHEN act = 'reject' AND status <> 'published' THEN 'rejected' ELSE status END AS next
-        FROM {clips} c, (SELECT 'approve' AS act UNION ALL SELECT 'reject') x""",
-    # A daily cap from text
-    "publish_cap": "SELECT id, CASE WHEN raw = '' THEN 10e0 WHEN TRYD(raw) >= 0 THEN TRYD(raw) END AS cap FROM (SELECT id, CASE WHEN id % 4 = 0 THEN '' WHEN id % 4 = 1 THEN '0' WHEN id % 4 = 2 THEN '-1' ELSE 'x' END AS raw FROM {clips} c) a",
-    # What to do after mastering
-    "master_retry": "SELECT id, CASE WHEN l BETWEEN -155e-1 AND -125e-1 AND t <= -1 THEN 'accept' WHEN id % 2 = 0 THEN 'retry' ELSE 'fail' END AS plan FROM (SELECT id, -12 - hook / 2 AS l, payoff - 5 AS t FROM {clips} c) a",
-    # K1, K2: named checks
-    "qc_checks": " UNION ALL ".join(
-        f"SELECT id, '{name}' AS name, {ok} AS ok, '{severity}' AS severity FROM {{clips}} c"
-        for name, ok, severity in (
-            ("duration", "dur BETWEEN 12 AND 180", "error"), ("loudness", "-12 - hook / 2 BETWEEN -155e-1 AND -125e-1", "error"), ("true_peak", "payoff - 5 <= -1", "error"),
-            ("dead_air", "clarity / 5 < 12e-1", "error"), ("black", "novelty / 10 < 5e-1", "error"), ("freeze", "pace / 2 < 25e-1", "warn"), ("captions", "n_caption <= 24", "warn"),
-        )
-    ).replace("FROM {clips} c", "FROM (SELECT *, hook * 3 AS n_caption FROM {clips} k) c"),
-    # K3: no failing check that is an error
-    "qc_verdict": "SELECT id, clarity / 5 < 12e-1 AND payoff - 5 <= -1 AND dur BETWEEN 12 AND 180 AS ok FROM {clips} c",
-    # One plan a clip, loudness first
-    "qc_fix_plan": "SELECT id, CASE WHEN -12 - hook / 2 NOT BETWEEN -155e-1 AND -125e-1 THEN 'remaster' WHEN clarity / 5 >= 12e-1 THEN 'loosen' WHEN novelty > 4 THEN 'fit' WHEN fit < 2 THEN 'extend' ELSE 'none' END AS plan FROM {clips} c WHERE status = 'qc_failed'",
+        SELECT id, act, status, CASE WHEN code = 200 AND act = 'approve' THEN 'approved' WHEN code = 200 AND act = 'reject' THEN 'rejected' WHEN code = 200 AND act = 'hook' THEN 'planned' ELSE status END AS next, code,
+          CASE WHEN code = 200 AND act = 'approve' AND status = 'qc_failed' THEN concat('override: ', reason) WHEN code = 200 AND act = 'reject' THEN reason END AS review
+        FROM (SELECT r.*, CASE
+          WHEN act = 'approve' THEN CASE WHEN status = 'ready' OR status = 'qc_failed' AND forced THEN 200 ELSE 409 END
+          WHEN act = 'reject' THEN CASE WHEN reason = '' THEN 400 WHEN status = 'published' THEN 409 ELSE 200 END
+          WHEN act = 'hook' THEN CASE WHEN public THEN 409 WHEN n IS NULL OR n < 0 OR n >= hooks OR n <> floor(n) THEN 400 ELSE 200 END
+          WHEN act = 'title' THEN CASE WHEN reason = '' OR length(reason) > 100 THEN 400 ELSE 200 END
+          WHEN act = 'schedule' THEN CASE WHEN status = 'published' THEN 409 WHEN due IS NULL OR DAYOF(due) IS NOT NULL THEN 200 ELSE 400 END ELSE 404 END AS code FROM {requests} r) x""",
+    # A daily cap from text: blank is 10; what is no number from 0 up is an error
+    "publish_cap": "SELECT id, raw, CASE WHEN trim(raw) = '' THEN 10e0 WHEN TRYD(trim(raw)) >= 0 AND NOT isnan(TRYD(trim(raw))) THEN TRYD(trim(raw)) END AS cap, NOT coalesce(trim(raw) = '' OR TRYD(trim(raw)) >= 0 AND NOT isnan(TRYD(trim(raw))), false) AS error FROM {caps} c",
+    # What to do about a delivered loudness: once more with a lower peak, then never again
+    "master_retry": "SELECT id, CASE WHEN lufs BETWEEN -155e-1 AND -125e-1 AND tp <= -1 THEN 'accept' WHEN NOT retried THEN 'retry' ELSE 'fail' END AS plan, CASE WHEN NOT (lufs BETWEEN -155e-1 AND -125e-1 AND tp <= -1) AND NOT retried THEN -3e0 END AS next_tp FROM {mastered} m",
     # Lengths in bounds, in order
     "clamp_duration": "SELECT id, least(a, b) AS lo, greatest(a, b) AS hi FROM (SELECT id, greatest(12e0, least(180e0, dur)) AS a, greatest(12e0, least(180e0, hours)) AS b FROM {clips} c) x",
     # Timeouts in minutes
     "render_timeouts": "SELECT id, CASE WHEN hook > 0 THEN hook * 6e4 ELSE 9e5 END AS hard_ms, least(payoff * 6e4, CASE WHEN hook > 0 THEN hook * 6e4 ELSE 9e5 END) AS stall_ms FROM {clips} c",
-    # A description of 4,900 characters at most that keeps its attribution; only the body is cut, and marked
+    # A description of 4,900 characters at most; only the body before its last attribution is cut, and marked. An
+    # attribution too long by itself is what stays, from its start
     "clamp_description": """
-        SELECT id, CASE WHEN length(body) + length(a) <= 4900 THEN body || a WHEN length(a) >= 4900 THEN substr(a, 1, 4900) ELSE substr(body, 1, I(4899 - length(a))) || '…' || a END AS description
-        FROM (SELECT doc_id AS id, coalesce(text, '') AS body, coalesce(' | ' || source, '') AS a FROM {documents}) d""",
+        SELECT id, CASE WHEN length(t) <= 4900 THEN t WHEN mark = 0 THEN concat(substr(t, 1, 4899), '…') WHEN length(t) - mark + 1 >= 4900 THEN substr(t, mark, 4900)
+          ELSE concat(substr(t, 1, I(4899 - (length(t) - mark + 1))), '…', substr(t, mark)) END AS description
+        FROM (SELECT id, t, LASTOF(t, concat(chr(10), chr(10), 'From "')) AS mark FROM {descriptions} d) x""",
     # H8: keys of caches
-    "cache_keys": "SELECT doc_id AS id, substr(sha1(coalesce(text, '')), 1, 12) AS h FROM {documents}",
+    "cache_keys": "SELECT doc_id AS id, SHA256(coalesce(text, '')) AS h FROM {documents}",
     # Rows with and without their clip
     "stats_attach": "SELECT l.doc_id AS id, c.id IS NULL AS missing, c.views FROM {labels} l LEFT JOIN {clips} c ON l.doc_id = c.id AND c.hours >= 72",
     # Half up

@@ -35,31 +35,31 @@ OPERATORS = {
         FROM {words} a JOIN (SELECT src, max(s) / 2 AS at FROM {words} y GROUP BY src) x ON a.src = x.src WHERE a.e < x.at + 5e-2 AND a.s >= x.at - 20 GROUP BY a.src""",
     # E3, G3, C1, 2.9 (1-5), E5, E6, D21: the flagship
     "mine_align": """
-        WITH short AS (SELECT src, i, g FROM (
-            SELECT src, i, concat_ws(' ', t, lead(t, 1) OVER w, lead(t, 2) OVER w, lead(t, 3) OVER w, lead(t, 4) OVER w) AS g, lead(t, 4) OVER w AS l FROM {short_tokens} a WINDOW w AS (PARTITION BY src ORDER BY i)) b WHERE l IS NOT NULL),
-        ep AS (SELECT src, i, g FROM (
-            SELECT src, i, concat_ws(' ', t, lead(t, 1) OVER w, lead(t, 2) OVER w, lead(t, 3) OVER w, lead(t, 4) OVER w) AS g, lead(t, 4) OVER w AS l FROM {tokens} a WINDOW w AS (PARTITION BY src ORDER BY i)) b WHERE l IS NOT NULL),
-        known AS (SELECT ep.src, ep.i, ep.g FROM ep JOIN (SELECT DISTINCT g FROM short) k ON ep.g = k.g),
-        rare AS (SELECT src, i, g FROM (SELECT src, i, g, count(*) OVER (PARTITION BY g) AS c FROM known) a WHERE c <= 25),
-        hits AS (SELECT s.src AS short, s.i, e.src AS ep, e.i AS p, e.i - s.i AS o FROM short s JOIN rare e ON s.g = e.g),
+        WITH short AS (SELECT src, i, g FROM {item_shingles} a), ep AS (SELECT src, i, g, wp, wl FROM {doc_shingles} b),
+        known AS (SELECT ep.* FROM ep JOIN (SELECT DISTINCT g FROM short) k ON ep.g = k.g),
+        rare AS (SELECT k.* FROM known k JOIN (SELECT g FROM known GROUP BY g HAVING count(*) <= 25) r ON k.g = r.g),
+        hits AS (SELECT s.src AS short, s.i, e.src AS ep, e.i AS p, e.i - s.i AS o, wp, wl FROM short s JOIN rare e ON s.g = e.g),
         won AS (SELECT short, ep, hits FROM (
             SELECT short, ep, count(*) AS hits, row_number() OVER (PARTITION BY short ORDER BY count(*) DESC, min(i), ep) AS r FROM hits GROUP BY short, ep) a WHERE r = 1 AND hits >= 6),
-        near AS (SELECT h.short, h.ep, w.hits, i, p, o, count(*) OVER (PARTITION BY h.short ORDER BY o RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS support FROM hits h JOIN won w ON h.short = w.short AND h.ep = w.ep),
+        near AS (SELECT h.short, h.ep, w.hits, i, p, o, wp, wl, count(*) OVER (PARTITION BY h.short ORDER BY o RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS support FROM hits h JOIN won w ON h.short = w.short AND h.ep = w.ep),
         best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY short, i ORDER BY support DESC, p) AS r FROM near) a WHERE r = 1),
         cut AS (SELECT *, CASE WHEN abs(o - lag(o) OVER (PARTITION BY short ORDER BY i)) <= 3 AND i - lag(i) OVER (PARTITION BY short ORDER BY i) <= 7 THEN 0 ELSE 1 END AS brk FROM best),
         chain AS (SELECT *, sum(brk) OVER (PARTITION BY short ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c FROM cut),
-        seg AS (SELECT short, ep, hits, c, min(i) AS i0, max(i) + 4 AS i1, min(p) AS lo, ARGMAX(p, -i) AS p0, ARGMAX(p, i) + 4 AS p1 FROM chain GROUP BY short, ep, hits, c HAVING count(*) >= 2),
+        seg AS (SELECT short, ep, hits, c, min(i) AS i0, max(i) + 4 AS i1, ARGMAX(wp, -i) AS w0, ARGMAX(wl, i) AS w1 FROM chain GROUP BY short, ep, hits, c HAVING count(*) >= 2),
         done AS (SELECT *, max(i1) OVER (PARTITION BY short ORDER BY i0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM seg),
-        timed AS (SELECT d.short, d.ep, d.hits, greatest(0, d.i1 - greatest(d.i0, coalesce(d.before + 1, 0)) + 1) AS held, a.s AS s, b.e AS e FROM done d JOIN {tokens} a ON a.src = d.ep AND a.i = d.p0 JOIN {tokens} b ON b.src = d.ep AND b.i = d.p1),
+        timed AS (SELECT d.short, d.ep, d.hits, greatest(0, d.i1 - greatest(d.i0, coalesce(d.before + 1, 0)) + 1) AS held, w0 * 5e-1 + floor(w0 / 37e0) * 15e-1 AS s, w1 * 5e-1 + floor(w1 / 37e0) * 15e-1 + 4e-1 AS e FROM done d),
         size AS (SELECT src, count(*) AS n FROM {short_tokens} a GROUP BY src)
         SELECT short, ep, I(hits) AS hits, count(*) AS segments, R6(sum(held) / (max(n) * 1e0)) AS coverage, R6(min(s)) AS src_start, R6(max(e)) AS src_end
         FROM timed JOIN size ON short = src GROUP BY short, ep, hits HAVING sum(held) / (max(n) * 1e0) >= 25e-2""",
-    # C17, H2: openings (the first 12 words, 6 at least) of held-out items that a text holds, between word boundaries; items have no titles
+    # C17, H2: openings (the first 12 words, 6 at least) of held-out items that a text holds, between word boundaries; items have
+    # no titles. Texts and openings meet in six words, and what follows is compared
     "bench_leaks": """
-        SELECT i.item_id AS item, d.doc_id AS src FROM (SELECT item_id, concat(' ', RX1(trim(STRIP(lower(text), '[^a-z0-9]+', ' ')), '^([a-z0-9]+( [a-z0-9]+){5,11})'), ' ') AS k FROM {benchmark}) i
-        JOIN (SELECT doc_id, concat(' ', trim(STRIP(lower(text), '[^a-z0-9]+', ' ')), ' ') AS n FROM {documents}) d ON contains(n, k) WHERE length(k) > 2""",
-    # Tokens of items; D24 (how many align) isn't built
-    "mine_report": "SELECT count(*) AS items, I(sum(CASE WHEN n >= 30 THEN 1 ELSE 0 END)) AS long_items, I(max(n)) AS most_tokens, R6(avg(n)) AS mean_tokens FROM (SELECT src, count(*) AS n FROM {short_tokens} a GROUP BY src) b",
+        SELECT DISTINCT i.src AS item, d.src AS src FROM (SELECT src, g, tail FROM {item_openings} a WHERE i = 0) i
+        JOIN (SELECT src, g, tail FROM {doc_openings} b) d ON i.g = d.g WHERE substr(concat(d.tail, ' '), 1, length(i.tail) + 1) = concat(i.tail, ' ')""",
+    # How many items are there, have words, align, match nothing, and align with a text whose source is known
+    "mine_report": """
+        SELECT count(*) AS shorts, count(w.src) AS with_subs, count(*) - count(w.src) AS no_subs, count(a.short) AS aligned, count(w.src) - count(a.short) AS no_match, count(d.doc_id) AS with_features, I(coalesce(sum(a.segments), 0)) AS segments
+        FROM {benchmark} b LEFT JOIN (SELECT DISTINCT src FROM {item_tokens} t) w ON b.item_id = w.src LEFT JOIN {aligned} a ON b.item_id = a.short LEFT JOIN (SELECT doc_id FROM {documents} WHERE source IS NOT NULL) d ON a.ep = d.doc_id""",
     # Most characters of a page of text
     "text_longest_turn": "SELECT src, I(max(n)) AS longest, count(*) AS turns FROM {speeches} a GROUP BY src",
     # Exclusive running sum of durations
@@ -78,5 +78,5 @@ OPERATORS = {
               SELECT *, coalesce(lead(s) OVER (PARTITION BY src ORDER BY p), 1e9) AS nx, CASE WHEN RX(lag(w) OVER (PARTITION BY src ORDER BY p), '[.?!,]$') OR s - lag(e) OVER (PARTITION BY src ORDER BY p) > 3e-1 THEN 1 ELSE 0 END AS brk
               FROM {words} a) b) c) d GROUP BY src, seg, sub""",
     # Minutes and seconds in lines of text
-    "text_mmss": "SELECT src, I(id) AS id, concat(STR(I(floor(floor(s + 5e-1) / 60))), ':', lpad(STR(I(floor(s + 5e-1) - floor(floor(s + 5e-1) / 60) * 60)), 2, '0'), ' ', substr(txt, 1, 40)) AS line FROM {sentences} a",
+    "text_mmss": "SELECT src, I(id) AS id, concat(STR(I(floor(floor(s + 5e-1) / 60))), ':', lpad(STR(I(floor(s + 5e-1) - floor(floor(s + 5e-1) / 60) * 60)), 2, '0'), ' ', txt) AS line FROM {sentences} a",
 }

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from spanloom.operators import folds, intervals, learning, ranking, rules, text
+from spanloom.operators import evaluation, folds, intervals, learning, quality, ranking, rules, selection, text
 from spanloom.plans.dialect import Relational
 from spanloom.plans.views import VIEWS
 from spanloom.sources import queries as sources
 
-RELATIONAL: dict[str, Relational] = {k: Relational(v, VIEWS) for m in (text, intervals, ranking, learning, rules) for k, v in m.OPERATORS.items()}
+NAMED = {**VIEWS, **quality.VIEWS, "aligned": text.OPERATORS["mine_align"], "visuals": intervals.OPERATORS["span_visual"], "faceless": intervals.OPERATORS["span_longest_run"], "cut_rates": intervals.OPERATORS["span_cuts"]}
+RELATIONAL: dict[str, Relational] = {k: Relational(v, NAMED) for m in (text, intervals, ranking, learning, rules, quality) for k, v in m.OPERATORS.items()}
 
-QUERIES: dict = {**RELATIONAL, **folds.QUERIES, **sources.QUERIES}
-ORACLE: dict[str, str] = {**{k: q.ansi() for k, q in RELATIONAL.items()}, **folds.ORACLE, **sources.ORACLE}
+OTHERS = (folds, evaluation, selection, sources)
+QUERIES: dict = {**RELATIONAL, **{k: q for m in OTHERS for k, q in m.QUERIES.items()}}
+ORACLE: dict[str, str] = {**{k: q.ansi() for k, q in RELATIONAL.items()}, **{k: q for m in OTHERS for k, q in m.ORACLE.items()}}

@@ -31,6 +31,11 @@ _SPARK = {
     "STDPOP": r"stddev_pop(\1)",
     "TRYD": r"try_cast(\1 AS DOUBLE)",
     "BOOLAND": r"bool_and(\1)",
+    # Numbers of the stretches of a time line that lie between two places, a row for each.
+    "BINS": r"explode(sequence(CAST(floor((\1) / 36e2) AS BIGINT), CAST(floor((\2) / 36e2) AS BIGINT)))",
+    "LASTOF": r"(length(\1) - locate(reverse(\2), reverse(\1)) - length(\2) + 2) * CAST(contains(\1, \2) AS INT)",
+    "SHA256": r"sha2(\1, 256)",
+    "DAYOF": r"try_cast(\1 AS TIMESTAMP)",
 }
 _ANSI = _SPARK | {
     "SECS": r"(epoch_us(\1) / 1e6 - 1704067200e0)",
@@ -46,6 +51,9 @@ _ANSI = _SPARK | {
     "ARGMAX": r"arg_max(\1, \2)",
     "BYTES": r"strlen(\1)",
     "ARR": r"[\1]",
+    "BINS": r"unnest(range(CAST(floor((\1) / 36e2) AS BIGINT), CAST(floor((\2) / 36e2) AS BIGINT) + 1))",
+    "SHA256": r"sha256(\1)",
+    "LASTOF": r"(length(\1) - instr(reverse(\1), reverse(\2)) - length(\2) + 2) * CAST(contains(\1, \2) AS INT)",
 }
 
 
@@ -71,7 +79,7 @@ def _arguments(text: str, at: int) -> tuple[list[str], int]:
 
 
 #: Macros with so many arguments; others take all of them as one.
-_MANY = {"TEXTAGG": 3, "JSONINT": 2, "ARGMAX": 2}
+_MANY = {"TEXTAGG": 3, "JSONINT": 2, "ARGMAX": 2, "BINS": 2, "LASTOF": 2}
 
 
 def _expand(text: str, rules: dict) -> str:
@@ -89,9 +97,30 @@ def _expand(text: str, rules: dict) -> str:
     return text
 
 
-WORDS = {
-    "spark": "(SELECT {0} AS src, p, w FROM {{{1}}} LATERAL VIEW posexplode(filter(split(text, '[ \\\\t\\\\n\\\\r]+'), x -> x <> '')) t AS p, w)",
-    "ansi": "(SELECT {0} AS src, generate_subscripts(ws, 1) - 1 AS p, unnest(ws) AS w FROM (SELECT {0}, list_filter(string_split_regex(text, '[ \\t\\n\\r]+'), lambda x: x <> '') AS ws FROM {1}))",
+_CLEAN = {
+    "spark": "filter(transform(filter(split(text, '[ \\\\t\\\\n\\\\r]+'), x -> x <> ''), (x, p) -> named_struct('p', p, 't', regexp_replace(lower(x), '[^a-z0-9]', ''))), y -> y.t <> '')",
+    "ansi": "list_filter(list_transform(list_filter(string_split_regex(text, '[ \\t\\n\\r]+'), lambda x: x <> ''), lambda x, k: struct_pack(p := k - 1, t := regexp_replace(lower(x), '[^a-z0-9]', '', 'g'))), lambda y: y.t <> '')",
+}
+#: Rows of a text without a shuffle: its words (p, w); its tokens (i, and p, the word's place, t); and its runs of five
+#: tokens (i of the first, g, and wp, wl, the places of the first and last word); and its runs of six words between all that
+#: isn't a letter or digit (g), with twelve or as many as there are (tail).
+INPLACE = {
+    "words": {
+        "spark": "(SELECT {0} AS src, p, w FROM {1} LATERAL VIEW posexplode(filter(split(text, '[ \\\\t\\\\n\\\\r]+'), x -> x <> '')) t AS p, w)",
+        "ansi": "(SELECT {0} AS src, generate_subscripts(ws, 1) - 1 AS p, unnest(ws) AS w FROM (SELECT {0}, list_filter(string_split_regex(text, '[ \\t\\n\\r]+'), lambda x: x <> '') AS ws FROM {1}))",
+    },
+    "tokens": {
+        "spark": f"(SELECT {{0}} AS src, i, y.p AS p, y.t AS t FROM {{1}} LATERAL VIEW posexplode({_CLEAN['spark']}) z AS i, y)",
+        "ansi": f"(SELECT src, i, y.p AS p, y.t AS t FROM (SELECT {{0}} AS src, generate_subscripts(ts, 1) - 1 AS i, unnest(ts) AS y FROM (SELECT {{0}}, {_CLEAN['ansi']} AS ts FROM {{1}})))",
+    },
+    "shingles": {
+        "spark": f"(SELECT src, i, array_join(slice(ts, i + 1, 5).t, ' ') AS g, get(ts, i).p AS wp, get(ts, i + 4).p AS wl FROM (SELECT {{0}} AS src, {_CLEAN['spark']} AS ts FROM {{1}}) LATERAL VIEW explode(CASE WHEN size(ts) >= 5 THEN sequence(0, size(ts) - 5) ELSE array() END) z AS i)",
+        "ansi": f"(SELECT src, i, array_to_string(list_transform(ts[i + 1:i + 5], lambda y: y.t), ' ') AS g, ts[i + 1].p AS wp, ts[i + 5].p AS wl FROM (SELECT src, ts, unnest(range(0, len(ts) - 4)) AS i FROM (SELECT {{0}} AS src, {_CLEAN['ansi']} AS ts FROM {{1}})))",
+    },
+    "openings": {
+        "spark": "(SELECT src, i, array_join(slice(ws, i + 1, 6), ' ') AS g, array_join(slice(ws, i + 1, 12), ' ') AS tail FROM (SELECT {0} AS src, filter(split(lower(text), '[^a-z0-9]+'), x -> x <> '') AS ws FROM {1}) LATERAL VIEW explode(CASE WHEN size(ws) >= 6 THEN sequence(0, size(ws) - 6) ELSE array() END) z AS i)",
+        "ansi": "(SELECT src, i, array_to_string(ws[i + 1:i + 6], ' ') AS g, array_to_string(ws[i + 1:i + 12], ' ') AS tail FROM (SELECT src, ws, unnest(range(0, len(ws) - 5)) AS i FROM (SELECT {0} AS src, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS ws FROM {1})))",
+    },
 }
 
 
@@ -99,10 +128,14 @@ def relations(text: str, views: dict[str, str], engine: str) -> str:
     """Puts the texts of named relations in; tables stay in braces for Spark."""
     while m := re.search(r"\{(\w+)\}", text):
         name = m[1]
-        if name in ("doc_words", "item_words"):
-            new = WORDS[engine].format(*(("doc_id", "documents") if name == "doc_words" else ("item_id", "benchmark"))).replace("{{", "{").replace("}}", "}").replace("{documents}", "\0documents\1").replace("{benchmark}", "\0benchmark\1")
+        of, _, what = name.partition("_")
+        if of in ("doc", "item") and what in INPLACE:
+            key, table = ("doc_id", "documents") if of == "doc" else ("item_id", "benchmark")
+            new = INPLACE[what][engine].replace("{0}", key).replace("{1}", "{" + table + "}")
         elif name in TABLES:
             new = f"\0{name}\1" if engine == "spark" else name
+        elif not views[name].lstrip().startswith(("SELECT", "WITH")):  # a condition
+            new = f"({views[name]})"
         else:
             new = f"({views[name]})"
         text = text[: m.start()] + new + text[m.end() :]

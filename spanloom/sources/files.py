@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _BAD = "_corrupt_record"
 
+# How tools print a number, and the titles, names and units of the figures in a loudness summary.
+_NUMBER = r"(-?[0-9]+(?:\.[0-9]+)?)"
+_SUMMARY = "Summary:"
+_LOUDNESS = ("Integrated loudness", "I", "LUFS")
+_PEAK = ("True peak", "Peak", "dBFS")
+
 
 def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A1: whole JSON documents; a document that does not parse fails the scan. Adds path."""
@@ -81,8 +87,6 @@ def parse_subtitles(docs: DataFrame) -> DataFrame:
     ev = docs.select("src", F.posexplode(F.from_json("json", schema)["events"]).alias("n", "ev"))
     text = F.array_join(F.transform(F.coalesce("ev.segs", F.array()), lambda s: F.coalesce(s["utf8"], F.lit(""))), "")
     ev = ev.filter(F.regexp_replace(text, r"(?U)\s", "") != "").select("src", "n", "ev.*")
-    from pyspark.sql import Window
-
     ev = ev.withColumn("next", F.lead("tStartMs").over(Window.partitionBy("src").orderBy("n")))
     ev = ev.withColumn("until", F.least("next", F.col("tStartMs") + F.coalesce("dDurationMs", F.lit(0.0))))
     seg = ev.select("src", "n", "until", "tStartMs", F.posexplode("segs").alias("k", "g")).filter(F.trim(F.col("g.utf8")) != "")
@@ -120,7 +124,91 @@ def parse_silences(logs: DataFrame) -> DataFrame:
     """Src, log -> src, s, e. An end counts if the mark before it is a start; a last start alone is dropped."""
     marks = F.regexp_extract_all("log", F.lit(r"(silence_(?:start|end): -?[0-9.]+)"), F.lit(1))
     m = logs.select("src", F.posexplode(marks).alias("n", "m")).select("src", "n", F.col("m").contains("start").alias("begin"), F.element_at(F.split("m", " "), -1).cast("double").alias("t"))
-    from pyspark.sql import Window
-
     w = Window.partitionBy("src").orderBy("n")
     return m.withColumn("was", F.lag("begin").over(w)).withColumn("s", F.lag("t").over(w)).filter(~F.col("begin") & F.col("was")).select("src", "s", F.col("t").alias("e"))
+
+
+def parse_intervals(logs: DataFrame, kind: str) -> DataFrame:
+    """Src, log -> src, s, e of kind_start and kind_end marks (black, freeze, silence), paired in order; one too many has no partner."""
+    every = lambda end: F.regexp_extract_all("log", F.lit(rf"{kind}_{end}:\s*{_NUMBER}"), F.lit(1))
+    pairs = F.arrays_zip(every("start").alias("s"), every("end").alias("e"))
+    out = logs.select("src", F.explode(pairs).alias("p")).select("src", F.col("p.s").cast("double").alias("s"), F.col("p.e").cast("double").alias("e"))
+    return out.filter("s is not null and e is not null")
+
+
+def parse_loudnorm(logs: DataFrame) -> DataFrame:
+    """Src, log -> src, input_i, input_tp, input_lra, input_thresh, target_offset of the last {...} block; a log without one is an error."""
+    names = ("input_i", "input_tp", "input_lra", "input_thresh", "target_offset")
+    blocks = F.regexp_extract_all("log", F.lit(r"(\{[^{}]*\})"), F.lit(1))
+    last = F.when(F.size(blocks) > 0, F.element_at(blocks, -1)).otherwise(F.raise_error(F.lit("no JSON block in the log")))
+    j = logs.select("src", F.from_json(last.cast("string"), ", ".join(f"{n} string" for n in names)).alias("j"))
+    return j.select("src", *(F.col(f"j.{n}").try_cast("double").alias(n) for n in names))
+
+
+def parse_ebur128(logs: DataFrame) -> DataFrame:
+    """Src, log -> src, lufs, peak of what follows the last ``Summary:``, or of all without one; missing figures are an error."""
+    lines = F.transform(F.split(F.element_at(F.split("log", _SUMMARY), -1), "\n"), lambda x: F.trim(x))
+
+    def figure(title, name, unit):
+        """The number in the line that follows the title's."""
+        at = F.array_position(lines, f"{title}:")
+        return F.regexp_extract(F.when(at > 0, F.get(lines, at.cast("int"))).otherwise(""), rf"^{name}:\s*{_NUMBER}\s*{unit}", 1)
+
+    i, peak = figure(*_LOUDNESS), figure(*_PEAK)
+    must = lambda c: F.when(c != "", c.try_cast("double")).otherwise(F.raise_error(F.lit("no loudness or true peak in the log")).cast("double"))
+    return logs.select("src", must(i).alias("lufs"), must(peak).alias("peak"))
+
+
+def parse_rates(rows: DataFrame) -> DataFrame:
+    """Src, rate ("30/1", "30000/1001", "25") -> src, fps; without a divisor, or one of 0, the number itself; 0 where there is none."""
+    part = F.split(F.coalesce("rate", F.lit("")), "/")
+    n, d = F.get(part, F.lit(0)).try_cast("double"), F.get(part, F.lit(1)).try_cast("double")
+    return rows.select("src", F.coalesce(F.when(d != 0, n / d).otherwise(n), F.lit(0.0)).alias("fps"))
+
+
+def fresh_listings(entries: DataFrame, now: F.Column, hours: float = 12.0) -> DataFrame:
+    """Url, fetched, complete, entries -> the cached listings that may be used: the newest of a url under ``hours`` old, and none
+    that was enriched in part."""
+    newest = Window.partitionBy("url").orderBy(F.col("fetched").desc())
+    usable = entries.filter("complete").filter((F.unix_micros(now) - F.unix_micros("fetched")) / 3.6e9 < hours)
+    return usable.withColumn("_r", F.row_number().over(newest)).filter("_r = 1").drop("_r")
+
+
+def pick_subtitles(files_: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Id, name of files; ids wanted -> id, name, none: of each id the English subtitles, else the first in a variety of English;
+    ids without any are tombstones (none is true), so they are not asked for again."""
+    english = files_.filter(F.col("name").rlike(r"\.en[^.]*\.json3$"))
+    first = Window.partitionBy("id").orderBy(F.col("name").endswith(".en.json3").desc(), "name")
+    best = english.withColumn("_r", F.row_number().over(first)).filter("_r = 1").select("id", "name")
+    return wanted.select("id").distinct().join(best, "id", "left").withColumn("none", F.col("name").isNull())
+
+
+def cached_words(docs: DataFrame) -> DataFrame:
+    """Src, json (an array of words, or a tombstone) -> src, words; null where it isn't an array."""
+    words = F.from_json("json", "array<struct<w:string,start:double,end:double>>")
+    return docs.select("src", F.when(F.ltrim("json").startswith("["), words).alias("words"))
+
+
+def read_rankings(spark: SparkSession, path: str) -> DataFrame:
+    """rankings/<key>/<episode>.json below path -> key, episodeId, ranked; unreadable ones are skipped, no file at all is an error."""
+    schema = "episodeId string, ranked array<string>, costUsd double, durationMs double"
+    rows = spark.read.schema(f"{schema}, {_BAD} string").option("multiLine", True).option("mode", "PERMISSIVE").json(f"{path}/rankings/*/*.json")
+    key = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    return rows.select(key.alias("key"), "*").filter(F.col(_BAD).isNull() & F.col("episodeId").isNotNull()).drop(_BAD)
+
+
+def report_lines(variants: DataFrame) -> DataFrame:
+    """Key, metric, n, mean, lo, hi -> a table's lines in Markdown, in order (line, text): a row a variant, the base first."""
+    shown = F.when(F.col("n") == 0, F.lit("–")).otherwise(F.format_string("%.2f [%.2f, %.2f]", "mean", "lo", "hi"))
+    names = ("ndcg_pool", "ndcg_all", "precision", "recall", "mrr")
+    wide = variants.groupBy("key").agg(*(F.max(F.when(F.col("metric") == m, shown)).alias(m) for m in names))
+    place = F.row_number().over(Window.orderBy(F.col("key") != "V0", "key")) + 2
+    body = wide.select(place.cast("long").alias("line"), F.concat(F.lit("| "), F.concat_ws(" | ", "key", *(F.coalesce(m, F.lit("–")) for m in names)), F.lit(" |")).alias("text"))
+    spark = variants.sparkSession
+    head = spark.createDataFrame([(1, "| variant | " + " | ".join(names) + " |"), (2, "|---" * 6 + "|")], "line long, text string")
+    return head.unionByName(body)
+
+
+def write_text(lines: DataFrame, path: str) -> None:
+    """The lines in order, as one file of text."""
+    lines.orderBy("line").select("text").coalesce(1).write.mode("overwrite").text(path)
