@@ -28,8 +28,8 @@ def test_merge_short(spark):
 
 
 def test_caption_words_glue_and_markers(spark):
-    df = spark.createDataFrame([(1, 0, " thun", 0.0, 1.0), (1, 1, "der", 1.0, 2.0), (1, 2, "[MUSIC]", 2.0, 3.0), (1, 3, " on", 3.0, 4.0)], "src long, i long, t string, s double, e double")
-    assert [r[1] for r in rows(folds.caption_words(df))] == ["thunder", "on"]
+    df = spark.createDataFrame([(1, 0, " hand", 0.0, 1.0), (1, 1, "ful", 1.0, 2.0), (1, 2, "[MUSIC]", 2.0, 3.0), (1, 3, " on", 3.0, 4.0)], "src long, i long, t string, s double, e double")
+    assert [r[1] for r in rows(folds.caption_words(df))] == ["handful", "on"]
 
 
 def test_windows_step_from_sentence_to_sentence(spark):

@@ -72,8 +72,9 @@ def test_descriptions_are_cut_over_4900_characters_only_and_in_the_body(spark, t
     docs = [(1, "a" * 81, "web"), (2, "b" * 4894, "web"), (3, "c" * 4895, "web"), (4, "d" * 20000, "web"), (5, "e", "s" * 5000), (6, "f", None)]
     spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.id: r.description for r in catalog.QUERIES["clamp_description"](spark, str(tmp_path)).collect()}
-    cut = {k: f"{c * 4893}… | web" for k, c in ((3, "c"), (4, "d"))}
-    assert got == {1: "a" * 81 + " | web", 2: "b" * 4894 + " | web", 5: " | " + "s" * 4897, 6: "f", **cut}
+    web, long = '\n\nFrom "web"', '\n\nFrom "' + "s" * 5000 + '"'
+    cut = {k: f"{c * (4899 - len(web))}…{web}" for k, c in ((2, "b"), (3, "c"), (4, "d"))}
+    assert got == {1: "a" * 81 + web, 5: long[:4900], 6: "f", **cut}
 
 
 def test_hooks_over_70_characters_go_and_none_is_cut(spark, tmp_path):
