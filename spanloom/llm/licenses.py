@@ -2,41 +2,25 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .license_texts import BASE, PASSAGES, PHRASES
 from .native import folded, same_row, with_row, words
 
-# Phrases whose places count, and the label of each.
-BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-# Further phrases and passages of well-known license texts, in words, and the label of each.
-PHRASES = {
-    "creative commons": "cc",
-    "cc by nc": "cc-by-nc",
-    "cc by sa": "cc-by-sa",
-    "mozilla public license": "mpl",
-    "lesser general public license": "lgpl",
-    "bsd license": "bsd",
-    "all rights reserved": "reserved",
-}
-PASSAGES = {
-    "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
-    "apache": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at",
-    "gpl": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
-    "mpl": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at",
-    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
-}
 SHORT, LONG = 2, 5
 
 
 def _grams(spark) -> DataFrame:
-    """hash, k, gram, template, label, base, tpos, grams (of the template): a few hundred rows, fixed."""
+    """hash, k, gram, template, label, base, tpos, grams (of the template): some two thousand rows, fixed."""
     rows = []
-    for kind, k, texts in (("base", SHORT, BASE), ("phrase", SHORT, PHRASES), ("passage", LONG, {t: x for x, t in PASSAGES.items()})):
-        for text, label in texts.items():
-            w = text.split()
-            rows += [(kind, label, f"{kind}:{text[:60]}", k, w[i : i + k], i, len(w) - k + 1) for i in range(len(w) - k + 1)]
+    texts = [("base", SHORT, label, text, text) for text, label in BASE.items()] + [("phrase", SHORT, label, text, text) for text, label in PHRASES.items()]
+    texts += [("passage", LONG, label, f"{label} {name}", text) for label, name, text in PASSAGES]
+    for kind, k, label, name, text in texts:
+        w = re.findall(r"[a-z0-9]+", text.lower())
+        rows += [(kind, label, f"{kind}:{name}", k, w[i : i + k], i, len(w) - k + 1) for i in range(len(w) - k + 1)]
     table = spark.createDataFrame(rows, "kind string, label string, template string, k int, gram array<string>, tpos int, grams int")
     return table.withColumn("hash", F.when(F.col("k") == SHORT, _hash("gram", SHORT)).otherwise(_hash("gram", LONG)))
 
@@ -54,7 +38,8 @@ def scan_licenses(docs: DataFrame, neighbours: int = 6, least_share: float = 0.6
     or left out does not cut it. A phrase's span is one diagonal that holds all of its grams; a passage
     must hold ``least_share`` of its grams. spans: template, first and last word, share of grams.
 
-    A null or empty text has no words, places or labels and score 0. Repeated rows get equal results."""
+    A null or empty text has no words, places or labels and score 0; a very long text is read whole, its grams as rows.
+    Repeated rows get equal results. An empty table gives none."""
     d = with_row(docs)
     w = d.select("doc_id", "row", words(folded(F.col("text"))).alias("w"))
     w = w.withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))

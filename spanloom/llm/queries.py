@@ -12,7 +12,7 @@ from .decontaminate import contamination
 from .licenses import scan_licenses
 from .mixing import by_labels, mix
 from .sharding import shard
-from .spotsigs import fingerprints
+from .spotsigs import fingerprints, near_classes
 from .substring import remove_repeated_windows
 from .suffixes import remove_repeated_bytes
 from .toxicity import toxicity
@@ -40,6 +40,11 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(read(spark, sf_dir, "documents"))
 
 
+def spot_near_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The join of op4's operator: partitioned by set length, compared through pruned Jaccard."""
+    return near_classes(read(spark, sf_dir, "documents"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NearCopies(shingle=3, num=85, den=100).run(read(spark, sf_dir, "documents"))
 
@@ -76,6 +81,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_license_scan, op2_toxicity, op3_decontamination, op4_fingerprints, op5_near_dedup,
         op6_suffix_array_dedup, op7_chat_format, op8_mixing, op9_sharding, op10_substring_dedup,
+        spot_near_classes,
     )
 }
 

@@ -109,20 +109,34 @@ def near_pairs(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, Data
     """(pairs, members): pairs of classes (a, b, likeness) at or over the threshold, and each doc_id's class.
 
     A class is the documents of one fingerprint, named by its smallest doc_id, so copies give no pairs.
-    Classes are filed under the partitions of set length that a partner can lie in and under the first
-    signatures of their order (as many as a partner at the threshold can't all miss), and compared by
-    full Jaccard where their lengths allow the threshold at all. Texts without signatures pair with none."""
+    A class's signatures are ordered by how many classes have them, the rarest first; it is filed under the first of
+    them (as many as a partner at the threshold can't all miss) and the partitions of set length that a partner can lie
+    in, so what a common passage leaves in many texts brings few of them together. Filed classes whose lengths allow the
+    threshold are compared by full Jaccard.
+
+    Texts without signatures pair with none, rows without doc_id are left out, a doc_id that repeats with other texts
+    is a member of several classes. No rows give none."""
     t = F.lit(threshold)
     own = with_signatures(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter("doc_id is not null"), "text", "sigs")
-    own = durable(own.select("doc_id", "sigs", F.size("sigs").alias("n")))
-    classes = durable(own.groupBy("sigs", "n").agg(F.min("doc_id").alias("id")))
-    members = own.join(classes, ["sigs", "n"]).select("doc_id", F.col("id").alias("class_id"))
+    own = durable(own.select("doc_id", "sigs").distinct())
+    classes = durable(own.groupBy("sigs").agg(F.min("doc_id").alias("first")).withColumn("id", F.monotonically_increasing_id()).withColumn("n", F.size("sigs")))
+    members = own.join(classes.select("sigs", "first"), "sigs").select("doc_id", F.col("first").alias("class_id"))
+    each = classes.select("id", "n", F.explode("sigs").alias("sig"))
+    order = each.join(each.groupBy("sig").agg(F.count("*").alias("df")), "sig").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "sig"))).alias("s"))
+    head = F.slice("s", F.lit(1), F.col("n") - F.ceil(t * F.col("n") - 1e-9).cast("int") + 1)
+    filed = order.select("id", "n", F.explode(head).alias("h")).select("id", "n", F.col("h.sig").alias("sig"))
     part = lambda x: F.floor(F.log(x) / -F.log(t))
-    head = F.slice("sigs", F.lit(1), F.col("n") - F.ceil(t * F.col("n") - 1e-9).cast("int") + 1)
-    filed = classes.filter("n > 0").select("id", "n", F.explode(head).alias("sig"))
     left = filed.select(F.col("id").alias("a"), F.col("n").alias("na"), "sig", part(F.col("n")).alias("p"))
-    right = filed.select(F.col("id").alias("b"), F.col("n").alias("nb"), "sig", F.explode(F.array(part(F.col("n")) - 1, part(F.col("n")), part(F.col("n")) + 1)).alias("p"))
+    right = filed.select(F.col("id").alias("b"), F.col("n").alias("nb"), "sig", F.explode(F.array(*(part(F.col("n")) + k for k in (-1, 0, 1)))).alias("p"))
     lengths = F.least("na", "nb") >= t * F.greatest("na", "nb") - 1e-9
     pairs = left.join(right, ["sig", "p"]).filter((F.col("a") < F.col("b")) & lengths).select("a", "b").distinct()
-    pairs = pairs.join(classes.select(F.col("id").alias("a"), F.col("sigs").alias("x")), "a").join(classes.select(F.col("id").alias("b"), F.col("sigs").alias("y")), "b")
-    return pairs.select("a", "b", likeness("x", "y").alias("likeness")).filter(F.col("likeness") >= threshold - 1e-9), members
+    side = lambda k, sigs: classes.select(F.col("id").alias(k), F.col("first").alias(f"{k}_first"), F.col("sigs").alias(sigs))
+    pairs = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").withColumn("likeness", likeness("x", "y")).filter(F.col("likeness") >= threshold - 1e-9)
+    return pairs.select(F.least("a_first", "b_first").alias("a"), F.greatest("a_first", "b_first").alias("b"), "likeness"), members
+
+
+def near_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """doc_id, class_id (the smallest doc_id of the same fingerprint), n_links (classes that are like it) of each document that has an id."""
+    pairs, members = near_pairs(docs, threshold)
+    ends = pairs.select(F.col("a").alias("class_id")).unionByName(pairs.select(F.col("b").alias("class_id")))
+    return members.join(ends.groupBy("class_id").agg(F.count("*").alias("n_links")), "class_id", "left").select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
