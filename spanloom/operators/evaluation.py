@@ -7,9 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanloom.functions.prng import stream
 from spanloom.operators import folds
-from spanloom.operators.folds import _ansi, _view, six
+from spanloom.operators.folds import _ansi, _view, intervals, six
 
 METRICS = ("ndcg_pool", "ndcg_all", "precision", "recall", "mrr")
 BASE = "V0"
@@ -50,40 +49,6 @@ def _ideal(gains: DataFrame, by: list[str], k: int, name: str) -> DataFrame:
     return r.filter(F.col("r") <= k).groupBy(*by).agg(F.sum(F.col("gain") / F.log2(F.col("r") + 1)).alias(name))
 
 
-def intervals(values: DataFrame, by: list[str], runs: int = 10000, seed: int = 1) -> DataFrame:
-    """values: by, src, x. by, n, mean, lo, hi: the mean of x over sources in order, and the 2.5 and 97.5 percent places
-    of so many resampled means, widened to hold the mean. Nulls are skipped; a group of nulls has n 0 and null figures.
-
-    Every group draws from the start of the seed's stream. A group is one row: the figures of an episode each."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.when(F.col("x").isNotNull(), F.struct("src", "x")))), lambda v: v["x"])
-    per = values.groupBy(*by).agg(ordered.alias("xs"))
-
-    def kernel(frames):
-        for frame in frames:
-            out = frame[by].copy()
-            found = [resampled(np.asarray(xs, float), runs, seed) for xs in frame["xs"]]
-            for c, name in enumerate(("n", "mean", "lo", "hi")):
-                out[name] = [f[c] for f in found]
-            yield out
-
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in per.schema.fields[:-1])
-    out = per.mapInPandas(kernel, f"{kinds}, n long, mean double, lo double, hi double")
-    return out.select(*by, "n", *(six(F.col(c)).alias(c) for c in ("mean", "lo", "hi")))
-
-
-def resampled(x: np.ndarray, runs: int, seed: int, block: int = 4_000_000) -> tuple:
-    n = len(x)
-    if not n:
-        return 0, None, None, None
-    step, means = max(1, block // n), []
-    for r in range(0, runs, step):
-        m = min(step, runs - r)
-        means.append(x[np.floor(stream(seed, r * n + 1, m * n) * n).astype(np.int64)].reshape(m, n).mean(1))
-    means, mean = np.sort(np.concatenate(means)), float(x.mean())
-    lo, hi = means[runs * 25 // 1000], means[max(0, -(-runs * 975 // 1000) - 1)]
-    return n, mean, min(float(lo), mean), max(float(hi), mean)
-
-
 def paired(a: DataFrame, b: DataFrame) -> DataFrame:
     """a, b: src, x. src, x: differences where both have a value. Episodes that only one of them was scored on are an error."""
     both = a.select("src", F.col("x").alias("a"), F.lit(1).alias("_a")).join(b.select("src", F.col("x").alias("b"), F.lit(1).alias("_b")), "src", "full")
@@ -135,11 +100,6 @@ def comparisons(metrics: DataFrame, runs: DataFrame, young: DataFrame, dear: flo
     return own.withColumn("promote", F.expr(" and ".join(checks)))
 
 
-def spearman(x: np.ndarray, y: np.ndarray) -> float:
-    a, b = (pd.Series(v).rank().to_numpy() for v in (x, y))
-    return float(np.corrcoef(a, b)[0, 1]) if a.std() and b.std() else 0.0
-
-
 GRID = (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0)
 
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanloom.functions.prng import draw, stream
+from spanloom.functions.prng import stream
 from spanloom.plans.dialect import Relational
 from spanloom.plans.views import VIEWS
 
@@ -91,20 +91,45 @@ def shots(series: DataFrame, floor: float = 14.0, times: float = 4.0, least: flo
     return per.select("src", F.explode(fold).alias("id"))
 
 
+def resampled(x: np.ndarray, runs: int, seed: int, block: int = 4_000_000) -> tuple:
+    """n, mean, lo, hi of an array: draw it * n + i + 1 of the seed decides item i of run it, and runs are made in blocks."""
+    n = len(x)
+    if not n:
+        return 0, None, None, None
+    step, means = max(1, block // n), []
+    for r in range(0, runs, step):
+        m = min(step, runs - r)
+        means.append(x[np.floor(stream(seed, r * n + 1, m * n) * n).astype(np.int64)].reshape(m, n).mean(1))
+    means, mean = np.sort(np.concatenate(means)), float(x.mean())
+    lo, hi = means[runs * 25 // 1000], means[max(0, -(-runs * 975 // 1000) - 1)]
+    return n, mean, min(float(lo), mean), max(float(hi), mean)
+
+
+def intervals(values: DataFrame, by: list[str], runs: int = 10000, seed: int = 1) -> DataFrame:
+    """values: by, src, x. by, n, mean, lo, hi: the mean of x over sources in order, and the 2.5 and 97.5 percent places
+    of so many resampled means, widened to hold the mean. Nulls are skipped; a group of nulls has n 0 and null figures.
+
+    Every group draws from the start of the seed's stream. A group is one row, a number an episode; its resamples
+    are made and averaged where it is, so none of them is shuffled."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.when(F.col("x").isNotNull(), F.struct("src", "x")))), lambda v: v["x"])
+    per = values.groupBy(*by).agg(ordered.alias("xs"))
+
+    def kernel(frames):
+        for frame in frames:
+            out = frame[by].copy()
+            found = [resampled(np.asarray(xs, float), runs, seed) for xs in frame["xs"]]
+            for c, name in enumerate(("n", "mean", "lo", "hi")):
+                out[name] = [f[c] for f in found]
+            yield out
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in per.schema.fields[:-1])
+    out = per.mapInPandas(kernel, f"{kinds}, n long, mean double, lo double, hi double")
+    return out.select(*by, "n", *(six(F.col(c)).alias(c) for c in ("mean", "lo", "hi")))
+
+
 def bootstrap(values: DataFrame, runs: int = 10000, seed: int = 1) -> DataFrame:
-    """values: i (from 0 without gaps), x. n, mean, lo, hi: the mean and the 2.5 and 97.5 percent places of so many resampled means.
-
-    Draw it * n + i + 1 of the seed decides, so no draw waits for another."""
-    n = values.agg(F.count("*").alias("n"), F.avg("x").alias("mean"))
-    its = values.sparkSession.range(runs).withColumnRenamed("id", "it")
-    picks = its.join(F.broadcast(n)).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    picks = picks.select("it", F.floor(draw(seed, F.col("it") * F.col("n") + F.col("k") + 1) * F.col("n")).alias("i"))
-    means = picks.join(values, "i").groupBy("it").agg(F.avg("x").alias("m"))
-    r = means.select(F.col("m"), F.row_number().over(Window.orderBy("m")).alias("r"))
-    lo, hi = int(0.025 * runs) + 1, max(0, -(-975 * runs // 1000) - 1) + 1
-    return r.agg(F.min(F.when(F.col("r") == lo, F.col("m"))).alias("a"), F.min(F.when(F.col("r") == hi, F.col("m"))).alias("b")).join(F.broadcast(n)).select(
-        "n", six(F.col("mean")).alias("mean"), six(F.least("a", "mean")).alias("lo"), six(F.greatest("b", "mean")).alias("hi")
-    )
+    """values: i (in order), x. n, mean, lo, hi of one group of values, as in intervals()."""
+    return intervals(values.select(F.lit(0).alias("k"), F.col("i").alias("src"), "x"), ["k"], runs, seed).drop("k")
 
 
 def pieces_from_cuts(ranges: DataFrame, cuts: DataFrame, keep: float = 0.075) -> DataFrame:
@@ -283,8 +308,8 @@ def _shown(spark, sf_dir):
 
 
 def _sources_mean(spark, sf_dir):
-    s = _view("candidates", spark, sf_dir).groupBy("src").agg(F.avg("score").alias("x"))
-    return s.select(F.row_number().over(Window.orderBy("src")).cast("long").alias("i"), six(F.col("x")).alias("x")).withColumn("i", F.col("i") - 1)
+    """The mean score of each source, sources in order."""
+    return _view("candidates", spark, sf_dir).groupBy(F.col("src").alias("i")).agg(six(F.avg("score")).alias("x"))
 
 
 QUERIES = {

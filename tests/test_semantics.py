@@ -188,7 +188,7 @@ def sequential(seed):
 def test_intervals_equal_resampling_one_by_one(spark):
     x = [0.1, 0.7, 0.4, 0.9]
     df = spark.createDataFrame([("a", k, v) for k, v in enumerate(x)] + [("b", k, 0.5) for k in range(3)] + [("a", 9, None), ("c", 1, None)], "key string, src long, x double")
-    got = {r.key: r for r in evaluation.intervals(df, ["key"], runs=400).collect()}
+    got = {r.key: r for r in folds.intervals(df, ["key"], runs=400).collect()}
     draws = sequential(1)
     means = sorted(sum(x[int(next(draws) * 4)] for _ in range(4)) / 4 for _ in range(400))
     assert abs(got["a"].lo - means[10]) < 2e-6 and abs(got["a"].hi - means[389]) < 2e-6 and got["a"].n == 4 and abs(got["a"].mean - 0.525) < 2e-6
