@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from spanloom.operators import folds
 from spanloom.operators.folds import _ansi, _view, intervals, six
 
-METRICS = ("ndcg_pool", "ndcg_all", "precision", "recall", "mrr")
+METRICS = ("ndcg_pool", "ndcg_all", "precision", "recall", "mrr", "pool_recall")
 BASE = "V0"
 
 
@@ -186,7 +186,7 @@ def _random(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "bench_metrics": _metrics,  # I1-I4, D23
-    "bench_variants": lambda s, d: variants(_metrics(s, d), _view("runs", s, d)),  # D30, D27
+    "bench_variants": lambda s, d: variants(_metrics(s, d), _view("runs", s, d)),  # D30, D27, D26
     "bench_variants_random": lambda s, d: variants(_metrics(s, d).filter("key = 'V0'"), _view("runs", s, d), _random(s, d)),  # D30 with I5
     "bench_comparisons": lambda s, d: comparisons(_metrics(s, d), _view("runs", s, d), _view("young", s, d)),  # I7, I10, I11, I14
     "bench_weights": lambda s, d: fit_weights(_view("pool_signals", s, d), _view("matches", s, d), _view("graded", s, d)),  # I8

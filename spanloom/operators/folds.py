@@ -174,27 +174,18 @@ def place_words(words: DataFrame, pieces: DataFrame, within: float = 0.6) -> Dat
 
 
 def merge_short(pieces: DataFrame, least: float = 0.5) -> DataFrame:
-    """src, s, e: pieces shorter than ``least`` join the touching piece before, else the one after, again and again; lone ones stay."""
+    """src, s, e: pieces shorter than ``least`` join the touching piece before, else the one after, again and again; lone ones stay.
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        xs = [list(x) for x in frame.sort_values("s")[["s", "e"]].itertuples(index=False)]
-        again = True
-        while again:
-            again = False
-            for i, (s, e) in enumerate(xs):
-                if e - s < least:
-                    if i and abs(xs[i - 1][1] - s) < 1e-9:
-                        xs[i - 1][1] = e
-                    elif i + 1 < len(xs) and abs(xs[i + 1][0] - e) < 1e-9:
-                        xs[i + 1][0] = s
-                    else:
-                        continue
-                    del xs[i]
-                    again = True
-                    break
-        return pd.DataFrame({"src": frame["src"].iloc[0], "s": [x[0] for x in xs], "e": [x[1] for x in xs]})
-
-    return pieces.select("src", "s", "e").groupBy("src").applyInPandas(one, "src long, s double, e double")
+    A run of touching pieces is a row's array. A short piece joins what is before it in the run; what is short at the run's
+    beginning takes in those after it until it is long enough. So one pass does what repeated merging does."""
+    line = Window.partitionBy("src").orderBy("s", "e")
+    apart = F.coalesce((F.abs(F.col("s") - F.lag("e").over(line)) >= 1e-9).cast("int"), F.lit(1))
+    runs = pieces.select("src", "s", "e").withColumn("_n", apart).withColumn("_g", F.sum("_n").over(line)).groupBy("src", "_g").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("xs"))
+    start = "cast(array() as array<struct<s:double,e:double>>)"
+    last = "element_at(out, -1)"
+    joins = f"size(out) > 0 and (x.e - x.s < {least}D or size(out) = 1 and {last}.e - {last}.s < {least}D)"
+    fold = F.expr(f"aggregate(xs, {start}, (out, x) -> if({joins}, array_append(slice(out, 1, size(out) - 1), named_struct('s', {last}.s, 'e', x.e)), array_append(out, x)))")
+    return runs.select("src", F.explode(fold).alias("k")).select("src", "k.s", "k.e")
 
 
 def caption_words(tokens: DataFrame) -> DataFrame:

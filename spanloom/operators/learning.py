@@ -25,7 +25,7 @@ OPERATORS = {
         FROM {buckets} b WHERE n >= 5 AND abs(mean_y) >= 3e-1""",
     "learn_latest": "SELECT src, ARGMAX(id, s) AS id, R6(max(s)) AS s FROM {spans} a GROUP BY src",  # E8
     # the last 20 reviews
-    "learn_reviews": "SELECT creator, id, CASE WHEN quality = 1 THEN 1 ELSE -1 END * 1e0 AS y FROM (SELECT *, row_number() OVER (PARTITION BY creator ORDER BY id DESC) AS r FROM {clips} c) a WHERE r <= 20",
+    "learn_reviews": "SELECT creator, id, CASE WHEN quality = 1 THEN 1 ELSE -1 END * 1e0 AS y FROM (SELECT *, row_number() OVER (PARTITION BY creator ORDER BY hours, id DESC) AS r FROM {clips} c) a WHERE r <= 20",
     # Flags of several segments of one item
     "learn_segment_flags": """
         SELECT src, count(*) AS n, R6(max(e) - min(s)) AS span, max(e) - min(s) - sum(e - s) > 2 OR count(*) >= 3 AS tightened, max(CASE WHEN r = 1 THEN s END) > max(CASE WHEN r = 2 THEN s END) + 1 AS cold_open FROM (

@@ -46,10 +46,14 @@ OPERATORS = {
           FROM {credited} s) z GROUP BY signal""",
     # One row a source, a column a variant
     "bench_matrix": "SELECT src, " + ", ".join(f"R6(avg(CASE WHEN kind = '{k}' THEN score END)) AS m_{k}" for k in ("click", "error", "purchase", "signup", "view")) + " FROM {spans} s GROUP BY src",
-    # Moments of a source with grades and count
-    "bench_dataset": "SELECT g.src, fold, count(*) AS moments, I(sum(CASE WHEN grade = 3 THEN 1 ELSE 0 END)) AS top_grade FROM {graded} g JOIN {folds} f ON g.src = f.src GROUP BY g.src, fold",
-    # I16: spend as long as what went before is under the cap
-    "bench_budget": "SELECT src, id FROM (SELECT src, id, coalesce(sum(score) OVER (PARTITION BY src ORDER BY s, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS spent FROM {candidates} c) a WHERE spent < 100",
+    # Moments of a source with grades, its fold, and whether it is young
+    "bench_dataset": """
+        SELECT g.src, fold, young, count(*) AS moments, I(sum(CASE WHEN grade = 3 THEN 1 ELSE 0 END)) AS top_grade, I(sum(CASE WHEN perf IS NULL THEN 1 ELSE 0 END)) AS without_perf FROM {graded} g JOIN {folds} f ON g.src = f.src
+        LEFT JOIN {young} y ON g.src = y.src GROUP BY g.src, fold, young""",
+    # I16: calls go on as long as what went before is under the cap; cached ones cost nothing and always go on
+    "bench_budget": """
+        SELECT purpose, id, R6(spent) AS spent, cached FROM (SELECT purpose, id, cached, coalesce(sum(CASE WHEN cached THEN 0e0 ELSE cost END) OVER (PARTITION BY purpose ORDER BY since, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS spent FROM {ledger} l) a
+        WHERE cached OR spent < 100""",
     # Figures of the pools
     "bench_pools": "SELECT R6(avg(n)) AS mean_size, R6(sum(total)) AS score, R6(avg(dur)) AS dur FROM (SELECT src, count(*) * 1e0 AS n, sum(score) AS total, sum(e - s) AS dur FROM {ranked} r WHERE pos <= 25 GROUP BY src) a",
     # What was proposed twice; selection.assert_unique fails on it

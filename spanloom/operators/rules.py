@@ -10,8 +10,8 @@ OPERATORS = {
     "clip_status_counts": """
         SELECT s.status, coalesce(n, 0) AS n FROM (SELECT 'planned' AS status UNION ALL SELECT 'rendered' UNION ALL SELECT 'qc_failed' UNION ALL SELECT 'ready' UNION ALL SELECT 'approved' UNION ALL SELECT 'rejected' UNION ALL SELECT 'published' UNION ALL SELECT 'all') s
         LEFT JOIN (SELECT coalesce(status, 'all') AS status, count(*) AS n FROM {clips} c GROUP BY GROUPING SETS ((status), ())) k ON s.status = k.status""",
-    # Clips of one status, newest first
-    "clip_list": "SELECT id, status, I(row_number() OVER (ORDER BY id DESC)) AS place FROM {clips} c WHERE status = 'ready'",
+    # Clips of one status, the oldest first
+    "clip_list": "SELECT id, status, hours AS age FROM {clips} c WHERE status = 'ready' ORDER BY hours DESC, id",
     # B1: the columns that a list needs
     "clip_api": "SELECT c.id, c.status, c.creator, d.n_chars, coalesce(d.text, '') AS title FROM {clips} c LEFT JOIN {documents} d ON c.id = d.doc_id",
     # Who may be published, and why others may not: public ones, not approved ones, QC without override, the daily cap

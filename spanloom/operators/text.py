@@ -68,8 +68,10 @@ OPERATORS = {
     "text_frames": """
         SELECT src, p, f0, f1 FROM (SELECT src, p, I(floor((c - n) / 75e0 * 30 + 5e-1)) AS f0, I(floor(c / 75e0 * 30 + 5e-1)) AS f1 FROM (
           SELECT src, p, n, sum(n) OVER (PARTITION BY src ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c FROM {speeches} a) b) d WHERE f1 > f0""",
-    # A prefix by running length, the piece across the limit cut
-    "text_truncate": "SELECT src, p, I(least(n, 600 - c)) AS n FROM (SELECT src, p, n, coalesce(sum(n) OVER (PARTITION BY src ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM {speeches} a) b WHERE c < 600",
+    # What fits into 600: whole pieces, the one across the limit cut, and of each that stays when it begins and ends
+    "text_truncate": "SELECT src, p, I(least(n, 600 - c)) AS n, I(c) AS s, I(least(c + n, 600)) AS e FROM (SELECT src, p, n, coalesce(sum(n) OVER (PARTITION BY src ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM {speeches} a) b WHERE c < 600",
+    # Captions that begin before the cut, their ends cut with it
+    "text_truncate_captions": "SELECT src, p, R6(s) AS s, R6(least(e, 6e1)) AS e FROM {words} a WHERE s < 6e1",
     # Pages of three words that end punctuation or a gap over .3 s closes
     "text_caption_pages": """
         SELECT src, seg, sub, min(p) AS p0, max(p) AS p1, TEXTAGG(w, p, ' ') AS txt, R6(least(max(e) + 4e-1, max(nx))) AS until FROM (

@@ -223,7 +223,7 @@ def test_variants_with_a_random_order(spark):
     r = folds.random_baseline(rankings, matches, graded.filter("src = 1"), runs=50).withColumn("key", F.lit("B-rand"))
     runs = spark.createDataFrame([("V0", 1, 2.0, 3.0)], "key string, src long, cost double, ms double")
     got = {(x.key, x.metric): x for x in evaluation.variants(m, runs, r).collect()}
-    assert len(got) == 10 and got["V0", "mrr"].mean == 0.5 and got["V0", "mrr"].cost == 2.0 and got["B-rand", "mrr"].cost == 0.0
+    assert len(got) == 12 and got["V0", "mrr"].mean == 0.5 and abs(got["V0", "pool_recall"].mean - 2 / 3) < 2e-6 and got["V0", "mrr"].cost == 2.0 and got["B-rand", "mrr"].cost == 0.0
 
 
 def test_weights_are_learned_where_a_signal_tells(spark):
