@@ -41,7 +41,7 @@ def _agree(x: str, at: str, y: str, to: str, n: int, step: int) -> Column:
     )
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, block_rows: int = 100_000, by_text: bool = False) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, block_rows: int = 100_000, by_text: bool = False, scans: int = 8) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each row of docs; by_text: and row, the text's hash as in with_row.
 
     A word of a document is hit if any ``window`` consecutive words of an item that cover it occur there;
@@ -51,7 +51,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     window that they share brings a fingerprint that they share, at the same place in it. A hit is
     extended over the words around it as far as windows with this fingerprint reach. Fingerprints of
     items are broadcast in blocks of ``block_rows``, so what is broadcast is bounded however large the
-    benchmark is; documents are read once for each block and never shuffled.
+    benchmark is; documents are read once for each block and not shuffled. A benchmark of more than ``scans`` blocks
+    is joined by a shuffle of fingerprints instead, and the words are fetched for hits alone: the same hits.
 
     Null and empty texts have no words and hit nothing. Items that repeat an item_id count once; an
     item without item_id hits words but is not counted. Repeated rows of docs get equal results."""
@@ -75,9 +76,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     short = items.filter(F.size("h") < window).select(F.size("h").alias("n"), "item", "iw").distinct()
     lengths = sorted(r.n for r in short.select("n").distinct().collect())
 
+    def met(at, table: DataFrame) -> list[DataFrame]:
+        """Rows of at("doc_id", "row", ..., "w") that share a fingerprint with the table's, with their document's words."""
+        parts = _blocks(table, block_rows)
+        if len(parts) <= scans:
+            return [at("doc_id", "row", "w").join(F.broadcast(part), "fp") for part in parts]
+        own = w.select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row"), "w").dropDuplicates(["_doc", "_row"])
+        hit = at("doc_id", "row").join(table, "fp")
+        return [hit.join(own, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("row") == F.col("_row"))).drop("_doc", "_row")]
+
     found = []
-    for part in _blocks(prints, block_rows):
-        hit = windows(w, "doc_id", "row", "w").join(F.broadcast(part), "fp")
+    for hit in met(lambda *keep: windows(w, *keep), prints):
         hit = hit.select(
             "doc_id", "row", "item", "p", "near", "q",
             F.expr(f"slice(w, greatest(p - {left}, 0) + 1, least(p, {left}) + {right})").alias("here"), F.expr(f"least(p, {left})").alias("c"),
@@ -89,9 +98,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     for n in lengths:
         whole = F.xxhash64(*[F.expr(f"get(h, p + {k})") for k in range(n)]).alias("fp")
         mine = short.filter(F.col("n") == n).select(F.xxhash64(*[F.expr(f"xxhash64(get(iw, {k}))") for k in range(n)]).alias("fp"), "item", "iw")
-        for part in _blocks(mine, block_rows):
-            at = w.filter(F.size("h") >= n).select("doc_id", "row", "w", "h", F.posexplode("h").alias("p", "_")).filter(F.col("p") <= F.size("h") - n)
-            hit = at.select("doc_id", "row", "w", "p", whole).join(F.broadcast(part), "fp")
+
+        def places_of(*keep: str, n: int = n, whole=whole) -> DataFrame:
+            at = w.filter(F.size("h") >= n).select(*keep, "h", F.posexplode("h").alias("p", "_")).filter(F.col("p") <= F.size("h") - n)
+            return at.select(*keep, "p", whole)
+
+        for hit in met(places_of, mine):
             hit = hit.filter(F.slice("w", F.col("p") + 1, n) == F.col("iw"))
             found.append(hit.select("doc_id", "row", "item", F.col("p").alias("a"), (F.col("p") + n).alias("b")))
     rows = d.select("doc_id", "row", F.size(words(folded(F.col("text")))).cast("long").alias("n_words"))
