@@ -1,6 +1,7 @@
 """Hand-computed cases of the operators, and each text against DuckDB on the smallest tables."""
 
 import os
+import random
 
 import duckdb
 import pytest
@@ -27,6 +28,26 @@ def test_merge_short(spark):
     assert rows(folds.merge_short(df)) == [(1, 0.0, 2.2), (1, 5.0, 5.1)]
 
 
+def test_merging_short_pieces_again_and_again(spark):
+    """Against merging one piece at a time, from the first short one on, until none is left that touches another."""
+    r, table, want = random.Random(3), [], {}
+    for src in range(40):
+        t, xs = 0.0, []
+        for _ in range(r.randint(1, 15)):
+            t += r.random() < 0.3
+            xs.append([t, t + r.choice([0.125, 0.25, 0.375, 0.5, 1.0])])
+            t = xs[-1][1]
+        table += [(src, *x) for x in xs]
+        while found := [(k, j) for k, x in enumerate(xs) if x[1] - x[0] < 0.5 for j in (k - 1, k + 1) if 0 <= j < len(xs) and (xs[j][1] == x[0] if j < k else xs[j][0] == x[1])]:
+            a, b = sorted(found[0])
+            xs[a : b + 1] = [[xs[a][0], xs[b][1]]]
+        want[src] = [tuple(x) for x in xs]
+    got = {}
+    for x in folds.merge_short(spark.createDataFrame(table, "src long, s double, e double")).orderBy("src", "s").collect():
+        got.setdefault(x.src, []).append((x.s, x.e))
+    assert got == want
+
+
 def test_caption_words_glue_and_markers(spark):
     df = spark.createDataFrame([(1, 0, " hand", 0.0, 1.0), (1, 1, "ful", 1.0, 2.0), (1, 2, "[MUSIC]", 2.0, 3.0), (1, 3, " on", 3.0, 4.0)], "src long, i long, t string, s double, e double")
     assert [r[1] for r in rows(folds.caption_words(df))] == ["handful", "on"]
