@@ -115,6 +115,12 @@ def test_chat_round_trip(spark, budget, history):
     assert unescape(escape(nasty, True)) == nasty and "<" not in escape(nasty)
 
 
+def test_no_conversations_give_no_windows(spark):
+    none = spark.createDataFrame([], "conv_id long, turn int, role string, text string")
+    windows = format_conversations(none)
+    assert windows.collect() == [] and read_back(windows).collect() == []
+
+
 def test_mix_reaches_its_targets(spark):
     rows = [(i, "w " * (i % 50 + 1), "en", f"s{i % 4}") for i in range(400)]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
