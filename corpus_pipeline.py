@@ -50,7 +50,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Repeated rows get equal scores. A text without words is scored as such. Without labels nothing is
     rejected, unless all labels are toxic."""
-    model = Toxicity().fit(docs, _read(spark, sf_dir, "labels"))
+    model = Toxicity(languages=False).fit(docs, _read(spark, sf_dir, "labels"))
     scored = model.score(docs)
     return scored.filter(F.col(scored.columns[-1]) < REJECT_AT).select([f"`{c}`" for c in docs.columns])
 
