@@ -189,26 +189,23 @@ def merge_short(pieces: DataFrame, least: float = 0.5) -> DataFrame:
 
 
 def caption_words(tokens: DataFrame) -> DataFrame:
-    """tokens: src, i, t, s, e. src, w, s, e: a token without leading space is glued to the kept one before it; [markers] go."""
-
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        out, glue = [], False
-        for t, s, e in frame.sort_values("i")[["t", "s", "e"]].itertuples(index=False):
-            if t.strip().startswith("[") and t.strip().endswith("]"):
-                glue = False
-            elif t.startswith(" ") or not glue:
-                if t.strip():
-                    out.append([t.strip(), s, e])
-                    glue = True
-            else:
-                out[-1][0] += t.rstrip()
-                out[-1][2] = e
-                if out[-1][0].startswith("[") and out[-1][0].endswith("]"):
-                    out.pop()
-                    glue = False
-        return pd.DataFrame({"src": frame["src"].iloc[0], "w": [x[0] for x in out], "s": [x[1] for x in out], "e": [x[2] for x in out]})
-
-    return tokens.groupBy("src").applyInPandas(one, "src long, w string, s double, e double")
+    """tokens: src, i, t, s, e. src, w, s, e: a token without leading space is glued to the kept one before it; [markers] go,
+    also those that come in several tokens. What follows a marker begins a word.
+
+    Tokens are ordered once a source; words are put together from the few tokens of each."""
+    blank = r"' \t\n\r'"
+    d = tokens.select("src", "i", "t", "s", "e", F.expr(f"trim(both {blank} from t)").alias("x"), F.col("t").startswith(" ").alias("apart")).filter("x <> '' or not apart")
+    line = Window.partitionBy("src").orderBy("i")
+    d = d.withColumn("marker", F.col("x").like("[%]")).withColumn("new", F.col("apart") | F.coalesce(F.lag("marker").over(line), F.lit(True)))
+    d = d.withColumn("g", F.sum(F.col("new").cast("int")).over(line.rowsBetween(Window.unboundedPreceding, 0))).filter("not marker")
+    per = d.groupBy("src", "g").agg(F.array_sort(F.collect_list(F.struct("i", "x", F.expr(f"trim(trailing {blank} from t)").alias("r"), "s", "e"))).alias("xs"))
+    start = "cast(array() as array<struct<w:string,s:double,e:double,live:boolean>>)"
+    last = "try_element_at(out, -1)"
+    begin = "if(x.x = '', out, array_append(out, named_struct('w', x.x, 's', x.s, 'e', x.e, 'live', true)))"
+    glued = f"concat({last}.w, x.r)"
+    more = f"array_append(slice(out, 1, size(out) - 1), named_struct('w', {glued}, 's', {last}.s, 'e', x.e, 'live', {glued} not like '[%]'))"
+    words = F.expr(f"aggregate(xs, {start}, (out, x) -> if(size(out) > 0 and coalesce({last}.live, false), {more}, {begin}))")
+    return per.select("src", F.explode(words).alias("k")).filter("k.live").select("src", "k.w", "k.s", "k.e")
 
 
 def random_baseline(ranked: DataFrame, matches: DataFrame, graded: DataFrame, runs: int = 2000, seed: int = 1, k: int = 6) -> DataFrame:
