@@ -2,11 +2,11 @@
 
 OPERATORS = {
     "mine_perf": "SELECT id, channel, R6(perf) AS perf FROM {perf} p",  # D3, C2, H20
-    # Quartiles and the rate of cold opens in all and in the best third
+    # Quartiles, the rate of cold opens in all and in the best third, and those of tightened ones and of those that start after a pause
     "learn_stats": """
-        SELECT creator, count(*) AS n, R6(PCT(dur, 0.25e0)) AS q1, R6(PCT(dur, 0.5e0)) AS q2, R6(PCT(dur, 0.75e0)) AS q3, R6(avg(cold)) AS cold_rate,
+        SELECT creator, count(*) AS n, R6(PCT(dur, 0.25e0)) AS q1, R6(PCT(dur, 0.5e0)) AS q2, R6(PCT(dur, 0.75e0)) AS q3, R6(avg(cold)) AS cold_rate, R6(avg(tightened)) AS tightened_rate, R6(avg(paused)) AS pause_rate,
           R6(avg(CASE WHEN r > floor(2 * n / 3e0) THEN cold * 1e0 END)) AS top_cold_rate FROM (
-          SELECT creator, dur, cold, row_number() OVER (PARTITION BY creator ORDER BY y, id) AS r, count(*) OVER (PARTITION BY creator) AS n FROM {outcomes} o) a GROUP BY creator""",
+          SELECT creator, dur, cold, tightened, paused, row_number() OVER (PARTITION BY creator ORDER BY y, id) AS r, count(*) OVER (PARTITION BY creator) AS n FROM {outcomes} o) a GROUP BY creator""",
     "learn_median": "SELECT channel, R6(coalesce(PCT(CASE WHEN views > 0 THEN views END, 0.5e0), 0e0)) AS med FROM {listing} l GROUP BY channel",  # D1
     "learn_outcomes": "SELECT id, R6(y) AS y FROM {outcomes} o",  # D15, D12
     # Rank correlation of each signal with the outcome, and the weight that it gives

@@ -80,7 +80,7 @@ VIEWS = {
     "signals": " UNION ALL ".join(f"SELECT id, creator, status, dur, '{k}' AS signal, {k} AS x, quality FROM {{clips}} a" for k in ("hook", "payoff", "clarity", "emotion", "novelty", "pace", "fit")),
     # Outcomes of clips that are public for three days: log ratio to the creator's median, blended with retention where all have it.
     "outcomes": """
-        SELECT id, creator, dur, cold, lang, CASE WHEN all_pct THEN 5e-1 * y0 + 5e-1 * coalesce(DIV(pct - mean_pct, sd_pct), 0e0) ELSE y0 END AS y FROM (
+        SELECT id, creator, dur, cold, CASE WHEN pace > 4 THEN 1 ELSE 0 END AS tightened, CASE WHEN clarity < 4 THEN 1 ELSE 0 END AS paused, lang, CASE WHEN all_pct THEN 5e-1 * y0 + 5e-1 * coalesce(DIV(pct - mean_pct, sd_pct), 0e0) ELSE y0 END AS y FROM (
           SELECT a.*, ln(greatest(views, 1) / greatest(m, 1e0)) AS y0, avg(pct) OVER (PARTITION BY creator) AS mean_pct, STDPOP(pct) OVER (PARTITION BY creator) AS sd_pct, BOOLAND(pct IS NOT NULL) OVER (PARTITION BY creator) AS all_pct
           FROM {clips} a JOIN (SELECT creator AS c, PCT(views, 0.5e0) AS m FROM {clips} b WHERE hours >= 72 GROUP BY creator) k ON creator = c WHERE hours >= 72) d""",
     # Outcomes by feature: cold open, length, the pattern of the hook, the layout that most of the clip has.

@@ -9,6 +9,7 @@ from spanloom.operators import evaluation, folds, learning, quality, ranking, ru
 from spanloom.plans.catalog import NAMED
 from spanloom.plans.dialect import Relational
 from spanloom.sources import files
+from spanloom.streaming import ledger
 
 CASES = iter(range(10_000))
 
@@ -381,3 +382,22 @@ def test_caches_subtitles_and_rankings(spark, tmp_path):
     files.write_text(files.report_lines(table), str(tmp_path / "report"))
     lines = [r.value for r in spark.read.text(str(tmp_path / "report")).collect()]
     assert lines[2] == "| V0 | – | – | – | – | – |" and lines[3] == "| B | – | – | – | – | 0.50 [0.25, 0.75] |"
+
+
+def test_playbook_rates(spark):
+    """Six outcomes: the best third are the last two; medians by interpolation."""
+    o = [(-1.0, 20.0, 0, 1, 0), (0.0, 30.0, 0, 0, 0), (1.0, 40.0, 1, 0, 1), (2.0, 50.0, 1, 1, 1), (-2.0, 60.0, 0, 0, 0), (0.5, 35.0, 0, 1, 1)]
+    df = spark.createDataFrame([(k, "c", dur, cold, t, p, "en", y) for k, (y, dur, cold, t, p) in enumerate(o)], "id long, creator string, dur double, cold int, tightened int, paused int, lang string, y double")
+    (r,) = run(spark, learning.OPERATORS["learn_stats"], outcomes=df)
+    assert (r.n, r.q2, r.top_cold_rate, r.tightened_rate, r.pause_rate) == (6, 37.5, 1.0, 0.5, 0.5) and abs(r.cold_rate - 2 / 6) < 2e-6
+
+
+def test_ledger_over_a_stream_equals_the_batch(spark, tmp_path):
+    rows = [(f"2026-01-0{d} 0{h}:30:00", p, float(d + h)) for d in (1, 2) for h in (1, 5) for p in ("rank", "hooks")]
+    src, kinds = str(tmp_path / "in"), "at timestamp, purpose string, cost double"
+    batch = spark.createDataFrame(rows, "at string, purpose string, cost double").withColumn("at", F.col("at").cast("timestamp"))
+    batch.write.json(src)
+    q = ledger.rollup(spark.readStream.schema(kinds).json(src)).writeStream.outputMode("complete").format("memory").queryName("ledger_case").option("checkpointLocation", str(tmp_path / "at")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(map(tuple, spark.table("ledger_case").collect())) == sorted(map(tuple, ledger.rollup(batch).collect())) and len(spark.table("ledger_case").collect()) == 4
