@@ -3,7 +3,8 @@
 A document is the set of its distinct word shingles. Documents with equal sets are one class, and one
 of each class is joined with the others. In each of several independent trees a class goes to the
 node that two of its minwise tokens, chosen by the tree, name; nodes with more members than a leaf may
-have branch again by two tokens that their path chooses, so a similar pair keeps its chance to meet.
+have branch again by two tokens that their path chooses, so a similar pair keeps its chance to meet. Where
+a branch would hold nearly all of its node again, as in a large group of near copies, the node is dealt into parts instead.
 Small nodes are compared exhaustively by all minwise tokens. First each member is paired with the one
 most alike and with the two in the middle of its node, and pairs are confirmed on full sets; what is not
 linked by then and still may be similar is compared within its nodes on full sets. So large groups of
@@ -151,8 +152,9 @@ class NearCopies:
         return F.xxhash64(F.col(path), F.expr(f"substring(tokens, cast(1 + 4 * pmod(shiftright({path}, 3), {TOKENS}) as int), 4)"))
 
     def nodes(self, classes: DataFrame) -> tuple[DataFrame, bool]:
-        """node, base, id, native, n, tokens: members of the leaves with two members or more; and whether nodes that
-        are still large at the last level were dealt into parts. base: the node before that; native: false
+        """node, base, id, native, n, tokens: members of the leaves with two members or more; and whether any large node
+        was dealt into parts: one whose members share the token that its path chose as near copies do, so that a
+        branch would hold them all again, or one that is large at the last level. base: the node before that; native: false
         where a member is a guest in a part that isn't its own."""
         root = F.expr(f"transform(sequence(0, {self.trees - 1}), t -> xxhash64(t, substring(tokens, 1 + 8 * t, 8)))")
         named, found = classes.select("id", F.explode(root).alias("node")), None
@@ -166,18 +168,27 @@ class NearCopies:
             if large.isEmpty():
                 break
             if level + 1 == self.levels:
-                dense = True
-                part = F.pmod(F.xxhash64(F.lit(5), "id"), F.ceil(F.col("size") / self.leaf))
-                hub = large.groupBy("node", "size").agg(F.min("id").alias("id"))
-                guests = hub.select("node", "id", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / self.leaf) - 1)).alias("part"), F.lit(False).alias("native"))
-                parts = large.select("node", "id", part.alias("part"), F.lit(True).alias("native")).unionByName(guests)
-                parts = parts.groupBy("node", "id", "part").agg(F.max("native").alias("native"))
-                found = found.unionByName(parts.select(F.xxhash64("node", "part").alias("node"), F.col("node").alias("base"), "id", "native"))
+                found, dense = found.unionByName(self._dealt(large)), True
                 break
             paths = F.explode(F.array(F.xxhash64(F.lit(0), "node"), F.xxhash64(F.lit(1), "node")))
-            named = large.select("id", paths.alias("path")).join(classes.select("id", "tokens"), "id").select("id", self._child("path").alias("node"))
+            below = large.select("id", "node", "size", paths.alias("path")).join(classes.select("id", "tokens"), "id").select("id", "node", "size", self._child("path").alias("child"))
+            below = durable(below)
+            share = below.groupBy("node", "size", "child").agg(F.count("*").alias("m")).groupBy("node", "size").agg(F.max("m").alias("m"))
+            alike = share.filter(F.col("m") >= F.col("size") * self.threshold).select("node")
+            if not alike.isEmpty():  # branching doesn't part near copies: it would only repeat them
+                found, dense = found.unionByName(self._dealt(large.join(alike, "node", "left_semi"))), True
+            named = below.join(alike, "node", "left_anti").select("id", F.col("child").alias("node"))
         return durable(found.join(classes.select("id", "n", "tokens"), "id")), dense
 
+    def _dealt(self, large: DataFrame) -> DataFrame:
+        """Members of large nodes in parts of a leaf's size; the member with the smallest id is a guest in those that aren't its own."""
+        part = F.pmod(F.xxhash64(F.lit(5), "id"), F.ceil(F.col("size") / self.leaf))
+        hub = large.groupBy("node", "size").agg(F.min("id").alias("id"))
+        guests = hub.select("node", "id", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / self.leaf) - 1)).alias("part"), F.lit(False).alias("native"))
+        parts = large.select("node", "id", part.alias("part"), F.lit(True).alias("native")).unionByName(guests)
+        parts = parts.groupBy("node", "id", "part").agg(F.max("native").alias("native"))
+        return parts.select(F.xxhash64("node", "part").alias("node"), F.col("node").alias("base"), "id", "native")
+
     def _similar(self, n: np.ndarray, tokens: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
         """How many minwise tokens each member shares with the i-th, and which may be similar to it."""
         like = (tokens == tokens[i]).sum(1)

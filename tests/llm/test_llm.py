@@ -166,6 +166,20 @@ def test_no_link_is_lost_in_large_nodes(spark, levels):
     assert len(got) == len(rows) and len(set(want.values())) < len(rows) and not wrong
 
 
+def test_a_large_group_of_near_copies_isnt_repeated_by_branching(spark):
+    """300 different near copies, and pairs apart from them: rows of nodes stay in proportion to documents."""
+    base = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join([*base[: k + 50], f"own{k}", *base[k + 50 :]])) for k in range(300)]
+    rows += [(1000 + k, " ".join(f"x{k // 2}y{j}" for j in range(60 + k % 2))) for k in range(40)]
+    near = NearCopies(3, 85, 100, leaf=20)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    classes = near.sketches(docs).withColumnRenamed("doc_id", "id")
+    nodes, dense = near.nodes(classes)
+    assert dense and nodes.count() < 2 * near.trees * len(rows)
+    got = {r.doc_id: r.component_id for r in near.run(docs).collect()}
+    assert got == {i: 0 if i < 1000 else i - i % 2 for i, _ in rows}
+
+
 def test_too_many_trees_are_refused():
     with pytest.raises(ValueError):
         NearCopies(3, 50, 100)
