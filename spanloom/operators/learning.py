@@ -30,8 +30,10 @@ OPERATORS = {
     "learn_segment_flags": """
         SELECT src, count(*) AS n, R6(max(e) - min(s)) AS span, max(e) - min(s) - sum(e - s) > 2 OR count(*) >= 3 AS tightened, max(CASE WHEN r = 1 THEN s END) > max(CASE WHEN r = 2 THEN s END) + 1 AS cold_open FROM (
           SELECT src, s, e, row_number() OVER (PARTITION BY src ORDER BY id) AS r FROM {moments} m) a GROUP BY src""",
-    # Titles with a fallback
-    "learn_titles": "SELECT l.o_orderkey AS id, coalesce(c.c_name, concat('Short ', STR(l.o_orderkey))) AS title FROM {orders} l LEFT JOIN (SELECT * FROM {customer} WHERE c_acctbal > 0) c ON l.o_custkey = c.c_custkey",
+    # Titles from the first of two lists that knows the id, else a name made of it
+    "learn_titles": """
+        SELECT o.o_orderkey AS id, coalesce(c.c_name, n.n_name, concat('Short ', STR(o.o_orderkey))) AS title FROM {orders} o LEFT JOIN (SELECT * FROM {customer} WHERE c_acctbal > 0) c ON o.o_custkey = c.c_custkey
+        LEFT JOIN {customer} k ON o.o_custkey = k.c_custkey LEFT JOIN (SELECT * FROM {nation} WHERE n_regionkey < 3) n ON k.c_nationkey = n.n_nationkey""",
     "learn_young": "SELECT id, (now - since) / 864e2 < 700 AS young FROM {listing} l, {now} n",  # H20, I14
     # Long ones only
     "learn_long": "SELECT channel, count(*) AS n FROM {listing} l WHERE dur >= 900 AND views > 0 GROUP BY channel",

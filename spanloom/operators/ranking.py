@@ -17,14 +17,21 @@ OPERATORS = {
     "rank_complete": """
         WITH picks AS (SELECT src, id, min(k) AS k FROM (SELECT src, CASE WHEN id % 4 = 0 THEN -id ELSE id END AS id, row_number() OVER (PARTITION BY src ORDER BY s) AS k FROM {candidates} c WHERE id % 3 = 0) a GROUP BY src, id)
         SELECT c.src, c.id, I(row_number() OVER (PARTITION BY c.src ORDER BY CASE WHEN p.k IS NULL THEN 1 ELSE 0 END, p.k, c.score DESC, c.s, c.id)) AS place FROM {candidates} c LEFT JOIN picks p ON c.src = p.src AND c.id = p.id""",
-    # F8: of each fold the first that is best suited
-    "rank_pilots": "SELECT fold, src FROM (SELECT fold, f.src, row_number() OVER (PARTITION BY fold ORDER BY CASE WHEN n >= 3 THEN 0 WHEN n IS NULL THEN 1 ELSE 2 END, f.src) AS r FROM {folds} f LEFT JOIN (SELECT src, count(*) AS n FROM {moments} m GROUP BY src) k ON f.src = k.src) a WHERE r = 1",
+    # F8: of each fold the first source with a transcript: settled ones, then those not known, then young ones
+    "rank_pilots": "SELECT fold, src FROM (SELECT fold, f.src, row_number() OVER (PARTITION BY fold ORDER BY CASE WHEN young THEN 2 WHEN young IS NULL THEN 1 ELSE 0 END, f.src) AS r FROM {folds} f JOIN (SELECT doc_id FROM {documents} WHERE length(text) > 0) d ON f.src = d.doc_id LEFT JOIN {young} y ON f.src = y.src) a WHERE r = 1",
+    # A candidate as a line
+    "rank_candidate_lines": """
+        SELECT r.src, r.id, concat(STR(r.id), ' | ', STR(I(floor(floor(greatest(0e0, e - s) + 5e-1) / 60))), ':', lpad(STR(I(floor(greatest(0e0, e - s) + 5e-1) - floor(floor(greatest(0e0, e - s) + 5e-1) / 60) * 60)), 2, '0'), ' | ', STR(I(floor(composite + 5e-1))), '/10') AS line
+        FROM {ranked} r JOIN {judged} j ON r.src = j.src AND r.id = j.id""",
     # the base variant first
     "rank_variants": "SELECT kind, count(*) AS n, I(row_number() OVER (ORDER BY CASE WHEN kind = 'view' THEN 0 ELSE 1 END, kind)) AS place FROM {spans} a GROUP BY kind",
     # batches of 200
     "rank_batches": "SELECT batch, count(*) AS n, min(id) AS first FROM (SELECT id, I(floor((row_number() OVER (PARTITION BY creator ORDER BY id) - 1) / 2e2)) AS batch FROM {clips} c) a GROUP BY batch",
-    # Folds by hash of the id
-    "bench_folds": "SELECT fold, count(*) AS sources FROM {folds} f GROUP BY fold",
+    # Folds by hash of the id, and what each has; none is left out for having nothing
+    "bench_folds": """
+        SELECT k.fold, count(f.src) AS sources, I(coalesce(sum(n), 0)) AS moments, I(coalesce(sum(CASE WHEN young THEN 1 ELSE 0 END), 0)) AS young, I(sum(CASE WHEN f.src IS NOT NULL AND n IS NULL THEN 1 ELSE 0 END)) AS missing, R6(PCT(density, 0.5e0)) AS density
+        FROM (SELECT 0 AS fold UNION ALL SELECT 1 UNION ALL SELECT 2) k LEFT JOIN {folds} f ON f.fold = k.fold LEFT JOIN (SELECT src, count(*) AS n FROM {moments} m GROUP BY src) m ON f.src = m.src LEFT JOIN {young} y ON f.src = y.src
+        LEFT JOIN (SELECT src, density FROM {transcript_stats} t) t ON f.src = t.src GROUP BY k.fold""",
     # Sources out of each fold
     "bench_out_of_fold": "SELECT k.fold AS held, f.src FROM {folds} f JOIN (SELECT DISTINCT fold FROM {folds} g) k ON f.fold <> k.fold",
     # What each fold holds out

@@ -12,8 +12,10 @@ OPERATORS = {
         LEFT JOIN (SELECT coalesce(status, 'all') AS status, count(*) AS n FROM {clips} c GROUP BY GROUPING SETS ((status), ())) k ON s.status = k.status""",
     # Clips of one status, the oldest first
     "clip_list": "SELECT id, status, hours AS age FROM {clips} c WHERE status = 'ready' ORDER BY hours DESC, id",
-    # B1: the columns that a list needs
-    "clip_api": "SELECT c.id, c.status, c.creator, d.n_chars, coalesce(d.text, '') AS title FROM {clips} c LEFT JOIN {documents} d ON c.id = d.doc_id",
+    # B1: what a list shows: how many segments, title, and the lengths that suit the creator; null where one isn't found
+    "clip_api": """
+        SELECT c.id, c.status, c.creator, d.n_chars, segments, d.text AS title, ideal_lo, ideal_hi FROM {clips} c LEFT JOIN {documents} d ON c.id = d.doc_id LEFT JOIN (SELECT id AS k, count(*) AS segments FROM {face_checks} f GROUP BY id) g ON c.id = g.k
+        LEFT JOIN (SELECT creator AS who, q1 AS ideal_lo, q3 AS ideal_hi FROM {playbook} p WHERE n >= 3) p ON c.creator = p.who""",
     # Who may be published, and why others may not: public ones, not approved ones, QC without override, the daily cap
     # less what went public within a day; the cap's places go in the clips' order
     "publish_eligible": """

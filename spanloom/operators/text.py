@@ -29,10 +29,12 @@ OPERATORS = {
     "text_next_sentence": """
         SELECT s.src, min(CASE WHEN s.e > x.at THEN R6(s.e) END) AS next_end, min(CASE WHEN s.s > x.at THEN R6(s.s) END) AS next_start
         FROM {sentences} s JOIN (SELECT src, avg(s) AS at FROM {sentences} y GROUP BY src) x ON s.src = x.src GROUP BY s.src""",
-    # Words in the 20 s before a point, the last word before it, and whether a pause of .4 s precedes it
+    # Words in the 20 s before a point, the last word before it, whether a pause of .4 s precedes it, and where it lies
     "text_context_before": """
-        SELECT a.src, TEXTAGG(a.w, a.p, ' ') AS context, max(a.p) AS last_p, R6(max(x.at) - max(a.e)) AS gap, max(x.at) - max(a.e) >= 4e-1 AS after_pause
-        FROM {words} a JOIN (SELECT src, max(s) / 2 AS at FROM {words} y GROUP BY src) x ON a.src = x.src WHERE a.e < x.at + 5e-2 AND a.s >= x.at - 20 GROUP BY a.src""",
+        SELECT a.src, TEXTAGG(a.w, a.p, ' ') AS context, max(a.p) AS last_p, R6(max(x.at) - max(a.e)) AS gap, max(x.at) - max(a.e) >= 4e-1 AS after_pause, R6(max(x.at) / max(x.dur)) AS position
+        FROM {words} a JOIN (SELECT src, max(s) / 2 AS at, max(e) AS dur FROM {words} y GROUP BY src) x ON a.src = x.src WHERE a.e < x.at + 5e-2 AND a.s >= x.at - 20 GROUP BY a.src""",
+    # The first 150 words
+    "text_first_words": "SELECT src, TEXTAGG(w, p, ' ') AS txt FROM {words} a WHERE p < 150 GROUP BY src",
     # E3, G3, C1, 2.9 (1-5), E5, E6, D21: the flagship
     "mine_align": """
         WITH short AS (SELECT src, i, g FROM {item_shingles} a), ep AS (SELECT src, i, g, wp, wl FROM {doc_shingles} b),

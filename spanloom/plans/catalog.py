@@ -7,7 +7,7 @@ from spanloom.plans.dialect import Relational
 from spanloom.plans.views import VIEWS
 from spanloom.sources import queries as sources
 
-NAMED = {**VIEWS, **quality.VIEWS, "aligned": text.OPERATORS["mine_align"], "visuals": intervals.OPERATORS["span_visual"], "faceless": intervals.OPERATORS["span_longest_run"], "cut_rates": intervals.OPERATORS["span_cuts"]}
+NAMED = {**VIEWS, **quality.VIEWS, "aligned": text.OPERATORS["mine_align"], "visuals": intervals.OPERATORS["span_visual"], "faceless": intervals.OPERATORS["span_longest_run"], "cut_rates": intervals.OPERATORS["span_cuts"], "transcript_stats": text.OPERATORS["text_transcript_stats"], "playbook": learning.OPERATORS["learn_stats"]}
 RELATIONAL: dict[str, Relational] = {k: Relational(v, NAMED) for m in (text, intervals, ranking, learning, rules, quality) for k, v in m.OPERATORS.items()}
 
 OTHERS = (folds, evaluation, selection, sources)
