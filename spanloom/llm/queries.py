@@ -11,6 +11,7 @@ from .chosenpath import NearCopies
 from .decontaminate import contamination
 from .licenses import scan_licenses
 from .mixing import by_labels, mix
+from .resampling import resample
 from .sharding import shard
 from .spotsigs import fingerprints, near_classes
 from .substring import remove_repeated_windows
@@ -76,12 +77,16 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_windows(read(spark, sf_dir, "documents"), n=20)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_toxicity, op3_decontamination, op4_fingerprints, op5_near_dedup,
         op6_suffix_array_dedup, op7_chat_format, op8_mixing, op9_sharding, op10_substring_dedup,
-        spot_near_classes,
+        op11_importance_resampling, spot_near_classes,
     )
 }
 
@@ -103,6 +108,21 @@ t AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op11_importance_resampling": f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+f AS MATERIALIZED (SELECT doc_id, unnest(list_concat(w, list_transform(w[2:], lambda x, k: w[k] || ' ' || x))) AS f FROM d),
+b AS MATERIALIZED (SELECT unnest(list_concat(w, list_transform(w[2:], lambda x, k: w[k] || ' ' || x))) AS f FROM (SELECT {_WORDS} AS w FROM benchmark)),
+half AS (SELECT list(list_reduce(range(8), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)), i) ORDER BY i) AS t FROM range(256) r(i)),
+h AS (SELECT f, hex(encode(f)) AS x FROM (SELECT f FROM f UNION SELECT f FROM b)),
+c AS MATERIALIZED (SELECT f, xor(list_reduce(list_transform(range(length(x) // 2), lambda k: ('0x' || x[2 * k + 1:2 * k + 2])::BIGINT), lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1]), 4294967295), 4294967295) % 10000 AS k FROM h, half),
+s AS (SELECT k, count(*) AS s FROM f JOIN c USING (f) GROUP BY k), t AS (SELECT k, count(*) AS t FROM b JOIN c USING (f) GROUP BY k),
+g AS MATERIALIZED (SELECT r.k, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM f) + 10000) / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM b) + 10000))))::BIGINT AS gain
+  FROM range(10000) r(k) LEFT JOIN s ON s.k = r.k LEFT JOIN t ON t.k = r.k),
+m AS (SELECT doc_id, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM f JOIN c USING (f) JOIN g USING (k) GROUP BY doc_id),
+v AS (SELECT d.doc_id, len(w)::BIGINT AS n, coalesce(weight, 0) AS weight, ('0x' || substr(sha256('7:' || d.doc_id), 1, 8))::BIGINT AS h FROM d LEFT JOIN m USING (doc_id)),
+x AS (SELECT *, (weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))))::BIGINT AS score FROM v),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM x WHERE n >= 20)
+SELECT x.doc_id, greatest(2 * x.n - 1, 0) AS n_features, weight, score, CASE WHEN rank <= 25 * r.n // 100 THEN rank END AS rank FROM x LEFT JOIN r USING (doc_id)""",
     "op10_substring_dedup": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 g AS (SELECT doc_id, k, md5(array_to_string(w[k:k + 19], ' ')) AS g FROM d, unnest(range(1, len(w) - 18)) AS t(k) WHERE len(w) >= 20),
