@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import format_conversations, read_back
 from .chosenpath import NearCopies
 from .decontaminate import contamination
+from .langid import language_id
 from .licenses import scan_licenses
 from .mixing import by_labels, mix
 from .resampling import resample
@@ -81,12 +82,16 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_toxicity, op3_decontamination, op4_fingerprints, op5_near_dedup,
         op6_suffix_array_dedup, op7_chat_format, op8_mixing, op9_sharding, op10_substring_dedup,
-        op11_importance_resampling, spot_near_classes,
+        op11_importance_resampling, op13_language_id, spot_near_classes,
     )
 }
 
