@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .chat import format_conversations, read_back
 from .chosenpath import NearCopies
@@ -12,6 +13,7 @@ from .decontaminate import contamination
 from .langid import language_id
 from .licenses import scan_licenses
 from .mixing import by_labels, mix
+from .negatives import hard_negatives
 from .resampling import resample
 from .sharding import shard
 from .spotsigs import fingerprints, near_classes
@@ -82,6 +84,11 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(read(spark, sf_dir, "embeddings").withColumn("label", moved))
+
+
 def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(read(spark, sf_dir, "documents"))
 
@@ -91,7 +98,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_license_scan, op2_toxicity, op3_decontamination, op4_fingerprints, op5_near_dedup,
         op6_suffix_array_dedup, op7_chat_format, op8_mixing, op9_sharding, op10_substring_dedup,
-        op11_importance_resampling, op13_language_id, spot_near_classes,
+        op11_importance_resampling, op12_hard_negatives, op13_language_id, spot_near_classes,
     )
 }
 
@@ -128,6 +135,15 @@ v AS (SELECT d.doc_id, len(w)::BIGINT AS n, coalesce(weight, 0) AS weight, ('0x'
 x AS (SELECT *, (weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))))::BIGINT AS score FROM v),
 r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM x WHERE n >= 20)
 SELECT x.doc_id, greatest(2 * x.n - 1, 0) AS n_features, weight, score, CASE WHEN rank <= 25 * r.n // 100 THEN rank END AS rank FROM x LEFT JOIN r USING (doc_id)""",
+    "op12_hard_negatives": """
+WITH r AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS s FROM r a JOIN r b ON a.vec_id % 50 = 0 AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id),
+p AS (SELECT a, b, s FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS k FROM s WHERE same) WHERE k <= 5),
+n AS (SELECT p.a, p.b, p.s AS ps, s.b AS n, s.s AS ns, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.s DESC, s.b) AS k
+      FROM p JOIN s ON s.a = p.a AND NOT same AND 50 * p.s <= 100 * s.s AND 100 * s.s <= 95 * p.s)
+SELECT a AS anchor_id, b AS positive_id, k::INT AS rank, n AS negative_id, ps AS positive_score, ns AS negative_score FROM n WHERE k <= 3""",
     "op10_substring_dedup": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 g AS (SELECT doc_id, k, md5(array_to_string(w[k:k + 19], ' ')) AS g FROM d, unnest(range(1, len(w) - 18)) AS t(k) WHERE len(w) >= 20),
