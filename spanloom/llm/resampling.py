@@ -2,12 +2,15 @@
 
 Features are all words and all pairs of consecutive words of a text, hashed by CRC-32 into buckets. A partition
 keeps them as a trie: a node below the root is a word, a node below that the word that follows it. A node holds how
-often its feature came and the state of the CRC after it, so the hash of a pair goes on where its first word's ended.
+often its feature came and the CRC after it, so the CRC of a pair goes on where its first word's ended. Words' nodes last
+over a partition's texts, those of pairs over a group of texts, whose counts then join the totals of buckets.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -19,70 +22,75 @@ from .cluster import durable
 from .textkit import PUNCT
 
 BUCKETS = 10_000
-#: A trie of so many nodes gives its totals and begins anew, which bounds a task's memory and changes no sum.
-MOST_NODES = 400_000
+#: Words that a trie keeps over groups of texts; beyond, it begins anew, which bounds a task's memory and changes no sum.
+MOST_WORDS = 200_000
 #: Texts are read in parts of about so many bytes, and walked in groups of about so many words.
 PART, GROUP = 1 << 22, 1 << 18
+#: The CRC goes on over a word of so many bytes or fewer by tables.
+TABLED = 64
 
 #: Letters A-Z in lower case, and a blank for all bytes that end a word.
 _FOLDED = bytes(32 if PUNCT[b + 32 if 65 <= b <= 90 else b] else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-class Trie:
-    """Two levels of words. Nodes are numbers: of a word in ``words``, of a pair (of words' nodes) in ``pairs``."""
-
-    def __init__(self):
-        self.states: list[int] = []  # the CRC after the node's feature
-        self.text: dict[int, bytes] = {}
-        self.words, self.pairs = _Level(self._word), _Level(self._pair)
-        self.counts = np.zeros(1024, np.int64)
-
-    def _new(self, state: int) -> int:
-        self.states.append(state)
-        return len(self.states) - 1
+def _zero_bytes(most: int) -> np.ndarray:
+    """What n more zero bytes make of a CRC, n to ``most``: by n, place of the byte in the CRC, and byte. It is linear in its bytes."""
+    step = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        step = (step >> np.uint32(1)) ^ np.where(step & np.uint32(1), np.uint32(0xEDB88320), np.uint32(0))
+    out = np.empty((most + 1, 4, 256), np.uint32)
+    out[0] = np.arange(256, dtype=np.uint32) << (np.arange(4, dtype=np.uint32) * 8)[:, None]
+    for n in range(most):
+        out[n + 1] = (out[n] >> np.uint32(8)) ^ step[out[n] & np.uint32(255)]
+    return out
 
-    def _word(self, word: bytes) -> int:
-        node = self._new(crc32(word))
-        self.text[node] = word
-        return node
 
-    def _pair(self, key: int) -> int:
-        return self._new(crc32(b" " + self.text[key & 0xFFFFFFFF], self.states[key >> 32]))
+class Trie:
+    """Two levels: words, and below each the words that follow it. A word's node holds its CRC, and the CRC and length of it
+    with a blank before it, by which the CRC of a pair goes on from its first word's."""
 
-    def walk(self, group: list[tuple[int, list[bytes], bool]]) -> tuple[np.ndarray, np.ndarray]:
-        """The node of each feature of the group, and the row that it is of. Nodes that lack are made."""
+    def __init__(self):
+        self.zero = _zero_bytes(TABLED)
+        self.clear()
+
+    def clear(self) -> None:
+        self.words: dict[bytes, int] = {}
+        self.state, self.after, self.length = array("I"), array("I"), array("q")
+
+    def _places(self, words: list[bytes]) -> np.ndarray:
+        """The node of each word; nodes that lack are made."""
+        known = self.words
+        for w in set(words).difference(known):
+            known[w] = len(self.state)
+            self.state.append(crc32(w))
+            self.after.append(crc32(b" " + w))
+            self.length.append(len(w) + 1)
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+
+    def walk(self, group: list[tuple[int, list[bytes], bool]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the nodes that the group's texts reach: the CRC and how often its feature comes; and of each feature its node and row."""
+        if len(self.state) > MOST_WORDS:
+            self.clear()
         size = np.array([len(ws) for _, ws, _ in group])
-        at = np.fromiter((self.words[w] for _, ws, _ in group for w in ws), np.int64, int(size.sum()))
-        rows = np.repeat([row for row, _, _ in group], size)
-        begins = np.zeros(len(at), bool)
+        words = list(chain.from_iterable(ws for _, ws, _ in group))
+        at, rows = self._places(words), np.repeat([row for row, _, _ in group], size)
+        begins, again = np.zeros(len(at), bool), np.zeros(len(at), bool)
         first = np.cumsum(size) - size
         begins[first] = True
-        again = np.zeros(len(at), bool)
         again[first[[more for _, _, more in group]]] = True
-        after = np.flatnonzero(~begins)
-        keys, which = np.unique(at[after - 1] << 32 | at[after], return_inverse=True)
-        pairs = np.fromiter((self.pairs[k] for k in keys.tolist()), np.int64, len(keys))[which]
-        return np.concatenate((at[~again], pairs)), np.concatenate((rows[~again], rows[after]))
-
-    def count(self, nodes: np.ndarray) -> None:
-        if len(self.states) > len(self.counts):
-            self.counts = np.concatenate((self.counts, np.zeros(max(len(self.counts), len(self.states)), np.int64)))
-        self.counts += np.bincount(nodes, minlength=len(self.counts))
-
-    def buckets(self, n: int) -> np.ndarray:
-        return np.array(self.states, np.int64) % n
-
-    def full(self) -> bool:
-        return len(self.states) > MOST_NODES
-
-
-class _Level(dict):
-    def __init__(self, make):
-        self.make = make
-
-    def __missing__(self, key):
-        self[key] = node = self.make(key)
-        return node
+        second = np.flatnonzero(~begins)
+        keys, seen, pair, times = np.unique(at[second - 1] << 32 | at[second], return_index=True, return_inverse=True, return_counts=True)
+        state, after, length = np.array(self.state), np.array(self.after), np.array(self.length)
+        a, b = state[keys >> 32], keys & 0xFFFFFFFF
+        n = np.minimum(length[b], TABLED)
+        child = after[b]
+        for k in range(4):
+            child = child ^ self.zero[n, k, (a >> np.uint32(8 * k)) & np.uint32(255)]
+        for k in np.flatnonzero(length[b] > TABLED).tolist():
+            child[k] = crc32(b" " + words[second[seen[k]]], int(a[k]))
+        own = at[~again]
+        nodes = np.concatenate((own, pair + len(state)))
+        return np.concatenate((state, child)).astype(np.int64), np.concatenate((np.bincount(own, minlength=len(state)), times)), nodes, np.concatenate((rows[~again], rows[second]))
 
 
 def _parts(text: bytes) -> Iterator[tuple[list[bytes], bool]]:
@@ -98,11 +106,11 @@ def _parts(text: bytes) -> Iterator[tuple[list[bytes], bool]]:
         at = end
 
 
-def _groups(texts: Iterable[bytes | None]) -> Iterator[list[tuple[int, list[bytes], bool]]]:
+def _groups(texts: Iterable[pa.LargeBinaryScalar]) -> Iterator[list[tuple[int, list[bytes], bool]]]:
     """Lists of (row, words, whether the first word was the last one of the row's list before), bounded in words."""
     held, n = [], 0
     for row, text in enumerate(texts):
-        for words, more in _parts(text or b""):
+        for words, more in _parts(text.as_py() or b""):
             held.append((row, words, more))
             n += len(words)
             if n >= GROUP:
@@ -118,17 +126,10 @@ def feature_totals(docs: DataFrame, n: int = BUCKETS) -> DataFrame:
     def kernel(batches):
         trie = Trie()
         totals = np.zeros(n, np.int64)
-
-        def add():
-            np.add.at(totals, trie.buckets(n), trie.counts[: len(trie.states)])
-
         for batch in batches:
-            for group in _groups(batch.column(0).cast(pa.large_binary()).to_pylist()):
-                trie.count(trie.walk(group)[0])
-                if trie.full():
-                    add()
-                    trie = Trie()
-        add()
+            for group in _groups(batch.column(0).cast(pa.large_binary())):
+                states, times, _, _ = trie.walk(group)
+                totals += np.bincount(states % n, times, n).astype(np.int64)
         has = np.flatnonzero(totals)
         yield pa.RecordBatch.from_arrays([pa.array(has), pa.array(totals[has])], ["bucket", "n"])
 
@@ -157,12 +158,10 @@ def weights(docs: DataFrame, gain: np.ndarray) -> DataFrame:
         for batch in batches:
             m = batch.num_rows
             features, total = np.zeros(m, np.int64), np.zeros(m, np.int64)
-            for group in _groups(batch.column(2).cast(pa.large_binary()).to_pylist()):
-                nodes, rows = trie.walk(group)
+            for group in _groups(batch.column(2).cast(pa.large_binary())):
+                states, _, nodes, rows = trie.walk(group)
                 features += np.bincount(rows, minlength=m)
-                np.add.at(total, rows, gain[trie.buckets(len(gain))][nodes])
-                if trie.full():
-                    trie = Trie()
+                total += np.bincount(rows, gain[states % len(gain)][nodes], m).astype(np.int64)
             out = [batch.column(0), batch.column(1), (features + 1) // 2, features, total // np.maximum(features, 1)]
             yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in out], ["doc_id", "row", "n_words", "n_features", "weight"])
 
