@@ -88,14 +88,20 @@ class Block:
             at = self.cells[d, rows]
             low += np.take(ends.min(2), at, axis=1)
             high += np.take(ends.max(2), at, axis=1)
-        return low, high
+        most = self.largest(anchors)
+        slack = most * 2.0**-50 if most >= 2**53 else 0.0  # sums of smaller whole numbers are exact
+        return low - slack, high + slack
+
+    def largest(self, anchors: np.ndarray) -> float:
+        """No score is larger, nor any sum on the way to it."""
+        return float(np.abs(anchors).max() * np.abs(self.v).max() * anchors.shape[1]) if anchors.size and self.v.size else 0.0
 
     def scores(self, anchors: np.ndarray, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """The exact score of each pair of an anchor and a row; beyond 64 bits the nearest that a long holds."""
         a, b = anchors[at], self.v[rows]
         if not a.size:
             return np.zeros(len(at), np.int64)
-        if np.abs(anchors).max() * np.abs(self.v).max() * a.shape[1] < 2**53:
+        if self.largest(anchors) < 2**53:
             return np.einsum("ij,ij->i", a, b).astype(np.int64)
         whole = [sum(int(x) * int(y) for x, y in zip(p, q, strict=True)) for p, q in zip(a, b, strict=True)]
         return np.array([min(max(x, -(2**63) + 1), 2**63 - 1) for x in whole], np.int64)
@@ -169,7 +175,7 @@ def _chunks(labels: np.ndarray, vectors: list[np.ndarray], dims: int) -> Iterato
     for label in np.unique(labels[fit]):
         own = np.flatnonzero(fit & (labels == label))
         for k in range(0, len(own), CHUNK):
-            yield own[k : k + CHUNK], np.array([vectors[i] for i in own[k : k + CHUNK]]).reshape(-1, dims)
+            yield own[k : k + CHUNK], np.array([vectors[i] for i in own[k : k + CHUNK]])
 
 
 def _negatives(blocks: DataFrame, labels: np.ndarray, vectors: list[np.ndarray], windows: np.ndarray, k: int) -> DataFrame:
@@ -233,8 +239,10 @@ def hard_negatives(vectors: DataFrame, every: int = 50, positives: int = 5, nega
     spark.createDataFrame([], SCHEMA).write.parquet(f"{folder}/found")
     for p in range(passes):
         held = anchors.filter(F.pmod(F.xxhash64(F.lit(5), "id", "label", F.hash("v")), F.lit(passes)) == p).toArrow()
+        if not held.num_rows:
+            continue
         ids, labels = np.asarray(held["id"]), np.asarray(held["label"])
-        own = [np.asarray(v) for chunk in held["v"].chunks for v in np.split(np.asarray(chunk.flatten()), np.cumsum(np.asarray(chunk.value_lengths()))[:-1])]
+        own = [np.asarray(v) for chunk in held["v"].chunks if len(chunk) for v in np.split(np.asarray(chunk.flatten()), np.cumsum(np.asarray(chunk.value_lengths()))[:-1])]
         best = durable(_merged(_positives(blocks, ids, labels, own, positives), positives))
         windows = np.zeros((len(ids), positives, 2), np.int64)
         windows[..., 1] = -1
