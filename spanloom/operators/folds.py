@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.prng import stream
+from spanloom.operators.chains import windows
+from spanloom.operators.suppression import suppress
 from spanloom.plans.dialect import Relational
 from spanloom.plans.views import VIEWS
 
@@ -27,11 +29,7 @@ def six(c) -> F.Column:
 
 def dedupe(spans: DataFrame, iou: float = 0.5) -> DataFrame:
     """src, id, s, e of spans that stay: by falling score, a span goes if its IoU with one that stays is ``iou`` or more."""
-    ordered = spans.groupBy("src").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("k"), "id", "s", "e"))).alias("xs"))
-    start = "cast(array() as array<struct<k:double,id:bigint,s:double,e:double>>)"
-    over = f"exists(kept, y -> greatest(0D, least(x.e, y.e) - greatest(x.s, y.s)) >= {iou} * (greatest(x.e, y.e) - least(x.s, y.s)) and y.e > x.s and x.e > y.s)"
-    kept = F.expr(f"aggregate(xs, {start}, (kept, x) -> if({over}, kept, array_append(kept, x)))")
-    return ordered.select("src", F.explode(kept).alias("k")).select("src", "k.id", "k.s", "k.e")
+    return suppress(spans.select("src", "id", "score", "s", "e"), iou).drop("score")
 
 
 def nms(boxes: DataFrame, iou: float = 0.3, most: int = 8) -> DataFrame:
@@ -69,18 +67,6 @@ def ndcg(ranked: DataFrame, matches: DataFrame, graded: DataFrame, k: int = 6) -
     return out.select("src", six(F.col("dcg")).alias("dcg"), six(F.col("idcg")).alias("idcg"), six(F.coalesce(F.try_divide("dcg", "idcg"), F.lit(0.0))).alias("ndcg"))
 
 
-def windows(sentences: DataFrame, length: float = 600.0, overlap: float = 60.0) -> DataFrame:
-    """src, first, last: windows of whole sentences; the next begins with the first sentence at or after the last start plus length - overlap."""
-    per = sentences.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("id", "s", "e"))).alias("xs"))
-    step = length - overlap
-    start = "named_struct('at', cast(array() as array<bigint>), 'next', cast(null as double))"
-    fold = F.expr(f"aggregate(xs, {start}, (acc, x) -> if(acc.next is null or x.s >= acc.next, named_struct('at', array_append(acc.at, x.id), 'next', x.s + {step}D), acc)).at")
-    at = per.select("src", "xs", F.explode(fold).alias("first"))
-    begin = F.expr("element_at(filter(xs, x -> x.id = first), 1).s")
-    last = F.expr(f"array_max(transform(filter(xs, x -> x.id >= first and x.s < begin + {length}D), x -> x.id))")
-    return at.withColumn("begin", begin).select("src", "first", last.alias("last"))
-
-
 def shots(series: DataFrame, floor: float = 14.0, times: float = 4.0, least: float = 0.6) -> DataFrame:
     """series: src, id, t, d. src, id of cuts: d over max(floor, times * median of the 25 before), ``least`` seconds after the last cut."""
     w = Window.partitionBy("src").orderBy("t", "id").rowsBetween(-25, -1)
@@ -342,9 +328,9 @@ f AS (SELECT DISTINCT src, 0::BIGINT AS pos, []::BIGINT[] AS done, 0e0 AS dcg FR
 i AS (SELECT src, sum((power(2, grade) - 1) / log2(r + 1)) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY grade DESC, id) AS r FROM graded) WHERE r <= 6 GROUP BY src)
 SELECT f.src, {_SIX.format("dcg")} AS dcg, {_SIX.format("idcg")} AS idcg, {_SIX.format("coalesce(dcg / nullif(idcg, 0), 0)")} AS ndcg FROM f JOIN i ON f.src = i.src WHERE pos = 6""",
     "text_windows": f"""
-WITH RECURSIVE s AS MATERIALIZED ({_ansi("sentences")}),
+WITH RECURSIVE s AS MATERIALIZED ({_ansi("sentences")}), z AS (SELECT src, max(s) AS s FROM s GROUP BY src),
 w AS (SELECT src, id AS first, s AS b FROM s WHERE id = 0
-  UNION ALL SELECT src, first, b FROM (SELECT w.src, s.id AS first, s.s AS b, row_number() OVER (PARTITION BY w.src ORDER BY s.id) AS r FROM w JOIN s ON s.src = w.src AND s.s >= w.b + 100) WHERE r = 1)
+  UNION ALL SELECT src, first, b FROM (SELECT w.src, s.id AS first, s.s AS b, row_number() OVER (PARTITION BY w.src ORDER BY s.id) AS r FROM w JOIN z ON z.src = w.src AND z.s >= w.b + 120 JOIN s ON s.src = w.src AND s.s >= w.b + 100) WHERE r = 1)
 SELECT w.src, first::BIGINT AS first, max(s.id)::BIGINT AS last FROM w JOIN s ON s.src = w.src AND s.id >= first AND s.s < b + 120 GROUP BY w.src, first""",
     "span_shots": f"""
 WITH RECURSIVE d AS (SELECT src, id, s AS t, score AS d, greatest(14e0, 4 * coalesce(quantile_cont(score, 0.5) OVER (PARTITION BY src ORDER BY s, id ROWS BETWEEN 25 PRECEDING AND 1 PRECEDING), 0e0)) AS thr FROM ({_ansi("spans")})),

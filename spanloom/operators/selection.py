@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from spanloom.operators import folds
 from spanloom.operators.evaluation import SIGNALS
-from spanloom.operators.folds import _view
+from spanloom.operators.folds import _ansi, _view
+from spanloom.operators.suppression import suppress
+from spanloom.plans.durable import durable
 
 LOW, HIGH = 0.85, 1.15  # how far a length may be off the wanted ones
 POOL = 25
@@ -33,16 +35,21 @@ def valid_ranges(proposals: DataFrame, windows: DataFrame) -> DataFrame:
     return proposals.join(w, ["src", "window"]).filter("a >= window and b <= _last and a <= b").drop("_last")
 
 
-def merge_fragments(ranges: DataFrame, sentences: DataFrame, reach: int = 3) -> DataFrame:
-    """A goes back while the sentence before is unfinished, b on while its own end is, each ``reach`` sentences at most."""
+def _moves(sentences: DataFrame, reach: int) -> tuple[Column, Column]:
+    """How many sentences a range that begins, and one that ends, with a sentence grows by."""
     done = F.col("txt").rlike(r"""[.?!]["')]?\s*$""")
-    near = sentences.select("src", "id", done.alias("done"))
     line = Window.partitionBy("src").orderBy("id")
     back, on = F.lit(0), F.lit(0)
     for k in range(reach, 0, -1):
-        back = F.when(F.lag("done", k).over(line) == F.lit(False), 1 + back).otherwise(0)
-        on = F.when((F.lead("done", k - 1).over(line) == F.lit(False)) & F.lead("id", k).over(line).isNotNull(), 1 + on).otherwise(0)
-    moves = near.select("src", "id", back.alias("back"), on.alias("on"))
+        back = F.when(F.lag(done, k).over(line) == F.lit(False), 1 + back).otherwise(0)
+        on = F.when((F.lead(done, k - 1).over(line) == F.lit(False)) & F.lead("id", k).over(line).isNotNull(), 1 + on).otherwise(0)
+    return back, on
+
+
+def merge_fragments(ranges: DataFrame, sentences: DataFrame, reach: int = 3) -> DataFrame:
+    """A goes back while the sentence before is unfinished, b on while its own end is, each ``reach`` sentences at most."""
+    back, on = _moves(sentences, reach)
+    moves = sentences.select("src", "id", back.alias("back"), on.alias("on"))
     out = ranges.join(moves.select("src", F.col("id").alias("a"), "back"), ["src", "a"]).join(moves.select("src", F.col("id").alias("b"), "on"), ["src", "b"])
     return out.withColumn("a", F.col("a") - F.col("back")).withColumn("b", F.col("b") + F.col("on")).drop("back", "on").select(ranges.columns)
 
@@ -52,16 +59,36 @@ def snapped(sentences: DataFrame, words: DataFrame) -> DataFrame:
     .3 s, but clear of the neighbouring words by .02 s."""
     before = words.select("src", (F.col("p") + 1).alias("w0"), F.col("e").alias("_e"))
     after = words.select("src", (F.col("p") - 1).alias("w1"), F.col("s").alias("_s"))
-    s = F.greatest(F.col("s") - 0.12, F.coalesce(F.col("_e") + 0.02, F.lit(0.0)), F.lit(0.0))
-    e = F.least(F.col("e") + 0.3, F.coalesce(F.col("_s") - 0.02, F.col("e") + 0.3))
-    return sentences.select("src", "id", "s", "e", "w0", "w1").join(before, ["src", "w0"], "left").join(after, ["src", "w1"], "left").select("src", "id", s.alias("s"), e.alias("e"))
+    near = sentences.select("src", "id", "s", "e", "w0", "w1").join(before, ["src", "w0"], "left").join(after, ["src", "w1"], "left")
+    return near.select("src", "id", _begin(F.col("_e")).alias("s"), _end(F.col("_s")).alias("e"))
+
+
+def _begin(before: Column) -> Column:
+    """Where a range from a sentence on begins, whose word before ends then."""
+    return F.greatest(F.col("s") - 0.12, F.coalesce(before + 0.02, F.lit(0.0)), F.lit(0.0))
+
 
+def _end(after: Column) -> Column:
+    return F.least(F.col("e") + 0.3, F.coalesce(after - 0.02, F.col("e") + 0.3))
 
-def _bounds(ranges: DataFrame, snaps: DataFrame, a: str = "a", b: str = "b", s: str = "s", e: str = "e") -> DataFrame:
-    """Adds the snapped start of sentence a and end of sentence b; null where there is no such sentence."""
-    begin = snaps.select("src", F.col("id").alias(a), F.col("s").alias(s))
-    end = snaps.select("src", F.col("id").alias(b), F.col("e").alias(e))
-    return ranges.join(begin, ["src", a], "left").join(end, ["src", b], "left")
+
+def edges(sentences: DataFrame, reach: int = 3) -> DataFrame:
+    """E10 and E11 once a sentence, of sentences that tile their source's words, so that the word before one is the last of the one
+    before: src, id; s, e as of snapped(); begin, end: structs (id, t) of where a merged range that begins, or ends, with it begins and ends."""
+    line = Window.partitionBy("src").orderBy("id")
+    back, on = _moves(sentences, reach)
+    own = sentences.select("src", "id", back.alias("back"), on.alias("on"), _begin(F.lag("e").over(line)).alias("s"), _end(F.lead("s").over(line)).alias("e"))
+    begin = F.array(*(F.lag("s", k).over(line) if k else F.col("s") for k in range(reach + 1)))
+    end = F.array(*(F.lead("e", k).over(line) if k else F.col("e") for k in range(reach + 1)))
+    return own.select(
+        "src", "id", "s", "e", F.struct((F.col("id") - F.col("back")).alias("id"), F.get(begin, F.col("back")).alias("t")).alias("begin"),
+        F.struct((F.col("id") + F.col("on")).alias("id"), F.get(end, F.col("on")).alias("t")).alias("end"),
+    )
+
+
+def _at(ranges: DataFrame, snaps: DataFrame, id: str, value: str, as_: str) -> DataFrame:
+    """Adds a value of the sentence that a column names; null where there is no such sentence."""
+    return ranges.join(snaps.select("src", F.col("id").alias(id), F.col(value).alias(as_)), ["src", id], "left")
 
 
 def _fits(s: str, e: str, shortest: float, longest: float) -> Column:
@@ -77,42 +104,38 @@ def boundary(pool: DataFrame, checks: DataFrame, snaps: DataFrame, weights: dict
     penalised; id, bounds and composite are those of what came out. A range without a check is as it was."""
     c = checks.select("src", "id", "opens", "ends", "new_a", "new_b")
     p = pool.join(c, ["src", "id"], "left").withColumns({"opens": F.coalesce("opens", F.lit(True)), "ends": F.coalesce("ends", F.lit(True))})
-    p = _bounds(p.drop("s", "e"), snaps, "new_a", "b", "_s1", "_e0")
+    p = p.drop("s", "e")
+    for id, value, as_ in (("a", "s", "_s0"), ("b", "e", "_e0"), ("new_a", "s", "_s1"), ("new_b", "e", "_e1")):
+        p = _at(p, snaps, id, value, as_)
     first = ~F.col("opens") & F.coalesce(F.expr("new_a between a - 5 and a + 3 and new_a >= 0 and new_a <= b"), F.lit(False)) & _fits("_s1", "_e0", shortest, longest)
-    p = p.withColumn("_a", F.when(first, F.col("new_a")).otherwise(F.col("a"))).withColumn("_opens", F.col("opens") | first).drop("_s1", "_e0")
-    p = _bounds(p, snaps, "_a", "new_b", "_s2", "_e2")
-    last = ~F.col("ends") & F.coalesce(F.expr("new_b between b - 3 and b + 4 and new_b >= _a"), F.lit(False)) & _fits("_s2", "_e2", shortest, longest)
-    p = p.withColumn("_b", F.when(last, F.col("new_b")).otherwise(F.col("b"))).withColumn("_ends", F.col("ends") | last).drop("_s2", "_e2")
+    p = p.withColumn("_first", first).withColumn("_a", F.when(F.col("_first"), F.col("new_a")).otherwise(F.col("a"))).withColumn("s", F.when(F.col("_first"), F.col("_s1")).otherwise(F.col("_s0")))
+    last = ~F.col("ends") & F.coalesce(F.expr("new_b between b - 3 and b + 4 and new_b >= _a"), F.lit(False)) & _fits("s", "_e1", shortest, longest)
+    p = p.withColumn("_last", last).withColumn("_b", F.when(F.col("_last"), F.col("new_b")).otherwise(F.col("b"))).withColumn("e", F.when(F.col("_last"), F.col("_e1")).otherwise(F.col("_e0")))
+    p = p.withColumn("_opens", F.col("opens") | F.col("_first")).withColumn("_ends", F.col("ends") | F.col("_last"))
     p = p.withColumn("repaired", (F.col("_a") != F.col("a")) | (F.col("_b") != F.col("b"))).withColumn("penalised", ~F.col("repaired") & ~(F.col("_opens") & F.col("_ends")))
     p = p.withColumn("clarity", F.when(F.col("_opens"), F.col("clarity")).otherwise(F.least("clarity", F.lit(3.0)))).withColumn("payoff", F.when(F.col("_ends"), F.col("payoff")).otherwise(F.least("payoff", F.lit(4.0))))
     p = p.drop("a", "b").withColumnsRenamed({"_a": "a", "_b": "b"})
-    p = _bounds(p, snaps).withColumn("id", candidate_id(F.col("src"), F.col("a"), F.col("b"))).withColumn("composite", composite(weights))
+    p = p.withColumn("id", candidate_id(F.col("src"), F.col("a"), F.col("b"))).withColumn("composite", composite(weights))
     return p.select("src", "id", "a", "b", "s", "e", *SIGNALS, "composite", "repaired", "penalised")
 
 
-def _deduped(candidates: DataFrame) -> DataFrame:
-    """G1: of ranges of a source that overlap by half, the better one; of ranges that are the same, one."""
-    one = candidates.dropDuplicates(["src", "id", "composite"])
-    keyed = one.withColumn("_k", F.xxhash64("id"))
-    kept = folds.dedupe(keyed.select("src", F.col("_k").alias("id"), F.col("composite").alias("score"), "s", "e")).select("src", F.col("id").alias("_k")).distinct()
-    best = Window.partitionBy("src", "_k").orderBy(F.col("composite").desc())
-    return keyed.join(kept, ["src", "_k"]).withColumn("_r", F.row_number().over(best)).filter("_r = 1").drop("_k", "_r")
-
-
-def build_pool(proposals: DataFrame, checks: DataFrame, windows: DataFrame, sentences: DataFrame, words: DataFrame, weights: dict[str, float], shortest: float, longest: float) -> DataFrame:
+def build_pool(proposals: DataFrame, checks: DataFrame, windows: DataFrame, sentences: DataFrame, weights: dict[str, float], shortest: float, longest: float) -> DataFrame:
     """Proposals: src, window, a, b and the signals. src, place, id, a, b, s, e, composite, repaired, penalised, pooled: all that
-    stays, best first; the first POOL of a source are its pool. checks are those of the ids that reach the pool before repair."""
-    snaps = snapped(sentences, words)
-    found = merge_fragments(valid_ranges(proposals, windows), sentences)
-    found = _bounds(found, snaps).filter(_fits("s", "e", shortest, longest)).drop("window")
+    stays, best first; the first POOL of a source are its pool. checks are those of the ids that reach the pool before repair.
+
+    sentences tile their source's words. Of ranges that overlap by half the better one stays, then that of the smaller id."""
+    at = durable(edges(sentences))
+    found = valid_ranges(proposals, windows).drop("window")
+    found = _at(_at(found, at, "a", "begin", "_a"), at, "b", "end", "_b").drop("a", "b")
+    found = found.select("src", F.col("_a.id").alias("a"), F.col("_b.id").alias("b"), F.col("_a.t").alias("s"), F.col("_b.t").alias("e"), *SIGNALS).filter(_fits("s", "e", shortest, longest))
     found = found.withColumn("id", candidate_id(F.col("src"), F.col("a"), F.col("b"))).withColumn("composite", composite(weights))
-    found = _deduped(found)
+    found = suppress(found, 0.5, "composite")
     line = Window.partitionBy("src").orderBy(F.col("composite").desc(), "s", "id")
-    found = found.withColumn("_r", F.row_number().over(line))
+    found = durable(found.withColumn("_r", F.row_number().over(line)))
     no = F.lit(False)
     rest = found.filter(F.col("_r") > POOL).withColumn("repaired", no).withColumn("penalised", no)
-    checked = boundary(found.filter(F.col("_r") <= POOL).drop("_r"), checks, snaps, weights, shortest, longest)
-    out = _deduped(checked.unionByName(rest.select(checked.columns)))
+    checked = boundary(found.filter(F.col("_r") <= POOL).drop("_r"), checks, at, weights, shortest, longest)
+    out = suppress(checked.unionByName(rest.select(checked.columns)), 0.5, "composite")
     out = out.withColumn("place", F.row_number().over(line)).withColumn("pooled", F.col("place") <= POOL)
     return out.select("src", "place", "id", "a", "b", "s", "e", "composite", "repaired", "penalised", "pooled")
 
@@ -133,18 +156,70 @@ WEIGHTS = {k: 3.0 if k == "hook" else 1.0 for k in SIGNALS}
 
 
 def _pool(spark: SparkSession, d: str) -> DataFrame:
-    """Proposals of every fifth kind of range that a window can hold, and checks that their texts' hashes decide."""
-    sentences = _view("sentences", spark, d).withColumn("id", F.col("id").cast("long"))
-    windows = folds.windows(sentences, 120.0, 20.0)
-    h = lambda k, n: F.pmod(F.xxhash64(F.lit(k), "src", "a", "b"), F.lit(n)).cast("double")
-    ranges = windows.select("src", F.col("first").alias("window"), F.explode(F.expr("sequence(first, last, 2)")).alias("a")).withColumn("b", F.col("a") + 1 + F.pmod(F.xxhash64("src", "a"), F.lit(6)))
+    """Proposals of every second range that a window begins, and checks, as numbers of the range decide."""
+    sentences = durable(_view("sentences", spark, d).withColumn("id", F.col("id").cast("long")))
+    windows = durable(folds.windows(sentences, 120.0, 20.0))
+    h = lambda k, n: F.pmod((F.col("src") * 7 + F.col("a") * (k + 3) + F.col("b") * 11) * (2 * k + 1) + F.floor(F.col("a") * F.col("b") / (k + 2)), F.lit(n)).cast("double")
+    ranges = windows.select("src", F.col("first").alias("window"), F.explode(F.expr("sequence(first, last, 2)")).alias("a")).withColumn("b", F.col("a") + 1 + F.pmod(F.col("src") + F.col("a") * 5, F.lit(6)))
     proposals = ranges.select("*", *(h(k, 11).alias(s) for k, s in enumerate(SIGNALS)))
     told = ranges.select("src", candidate_id(F.col("src"), F.col("a"), F.col("b")).alias("id"), (h(20, 3) > 0).alias("opens"), (h(21, 3) > 0).alias("ends"), (F.col("a") + h(22, 10).cast("long") - 6).alias("new_a"), (F.col("b") + h(23, 9).cast("long") - 4).alias("new_b"))
-    return build_pool(proposals, told.dropDuplicates(["src", "id"]), windows, sentences, _view("words", spark, d), WEIGHTS, 10.0, 60.0)
+    return build_pool(proposals, told.dropDuplicates(["src", "id"]), windows, sentences, WEIGHTS, 10.0, 60.0)
 
 
 QUERIES = {
     "select_pool": _pool,  # J1, J2, B2, B3, H7, D16
     "select_boundary_counts": lambda spark, d: boundary_counts(_pool(spark, d)),  # D28
 }
-ORACLE: dict[str, str] = {}
+
+_SIX_H = "((src * 7 + a * ({0} + 3) + b * 11) * (2 * {0} + 1) + a * b // ({0} + 2)) % {1}"
+
+
+def _sql_greedy(name: str, table: str, columns: str) -> str:
+    """Looks at a source's spans one after the other, the best first."""
+    return f"""
+{name}_o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY src ORDER BY composite DESC, id, s, e, {columns}) AS r FROM {table}),
+{name}_g AS (SELECT DISTINCT src, 0::BIGINT AS r, 0::BIGINT AS stays, [{{'s': -1e18, 'e': -1e18}}] AS kept FROM {name}_o
+  UNION ALL SELECT src, r, stays, CASE WHEN stays = 1 THEN list_append(kept, {{'s': s, 'e': e}}) ELSE kept END FROM (
+    SELECT g.src, o.r, o.s, o.e, kept, CASE WHEN len(list_filter(kept, lambda y: least(o.e, y.e) > greatest(o.s, y.s) AND least(o.e, y.e) - greatest(o.s, y.s) >= 0.5 * (greatest(o.e, y.e) - least(o.s, y.s)))) = 0 THEN 1 ELSE 0 END AS stays
+    FROM {name}_g g JOIN {name}_o o ON o.src = g.src AND o.r = g.r + 1)),
+{name} AS MATERIALIZED (SELECT o.* EXCLUDE (r) FROM {name}_o o JOIN {name}_g g ON g.src = o.src AND g.r = o.r AND stays = 1)"""
+
+
+_SQL_ID = "'cand_' || substr(sha1(src || ':' || {0} || ':' || {1}), 1, 8)"
+_SQL_MEAN = "floor((3e0 * hook + {0} + {1} + emotion + novelty + pace + fit) / 9e0 * 100 + 0.5) / 100"
+_SQL_POOL = f"""
+words AS MATERIALIZED ({_ansi("words")}), s AS MATERIALIZED (SELECT *, regexp_matches(txt, '[.?!]["'')]?\\s*$') AS done FROM ({_ansi("sentences")})),
+z AS (SELECT src, max(s) AS s FROM s GROUP BY src),
+x AS (SELECT src, id AS first, s AS b FROM s WHERE id = 0
+  UNION ALL SELECT src, first, b FROM (SELECT x.src, s.id AS first, s.s AS b, row_number() OVER (PARTITION BY x.src ORDER BY s.id) AS r FROM x JOIN z ON z.src = x.src AND z.s >= x.b + 120 JOIN s ON s.src = x.src AND s.s >= x.b + 100) WHERE r = 1),
+win AS MATERIALIZED (SELECT x.src, first::BIGINT AS first, max(s.id)::BIGINT AS last FROM x JOIN s ON s.src = x.src AND s.id >= first AND s.s < b + 120 GROUP BY x.src, first),
+ranges AS MATERIALIZED (SELECT src, last, a, a + 1 + (src + a * 5) % 6 AS b FROM win, unnest(range(first, last + 1, 2)) t(a)),
+snaps AS MATERIALIZED (SELECT s.src, s.id, greatest(s.s - 0.12, coalesce(p.e + 0.02, 0), 0) AS s, least(s.e + 0.3, coalesce(n.s - 0.02, s.e + 0.3)) AS e
+  FROM s LEFT JOIN words p ON p.src = s.src AND p.p = s.w0 - 1 LEFT JOIN words n ON n.src = s.src AND n.p = s.w1 + 1),
+moves AS MATERIALIZED (SELECT src, id,
+  CASE WHEN lag(done) OVER l THEN 0 WHEN id < 1 THEN 0 WHEN lag(done, 2) OVER l OR id < 2 THEN 1 WHEN lag(done, 3) OVER l OR id < 3 THEN 2 ELSE 3 END AS back,
+  CASE WHEN done OR lead(id) OVER l IS NULL THEN 0 WHEN lead(done) OVER l OR lead(id, 2) OVER l IS NULL THEN 1 WHEN lead(done, 2) OVER l OR lead(id, 3) OVER l IS NULL THEN 2 ELSE 3 END AS forth
+  FROM s WINDOW l AS (PARTITION BY src ORDER BY id)),
+merged AS (SELECT r.src, r.a - f.back AS a, r.b + t.forth AS b, {", ".join(f"r.{k}" for k in SIGNALS)}
+  FROM (SELECT src, a, b, {", ".join(f"(" + _SIX_H.format(k, 11) + f")::DOUBLE AS {n}" for k, n in enumerate(SIGNALS))} FROM ranges WHERE b <= last) r
+  JOIN moves f ON f.src = r.src AND f.id = r.a JOIN moves t ON t.src = r.src AND t.id = r.b),
+found AS (SELECT m.src, {_SQL_ID.format("a", "b").replace("src", "m.src")} AS id, a, b, f.s, t.e, {", ".join(SIGNALS)}, {_SQL_MEAN.format("payoff", "clarity")} AS composite
+  FROM merged m JOIN snaps f ON f.src = m.src AND f.id = a JOIN snaps t ON t.src = m.src AND t.id = b WHERE t.e - f.s BETWEEN 8.5 AND 69),
+{_sql_greedy("first", "found", "a, b, " + ", ".join(SIGNALS))},
+told AS (SELECT DISTINCT src, {_SQL_ID.format("a", "b")} AS id, {_SIX_H.format(20, 3)} > 0 AS opens, {_SIX_H.format(21, 3)} > 0 AS ends, a + {_SIX_H.format(22, 10)} - 6 AS new_a, b + {_SIX_H.format(23, 9)} - 4 AS new_b FROM ranges),
+placed AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY composite DESC, s, id) AS place FROM first),
+judged AS (SELECT p.*, coalesce(opens, true) AS opens, coalesce(ends, true) AS ends, new_a, new_b, f.s AS s1, t.e AS e1 FROM placed p LEFT JOIN told c ON c.src = p.src AND c.id = p.id
+  LEFT JOIN snaps f ON f.src = p.src AND f.id = new_a LEFT JOIN snaps t ON t.src = p.src AND t.id = new_b WHERE place <= 25),
+opened AS (SELECT *, CASE WHEN moved THEN new_a ELSE a END AS a2, CASE WHEN moved THEN s1 ELSE s END AS s2 FROM (SELECT *, coalesce(NOT opens AND new_a BETWEEN a - 5 AND a + 3 AND new_a <= b AND e - s1 BETWEEN 8.5 AND 69, false) AS moved FROM judged)),
+ended AS (SELECT *, CASE WHEN shifted THEN new_b ELSE b END AS b2, CASE WHEN shifted THEN e1 ELSE e END AS e2 FROM (SELECT *, coalesce(NOT ends AND new_b BETWEEN b - 3 AND b + 4 AND new_b >= a2 AND e1 - s2 BETWEEN 8.5 AND 69, false) AS shifted FROM opened)),
+scored AS (SELECT src, a2 AS a, b2 AS b, s2 AS s, e2 AS e, hook, CASE WHEN ends OR shifted THEN payoff ELSE least(payoff, 4) END AS payoff, CASE WHEN opens OR moved THEN clarity ELSE least(clarity, 3) END AS clarity,
+  emotion, novelty, pace, fit, a2 <> a OR b2 <> b AS repaired, NOT (a2 <> a OR b2 <> b) AND NOT ((opens OR moved) AND (ends OR shifted)) AS penalised FROM ended),
+again AS (SELECT src, {_SQL_ID.format("a", "b")} AS id, a, b, s, e, {", ".join(SIGNALS)}, {_SQL_MEAN.format("payoff", "clarity")} AS composite, repaired, penalised FROM scored
+  UNION ALL SELECT src, id, a, b, s, e, {", ".join(SIGNALS)}, composite, false, false FROM placed WHERE place > 25),
+{_sql_greedy("last", "again", "a, b, " + ", ".join(SIGNALS) + ", repaired, penalised")},
+pool AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY composite DESC, s, id) AS place FROM last)"""
+
+ORACLE = {
+    "select_pool": f"WITH RECURSIVE {_SQL_POOL} SELECT src, place, id, a, b, s, e, composite, repaired, penalised, place <= 25 AS pooled FROM pool",
+    "select_boundary_counts": f"WITH RECURSIVE {_SQL_POOL} SELECT src, count(*) FILTER (repaired) AS repaired, count(*) FILTER (penalised) AS penalised FROM pool GROUP BY src",
+}

@@ -284,7 +284,7 @@ def test_boundary_repairs(spark, check, want):
 
 def test_pool_of_a_source(spark):
     """Seven proposals: two out of their window or turned round, one too short, two that overlap, one that a repair moves onto another."""
-    sentences, words = talk(spark)
+    sentences, _ = talk(spark)
     windows = spark.createDataFrame([(1, 0, 19), (1, 18, 39)], "src long, first long, last long")
     score = lambda x: (float(x),) * 7
     rows = [(1, 0, 18, 21, *score(9)), (1, 0, 9, 8, *score(9)), (1, 0, 2, 2, *score(9)), (1, 0, 3, 6, *score(5)), (1, 0, 4, 7, *score(6)), (1, 18, 20, 23, *score(8)), (1, 18, 25, 28, *score(7))]
@@ -292,7 +292,7 @@ def test_pool_of_a_source(spark):
     ids = {r[0]: r[1] for r in spark.createDataFrame([(20, 23), (25, 28)], "a long, b long").select("a", selection.candidate_id(F.lit(1), F.col("a"), F.col("b"))).collect()}
     checks = spark.createDataFrame([(1, ids[20], False, True, 22, None), (1, ids[25], False, False, None, None)], "src long, id string, opens boolean, ends boolean, new_a long, new_b long")
     weights = dict.fromkeys(selection.SIGNALS, 1.0)
-    got = selection.build_pool(proposals, checks, windows, sentences, words, weights, 20.0, 60.0).orderBy("place").collect()
+    got = selection.build_pool(proposals, checks, windows, sentences, weights, 20.0, 60.0).orderBy("place").collect()
     assert [(r.a, r.b, r.repaired, r.penalised, r.pooled) for r in got] == [(22, 23, True, False, True), (4, 7, False, False, True), (25, 28, False, True, True)]
     assert [r.composite for r in got] == [8.0, 6.0, math.floor((7 * 5 + 3 + 4) / 7 * 100 + 0.5) / 100]
     (n,) = selection.boundary_counts(spark.createDataFrame(got)).collect()
