@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.operators import folds
-from spanloom.operators.folds import _ansi, _view, intervals, six
+from spanloom.operators.folds import _SIX_OF_MEAN, _ansi, _view, intervals, six
+from spanloom.operators.weights import fit_weights, ranked_without
+from spanloom.plans.durable import durable
 
 METRICS = ("ndcg_pool", "ndcg_all", "precision", "recall", "mrr", "pool_recall")
 BASE = "V0"
@@ -65,7 +65,7 @@ def variants(metrics: DataFrame, runs: DataFrame, more: DataFrame | None = None)
     """key, metric, n, mean, lo, hi, cost, ms: a row a variant and metric, nulls skipped; cost and ms of a run on the mean.
 
     runs: key, src, cost, ms. more: metrics of a synthetic variant (a random order), which has no runs."""
-    every = metrics if more is None else metrics.unionByName(more.select(metrics.columns))
+    every = durable(metrics if more is None else metrics.unionByName(more.select(metrics.columns)))
     spent = runs.groupBy("key").agg(six(F.avg("cost")).alias("cost"), six(F.avg("ms")).alias("ms"))
     zero = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("cost", "ms")]
     return intervals(long_metrics(every), ["key", "metric"]).join(spent, "key", "left").select("key", "metric", "n", "mean", "lo", "hi", *zero)
@@ -77,7 +77,7 @@ def comparisons(metrics: DataFrame, runs: DataFrame, young: DataFrame, dear: flo
     base's by, null without repeats), the four checks and promote, which is all of them.
 
     young: src, young. Episodes that one of the two lacks are skipped, as are null figures."""
-    x = long_metrics(metrics).filter("metric in ('ndcg_pool', 'recall')")
+    x = durable(long_metrics(metrics).filter("metric in ('ndcg_pool', 'recall')"))
     base = x.filter(F.col("key") == BASE).select("src", "metric", F.col("x").alias("base"))
     diffs = x.filter(F.col("key") != BASE).join(base, ["src", "metric"], "left").withColumn("x", F.col("x") - F.col("base")).drop("base")
     settled = diffs.filter("metric = 'ndcg_pool'").join(young, "src", "left").filter("young is null or not young").select("key", "src", F.lit("settled").alias("metric"), "x")
@@ -100,97 +100,26 @@ def comparisons(metrics: DataFrame, runs: DataFrame, young: DataFrame, dear: flo
     return own.withColumn("promote", F.expr(" and ".join(checks)))
 
 
-GRID = (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0)
-
-
-class WeightSearch:
-    """Weights of signals that give the best mean ndcg_pool of pools ordered by their weighted mean.
-
-    pools: arrays an episode of signals (items x signals), ids, starts, and gains (items x moments, 0 where they don't match) and
-    covers. One signal after the other takes each value of the grid, and keeps it where the mean gets better by
-    1e-9; up to ``passes`` times, until a pass changes nothing. Without anything to learn all weights stay 1."""
-
-    def __init__(self, pools: list[tuple], k: int = 6, passes: int = 3):
-        self.pools, self.k, self.passes = [p for p in pools if p[1].any()], k, passes
-
-    def ndcg(self, pool: tuple, w: np.ndarray) -> float:
-        signals, gains, covers = pool
-        order = np.argsort(-np.floor(signals @ w / w.sum() * 100 + 0.5), kind="stable")[: self.k]
-        best = np.sort(gains.max(0))[::-1][: self.k]
-        credited, got = np.zeros(gains.shape[1], bool), 0.0
-        for at, i in enumerate(order):
-            g = np.where(credited, 0, gains[i])
-            if g.any():
-                j = np.lexsort((-covers[i], -g))[0]
-                credited[j] = True
-                got += g[j] / np.log2(at + 2)
-        return got / float((best / np.log2(np.arange(len(best)) + 2)).sum())
-
-    def mean(self, w: np.ndarray) -> float:
-        return float(np.mean([self.ndcg(p, w) for p in self.pools])) if self.pools else 0.0
-
-    def run(self, n: int) -> tuple[np.ndarray, float]:
-        w = np.ones(n)
-        best = self.mean(w)
-        for _ in range(self.passes):
-            changed = False
-            for s in range(n):
-                for v in GRID:
-                    if v != w[s]:
-                        trial = w.copy()
-                        trial[s] = v
-                        if (score := self.mean(trial)) > best + 1e-9:
-                            best, w, changed = score, trial, True
-            if not changed:
-                break
-        return w, best
-
-
-SIGNALS = ("hook", "payoff", "clarity", "emotion", "novelty", "pace", "fit")
-
-
-def fit_weights(pools: DataFrame, matches: DataFrame, graded: DataFrame, by_fold: bool = False) -> DataFrame:
-    """signal, weight, score; by_fold: for each fold, learned from the episodes outside of it, and held.
-
-    pools: src, fold, id and the signals: the best 25 of each episode at most, so what the search holds is one
-    episode's bounded pool each. The search is one task (one a fold): its steps follow one another."""
-    gains = matches.join(graded.select("src", F.col("id").alias("mid"), (F.pow(F.lit(2.0), F.col("grade")) - 1).alias("gain")), ["src", "mid"]).groupBy("src", F.col("cid").alias("id")).agg(F.collect_list(F.struct("mid", "gain", "cover")).alias("hits"))
-    rows = pools.join(gains, ["src", "id"], "left").select("src", "fold", "id", *SIGNALS, "hits")
-    held = rows.select("fold").distinct().select(F.col("fold").alias("held")) if by_fold else rows.sparkSession.range(1).select(F.lit(-1).cast("long").alias("held"))
-    dealt = rows.join(F.broadcast(held), F.col("fold") != F.col("held"))
-
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        episodes = []
-        for _, e in frame.sort_values(["src", "id"]).groupby("src"):
-            mids = sorted({h["mid"] for hits in e["hits"] if hits is not None for h in hits})
-            at = {m: j for j, m in enumerate(mids)}
-            g, c = np.zeros((len(e), len(mids))), np.zeros((len(e), len(mids)))
-            for i, hits in enumerate(e["hits"]):
-                for h in [] if hits is None else hits:
-                    g[i, at[h["mid"]]], c[i, at[h["mid"]]] = h["gain"], h["cover"]
-            episodes.append((e[list(SIGNALS)].to_numpy(float), g, c))
-        w, score = WeightSearch(episodes).run(len(SIGNALS))
-        return pd.DataFrame({"held": int(frame["held"].iloc[0]), "signal": SIGNALS, "weight": w, "score": np.floor(score * 1e6 + 0.5) / 1e6})
-
-    out = dealt.groupBy("held").applyInPandas(one, "held long, signal string, weight double, score double")
-    return out if by_fold else out.drop("held")
-
-
 def _metrics(spark: SparkSession, d: str) -> DataFrame:
-    return episode_metrics(_view("rankings", spark, d), _view("matches", spark, d), _view("graded", spark, d))
+    return episode_metrics(*(durable(_view(v, spark, d)) for v in ("rankings", "matches", "graded")))
 
 
 def _random(spark: SparkSession, d: str) -> DataFrame:
     return folds.random_baseline(_view("ranked", spark, d), _view("matches", spark, d), _view("graded", spark, d)).withColumn("key", F.lit("B-rand"))
 
 
+def _taught(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return _view("pool_signals", spark, d), _view("matches", spark, d), _view("graded", spark, d)
+
+
 QUERIES = {
     "bench_metrics": _metrics,  # I1-I4, D23
     "bench_variants": lambda s, d: variants(_metrics(s, d), _view("runs", s, d)),  # D30, D27, D26
     "bench_variants_random": lambda s, d: variants(_metrics(s, d).filter("key = 'V0'"), _view("runs", s, d), _random(s, d)),  # D30 with I5
     "bench_comparisons": lambda s, d: comparisons(_metrics(s, d), _view("runs", s, d), _view("young", s, d)),  # I7, I10, I11, I14
-    "bench_weights": lambda s, d: fit_weights(_view("pool_signals", s, d), _view("matches", s, d), _view("graded", s, d)),  # I8
-    "bench_weights_held_out": lambda s, d: fit_weights(_view("pool_signals", s, d), _view("matches", s, d), _view("graded", s, d), by_fold=True),  # I9
+    "bench_weights": lambda s, d: fit_weights(*_taught(s, d)),  # I8
+    "bench_weights_held_out": lambda s, d: fit_weights(*_taught(s, d), leave_out=True),  # I9
+    "bench_ranked_held_out": lambda s, d: ranked_without(*_taught(s, d)),  # I9
 }
 
 _SIX = "floor(({0}) * 1e6 + 0.5) / 1e6"
@@ -220,7 +149,7 @@ n AS MATERIALIZED (SELECT k, max(n) AS n, avg(x) AS mean FROM w GROUP BY k),
 u AS MATERIALIZED (SELECT n, it, q, ((1 + (it * n + q + 1)::UBIGINT * 1831565813) % 4294967296)::UBIGINT AS a FROM (SELECT DISTINCT n FROM n), range(10000) r(it), unnest(range(n)) t(q)),
 d AS MATERIALIZED (SELECT n, it, floor(xor(t, t >> 14) / 4294967296e0 * n)::BIGINT AS i FROM (SELECT n, it, {_T2} AS t FROM (SELECT n, it, {_T1} AS t FROM u))),
 m AS (SELECT k, m, row_number() OVER (PARTITION BY k ORDER BY m) AS r FROM (SELECT w.k, it, avg(x) AS m FROM d JOIN w ON w.n = d.n AND w.i = d.i GROUP BY w.k, it)),
-b AS MATERIALIZED (SELECT n.k, n.n, {_SIX.format("mean")} AS mean, {_SIX.format("least(lo, mean)")} AS lo, {_SIX.format("greatest(hi, mean)")} AS hi
+b AS MATERIALIZED (SELECT n.k, n.n, {_SIX_OF_MEAN.format("mean")} AS mean, {_SIX_OF_MEAN.format("least(lo, mean)")} AS lo, {_SIX_OF_MEAN.format("greatest(hi, mean)")} AS hi
   FROM n JOIN (SELECT k, min(CASE WHEN r = 251 THEN m END) AS lo, min(CASE WHEN r = 9750 THEN m END) AS hi FROM m GROUP BY k) q ON n.k = q.k)"""
 _SQL_LONG = "(" + " UNION ALL ".join(f"SELECT key, src, '{m}' AS metric, {m} AS x FROM metrics" for m in METRICS) + ")"
 

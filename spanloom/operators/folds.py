@@ -11,6 +11,7 @@ from spanloom.functions.prng import stream
 from spanloom.operators.chains import windows
 from spanloom.operators.suppression import suppress
 from spanloom.plans.dialect import Relational
+from spanloom.plans.durable import durable
 from spanloom.plans.views import VIEWS
 
 
@@ -27,6 +28,11 @@ def six(c) -> F.Column:
     return F.floor(c * 1e6 + 0.5) / 1e6
 
 
+def six_of_mean(c) -> F.Column:
+    """Half up too where the order of a sum's terms has taken a little of the half."""
+    return F.floor(c * 1e6 + 0.50001) / 1e6
+
+
 def dedupe(spans: DataFrame, iou: float = 0.5) -> DataFrame:
     """src, id, s, e of spans that stay: by falling score, a span goes if its IoU with one that stays is ``iou`` or more."""
     return suppress(spans.select("src", "id", "score", "s", "e"), iou).drop("score")
@@ -77,40 +83,73 @@ def shots(series: DataFrame, floor: float = 14.0, times: float = 4.0, least: flo
     return per.select("src", F.explode(fold).alias("id"))
 
 
-def resampled(x: np.ndarray, runs: int, seed: int, block: int = 4_000_000) -> tuple:
-    """n, mean, lo, hi of an array: draw it * n + i + 1 of the seed decides item i of run it, and runs are made in blocks."""
-    n = len(x)
-    if not n:
-        return 0, None, None, None
-    step, means = max(1, block // n), []
-    for r in range(0, runs, step):
-        m = min(step, runs - r)
-        means.append(x[np.floor(stream(seed, r * n + 1, m * n) * n).astype(np.int64)].reshape(m, n).mean(1))
-    means, mean = np.sort(np.concatenate(means)), float(x.mean())
-    lo, hi = means[runs * 25 // 1000], means[max(0, -(-runs * 975 // 1000) - 1)]
-    return n, mean, min(float(lo), mean), max(float(hi), mean)
+#: Values that a resampling task holds, and draws that it makes for a range of runs, at most (one run at least).
+BLOCK, DRAWS = 1 << 20, 4_000_000
+
+
+def numbered(values: DataFrame, by: list[str]) -> DataFrame:
+    """values: by, src, x without nulls. by, x, i (its place in its group by src, then x, from 0), n (how many the group has).
+
+    Rows are ranged over partitions by group and src, so a group's order is not made in one task; places are those within a
+    partition plus what the group has in the partitions before, of which there is a count each."""
+    each = max(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    sorted_ = durable(values.repartitionByRange(each, *by, "src", "x").sortWithinPartitions(*by, "src", "x").select(*by, "x", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")))
+    parts = sorted_.groupBy(*by, "part").agg(F.count("*").alias("own"), F.min("at").alias("first"))
+    line = Window.partitionBy(*by).orderBy("part")
+    parts = parts.withColumn("before", F.sum("own").over(line) - F.col("own")).withColumn("n", F.sum("own").over(Window.partitionBy(*by)))
+    keys = [F.col(f"v.{k}").eqNullSafe(F.col(f"p.{k}")) for k in (*by, "part")]
+    return sorted_.alias("v").join(parts.alias("p"), keys).select(*(F.col(f"v.{k}").alias(k) for k in by), F.col("v.x").alias("x"), (F.col("v.at") - F.col("p.first") + F.col("p.before")).alias("i"), F.col("p.n").alias("n"))
+
+
+def drawn_sums(xs: np.ndarray, low: int, n: int, a: int, b: int, seed: int, piece: int = 1 << 18) -> np.ndarray:
+    """For each run from a to b, the sum of what its n draws take of the values xs, which are those of n from place low on."""
+    out = np.zeros(b - a)
+    step = max(1, piece // n)
+    for run in range(a, b, step):
+        m = min(step, b - run)
+        for begin in range(0, n, piece):  # a run of very many draws, piece by piece
+            k = min(piece, n - begin)
+            at = np.floor(stream(seed, run * n + begin + 1, m * n if k == n else k) * n).astype(np.int64)
+            if len(xs) < n:
+                at -= low
+                inside = (at >= 0) & (at < len(xs))
+                taken = np.where(inside, xs[np.where(inside, at, 0)], 0.0)
+            else:
+                taken = xs[at]
+            out[run - a : run - a + m] += taken.reshape(m, k).sum(1)
+    return out
 
 
 def intervals(values: DataFrame, by: list[str], runs: int = 10000, seed: int = 1) -> DataFrame:
     """values: by, src, x. by, n, mean, lo, hi: the mean of x over sources in order, and the 2.5 and 97.5 percent places
     of so many resampled means, widened to hold the mean. Nulls are skipped; a group of nulls has n 0 and null figures.
 
-    Every group draws from the start of the seed's stream. A group is one row, a number an episode; its resamples
-    are made and averaged where it is, so none of them is shuffled."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.when(F.col("x").isNotNull(), F.struct("src", "x")))), lambda v: v["x"])
-    per = values.groupBy(*by).agg(ordered.alias("xs"))
+    Every group draws from the start of the seed's stream: draw run * n + i + 1 decides item i of a run. A group's values are cut into
+    blocks, and its runs into ranges; a task jumps to its range's place in the stream, and adds up what the draws that fall
+    into its block give each run. So a large group is many tasks, and none holds more than a block."""
+    known = durable(numbered(values.select(*by, "src", F.col("x").cast("double").alias("x")).filter("x is not null"), by))
+    ranges = F.least(F.lit(runs), F.ceil(F.col("n") * runs / DRAWS)).cast("long")
+    blocks = known.groupBy(*by, "n", F.floor(F.col("i") / BLOCK).alias("block")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda v: v["x"]).alias("xs"))
+    jobs = blocks.withColumn("ranges", ranges).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ranges") - 1)).alias("part"))
+    context = values.sparkSession.sparkContext
+    jobs = jobs.repartition(max(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), 3 * context.defaultParallelism), *by, "block", "part")  # rows are few, their work isn't
+    block = BLOCK
 
     def kernel(frames):
         for frame in frames:
-            out = frame[by].copy()
-            found = [resampled(np.asarray(xs, float), runs, seed) for xs in frame["xs"]]
-            for c, name in enumerate(("n", "mean", "lo", "hi")):
-                out[name] = [f[c] for f in found]
-            yield out
+            for r in frame.itertuples(index=False):
+                xs, n, a, b = np.asarray(r.xs, float), r.n, r.part * runs // r.ranges, (r.part + 1) * runs // r.ranges
+                sums = drawn_sums(xs, r.block * block, n, a, b, seed)
+                yield pd.DataFrame({**{c: [getattr(r, c)] * (b - a) for c in by}, "n": n, "run": np.arange(a, b), "part": sums})
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in per.schema.fields[:-1])
-    out = per.mapInPandas(kernel, f"{kinds}, n long, mean double, lo double, hi double")
-    return out.select(*by, "n", *(six(F.col(c)).alias(c) for c in ("mean", "lo", "hi")))
+    kinds = ", ".join(f"{k} {values.schema[k].dataType.simpleString()}" for k in by)
+    means = jobs.mapInPandas(kernel, f"{kinds}, n long, run long, part double").groupBy(*by, "n", "run").agg((F.sum("part") / F.first("n")).alias("m"))
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("m"))
+    ends = means.withColumn("r", place - 1).groupBy(*by).agg(*(F.max(F.when(F.col("r") == at, F.col("m"))).alias(c) for c, at in (("_lo", runs * 25 // 1000), ("_hi", max(0, -(-runs * 975 // 1000) - 1)))))
+    all_ = values.groupBy(*by).agg(F.count("x").alias("n"), F.avg("x").alias("mean"))
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"e.{k}")) for k in by]
+    out = all_.alias("a").join(ends.alias("e"), same, "left").select(*(F.col(f"a.{k}").alias(k) for k in by), "n", "mean", "_lo", "_hi")
+    return out.select(*by, "n", *(six_of_mean(c).alias(k) for k, c in (("mean", F.col("mean")), ("lo", F.when(F.col("n") > 0, F.least("_lo", "mean"))), ("hi", F.when(F.col("n") > 0, F.greatest("_hi", "mean"))))))
 
 
 def bootstrap(values: DataFrame, runs: int = 10000, seed: int = 1) -> DataFrame:
@@ -304,6 +343,7 @@ QUERIES = {
 }
 
 _SIX = "floor(({0}) * 1e6 + 0.5) / 1e6"
+_SIX_OF_MEAN = "floor(({0}) * 1e6 + 0.50001) / 1e6"
 _IMUL = "(({0}) * ({1}) % 4294967296)"
 _T1 = _IMUL.format("xor(a, a >> 15)", "a | 1")
 _T2 = "xor((t + " + _IMUL.format("xor(t, t >> 7)", "t | 61") + ") % 4294967296, t)"
@@ -346,6 +386,6 @@ t AS (SELECT it, n, {_T1} AS t FROM a),
 u AS (SELECT it, n, {_T2} AS t FROM t),
 p AS (SELECT it, floor(xor(t, t >> 14) / 4294967296e0 * n)::BIGINT AS i FROM u),
 m AS (SELECT m, row_number() OVER (ORDER BY m) AS r FROM (SELECT it, avg(x) AS m FROM p JOIN v ON p.i = v.i GROUP BY it))
-SELECT n, {_SIX.format("mean")} AS mean, {_SIX.format("least(lo, mean)")} AS lo, {_SIX.format("greatest(hi, mean)")} AS hi
+SELECT n, {_SIX_OF_MEAN.format("mean")} AS mean, {_SIX_OF_MEAN.format("least(lo, mean)")} AS lo, {_SIX_OF_MEAN.format("greatest(hi, mean)")} AS hi
 FROM n, (SELECT min(CASE WHEN r = 251 THEN m END) AS lo, min(CASE WHEN r = 9750 THEN m END) AS hi FROM m)""",
 }

@@ -1,5 +1,19 @@
 """Performance of a listing, outcomes, weights and findings."""
 
+
+def rank_correlation(pairs: str) -> str:
+    """signal, n, rho of pairs (signal, x, y): the correlation of average ranks, 0 without any spread.
+
+    Ranks come from counts: how often each value is there, and sums of those before it, less their mean, which is known. What is sorted for a signal are its distinct
+    x, and hundredths of y, which say where the distinct y of a hundredth begin; never a signal's rows."""
+    return f"""
+          WITH g AS (SELECT signal, x, y, floor(y * 1e2) AS part, count(*) AS c FROM ({pairs}) j GROUP BY signal, x, y),
+          a AS (SELECT signal, x, sum(c) OVER (PARTITION BY signal ORDER BY x) - (c - 1) / 2e0 - (sum(c) OVER (PARTITION BY signal) + 1) / 2e0 AS a FROM (SELECT signal, x, sum(c) AS c FROM g GROUP BY signal, x) h),
+          p AS (SELECT signal, part, sum(c) OVER (PARTITION BY signal ORDER BY part) - c - (sum(c) OVER (PARTITION BY signal) + 1) / 2e0 AS before FROM (SELECT signal, part, sum(c) AS c FROM g GROUP BY signal, part) h),
+          b AS (SELECT h.signal, h.y, before + sum(c) OVER (PARTITION BY h.signal, h.part ORDER BY y) - (c - 1) / 2e0 AS b FROM (SELECT signal, part, y, sum(c) AS c FROM g GROUP BY signal, part, y) h JOIN p ON p.signal = h.signal AND p.part = h.part)
+          SELECT g.signal, I(sum(c)) AS n, coalesce(DIV(sum(c * a * b), sqrt(sum(c * a * a) * sum(c * b * b))), 0e0) AS rho FROM g JOIN a ON a.signal = g.signal AND a.x = g.x JOIN b ON b.signal = g.signal AND b.y = g.y GROUP BY g.signal"""
+
+
 OPERATORS = {
     "mine_perf": "SELECT id, channel, R6(perf) AS perf FROM {perf} p",  # D3, C2, H20
     # Quartiles, the rate of cold opens in all and in the best third, and those of tightened ones and of those that start after a pause
@@ -10,11 +24,9 @@ OPERATORS = {
     "learn_median": "SELECT channel, R6(coalesce(PCT(CASE WHEN views > 0 THEN views END, 0.5e0), 0e0)) AS med FROM {listing} l GROUP BY channel",  # D1
     "learn_outcomes": "SELECT id, R6(y) AS y FROM {outcomes} o",  # D15, D12
     # Rank correlation of each signal with the outcome, and the weight that it gives
-    "learn_weights": """
+    "learn_weights": f"""
         SELECT signal, n, R6(rho) AS rho, CASE WHEN n < 8 THEN 1e0 ELSE R6(least(3e0, greatest(25e-2, 1 + 2 * rho * n / (n + 20)))) END AS weight FROM (
-          SELECT signal, count(*) AS n, coalesce(DIV(avg(a * b) - avg(a) * avg(b), STDPOP(a) * STDPOP(b)), 0e0) AS rho FROM (
-            SELECT signal, rank() OVER (PARTITION BY signal ORDER BY x) + (count(*) OVER (PARTITION BY signal, x) - 1) / 2e0 AS a, rank() OVER (PARTITION BY signal ORDER BY y) + (count(*) OVER (PARTITION BY signal, y) - 1) / 2e0 AS b
-            FROM (SELECT s.signal, s.x, R6(o.y) AS y FROM {signals} s JOIN {outcomes} o ON s.id = o.id) j) k GROUP BY signal) l""",
+          {rank_correlation("SELECT s.signal, s.x, R6(o.y) AS y FROM {signals} s JOIN {outcomes} o ON s.id = o.id")}) l""",
     # Means by feature and value, three of each at least
     "learn_buckets": "SELECT feature, v, n, R6(mean_y) AS mean_y FROM {buckets} b",
     # Buckets of five or more whose mean is .3 or more off, as a line

@@ -1,5 +1,7 @@
 """Pools, rankings and how good they are."""
 
+from spanloom.operators.learning import rank_correlation
+
 _TOP = "SELECT src, id, score, s, e, pos FROM {ranked} r WHERE pos <= 25"
 
 OPERATORS = {
@@ -47,10 +49,7 @@ OPERATORS = {
     # I4: moments that any candidate reaches
     "bench_pool_recall": "SELECT m.src, R6(count(DISTINCT x.mid) / (count(DISTINCT m.id) * 1e0)) AS pool_recall FROM {moments} m LEFT JOIN {matches} x ON m.src = x.src GROUP BY m.src",
     # Per signal the rank correlation with the most gain of a moment that a candidate matches, 0 without any
-    "bench_signals": """
-        SELECT signal, R6(coalesce(DIV(avg(a * b) - avg(a) * avg(b), STDPOP(a) * STDPOP(b)), 0e0)) AS rho, count(*) AS n FROM (
-          SELECT signal, rank() OVER (PARTITION BY signal ORDER BY x) + (count(*) OVER (PARTITION BY signal, x) - 1) / 2e0 AS a, rank() OVER (PARTITION BY signal ORDER BY y) + (count(*) OVER (PARTITION BY signal, y) - 1) / 2e0 AS b
-          FROM {credited} s) z GROUP BY signal""",
+    "bench_signals": f"SELECT signal, R6(rho) AS rho, n FROM ({rank_correlation('SELECT signal, x, y FROM {credited} s')}) z",
     # One row a source, a column a variant
     "bench_matrix": "SELECT src, " + ", ".join(f"R6(avg(CASE WHEN kind = '{k}' THEN score END)) AS m_{k}" for k in ("click", "error", "purchase", "signup", "view")) + " FROM {spans} s GROUP BY src",
     # Moments of a source with grades, its fold, and whether it is young

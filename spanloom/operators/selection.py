@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.operators import folds
-from spanloom.operators.evaluation import SIGNALS
 from spanloom.operators.folds import _ansi, _view
 from spanloom.operators.suppression import suppress
+from spanloom.operators.weights import SIGNALS
 from spanloom.plans.durable import durable
 
 LOW, HIGH = 0.85, 1.15  # how far a length may be off the wanted ones

@@ -104,14 +104,18 @@ VIEWS = {
     "ranked": "SELECT src, id, score, s, e, row_number() OVER (PARTITION BY src ORDER BY score DESC, s, id) AS pos FROM {candidates} c",
     "graded": "SELECT *, CASE WHEN perf >= ln(2e0) - 1e-12 THEN 3 WHEN perf >= 0 THEN 2 ELSE 1 END AS grade FROM {moments} m",
     # Rankings of a pool by variant: by score, the same by a second hand (the score in whole tens), by length, by time.
-    "rankings": " UNION ALL ".join(f"SELECT '{k}' AS key, src, id, row_number() OVER (PARTITION BY src ORDER BY {o}) AS pos FROM {{candidates}} c" for k, o in (("V0", "score DESC, s, id"), ("V0@1", "floor(score / 10) DESC, s, id"), ("B-length", "e - s DESC, id"), ("B-time", "s, id"))),
+    "rankings": """
+        SELECT key, src, id, CASE key WHEN 'V0' THEN p0 WHEN 'V0@1' THEN p1 WHEN 'B-length' THEN p2 ELSE p3 END AS pos FROM (
+          SELECT src, id, row_number() OVER (PARTITION BY src ORDER BY score DESC, s, id) AS p0, row_number() OVER (PARTITION BY src ORDER BY floor(score / 10) DESC, s, id) AS p1,
+            row_number() OVER (PARTITION BY src ORDER BY e - s DESC, id) AS p2, row_number() OVER (PARTITION BY src ORDER BY s, id) AS p3 FROM {candidates} c) r,
+          (SELECT 'V0' AS key UNION ALL SELECT 'V0@1' UNION ALL SELECT 'B-length' UNION ALL SELECT 'B-time') k""",
     # What a run of a variant cost: what was spent on the source's events of one kind.
     "runs": " UNION ALL ".join(f"SELECT '{k}' AS key, src, sum(score) AS cost, sum(score) * 1e1 AS ms FROM {{spans}} a WHERE kind = '{e}' GROUP BY src" for k, e in (("V0", "signup"), ("V0@1", "signup"), ("B-length", "error"), ("B-time", "click"))),
     # Sources whose first span starts later than that of half of them.
     "young": "SELECT src, first > (SELECT PCT(first, 0.5e0) FROM (SELECT min(s) AS first FROM {spans} a GROUP BY src) b) AS young FROM (SELECT src, min(s) AS first FROM {spans} c GROUP BY src) d",
     # Seven signals of the best 25 candidates of a source, from 0 to 10: of the score, the length and the words that the id makes.
     "pool_signals": """
-        SELECT r.src, fold, id, floor(score / 10) AS hook, least(10e0, floor((e - s) / 36e1)) AS payoff, abs(floor(score / 10) - 5) AS clarity, 5e0 AS emotion, floor(score * 7) - floor(score * 7 / 11) * 11 AS novelty,
+        SELECT r.src, fold, id, s AS since, floor(score / 10) AS hook, least(10e0, floor((e - s) / 36e1)) AS payoff, abs(floor(score / 10) - 5) AS clarity, 5e0 AS emotion, floor(score * 7) - floor(score * 7 / 11) * 11 AS novelty,
           least(10e0, floor((e - s) / 1e2) - floor((e - s) / 1e3) * 10) AS pace, floor(score * 3) - floor(score * 3 / 10) * 10 AS fit FROM {ranked} r JOIN {folds} f ON r.src = f.src WHERE pos <= 25""",
     # Of a source's pictures: share of samples with a face, of time without a subject, longest time without a face, cuts a minute, height of faces.
     "visual_figures": """

@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.operators import evaluation, folds, learning, quality, ranking, rules, selection, text
+from spanloom.operators import evaluation, folds, learning, quality, ranking, rules, selection, text, weights
 from spanloom.plans.catalog import NAMED
 from spanloom.plans.dialect import Relational
 from spanloom.sources import files
@@ -228,17 +228,15 @@ def test_variants_with_a_random_order(spark):
 
 
 def test_weights_are_learned_where_a_signal_tells(spark):
-    signals = lambda hook: [float(hook), *[5.0] * 6]
-    pools = [(s, s % 2, i, *signals(i if i else 9)) for s in range(4) for i in range(8)]
-    df = spark.createDataFrame([(s, f, i, x[0], 9.0 - x[0], *x[2:]) for s, f, i, *x in pools], "src long, fold long, id long, " + ", ".join(f"{k} double" for k in evaluation.SIGNALS))
+    """Of four episodes' items the one whose first signal is largest, and second least, is the moment; leaving one out changes nothing."""
+    rows = [(s, i, float(i), float(i if i else 9), float(9 - (i if i else 9)), *[5.0] * 5) for s in range(4) for i in range(8)]
+    df = spark.createDataFrame(rows, "src long, id long, since double, " + ", ".join(f"{k} double" for k in weights.SIGNALS))
     matches = spark.createDataFrame([(s, 7, s, 1.0) for s in range(4)], "src long, cid long, mid long, cover double")
     graded = spark.createDataFrame([(s, s, 3) for s in range(4)], "src long, id long, grade int")
-    got = {r.signal: r for r in evaluation.fit_weights(df, matches, graded).collect()}
+    got = {r.signal: r for r in weights.fit_weights(df, matches, graded).collect()}
     assert got["hook"].weight > got["payoff"].weight and got["emotion"].weight == 1.0 and got["hook"].score > 0.6
-    held = evaluation.fit_weights(df, matches, graded, by_fold=True).collect()
-    assert {r.held for r in held} == {0, 1} and len(held) == 14
-    none = evaluation.fit_weights(df, matches.filter("cid < 0"), graded).collect()
-    assert {r.weight for r in none} == {1.0}
+    held = weights.fit_weights(df, matches, graded, leave_out=True).collect()
+    assert {r.held for r in held} == {0, 1, 2, 3} and all(r.weight == got[r.signal].weight for r in held)
 
 
 def talk(spark, n=40, unfinished=()):
