@@ -173,7 +173,7 @@ def pieces_from_cuts(ranges: DataFrame, cuts: DataFrame, keep: float = 0.075) ->
     return ranges.join(per, "src", "left").select("src", F.explode(kept).alias("k")).select("src", "k.s", "k.e")
 
 
-def place_words(words: DataFrame, pieces: DataFrame, within: float = 0.6) -> DataFrame:
+def place_words(words: DataFrame, pieces: DataFrame, within: float = 0.25) -> DataFrame:
     """Words: src, p, s, e; pieces: src, k, s, e, at (when it is shown). src, p, s, e: when each word is shown.
 
     A word goes to the piece that it overlaps most, the first of equals, as far as the piece has it. Words that overlap none go before

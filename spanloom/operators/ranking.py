@@ -2,6 +2,14 @@
 
 from spanloom.operators.learning import rank_correlation
 
+
+
+def _fixed(x: str) -> str:
+    """A number with two decimals, half away from zero."""
+    whole = f"floor(abs({x}) * 100 + 5e-1)"
+    return f"concat(CASE WHEN {x} < 0 THEN '-' ELSE '' END, STR(I(floor({whole} / 100))), '.', lpad(STR(I({whole} - floor({whole} / 100) * 100)), 2, '0'))"
+
+
 _TOP = "SELECT src, id, score, s, e, pos FROM {ranked} r WHERE pos <= 25"
 
 OPERATORS = {
@@ -25,6 +33,14 @@ OPERATORS = {
     "rank_candidate_lines": """
         SELECT r.src, r.id, concat(STR(r.id), ' | ', STR(I(floor(floor(greatest(0e0, e - s) + 5e-1) / 60))), ':', lpad(STR(I(floor(greatest(0e0, e - s) + 5e-1) - floor(floor(greatest(0e0, e - s) + 5e-1) / 60) * 60)), 2, '0'), ' | ', STR(I(floor(composite + 5e-1))), '/10') AS line
         FROM {ranked} r JOIN {judged} j ON r.src = j.src AND r.id = j.id""",
+    # What a creator's audience liked best, as lines of a prompt
+    "rank_audience_block": f"""
+        SELECT creator, concat('What this channel''s audience responded to most (official Shorts, by performance vs channel median):', chr(10), TEXTAGG(concat('- "', title, '" (perf ', {_fixed("y")}, ' vs channel median)'), r, chr(10)), chr(10), chr(10)) AS block
+        FROM (SELECT creator, concat('Short ', STR(id)) AS title, y, row_number() OVER (PARTITION BY creator ORDER BY y DESC, id) AS r FROM {{outcomes}} o) a WHERE r <= 10 GROUP BY creator""",
+    # An item as an example of what did well or badly
+    "rank_example_blocks": f"""
+        SELECT o.id, concat('### ', STR(o.id), ' perf=', CASE WHEN y >= 0 THEN '+' ELSE '' END, {_fixed("y")}, ' dur=', STR(I(floor(dur + 5e-1))), 's coldOpen=', CASE WHEN cold = 1 THEN 'true' ELSE 'false' END, ' tightened=', CASE WHEN tightened = 1 THEN 'true' ELSE 'false' END,
+          ' startsAfterPause=', CASE WHEN paused = 1 THEN 'true' ELSE 'false' END, chr(10), 'SHORT: ', coalesce(d.text, '')) AS block FROM {{outcomes}} o JOIN {{documents}} d ON o.id = d.doc_id""",
     # the base variant first
     "rank_variants": "SELECT kind, count(*) AS n, I(row_number() OVER (ORDER BY CASE WHEN kind = 'view' THEN 0 ELSE 1 END, kind)) AS place FROM {spans} a GROUP BY kind",
     # batches of 200
@@ -56,6 +72,10 @@ OPERATORS = {
     "bench_dataset": """
         SELECT g.src, fold, young, count(*) AS moments, I(sum(CASE WHEN grade = 3 THEN 1 ELSE 0 END)) AS top_grade, I(sum(CASE WHEN perf IS NULL THEN 1 ELSE 0 END)) AS without_perf FROM {graded} g JOIN {folds} f ON g.src = f.src
         LEFT JOIN {young} y ON g.src = y.src GROUP BY g.src, fold, young""",
+    # And the moments themselves, which are what is held out of their fold; those without segments aren't there
+    "bench_dataset_items": """
+        SELECT g.src, fold, young, g.id AS mid, grade, R6(g.perf) AS perf, I(segments) AS segments FROM {graded} g JOIN {folds} f ON g.src = f.src JOIN (SELECT src, mid, count(*) AS segments FROM {segments} s GROUP BY src, mid) k ON g.src = k.src AND g.id = k.mid
+        LEFT JOIN {young} y ON g.src = y.src""",
     # I16: calls go on as long as what went before is under the cap; cached ones cost nothing and always go on
     "bench_budget": """
         SELECT purpose, id, R6(spent) AS spent, cached FROM (SELECT purpose, id, cached, coalesce(sum(CASE WHEN cached THEN 0e0 ELSE cost END) OVER (PARTITION BY purpose ORDER BY since, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS spent FROM {ledger} l) a

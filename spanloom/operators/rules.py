@@ -38,8 +38,19 @@ OPERATORS = {
     "master_retry": "SELECT id, CASE WHEN lufs BETWEEN -155e-1 AND -125e-1 AND tp <= -1 THEN 'accept' WHEN NOT retried THEN 'retry' ELSE 'fail' END AS plan, CASE WHEN NOT (lufs BETWEEN -155e-1 AND -125e-1 AND tp <= -1) AND NOT retried THEN -3e0 END AS next_tp FROM {mastered} m",
     # Lengths in bounds, in order
     "clamp_duration": "SELECT id, least(a, b) AS lo, greatest(a, b) AS hi FROM (SELECT id, greatest(12e0, least(180e0, dur)) AS a, greatest(12e0, least(180e0, hours)) AS b FROM {clips} c) x",
-    # Timeouts in minutes
-    "render_timeouts": "SELECT id, CASE WHEN hook > 0 THEN hook * 6e4 ELSE 9e5 END AS hard_ms, least(payoff * 6e4, CASE WHEN hook > 0 THEN hook * 6e4 ELSE 9e5 END) AS stall_ms FROM {clips} c",
+    # Timeouts from texts, in minutes: what is no positive number gives the default, and a warning if it isn't blank; a stall is no longer than all
+    "render_timeouts": """
+        SELECT id, least(stall, hard) * 6e4 AS stall_ms, hard * 6e4 AS hard_ms,
+          concat(CASE WHEN NOT stall_ok THEN concat('stall="', stall_raw, '" is not a positive number of minutes - using 5') ELSE '' END, CASE WHEN NOT stall_ok AND NOT hard_ok THEN chr(10) ELSE '' END,
+            CASE WHEN NOT hard_ok THEN concat('timeout="', hard_raw, '" is not a positive number of minutes - using 60') ELSE '' END) AS warnings
+        FROM (SELECT id, stall_raw, hard_raw, CASE WHEN stall_n > 0 AND stall_n < 1e300 THEN stall_n ELSE 5e0 END AS stall, CASE WHEN hard_n > 0 AND hard_n < 1e300 THEN hard_n ELSE 6e1 END AS hard,
+            coalesce(trim(stall_raw), '') = '' OR coalesce(stall_n > 0 AND stall_n < 1e300, false) AS stall_ok, coalesce(trim(hard_raw), '') = '' OR coalesce(hard_n > 0 AND hard_n < 1e300, false) AS hard_ok
+          FROM (SELECT *, TRYD(trim(stall_raw)) AS stall_n, TRYD(trim(hard_raw)) AS hard_n FROM {timeouts} t) a) b""",
+    # What an upload asks for: a title of 100 characters at most, marked where that fits, tags without their mark; always private, at a time if one is given
+    "upload_requests": """
+        SELECT id, CASE WHEN length(cut) + 8 <= 100 THEN concat(cut, ' #shorts') ELSE cut END AS title, STRIP(tag, '^#', '') AS tag, 'private' AS privacy, due AS publish_at FROM (SELECT id, substr(trim(title), 1, 100) AS cut, tag, due FROM {uploads} u) a""",
+    # The attribution that ends a description, with the plain address of a video whose id is known
+    "attributions": "SELECT id, concat(chr(10), chr(10), 'From \"', title, '\" — ', name, chr(10), 'Full episode: ', CASE WHEN video IS NOT NULL THEN concat('https://www.youtube.com/watch?v=', video) ELSE coalesce(url, '') END) AS t FROM {attributed} a",
     # A description of 4,900 characters at most; only the body before its last attribution is cut, and marked. An
     # attribution too long by itself is what stays, from its start
     "clamp_description": """

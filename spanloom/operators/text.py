@@ -58,6 +58,14 @@ OPERATORS = {
     "bench_leaks": """
         SELECT DISTINCT i.src AS item, d.src AS src FROM (SELECT src, g, tail FROM {item_openings} a WHERE i = 0) i
         JOIN (SELECT src, g, tail FROM {doc_openings} b) d ON i.g = d.g WHERE substr(concat(d.tail, ' '), 1, length(i.tail) + 1) = concat(i.tail, ' ')""",
+    # C17: of those leaks the ones within a fold: what is held out of a fold may not be in the texts made for it
+    "bench_fold_leaks": """
+        SELECT DISTINCT i.fold, i.src AS item, d.src AS src FROM (SELECT src, g, tail, HASHINT(STR(src)) % 3 AS fold FROM {item_openings} a WHERE i = 0) i
+        JOIN (SELECT src, g, tail, HASHINT(STR(src)) % 3 AS fold FROM {doc_openings} b) d ON i.g = d.g AND i.fold = d.fold WHERE substr(concat(d.tail, ' '), 1, length(i.tail) + 1) = concat(i.tail, ' ')""",
+    # A range of sentences as numbered lines with their times
+    "text_format_window": """
+        SELECT src, part, TEXTAGG(concat('[', STR(id), '] (', STR(I(floor(floor(s) / 60))), ':', lpad(STR(I(floor(s) - floor(floor(s) / 60) * 60)), 2, '0'), ') ', txt), id, chr(10)) AS block
+        FROM (SELECT *, I(floor(id / 2e1)) AS part FROM {sentences} a) b GROUP BY src, part""",
     # How many items are there, have words, align, match nothing, and align with a text whose source is known
     "mine_report": """
         SELECT count(*) AS shorts, count(w.src) AS with_subs, count(*) - count(w.src) AS no_subs, count(a.short) AS aligned, count(w.src) - count(a.short) AS no_match, count(d.doc_id) AS with_features, I(coalesce(sum(a.segments), 0)) AS segments

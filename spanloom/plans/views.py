@@ -42,6 +42,7 @@ VIEWS = {
             SELECT s.src, s.id, max(s.s) AS s, max(s.e) AS e, sum(CASE WHEN {qualifies} THEN 1e0 ELSE 0e0 END) AS n, sum(CASE WHEN {qualifies} AND faces >= 2 THEN 1e0 ELSE 0e0 END) AS two,
               max(CASE WHEN {qualifies} THEN cx END) - min(CASE WHEN {qualifies} THEN cx END) AS spread, PCT(CASE WHEN {qualifies} THEN cx END, 0.5e0) AS mid_x, PCT(CASE WHEN {qualifies} THEN cy END, 0.5e0) AS mid_y, PCT(CASE WHEN {qualifies} THEN h END, 0.5e0) AS mid_h
             FROM {shot_bins} s LEFT JOIN {sample_bins} x ON s.src = x.src AND s.bin = x.bin AND x.t >= s.s AND x.t <= s.e GROUP BY s.src, s.id) a) b""",
+    "asked_layouts": "SELECT *, CASE WHEN id % 5 = 0 THEN 'face' WHEN id % 5 = 1 THEN 'split' WHEN id % 5 = 2 THEN 'fit' END AS asked, CASE WHEN id % 5 = 0 THEN 25e-2 END AS asked_x, CASE WHEN id % 5 = 0 THEN 5e-1 END AS asked_y, CASE WHEN id % 5 = 0 THEN 2e0 END AS asked_zoom FROM {layouts} l",
     # A channel's listing: views and upload day.
     "listing": "SELECT o_orderkey AS id, c_nationkey AS channel, o_totalprice - 1000 AS views, DAY(o_orderdate) AS day, SECS(o_orderdate) AS since, 900 + o_custkey % 60 AS dur FROM {orders} JOIN {customer} ON o_custkey = c_custkey",
     "now": "SELECT max(SECS(o_orderdate)) + 86400e0 AS now FROM {orders}",
@@ -63,6 +64,10 @@ VIEWS = {
         FROM {clips} c, (SELECT 'approve' AS act UNION ALL SELECT 'reject' UNION ALL SELECT 'hook' UNION ALL SELECT 'title' UNION ALL SELECT 'schedule') x""",
     "publishing": "SELECT id, creator, status, status = 'published' OR NOT dry AS public, dry, hours, hook > 1 OR payoff > 8 AS passed, quality = 0 AND toxic = 0 AS forced FROM (SELECT *, NOT (status = 'approved' AND hours < 50) AS dry FROM {clips} c) a",
     "caps": "SELECT id, CASE WHEN quality = 1 THEN ' ' WHEN toxic = 1 THEN creator WHEN hours > 150 THEN STR(-hook) WHEN hours > 100 THEN 'nan' ELSE STR(hook) END AS raw FROM {clips} c",
+    "timeouts": "SELECT id, CASE WHEN hook = 0 THEN NULL WHEN hook < 3 THEN ' ' WHEN hook < 5 THEN 'soon' WHEN hook < 6 THEN '-2' ELSE concat(' ', STR(hook), ' ') END AS stall_raw, CASE WHEN payoff < 2 THEN '0' WHEN payoff < 3 THEN 'nan' WHEN payoff < 4 THEN NULL ELSE STR(payoff) END AS hard_raw FROM {clips} c",
+    # What is uploaded: the text's beginning up to a sentence as the title, the language as a tag.
+    "uploads": "SELECT c.id, concat(' ', substr(coalesce(text, ''), 1, 60 + CAST(c.id % 60 AS INT)), ' ') AS title, CASE WHEN c.id % 2 = 0 THEN concat('#', c.lang) ELSE concat(c.lang, '#') END AS tag, CASE WHEN clarity > 5 THEN '2026-01-05T10:00:00Z' END AS due FROM {clips} c JOIN {documents} d ON c.id = d.doc_id",
+    "attributed": "SELECT c.id, concat(c.lang, ' ', STR(c.id)) AS title, creator AS name, CASE WHEN c.id % 3 > 0 THEN STR(c.id) END AS video, CASE WHEN c.id % 3 = 0 AND c.id % 2 = 0 THEN concat('https://host/x?t=', STR(c.id)) END AS url FROM {clips} c",
     "mastered": "SELECT id, -12 - hook / 2 AS lufs, payoff - 5 AS tp, novelty > 3 AS retried FROM {clips} c",
     "descriptions": "SELECT doc_id AS id, concat(coalesce(text, ''), CASE WHEN source IS NULL THEN '' ELSE concat(chr(10), chr(10), 'From \"', source, '\"') END) AS t FROM {documents} d",
     # What was measured of a rendered clip, and of it what a content check and a vision check said.
@@ -100,6 +105,15 @@ VIEWS = {
           ON c.src = g.src AND c.bin = g.bin AND c.s < g.e AND g.s < c.e WHERE c.bin = floor(greatest(c.s, g.s) / 36e2)) o
         JOIN (SELECT src, id AS mid, perf FROM {moments} m) p ON o.src = p.src AND o.mid = p.mid JOIN (SELECT src, mid, sum(e - s) AS total FROM {segments} z GROUP BY src, mid) t ON o.src = t.src AND o.mid = t.mid
         GROUP BY o.src, cid, o.mid""",
+    # A moment as one span, from the least start to the largest end of its segments, and the share of it that a candidate covers.
+    "official": "SELECT src, mid, min(s) AS s, max(e) AS e FROM {segments} z GROUP BY src, mid",
+    "official_covers": """
+        SELECT c.src, c.id AS cid, o.mid, (least(c.e, o.e) - greatest(c.s, o.s)) / (o.e - o.s) AS cover
+        FROM (SELECT *, BINS(s, e) AS bin FROM {candidates} x WHERE e > s) c JOIN (SELECT *, BINS(s, e) AS bin FROM {official} y WHERE e > s) o
+        ON c.src = o.src AND c.bin = o.bin AND c.s < o.e AND o.s < c.e WHERE c.bin = floor(greatest(c.s, o.s) / 36e2)""",
+    "official_matches": "SELECT * FROM {official_covers} o WHERE cover >= 3e-1",
+    # The ten best candidates of a source are its shortlist.
+    "shortlist": "SELECT src, id, score, s, e FROM {ranked} r WHERE pos <= 10",
     "matches": "SELECT * FROM {overlaps} o WHERE cover >= 3e-1",
     "ranked": "SELECT src, id, score, s, e, row_number() OVER (PARTITION BY src ORDER BY score DESC, s, id) AS pos FROM {candidates} c",
     "graded": "SELECT *, CASE WHEN perf >= ln(2e0) - 1e-12 THEN 3 WHEN perf >= 0 THEN 2 ELSE 1 END AS grade FROM {moments} m",

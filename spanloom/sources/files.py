@@ -112,10 +112,13 @@ def parse_report(docs: DataFrame) -> DataFrame:
     return r.select("src", "row", F.map_from_arrays(F.transform("r.columnHeaders", lambda h: h["name"]), F.col("v")).alias("v"))
 
 
-def parse_probe(docs: DataFrame) -> DataFrame:
-    """Src, json -> src, width, height as shown (a quarter turn swaps them); null where no video stream is."""
-    schema = "struct<streams:array<struct<codec_type:string,width:int,height:int,rotation:double>>>"
+def parse_probe(docs: DataFrame, strict: bool = False) -> DataFrame:
+    """Src, json -> src, width, height as shown (a quarter turn swaps them); where no video stream is null, or an error if strict."""
+    v_type = "struct<codec_type:string,width:int,height:int,rotation:double>"
+    schema = f"struct<streams:array<{v_type}>>"
     v = F.get(F.filter(F.from_json("json", schema)["streams"], lambda s: s["codec_type"] == "video"), F.lit(0))
+    if strict:
+        v = F.coalesce(v, F.raise_error(F.concat(F.lit("no video stream: "), F.col("src").cast("string"))).cast(v_type))
     turned = F.abs(F.floor(F.coalesce(v["rotation"], F.lit(0.0)) + 0.5)) % 180 == 90
     return docs.select("src", F.when(turned, v["height"]).otherwise(v["width"]).alias("width"), F.when(turned, v["width"]).otherwise(v["height"]).alias("height"))
 

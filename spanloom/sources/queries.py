@@ -31,15 +31,10 @@ def _logs(spark, d):
 
 def _loud(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet").filter("event_type = 'purchase'")
-    block = F.concat(F.lit("{old} {\"input_i\":\"-"), F.format_string("%.2f", "value"), F.lit('","input_tp":"-1.5"} \n Summary:\n\n  Integrated loudness:\n    I:         -'), F.format_string("%.1f", "value"), F.lit(" LUFS\n  True peak:\n    Peak:       -2.5 dBFS"))
+    block = F.concat(F.lit("{old} {\"input_i\":\"-"), F.format_string("%.2f", "value"), F.lit('","input_tp":"-'), F.format_string("%.1f", F.col("event_id") % 30 / 10), F.lit('"} \n Summary:\n\n  Integrated loudness:\n    I:         -'), F.format_string("%.1f", "value"), F.lit(" LUFS\n  True peak:\n    Peak:       -"), F.format_string("%.1f", F.col("event_id") % 70 / 10), F.lit(" dBFS"))
     return e.select(F.col("event_id").alias("src"), block.alias("log"))
 
 
-def _ledger(spark, d):
-    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", "event_type", F.col("value").alias("cost"))
-    return e.select(F.from_json(F.to_json(F.struct("*")), "event_id long, event_type string, cost double").alias("j")).select("j.*")
-
-
 def _clips(spark, d):
     metrics = "array<struct<views:double,avgViewPct:double,source:string>>"
     clips = spark.read.parquet(f"{d}/orders.parquet").filter("o_orderkey % 5 > 0").select(F.col("o_orderkey").cast("string").alias("id"), F.lit(None).cast(metrics).alias("metrics"))
@@ -67,7 +62,6 @@ def _probes(spark, d):
 _PAIRS = """(SELECT src, {kind}, t, row_number() OVER (PARTITION BY src, {kind} ORDER BY event_id) AS k FROM (SELECT user_id AS src, event_id, round(value, 2) AS t, event_type AS {kind} FROM events WHERE event_type IN ('{a}', '{b}')))"""
 
 QUERIES = {
-    "scan_ledger": _ledger,  # A9
     "scan_upsert": lambda s, d: files.upsert(s.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_acctbal"), s.read.parquet(f"{d}/orders.parquet").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("c_acctbal")), "c_custkey"),  # A8
     "stats_import": lambda s, d: _clips(s, d)[0].select("id", F.size(F.coalesce("metrics", F.array())).alias("snapshots"), F.element_at("metrics", -1)["views"].alias("views")),  # A11
     "stats_unknown": lambda s, d: _clips(s, d)[1],  # A11
@@ -85,7 +79,6 @@ QUERIES = {
     "listing_entries": lambda s, d: files.parse_listing(_json(s, d)).select("id", "title", "views", "uploadDate", "durationSec", "channelUrl"),  # A13
 }
 ORACLE = {
-    "scan_ledger": "SELECT event_id, event_type, value AS cost FROM events",
     "scan_upsert": "SELECT c_custkey, coalesce(m, c_acctbal) AS c_acctbal FROM customer LEFT JOIN (SELECT o_custkey, max(o_totalprice) AS m FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey UNION SELECT o_custkey, max(o_totalprice) FROM orders GROUP BY o_custkey",
     "stats_import": f"SELECT o_orderkey::VARCHAR AS id, CASE WHEN r.k IS NULL THEN 0 ELSE 1 END::INTEGER AS snapshots, r.o_custkey::DOUBLE AS views FROM orders o LEFT JOIN (SELECT * FROM ({_RAW}) WHERE line > 1 AND k % 50 <> 0 AND k % 7 <> 0 AND k % 11 <> 0) r ON r.k = o.o_orderkey WHERE o_orderkey % 5 > 0",
     "stats_unknown": f"SELECT line, k::VARCHAR AS \"clipId\", 'no such clip' AS message FROM ({_RAW}) WHERE line > 1 AND k % 50 <> 0 AND k % 7 <> 0 AND k % 11 <> 0 AND k % 5 = 0",
@@ -94,8 +87,8 @@ ORACLE = {
     "scan_probes": "SELECT p_partkey AS src, CASE WHEN p_partkey % 2 = 1 THEN 9 ELSE p_size END AS width, CASE WHEN p_partkey % 2 = 1 THEN p_size ELSE 9 END AS height FROM part",
     "scan_silences": "SELECT src, s, t AS e FROM (SELECT user_id AS src, event_type, round(value, 2) AS t, lag(event_type) OVER w AS was, lag(round(value, 2)) OVER w AS s FROM events WHERE event_type IN ('view', 'click') WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE event_type = 'click' AND was = 'view'",
     "scan_black": f"SELECT a.src, a.t AS s, b.t AS e FROM {_PAIRS.format(kind='kind', a='signup', b='error')} a JOIN {_PAIRS.format(kind='kind', a='signup', b='error')} b ON a.src = b.src AND a.k = b.k AND a.kind = 'signup' AND b.kind = 'error'",
-    "scan_loudness": "SELECT event_id AS src, -round(value, 1) AS lufs, -2.5e0 AS peak FROM events WHERE event_type = 'purchase'",
-    "scan_loudnorm": "SELECT event_id AS src, -round(value, 2) AS input_i, -1.5e0 AS input_tp FROM events WHERE event_type = 'purchase'",
+    "scan_loudness": "SELECT event_id AS src, -round(value, 1) AS lufs, -(event_id % 70 / 10e0) AS peak FROM events WHERE event_type = 'purchase'",
+    "scan_loudnorm": "SELECT event_id AS src, -round(value, 2) AS input_i, -(event_id % 30 / 10e0) AS input_tp FROM events WHERE event_type = 'purchase'",
     "scan_rates": "SELECT p_partkey AS src, CASE WHEN p_partkey % 3 = 0 THEN p_size::DOUBLE ELSE p_size / (p_partkey % 3)::DOUBLE END AS fps FROM part",
     "scan_report": "SELECT n_nationkey AS src, n_name AS n, n_regionkey::VARCHAR AS r FROM nation",
     "stats_rows": f"SELECT line, k::VARCHAR AS \"clipId\", o_custkey::DOUBLE AS views, (k % 100)::DOUBLE AS \"avgViewPct\" FROM ({_RAW}) WHERE line > 1 AND k % 50 <> 0 AND k % 7 <> 0 AND k % 11 <> 0",
