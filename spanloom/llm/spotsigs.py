@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cluster import durable, partitions, text_bytes
+from .cluster import durable, partitions
 from .native import folded, words
 
 # Common words of English, French, German and Spanish that chains follow.
@@ -19,8 +19,8 @@ ANCHORS = (
     "al con como del el es esta los las lo no o para por se su una y"
 ).split()
 CHAIN, REACH = 3, 12
-RUN = 8
-FIRST = -(1 << 63)
+#: Documents are dealt by runs of about so many neighbours, within at most so many ranges of doc_ids that hold about as many rows each.
+RUN, RANGES = 256, 1024
 
 
 def _held(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -29,8 +29,8 @@ def _held(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def with_signatures(df: DataFrame, text: str, name: str) -> DataFrame:
-    """Adds the sorted distinct 32-bit hashes of the signatures of a text that isn't null. A chain is the first CHAIN
-    content words within REACH words of its anchor. Words without any chain are one signature; so is a
+    """Adds the sorted distinct 64-bit hashes of the signatures of a text that isn't null. A chain is the first CHAIN
+    content words within REACH words of its anchor. Words without any chain are one signature, of 128 bits in two; so is a
     text that isn't empty but has no words; an empty text has none.
 
     Content words are looked for once a text. As many of them come before an anchor as its place is beyond its number among
@@ -42,14 +42,15 @@ def with_signatures(df: DataFrame, text: str, name: str) -> DataFrame:
     at = [f"get(_c, i - j + {x})" for x in range(CHAIN)]  # i - j content words come before the j-th anchor
     full = f"xxhash64(get(_w, i), {', '.join(f'get(_w, {c})' for c in at)})"
     part = f"xxhash64(get(_w, i), {', '.join(f'if({c} <= i + {REACH}, get(_w, {c}), null)' for c in at)})"
-    chain = f"if(coalesce({at[-1]} <= i + {REACH}, false), {full}, if(coalesce({at[0]} <= i + {REACH}, false), {part}, null)) & 4294967295L"
+    chain = f"if(coalesce({at[-1]} <= i + {REACH}, false), {full}, if(coalesce({at[0]} <= i + {REACH}, false), {part}, null))"
     df = _held(df, "_s", F.expr(f"array_compact(transform(_a, (i, j) -> {chain}))"))
-    bare = F.when(F.size("_w") > 0, F.array(F.xxhash64("_w").bitwiseAND(F.lit(4294967295)))).when(F.col(text) != "", F.array(F.xxhash64(text).bitwiseAND(F.lit(4294967295)))).otherwise(F.expr("cast(array() as array<bigint>)"))
+    twice = lambda c: F.array(F.xxhash64(c), F.xxhash64(F.lit(17), c))
+    bare = F.when(F.size("_w") > 0, twice("_w")).when(F.col(text) != "", twice(text)).otherwise(F.expr("cast(array() as array<bigint>)"))
     return df.withColumn(name, F.sort_array(F.array_distinct(F.when(F.size("_s") > 0, F.col("_s")).otherwise(bare)))).drop("_w", "_c", "_a", "_s")
 
 
 def as_string(sigs: str) -> Column:
-    return F.expr(f"array_join(transform({sigs}, x -> lpad(lower(hex(x)), 8, '0')), '')")
+    return F.expr(f"array_join(transform({sigs}, x -> lpad(lower(hex(x)), 16, '0')), '')")
 
 
 def likeness(a: str, b: str) -> Column:
@@ -60,15 +61,35 @@ def likeness(a: str, b: str) -> Column:
 
 
 def _next_bucket(buckets: DataFrame) -> DataFrame:
-    """Adds to each bucket the next larger one, and to the largest the smallest; by groups of 1,024 buckets,
-    so that only one row for each quarter of a million ids is ever sorted in one task."""
-    own = buckets.withColumn("b2", F.shiftright("b", 10))
-    groups = own.groupBy("b2").agg(F.min("b").alias("low"))
-    line = Window.orderBy("b2")
+    """Adds to each bucket the next larger one, and to the largest the smallest; by ranges, so that what is sorted in
+    one task are a range's buckets, and RANGES rows."""
+    own = buckets.withColumn("k", F.col("b.k"))
+    groups = own.groupBy("k").agg(F.min("b").alias("low"))
+    line = Window.orderBy("k")
     low = F.min("low").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    groups = groups.select("b2", F.coalesce(F.lead("low").over(line), low).alias("after"))
-    inner = F.lead("b").over(Window.partitionBy("b2").orderBy("b"))
-    return own.withColumn("inner", inner).join(groups, "b2").select("b", F.coalesce("inner", "after").alias("above"))
+    groups = groups.select("k", F.coalesce(F.lead("low").over(line), low).alias("after"))
+    inner = F.lead("b").over(Window.partitionBy("k").orderBy("b"))
+    return own.withColumn("inner", inner).join(groups, "k").select("b", F.coalesce("inner", "after").alias("above"))
+
+
+def _bucket(rows: int, quantiles: list[int]) -> Column:
+    """The bucket of a row (doc_id, row), in the order of doc_ids: k, the range between quantiles of the doc_ids that it lies in; p, its place
+    there in steps that hold about RUN rows where the range's ids are spread evenly; h, for ids that fill whole ranges, and for rows without
+    one, a part of the text's hash."""
+    bounds = sorted(set(quantiles))
+    hot = sorted({x for x, y in zip(quantiles, quantiles[1:], strict=False) if x == y})
+    each = max(1, rows // max(1, len(quantiles)))
+    steps = [max(1, (b - a) * RUN // each) for a, b in zip(bounds, [*bounds[1:], bounds[-1] + 1], strict=True)] if bounds else []
+    side = 32
+    listed = lambda xs: F.array(*map(F.lit, xs)).cast("array<bigint>")
+    below = lambda xs: F.size(F.filter(xs, lambda x: x <= F.col("doc_id")))
+    first = (F.greatest(below(listed(bounds[::side])), F.lit(1)) - 1) * side  # of every 32nd bound, then among those after it
+    k = first + F.greatest(below(F.slice(listed(bounds), first + 1, side)), F.lit(1)) - 1
+    p = F.floor((F.col("doc_id") - F.get(listed(bounds), k)) / F.get(listed(steps), k))
+    part = F.shiftright("row", 54)
+    h = F.when(F.col("doc_id").isin(hot), part).otherwise(0) if hot else F.lit(0).cast("long")
+    none = F.struct(F.lit(-1).alias("k"), F.lit(0).cast("long").alias("p"), part.alias("h"))
+    return F.when(F.col("doc_id").isNull(), none).otherwise(F.struct(k.cast("int").alias("k"), p.cast("long").alias("p"), h.alias("h"))) if bounds else none
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -76,16 +97,19 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     The next document is the next smaller doc_id, after the smallest the largest; the edited text is the
     text with its last floor(n_chars / 2) code points replaced by the first as many of the next document.
-    Documents are shuffled once, by runs of 256 doc_ids; a run's last document gets its next one from a
-    table of the runs' first documents.
+    Documents are shuffled once, by runs of about RUN neighbours; a run's last document gets its next one from a
+    table of the runs' first documents. How wide runs are is learned from the quantiles of doc_ids, so that ids may be sparse.
 
     A null text is empty, and its fingerprint too. Rows without doc_id come last. Rows that repeat a
-    doc_id are ordered by a hash of the text. A document that is alone is its own next one."""
-    n = partitions(docs.sparkSession, text_bytes(docs), 16 << 20)
+    doc_id are ordered by a hash of the text; so are rows without one. A document that is alone is its own next one."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    d = d.withColumn("b", F.coalesce(F.shiftright("doc_id", RUN), F.lit(FIRST))).withColumn("row", F.xxhash64("text"))
-    buckets = _next_bucket(d.select("b").distinct())
-    dealt = d.repartition(n, "b")
+    places = F.lit([i / RANGES for i in range(RANGES)])
+    seen = d.agg(F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("bytes"), F.percentile_approx("doc_id", places, 16 * RANGES).alias("at")).first()
+    n = partitions(docs.sparkSession, seen.bytes or 0, 16 << 20)
+    d = d.withColumn("row", F.xxhash64("text"))
+    dealt = _held(d, "b", _bucket(seen.rows, list(seen.at or [])))
+    buckets = _next_bucket(dealt.select("b").distinct())
+    dealt = dealt.repartition(n, "b")
     line = Window.partitionBy("b").orderBy(F.col("doc_id").desc_nulls_last(), F.col("row").desc())
     first = dealt.withColumn("place", F.row_number().over(line)).filter("place = 1").select("b", F.col("text").alias("first_text"))
     first = first.join(buckets, "b").select(F.col("above").alias("b"), "first_text")

@@ -14,6 +14,7 @@ from spanloom.llm.licenses import scan_licenses
 from spanloom.llm.mixing import mix
 from spanloom.llm.sharding import shard
 from spanloom.llm.sketch import Sketch
+from spanloom.llm import spotsigs
 from spanloom.llm.spotsigs import ANCHORS, fingerprints, near_classes, near_pairs
 from spanloom.llm.substring import remove_repeated_windows
 from spanloom.llm.suffixes import remove_repeated_bytes
@@ -158,7 +159,31 @@ def test_fingerprints_against_brute_force(spark):
         x = got[i]
         assert (x.n_chars, x.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
         assert abs(x.near_edited - like(signatures(t), signatures(edited))) < 1e-9 and abs(x.near_next - like(signatures(t), signatures(after))) < 1e-9
-        assert len(x.fingerprint) == 8 * len(signatures(t)) and prints.setdefault(frozenset(signatures(t)), x.fingerprint) == x.fingerprint
+        bare = sum(k[0] == "" for k in signatures(t))  # has twice the bits
+        assert len(x.fingerprint) == 16 * (len(signatures(t)) + bare) and prints.setdefault(frozenset(signatures(t)), x.fingerprint) == x.fingerprint
+
+
+@pytest.mark.parametrize("ids", ["dense", "spread", "clustered", "one", "none"])
+def test_the_next_document_whatever_the_ids(spark, ids, monkeypatch):
+    """Ids that are sparse, that crowd, that a third of the rows share, or that many rows lack; small runs and few ranges."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(spotsigs, "RUN", 4)
+    monkeypatch.setattr(spotsigs, "RANGES", 16)
+    r = random.Random(8)
+    of = {"dense": lambda k: k, "spread": lambda k: r.randint(-(2**62), 2**62), "clustered": lambda k: 10**15 * (k % 3) + k, "one": lambda k: 7 if k % 3 == 0 else r.randint(0, 20), "none": lambda k: None if k % 3 == 0 else k}[ids]
+    docs = [(of(k), f"text {r.random()} {k}") for k in range(240)]
+    order = [tuple(x) for x in table(spark, docs).orderBy(F.col("doc_id").desc_nulls_last(), F.xxhash64("text").desc()).collect()]
+    want = sorted((i is None, i or 0, hashlib.sha256((t[: len(t) - len(t) // 2] + after[: len(t) // 2]).encode()).hexdigest()) for (i, t), (_, after) in zip(order, [*order[1:], order[0]], strict=True))
+    got = fingerprints(table(spark, docs))
+    assert sorted((x.doc_id is None, x.doc_id or 0, x.edited_sha256) for x in got.collect()) == want
+    assert spotsigs._next_bucket(table(spark, docs).select("doc_id", F.xxhash64("text").alias("row")).select(spotsigs._bucket(240, sorted(i for i, _ in docs if i is not None)[:: 240 // 16]).alias("b")).distinct()).count() >= 20
+
+
+def test_different_texts_without_anchors_have_different_fingerprints(spark):
+    """So many that hashes of 32 bits would let some collide."""
+    df = spark.range(150_000).selectExpr("id as doc_id", "concat('слово', id) as text")
+    assert fingerprints(df).select("fingerprint").distinct().count() == 150_000
 
 
 def test_near_fingerprints_against_brute_force(spark):
