@@ -113,11 +113,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
             spans = spans.unionByName(x)
     else:
         spans = spark.createDataFrame([], "doc_id long, row long, item string, a int, b int")
-    along = Window.partitionBy("doc_id", "row").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
-    spans = spans.groupBy("doc_id", "row", "a", "b").agg(F.collect_set("item").alias("items"))
+    # By one struct: a union of parts that were shuffled by row isn't always shuffled alike, though Spark 4.1 takes it for that.
+    along = Window.partitionBy("at").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.groupBy(F.struct("doc_id", "row").alias("at"), "a", "b").agg(F.collect_set("item").alias("items"))
     spans = spans.withColumn("done", F.coalesce(F.max("b").over(along), F.col("a")))
     spans = spans.withColumn("more", F.greatest(F.lit(0), F.col("b") - F.greatest("a", "done")))
-    per = spans.groupBy("doc_id", "row").agg(F.sum("more").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    per = spans.groupBy("at").agg(F.sum("more").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).select("at.*", "n_hit", "items")
     out = rows.join(per, same_row(rows, per), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select(
