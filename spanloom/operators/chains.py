@@ -43,11 +43,10 @@ def windows(sentences: DataFrame, length: float = 600.0, overlap: float = 60.0)
     if not (overlap < length < math.inf and overlap > -math.inf):
         raise ValueError("a window must be longer than its overlap, and both must be finite")
     own = sentences.select("src", F.col("id").cast("long").alias("i"), F.col("s").cast("double").alias("s"))
-    none = F.lit(None).cast("long")
+    mark = lambda t, kind, i, of: F.struct(t.alias("t"), F.lit(kind).alias("kind"), i.cast("long").alias("i"), of.cast("long").alias("of"))
+    s, i, none = F.col("s"), F.col("i"), F.lit(None)
     # At equal times the next window's begin comes after sentences, looking back from the end, and the window's end before them.
-    marks = own.select("src", F.col("s").alias("t"), F.lit(1).alias("kind"), "i", none.alias("of"))
-    marks = marks.unionByName(own.select("src", (F.col("s") + length).alias("t"), F.lit(0).alias("kind"), none.alias("i"), F.col("i").alias("of")))
-    marks = marks.unionByName(own.select("src", (F.col("s") + (length - overlap)).alias("t"), F.lit(0).alias("kind"), none.alias("i"), (-1 - F.col("i")).alias("of")))
+    marks = own.select("src", F.explode(F.array(mark(s, 1, i, none), mark(s + length, 0, none, i), mark(s + (length - overlap), 0, none, -1 - i))).alias("m")).select("src", "m.*")
     line = Window.partitionBy("src").orderBy("t", "kind", "i", "of")
     upto, from_ = line.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("src").orderBy(F.col("t").desc(), F.col("kind").desc(), F.col("i").desc(), "of").rowsBetween(Window.unboundedPreceding, 0)
     found = marks.select("src", "of", F.last("i", ignorenulls=True).over(upto).alias("before"), F.last("i", ignorenulls=True).over(from_).alias("after"), F.max("i").over(Window.partitionBy("src")).alias("end")).filter("of is not null")

@@ -188,7 +188,8 @@ def place_words(words: DataFrame, pieces: DataFrame, within: float = 0.25) -> Da
     own = own.select("src", "p", "k", (F.col("at") + F.greatest("s", "_s") - F.col("_s")).alias("s"), (F.col("at") + F.least("e", "_e") - F.col("_s")).alias("e"))
     lost = words.join(own.select("src", "p"), ["src", "p"], "left_anti").select("src", "p", "s", F.lit(None).cast("struct<k:bigint,at:double,length:double>").alias("n"))
     begin = p.select("src", F.lit(None).cast("long").alias("p"), F.col("_s").alias("s"), F.struct(F.col("k").cast("long").alias("k"), "at", (F.col("_e") - F.col("_s")).alias("length")).alias("n"))
-    ahead = Window.partitionBy("src").orderBy("s", F.col("p").isNull(), "p").rowsBetween(0, Window.unboundedFollowing)
+    ahead = Window.partitionBy(F.struct("src")).orderBy("s", F.col("p").isNull(), "p").rowsBetween(0, Window.unboundedFollowing)
+    # By a struct: Spark 4.1 takes a union of parts that were shuffled by source for shuffled by it, though it may read each in other groups of partitions.
     lost = lost.unionByName(begin).withColumn("n", F.first("n", ignorenulls=True).over(ahead)).filter("p is not null and n is not null").select("src", "p", "s", "n.*")
     lost = lost.join(own.groupBy("src", "k").agg(F.min("s").alias("first")), ["src", "k"], "left")
     room = F.least(F.lit(within), F.col("length"), F.coalesce(F.col("first") - F.col("at"), F.lit(within)))
@@ -310,16 +311,26 @@ def _random_metrics(pool: list, moments: list, pairs: list, runs: int, seed: int
 
 
 def _shown(spark, sf_dir):
-    """Ranges of sources, cut where their samples have no face for long; and what of their words is shown when."""
+    """Ranges of sources, cut at their pauses and around each 41st word, which a cut swallows; and what of their words is shown when."""
     w = _view("words", spark, sf_dir)
     ranges = w.groupBy("src").agg(F.min("s").alias("s"), F.max("e").alias("e"))
-    gap = w.withColumn("n", F.lead("s").over(Window.partitionBy("src").orderBy("p"))).filter("n - e > 0.3")
-    pieces = pieces_from_cuts(ranges, gap.select("src", F.col("e").alias("s"), F.col("n").alias("e")))
+    line = Window.partitionBy("src").orderBy("p")
+    near = w.select("src", "p", "e", F.lead("s").over(line).alias("n"), F.lead("p").over(line).alias("q"), F.lead("s", 2).over(line).alias("n2"))
+    cut = lambda wanted, e: F.when(F.expr(wanted), F.struct(F.col("e").alias("s"), F.col(e).alias("e")))
+    both = F.array_compact(F.array(cut("n - e > 0.3", "n"), cut("q % 41 = 40 and n2 is not null", "n2")))
+    cuts = near.select("src", F.explode(both).alias("c")).select("src", "c.s", "c.e")
+    pieces = pieces_from_cuts(ranges, cuts)
     line = Window.partitionBy("src").orderBy("s")
     pieces = pieces.withColumn("k", F.row_number().over(line).cast("long") - 1)
     return w, pieces.withColumn("at", F.coalesce(F.sum(F.col("e") - F.col("s")).over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
 
 
+def _touching(spark, sf_dir):
+    """Spans of a source that end where the next begins, if that is less than half an hour later."""
+    line = Window.partitionBy("src").orderBy("s", "id")
+    return _view("spans", spark, sf_dir).withColumn("n", F.lead("s").over(line)).filter("n > s").select("src", "s", F.when(F.col("n") - F.col("s") < 1800, F.col("n")).otherwise(F.col("s") + 300).alias("e"))
+
+
 def _sources_mean(spark, sf_dir):
     """The mean score of each source, sources in order."""
     return _view("candidates", spark, sf_dir).groupBy(F.col("src").alias("i")).agg(six(F.avg("score")).alias("x"))
@@ -332,12 +343,12 @@ QUERIES = {
     "span_shots": lambda spark, d: shots(_view("spans", spark, d).select("src", "id", F.col("s").alias("t"), F.col("score").alias("d"))),  # E7
     "bench_bootstrap": lambda spark, d: bootstrap(_sources_mean(spark, d)),  # I6, H16
     "edit_pieces": lambda spark, d: _shown(spark, d)[1].select("src", "k", six(F.col("s")).alias("s"), six(F.col("e")).alias("e"), six(F.col("at")).alias("at")),  # E18
-    "edit_words": lambda spark, d: place_words(*_shown(spark, d)),  # C16, E22
+    "edit_words": lambda spark, d: place_words(*_shown(spark, d)).select("src", "p", six(F.col("s")).alias("s"), six(F.col("e")).alias("e")),  # C16, E22
     # Parts as pictures, lines as boxes
     "span_nms": lambda spark, d: nms(spark.read.parquet(f"{d}/lineitem.parquet").select((F.col("l_partkey") % 500).alias("src"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_extendedprice") / 1000).alias("score"), (F.col("l_quantity") / 10).alias("x"), (F.col("l_discount") * 10).alias("y"), F.lit(2.0).alias("w"), (0.5 + F.col("l_tax") * 10).alias("h"))),
     # Vectors of a label as frames
     "span_frame_diffs": lambda spark, d: frame_diffs(spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("label").alias("src"), F.col("vec_id").alias("t"), F.col("embedding").alias("pixels"))).withColumn("d", six(F.col("d"))),
-    "span_merge_short": lambda spark, d: merge_short(_view("shots", spark, d), 400.0),  # E21
+    "span_merge_short": lambda spark, d: merge_short(_touching(spark, d), 400.0).select("src", six(F.col("s")).alias("s"), six(F.col("e")).alias("e")),  # E21
     "text_caption_words": lambda spark, d: caption_words(_view("words", spark, d).select("src", F.col("p").alias("i"), F.when(F.col("p") % 3 == 0, F.col("w")).otherwise(F.concat(F.lit(" "), "w")).alias("t"), "s", "e")),  # E13
     "bench_random": lambda spark, d: random_baseline(_view("ranked", spark, d), _view("matches", spark, d), _view("graded", spark, d)),  # I5
 }
@@ -348,6 +359,17 @@ _IMUL = "(({0}) * ({1}) % 4294967296)"
 _T1 = _IMUL.format("xor(a, a >> 15)", "a | 1")
 _T2 = "xor((t + " + _IMUL.format("xor(t, t >> 7)", "t | 61") + ") % 4294967296, t)"
 
+#: Pieces of ranges whose cuts lie apart, so that one begins where the cut before ends, and ends where the next one begins.
+_SQL_PIECES = f"""
+w AS MATERIALIZED ({_ansi("words")}),
+near AS (SELECT *, lead(s) OVER (PARTITION BY src ORDER BY p) AS n, lead(p) OVER (PARTITION BY src ORDER BY p) AS q, lead(s, 2) OVER (PARTITION BY src ORDER BY p) AS n2 FROM w),
+raw AS (SELECT src, e AS s, n AS e FROM near WHERE n - e > 0.3 UNION ALL SELECT src, e, n2 FROM near WHERE q % 41 = 40 AND n2 IS NOT NULL),
+cuts AS (SELECT src, min(s) AS s, max(e) AS e FROM (SELECT *, sum(new) OVER (PARTITION BY src ORDER BY s, e) AS g FROM (
+  SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY src ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM raw)) GROUP BY src, g),
+ends AS (SELECT src, s + 0.075 AS stop, e - 0.075 AS go FROM cuts UNION ALL SELECT src, NULL, min(s) FROM w GROUP BY src),
+open AS (SELECT src, go AS s, coalesce(lead(stop) OVER (PARTITION BY src ORDER BY go), (SELECT max(e) FROM w WHERE w.src = ends.src)) AS e FROM ends),
+pieces AS MATERIALIZED (SELECT *, coalesce(sum(e - s) OVER (PARTITION BY src ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS shown FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY s) - 1 AS k FROM open WHERE e > s))"""
+
 ORACLE = {
     "span_frame_diffs": f"""
 SELECT src, t, {_SIX.format("list_sum(list_transform(range(1, len(p) + 1), lambda k: abs(p[k]::DOUBLE - was[k]::DOUBLE))) / len(p)")} AS d
@@ -388,4 +410,35 @@ p AS (SELECT it, floor(xor(t, t >> 14) / 4294967296e0 * n)::BIGINT AS i FROM u),
 m AS (SELECT m, row_number() OVER (ORDER BY m) AS r FROM (SELECT it, avg(x) AS m FROM p JOIN v ON p.i = v.i GROUP BY it))
 SELECT n, {_SIX_OF_MEAN.format("mean")} AS mean, {_SIX_OF_MEAN.format("least(lo, mean)")} AS lo, {_SIX_OF_MEAN.format("greatest(hi, mean)")} AS hi
 FROM n, (SELECT min(CASE WHEN r = 251 THEN m END) AS lo, min(CASE WHEN r = 9750 THEN m END) AS hi FROM m)""",
+    "edit_pieces": f"""
+WITH {_SQL_PIECES} SELECT src, k, {_SIX.format("s")} AS s, {_SIX.format("e")} AS e, {_SIX.format("shown")} AS at FROM pieces""",
+    "edit_words": f"""
+WITH {_SQL_PIECES},
+own AS MATERIALIZED (SELECT w.src, w.p, k.k, shown + greatest(w.s, k.s) - k.s AS s, shown + least(w.e, k.e) - k.s AS e FROM w JOIN pieces k ON k.src = w.src AND least(w.e, k.e) > greatest(w.s, k.s)
+  QUALIFY row_number() OVER (PARTITION BY w.src, w.p ORDER BY least(w.e, k.e) - greatest(w.s, k.s) DESC, k.k) = 1),
+lost AS (SELECT w.src, w.p, w.s, min(k.k) AS k FROM w JOIN pieces k ON k.src = w.src AND k.s >= w.s ANTI JOIN own o ON o.src = w.src AND o.p = w.p GROUP BY w.src, w.p, w.s),
+room AS (SELECT l.src, l.p, shown, least(0.25, k.e - k.s, coalesce((SELECT min(o.s) FROM own o WHERE o.src = l.src AND o.k = l.k) - shown, 0.25)) AS room, row_number() OVER (PARTITION BY l.src, l.k ORDER BY l.s, l.p) - 1 AS i, count(*) OVER (PARTITION BY l.src, l.k) AS m
+  FROM lost l JOIN pieces k ON k.src = l.src AND k.k = l.k)
+SELECT src, p, {_SIX.format("s")} AS s, {_SIX.format("e")} AS e FROM (SELECT src, p, s, e FROM own UNION ALL SELECT src, p, shown + i * room / m, shown + (i + 1) * room / m FROM room WHERE room > 1e-6)""",
+    "span_nms": """
+WITH RECURSIVE b AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, id) AS r FROM (
+  SELECT l_partkey % 500 AS src, l_orderkey * 10 + l_linenumber AS id, l_extendedprice / 1000 AS score, l_quantity / 10 AS x, l_discount * 10 AS y, 2e0 AS w, 0.5 + l_tax * 10 AS h FROM lineitem)),
+g AS (SELECT DISTINCT src, 0::BIGINT AS r, []::STRUCT(id BIGINT, x DOUBLE, y DOUBLE, w DOUBLE, h DOUBLE)[] AS kept FROM b
+  UNION ALL SELECT src, r, CASE WHEN len(list_filter(list_transform(kept, lambda k: struct_pack(inner_ := greatest(0, least(x + w, k.x + k.w) - greatest(x, k.x)) * greatest(0, least(y + h, k.y + k.h) - greatest(y, k.y)), area := k.w * k.h)), lambda o: o.inner_ > 0.3 * (w * h + o.area - o.inner_))) = 0
+    THEN list_append(kept, struct_pack(id := id, x := x, y := y, w := w, h := h)) ELSE kept END
+  FROM (SELECT g.src, b.r, kept, b.id, b.x::DOUBLE AS x, b.y::DOUBLE AS y, b.w::DOUBLE AS w, b.h::DOUBLE AS h FROM g JOIN b ON b.src = g.src AND b.r = g.r + 1))
+SELECT src, kept[i].id AS id, (i - 1)::INTEGER AS place FROM (SELECT src, kept, unnest(range(1, least(8, len(kept)) + 1)) AS i FROM (SELECT src, arg_max(kept, r) AS kept FROM g GROUP BY src))""",
+    "span_merge_short": f"""
+WITH RECURSIVE n AS (SELECT *, lead(s) OVER (PARTITION BY src ORDER BY s, id) AS n FROM ({_ansi("spans")})),
+t AS (SELECT src, s, CASE WHEN n - s < 1800 THEN n ELSE s + 300 END AS e FROM n WHERE n > s),
+r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY src ORDER BY s) AS r FROM t),
+f AS (SELECT DISTINCT src, 0::BIGINT AS r, []::STRUCT(s DOUBLE, e DOUBLE, run BIGINT)[] AS out FROM r
+  UNION ALL SELECT src, r, CASE WHEN len(out) > 0 AND abs(s - out[-1].e) < 1e-9 AND (e - s < 400 OR out[-1].run = 1 AND out[-1].e - out[-1].s < 400) THEN list_append(out[:-2], {{'s': out[-1].s, 'e': e, 'run': out[-1].run}})
+    ELSE list_append(out, {{'s': s, 'e': e, 'run': CASE WHEN len(out) > 0 AND abs(s - out[-1].e) < 1e-9 THEN out[-1].run + 1 ELSE 1 END}}) END
+  FROM (SELECT f.src, r.r, f.out, r.s, r.e FROM f JOIN r ON r.src = f.src AND r.r = f.r + 1))
+SELECT src, {_SIX.format("k.s")} AS s, {_SIX.format("k.e")} AS e FROM (SELECT src, unnest(out) AS k FROM (SELECT src, arg_max(out, r) AS out FROM f GROUP BY src))""",
+    "text_caption_words": f"""
+WITH w AS (SELECT *, p % 3 > 0 OR coalesce(lag(w LIKE '[%]') OVER (PARTITION BY src ORDER BY p), true) AS begins FROM ({_ansi("words")})),
+g AS (SELECT *, sum(begins::INT) OVER (PARTITION BY src ORDER BY p) AS g FROM w)
+SELECT src, string_agg(w, '' ORDER BY p) AS w, min(s) AS s, max(e) AS e FROM g WHERE w NOT LIKE '[%]' GROUP BY src, g HAVING NOT string_agg(w, '' ORDER BY p) LIKE '[%]'""",
 }

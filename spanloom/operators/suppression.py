@@ -59,7 +59,7 @@ def suppress(spans: DataFrame, iou: float = 0.5, score: str = "score") -> DataFr
     best = F.struct(F.coalesce(-F.col(score).cast("double"), F.lit(math.inf)).alias("k"), "id", F.col("s").cast("double").alias("s"), F.col("e").cast("double").alias("e"), "src")
     own = spans.select(best.alias("p"), row.alias("row"))
     order = F.struct("p", *(F.col(f"row.`{f.name}`") for f in spans.schema.fields if not _UNORDERED.search(f.dataType.simpleString())))
-    open_ = own.filter("p.e > p.s").groupBy("p.src", "p.s", "p.e").agg(F.min("p").alias("p"), F.min_by("row", order).alias("row"))
+    open_ = own.filter("p.e > p.s").groupBy(F.struct("p.src", "p.s", "p.e").alias("same")).agg(F.min("p").alias("p"), F.min_by("row", order).alias("row"))
     open_, kept = durable(open_.select(_cell("p", iou).alias("cell"), "p", "row")), [own.filter("not coalesce(p.e > p.s, false)").select("row")]
     while not open_.isEmpty():
         first = open_.groupBy("cell").agg(F.min("p").alias("p"), F.min_by("row", "p").alias("row"))
