@@ -29,6 +29,28 @@ def _hash(array: str, k: int, at: str = "0"):
     return F.xxhash64(F.lit(k), *[F.expr(f"xxhash64(get({array}, {at} + {o}))") for o in range(k)])
 
 
+def _within() -> dict[str, list[tuple[str, int]]]:
+    """Of each phrase that holds other ones: their templates, and the word of it that each begins with."""
+    found = {}
+    for longer in PHRASES:
+        w = longer.split()
+        held = [(f"phrase:{p}", k) for p in PHRASES if p != longer for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+        if held:
+            found[f"phrase:{longer}"] = held
+    return found
+
+
+def _longest(spans: DataFrame) -> DataFrame:
+    """Without spans of phrases that lie within one of a longer phrase: of ``cc by nc`` the ``cc by`` goes. Base ones stay."""
+    none = "cast(array() as array<struct<template:string,at:int>>)"
+    cases = " ".join(f"when '{t}' then array({', '.join(f"named_struct('template', '{p}', 'at', cast({k} as int))" for p, k in held)})" for t, held in _within().items())
+    shadows = F.expr(f"transform(case template {cases} else {none} end, x -> named_struct('template', x.template, 'first', first + x.at, 'own', false))")
+    own = F.expr("array(named_struct('template', template, 'first', first, 'own', true))")
+    marks = spans.select("doc_id", "row", F.struct("kind", "label", "template", "grams", "first", "last", "held").alias("span"), F.explode(F.concat(own, shadows)).alias("m"))
+    kept = marks.groupBy("doc_id", "row", "m.template", "m.first").agg(F.max_by("span", "m.own").alias("span"), F.bool_and("m.own").alias("kept"))
+    return kept.filter("kept").select("doc_id", "row", "span.*")
+
+
 def scan_licenses(docs: DataFrame, neighbours: int = 6, least_share: float = 0.6) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans of each row of docs.
 
@@ -36,7 +58,7 @@ def scan_licenses(docs: DataFrame, neighbours: int = 6, least_share: float = 0.6
     hash and then by the words. Hits are counted by template and diagonal (place in the document less
     place in the template); diagonals within ``neighbours`` of each other are one span, so a word put in
     or left out does not cut it. A phrase's span is one diagonal that holds all of its grams; a passage
-    must hold ``least_share`` of its grams. spans: template, first and last word, share of grams.
+    must hold ``least_share`` of its grams. Of phrases within each other the longest at a place gives its label. spans: template, first and last word, share of grams.
 
     A null or empty text has no words, places or labels and score 0; a very long text is read whole, its grams as rows.
     Repeated rows get equal results. An empty table gives none."""
@@ -58,7 +80,8 @@ def scan_licenses(docs: DataFrame, neighbours: int = 6, least_share: float = 0.6
     spans = lines.groupBy("doc_id", "row", "kind", "label", "template", "grams", "span").agg(
         F.min("a").alias("first"), F.max("b").alias("last"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("held")
     )
-    spans = spans.withColumn("share", F.col("held") / F.col("grams")).filter(F.when(F.col("kind") == "passage", F.col("share") >= least_share).otherwise(F.col("held") == F.col("grams")))
+    spans = spans.filter(F.when(F.col("kind") == "passage", F.col("held") / F.col("grams") >= least_share).otherwise(F.col("held") == F.col("grams")))
+    spans = _longest(spans).withColumn("share", F.col("held") / F.col("grams"))
     base = F.col("kind") == "base"
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
     found = spans.groupBy("doc_id", "row").agg(

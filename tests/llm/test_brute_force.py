@@ -55,6 +55,14 @@ def test_license_places_and_labels(spark):
         assert set(x.base_labels.split(",")) <= set(x.labels.split(",")) | {""} and x.score == (1.0 if x.labels else 0.0)
 
 
+def test_the_longest_phrase_at_a_place_gives_its_label(spark):
+    docs = [(1, "Under CC BY-NC only"), (2, "cc by, then CC-BY-SA"), (3, "cc by nc and elsewhere cc by"), (4, "the Lesser General Public License"), (5, "cc by n"), (6, "cc by cc by nc")]
+    got = {x.doc_id: x for x in scan_licenses(table(spark, docs)).collect()}
+    assert {i: x.labels for i, x in got.items()} == {1: "cc-by-nc", 2: "cc-by,cc-by-sa", 3: "cc-by,cc-by-nc", 4: "gpl,lgpl", 5: "cc-by", 6: "cc-by,cc-by-nc"}
+    assert got[4].base_labels == "gpl" and (got[4].first_word, got[4].n_base) == (2, 1)
+    assert [(s.template, s.first_word, s.last_word) for s in got[6].spans] == [("phrase:cc by", 0, 1), ("phrase:cc by nc", 2, 4)]
+
+
 def test_license_texts_are_found_whole_changed_and_not_in_pieces(spark):
     texts = {f"{label} {name}": text for label, name, text in PASSAGES}
     mit = texts["mit text"].split()
