@@ -98,11 +98,12 @@ def _expand(text: str, rules: dict) -> str:
 
 
 _CLEAN = {
-    "spark": "filter(transform(filter(split(text, '[ \\\\t\\\\n\\\\r]+'), x -> x <> ''), (x, p) -> named_struct('p', p, 't', regexp_replace(lower(x), '[^a-z0-9]', ''))), y -> y.t <> '')",
+    "spark": "filter(transform(split(regexp_replace(lower(trim(regexp_replace(text, '[ \\\\t\\\\n\\\\r]+', ' '))), '[^a-z0-9 ]', ''), ' '), (x, p) -> named_struct('p', p, 't', x)), y -> y.t <> '')",
     "ansi": "list_filter(list_transform(list_filter(string_split_regex(text, '[ \\t\\n\\r]+'), lambda x: x <> ''), lambda x, k: struct_pack(p := k - 1, t := regexp_replace(lower(x), '[^a-z0-9]', '', 'g'))), lambda y: y.t <> '')",
 }
+_FIVE = ", ".join(f"get(ts, i + {k}).t" for k in range(5))
 #: Rows of a text without a shuffle: its words (p, w); its tokens (i, and p, the word's place, t); and its runs of five
-#: tokens (i of the first, g, and wp, wl, the places of the first and last word); and its runs of six words between all that
+#: tokens (i of the first, g, and wp, wl, the places of the first and last word; g is what they are joined by: on Spark 128 bits of a hash); and its runs of six words between all that
 #: isn't a letter or digit (g), with twelve or as many as there are (tail).
 INPLACE = {
     "words": {
@@ -114,7 +115,7 @@ INPLACE = {
         "ansi": f"(SELECT src, i, y.p AS p, y.t AS t FROM (SELECT {{0}} AS src, generate_subscripts(ts, 1) - 1 AS i, unnest(ts) AS y FROM (SELECT {{0}}, {_CLEAN['ansi']} AS ts FROM {{1}})))",
     },
     "shingles": {
-        "spark": f"(SELECT src, i, array_join(slice(ts, i + 1, 5).t, ' ') AS g, get(ts, i).p AS wp, get(ts, i + 4).p AS wl FROM (SELECT {{0}} AS src, {_CLEAN['spark']} AS ts FROM {{1}}) LATERAL VIEW explode(CASE WHEN size(ts) >= 5 THEN sequence(0, size(ts) - 5) ELSE array() END) z AS i)",
+        "spark": f"(SELECT src, i, named_struct('a', xxhash64({_FIVE}), 'b', xxhash64(5, {_FIVE})) AS g, get(ts, i).p AS wp, get(ts, i + 4).p AS wl FROM (SELECT {{0}} AS src, {_CLEAN['spark']} AS ts FROM {{1}}) LATERAL VIEW explode(CASE WHEN size(ts) >= 5 THEN sequence(0, size(ts) - 5) ELSE array() END) z AS i)",
         "ansi": f"(SELECT src, i, array_to_string(list_transform(ts[i + 1:i + 5], lambda y: y.t), ' ') AS g, ts[i + 1].p AS wp, ts[i + 5].p AS wl FROM (SELECT src, ts, unnest(range(0, len(ts) - 4)) AS i FROM (SELECT {{0}} AS src, {_CLEAN['ansi']} AS ts FROM {{1}})))",
     },
     "openings": {
