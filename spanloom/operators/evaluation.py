@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.operators import folds
 from spanloom.operators.folds import _SIX_OF_MEAN, _ansi, _view, intervals, six
-from spanloom.operators.weights import fit_weights, ranked_without
+from spanloom.operators.weights import fit_weights, ranked_by, search
 from spanloom.plans.durable import durable
 
 METRICS = ("ndcg_pool", "ndcg_all", "precision", "recall", "mrr", "pool_recall")
@@ -119,7 +119,7 @@ QUERIES = {
     "bench_comparisons": lambda s, d: comparisons(_metrics(s, d), _view("runs", s, d), _view("young", s, d)),  # I7, I10, I11, I14
     "bench_weights": lambda s, d: fit_weights(*_taught(s, d)),  # I8
     "bench_weights_held_out": lambda s, d: fit_weights(*_taught(s, d), leave_out=True),  # I9
-    "bench_ranked_held_out": lambda s, d: ranked_without(*_taught(s, d)),  # I9
+    "bench_ranked_held_out": lambda s, d: ranked_by(_view("pool_signals", s, d), search(*_taught(s, d), leave_out=True)),  # I9
 }
 
 _SIX = "floor(({0}) * 1e6 + 0.5) / 1e6"

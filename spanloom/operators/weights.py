@@ -130,11 +130,10 @@ def fit_weights(pools: DataFrame, matches: DataFrame, graded: DataFrame, leave_o
     return out if leave_out else out.drop("held")
 
 
-def ranked_without(pools: DataFrame, matches: DataFrame, graded: DataFrame) -> DataFrame:
-    """Src, id, composite, pos: each episode's pool by the weights that the other episodes teach, then by start, then id."""
-    own = search(pools, matches, graded, leave_out=True).select(F.col("held").alias("src"), "w")
+def ranked_by(pools: DataFrame, found: DataFrame) -> DataFrame:
+    """Src, id, composite, pos: each episode's pool by the weights that were found without it, then by start, then id."""
     terms = [F.col(k) * F.get("w", F.lit(i)) for i, k in enumerate(SIGNALS)]
     mean = sum(terms[1:], terms[0]) / F.expr("aggregate(w, 0D, (a, x) -> a + x)")
-    scored = pools.join(own, "src").withColumn("composite", F.floor(mean * 100 + 0.5) / 100)
+    scored = pools.join(found.select(F.col("held").alias("src"), "w"), "src").withColumn("composite", F.floor(mean * 100 + 0.5) / 100)
     pos = F.row_number().over(Window.partitionBy("src").orderBy(F.col("composite").desc(), "since", "id"))
     return scored.select("src", "id", "composite", pos.alias("pos"))

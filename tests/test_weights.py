@@ -61,25 +61,32 @@ def tables(spark, pools, grades, hits):
     )
 
 
-@pytest.mark.parametrize("seed,around", [(1, 256), (4, 1)])
-def test_searches_equal_those_of_one_training_set_after_the_other(spark, monkeypatch, seed, around):
-    """around: how many vectors a round looks around; searches that differ then wait for each other."""
-    monkeypatch.setattr(weights, "AROUND", around)
-    pools, grades, hits = episodes(seed)
+def test_searches_equal_those_of_one_training_set_after_the_other(spark):
+    pools, grades, hits = episodes(1)
     taught = tables(spark, pools, grades, hits)
     train = {s: (pools[s], hits[s]) for s in pools if hits[s]}
-    got = {r.held: (list(r.w), r.best) for r in weights.search(*taught, leave_out=True).collect()}
+    found = weights.search(*taught, leave_out=True)
+    got = {r.held: (list(r.w), r.best) for r in found.collect()}
     want = {s: fitted([t for k, t in train.items() if k != s]) for s in pools}
     assert {s: w for s, (w, _) in got.items()} == {s: w for s, (w, _) in want.items()}
     assert all(abs(got[s][1] - want[s][1]) < 1e-9 for s in pools) and len({tuple(w) for w, _ in want.values()}) > 1
-    (one,) = weights.search(*taught).collect()
-    assert (one.held, list(one.w)) == (None, fitted(list(train.values()))[0])
     ranks = {}
-    for r in weights.ranked_without(*taught).orderBy("src", "pos").collect():
+    for r in weights.ranked_by(taught[0], found).orderBy("src", "pos").collect():
         ranks.setdefault(r.src, []).append(r.id)
     assert ranks == {s: [x[0] for x in ordered(pools[s], want[s][0])] for s in pools}
 
 
+def test_searches_that_wait_for_each_other_and_one_over_all(spark, monkeypatch):
+    """Rounds that look around one vector."""
+    monkeypatch.setattr(weights, "AROUND", 1)
+    pools, grades, hits = episodes(4, 3)
+    taught = tables(spark, pools, grades, hits)
+    train = {s: (pools[s], hits[s]) for s in pools if hits[s]}
+    assert {r.held: list(r.w) for r in weights.search(*taught, leave_out=True).collect()} == {s: fitted([t for k, t in train.items() if k != s])[0] for s in pools}
+    (one,) = weights.search(*taught).collect()
+    assert (one.held, list(one.w)) == (None, fitted(list(train.values()))[0])
+
+
 def test_nothing_to_learn_from(spark):
     pools, grades, hits = episodes(2)
     p, m, g = tables(spark, pools, grades, hits)
