@@ -10,6 +10,7 @@ from spanloom.operators.folds import _SIX_OF_MEAN, _ansi, _view, intervals, six
 from spanloom.operators.weights import fit_weights, ranked_by, search
 from spanloom.plans.durable import durable
 
+# Names of metrics and of the base variant.
 METRICS = ("ndcg_pool", "ndcg_all", "precision", "recall", "mrr", "pool_recall")
 BASE = "V0"
 

@@ -3,6 +3,7 @@
 Inputs are the relations measures, face_checks and fix_context of plans/views.py; the texts hold no data of their own."""
 
 #: name, severity, condition, and when the check is made at all.
+# Names of checks, how bad a failure is, and the limits that they are judged by.
 _CHECKS = (
     ("resolution", "error", "width = 1080 AND height = 1920", ""),
     ("codec", "error", "vcodec = 'h264' AND pix_fmt = 'yuv420p'", ""),

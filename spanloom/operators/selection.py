@@ -13,6 +13,7 @@ from spanloom.operators.suppression import suppress
 from spanloom.operators.weights import SIGNALS
 from spanloom.plans.durable import durable
 
+# Fixed values.
 LOW, HIGH = 0.85, 1.15  # how far a length may be off the wanted ones
 POOL = 25
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from spanloom.plans.durable import durable
 
+# Names of signals, the values that a weight may take, passes, places that count, and how much better is better.
 SIGNALS = ("hook", "payoff", "clarity", "emotion", "novelty", "pace", "fit")
 GRID = (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0)
 PASSES, TOP, BETTER = 3, 6, 1e-9
