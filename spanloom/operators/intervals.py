@@ -114,13 +114,15 @@ covers AS MATERIALIZED (SELECT c.src, c.id AS cid, o.mid, (least(c.e, o.e) - gre
 best AS (SELECT src, mid, min(cid) FILTER (cover = most) AS cid, max(most) AS cover FROM (SELECT *, max(cover) OVER (PARTITION BY src, mid) AS most FROM covers) WHERE cover >= 3e-1 GROUP BY src, mid),
 shortlist AS (SELECT src, id FROM candidates QUALIFY row_number() OVER (PARTITION BY src ORDER BY score DESC, s, id) <= 10),
 hits AS (SELECT DISTINCT l.src, l.id FROM shortlist l JOIN covers c ON c.src = l.src AND c.cid = l.id WHERE cover >= 3e-1)"""
+#: Relations that an operator's query reads in place of its own: of all candidates the ones that match, not of ten a source.
+WHOLE = {"span_matched_candidates": {"shortlist": "SELECT src, id, score, s, e FROM {candidates} a"}}
 _SIX = "floor(({0}) * 1e6 + 0.5) / 1e6"
 
 #: Of what stands on a moment's one span: texts apart from the operators', without their stretches of time.
 ORACLE = {
     "span_overlap_ratio": f"WITH {_OFFICIAL} SELECT src, cid, mid, {_SIX.format('cover')} AS cover FROM covers",
     "span_best_match": f"WITH {_OFFICIAL} SELECT src, mid, cid, {_SIX.format('cover')} AS cover FROM best",
-    "span_matched_candidates": f"WITH {_OFFICIAL} SELECT src, id FROM hits",
+    "span_matched_candidates": f"WITH {_OFFICIAL} SELECT DISTINCT src, cid AS id FROM covers WHERE cover >= 3e-1",
     "span_eval": f"""
 WITH {_OFFICIAL}, l AS (SELECT src, count(*) AS listed FROM shortlist GROUP BY src), h AS (SELECT src, count(*) AS hit FROM hits GROUP BY src)
 SELECT m.src, count(*) AS n, count(b.cid) AS found, {_SIX.format("count(b.cid) / count(*)")} AS recall, {_SIX.format("coalesce(coalesce(any_value(hit), 0) / any_value(listed), 0)")} AS precision

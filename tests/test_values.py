@@ -43,6 +43,14 @@ def test_a_moment_is_judged_by_its_one_span(spark, moments):
     assert shown[1] == (100.0, 114.0, 4, False, 0.5) and shown[2] == (500.0, 510.0, None, False, 0.0) and shown[4] == (None, None, None, False, 0.2)
 
 
+def test_the_query_of_matched_candidates_asks_all_of_them(spark, tmp_path):
+    """Fourteen candidates that all match; the ten best are no bound."""
+    rows = [(1, 7, "purchase", 100.0, "2024-01-01")] + [(2 + k, 7, "view", 90.0 + k, "2024-01-01") for k in range(14)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    assert sorted(r.id for r in catalog.QUERIES["span_matched_candidates"](spark, str(tmp_path)).collect()) == list(range(2, 16))
+
+
 def test_a_piece_takes_the_shot_of_its_middle_then_of_its_start(spark):
     shots = spark.createDataFrame([(1, 1, 0.0, 4.0), (1, 2, 4.0, 9.0), (1, 3, 9.0, 20.0), (1, 4, 30.0, 40.0)], "src long, id long, s double, e double")
     pieces = spark.createDataFrame([(1, 1, 3.0, 8.0), (1, 2, 3.0, 5.0), (1, 3, 19.0, 29.0), (1, 4, 22.0, 24.0)], "src long, id long, s double, e double")
