@@ -1,8 +1,8 @@
 """Hard negatives by a vector-approximation file: bounds of scores by table lookup, exact scores of what they leave.
 
-Vectors are packed into blocks. A block knows, for each dimension, the marks of its cells and each vector's cell in a byte. For an
-anchor, a table says how little and how much each cell of each dimension can add to a score; sums of table
-entries bound the scores of a block's vectors, and only those that may enter a result are scored.
+Vectors are packed into blocks. A block knows, for each dimension, the marks of its cells and each vector's cell in a byte. A cell's
+two marks say how little and how much it can add to a score; products of an anchor with the marks of a block's cells bound
+the scores of its vectors, and only those that may enter a result are scored.
 """
 
 from __future__ import annotations
@@ -79,18 +79,25 @@ class Block:
         self.v = np.frombuffer(row["vectors"], np.float64).reshape(n, dims)
         self.marks = np.frombuffer(row["marks"], np.float64).reshape(dims, CELLS, 2)
         self.cells = np.frombuffer(row["cells"], np.uint8).reshape(dims, n)
+        self._ends: tuple[np.ndarray, np.ndarray] | None = None
 
     def bounds(self, anchors: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The least and the largest score that each of the rows can have with each anchor."""
-        low, high = np.zeros((len(anchors), len(rows))), np.zeros((len(anchors), len(rows)))
-        for d in range(anchors.shape[1]):
-            ends = anchors[:, d, None, None] * self.marks[None, d]  # an anchor's table of this dimension
-            at = self.cells[d, rows]
-            low += np.take(ends.min(2), at, axis=1)
-            high += np.take(ends.max(2), at, axis=1)
+        least, largest = self.ends(rows)
+        up, down = np.maximum(anchors, 0.0), np.minimum(anchors, 0.0)  # what a cell adds least it adds at one of its two ends
+        low, high = up @ least.T + down @ largest.T, up @ largest.T + down @ least.T
         most = self.largest(anchors)
-        slack = most * 2.0**-50 if most >= 2**53 else 0.0  # sums of smaller whole numbers are exact
-        return low - slack, high + slack
+        if most < 2**53:  # sums of smaller whole numbers are exact
+            return low, high
+        slack = most * (2 + anchors.shape[1]) * 2.0**-51
+        return np.nan_to_num(low - slack, nan=-np.inf, posinf=np.inf, neginf=-np.inf), np.nan_to_num(high + slack, nan=np.inf, posinf=np.inf, neginf=-np.inf)
+
+    def ends(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The least and the largest vector that each of the rows can be by its cells; looked up once a block."""
+        if self._ends is None:
+            d = np.arange(len(self.cells))[:, None]
+            self._ends = tuple(np.ascontiguousarray(self.marks[d, self.cells, k].T) for k in (0, 1))
+        return self._ends[0][rows], self._ends[1][rows]
 
     def largest(self, anchors: np.ndarray) -> float:
         """No score is larger, nor any sum on the way to it."""
@@ -194,9 +201,11 @@ def _negatives(blocks: DataFrame, labels: np.ndarray, vectors: list[np.ndarray],
                     may = np.zeros(low.shape, bool)
                     for p in range(m):
                         least, most = windows[own, p, :1], windows[own, p, 1:]
-                        sure = np.where((low >= least) & (high <= most), low, -np.inf)
-                        need = np.maximum(_kth(_distinct(sure, block.ids[rows]), k), best.of[own * m + p])
-                        may |= (high >= np.maximum(least, need[:, None])) & (low <= most)
+                        fit = (high >= np.maximum(least, best.of[own * m + p][:, None])) & (low <= most)
+                        if fit.sum() > CHUNK * k * len(own):  # so many that it pays to find what scores the block makes sure of
+                            sure = np.where((low >= least) & (high <= most), low, -np.inf)
+                            fit &= high >= _kth(_distinct(sure, block.ids[rows]), k)[:, None]
+                        may |= fit
                     at, r = np.nonzero(may)
                     scores, found = block.scores(a, at, rows[r]), block.ids[rows[r]]
                     for p in range(m):

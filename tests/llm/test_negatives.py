@@ -74,3 +74,21 @@ def test_bounds_hold_every_score_and_are_narrow(spark):
         low, high = block.bounds(anchors, np.arange(len(block.ids)))
         exact = anchors @ block.v.T
         assert (low <= exact).all() and (exact <= high).all() and (high - low).mean() < exact.std() / 2
+
+
+def test_bounds_are_products_with_what_cells_leave(spark):
+    """The same bounds as the sums of each cell's least and largest product, and none that isn't a number where products leave the doubles."""
+    r = np.random.default_rng(1)
+    row = approximations(usable(spark.createDataFrame([(i, [float(x) for x in v], 1) for i, v in enumerate(r.normal(0, 0.2, (512, 64)))], "vec_id long, embedding array<double>, label int").coalesce(1))).collect()[0].asDict()
+    block, rows = Block(row), np.arange(row["n"])
+    anchors = np.floor(256 * r.normal(0, 0.2, (64, 64)))
+    low, high = block.bounds(anchors, rows)
+    d = np.arange(64)[:, None]
+    ends = anchors[:, :, None, None] * block.marks[d, block.cells].transpose(0, 1, 2)[None]
+    assert (low == ends.min(3).sum(1)).all() and (high == ends.max(3).sum(1)).all()
+    exact = anchors @ block.v.T
+    assert (low <= exact).all() and (exact <= high).all()
+    huge = Block({**row, "vectors": (block.v * 1e305).tobytes(), "marks": (block.marks * 1e305).tobytes()})
+    with np.errstate(all="ignore"):
+        low, high = huge.bounds(anchors * 1e305, rows)
+    assert not np.isnan(low).any() and not np.isnan(high).any() and (low <= high).all()
