@@ -115,7 +115,7 @@ INPLACE = {
         "ansi": f"(SELECT src, i, y.p AS p, y.t AS t FROM (SELECT {{0}} AS src, generate_subscripts(ts, 1) - 1 AS i, unnest(ts) AS y FROM (SELECT {{0}}, {_CLEAN['ansi']} AS ts FROM {{1}})))",
     },
     "shingles": {
-        "spark": f"(SELECT src, i, named_struct('a', xxhash64({_FIVE}), 'b', xxhash64(5, {_FIVE})) AS g, get(ts, i).p AS wp, get(ts, i + 4).p AS wl FROM (SELECT {{0}} AS src, {_CLEAN['spark']} AS ts FROM {{1}}) LATERAL VIEW explode(CASE WHEN size(ts) >= 5 THEN sequence(0, size(ts) - 5) ELSE array() END) z AS i)",
+        "spark": f"(SELECT src, y.* FROM (SELECT {{0}} AS src, ts FROM {{1}} LATERAL VIEW explode(array({_CLEAN['spark']})) q AS ts WHERE size(ts) >= 5) LATERAL VIEW explode(transform(sequence(0, size(ts) - 5), i -> named_struct('i', i, 'g', named_struct('a', xxhash64({_FIVE}), 'b', xxhash64(5, {_FIVE})), 'wp', get(ts, i).p, 'wl', get(ts, i + 4).p))) z AS y)",
         "ansi": f"(SELECT src, i, array_to_string(list_transform(ts[i + 1:i + 5], lambda y: y.t), ' ') AS g, ts[i + 1].p AS wp, ts[i + 5].p AS wl FROM (SELECT src, ts, unnest(range(0, len(ts) - 4)) AS i FROM (SELECT {{0}} AS src, {_CLEAN['ansi']} AS ts FROM {{1}})))",
     },
     "openings": {
@@ -135,16 +135,29 @@ def relations(text: str, views: dict[str, str], engine: str) -> str:
             new = INPLACE[what][engine].replace("{0}", key).replace("{1}", "{" + table + "}")
         elif name in TABLES:
             new = f"\0{name}\1" if engine == "spark" else name
-        elif not views[name].lstrip().startswith(("SELECT", "WITH")):  # a condition
-            new = f"({views[name]})"
         else:
-            new = f"({views[name]})"
+            new = f"({getattr(views[name], 'spark', views[name]) if engine == 'spark' else views[name]})"
         text = text[: m.start()] + new + text[m.end() :]
     return text
 
 
+#: Relations of the benchmark's runs are sent to all tasks up to so many bytes of its texts; beyond, Spark chooses.
+_HINT, SMALL = "/*+ BROADCAST(k) */", 64 << 20
+
+
+class Twofold(str):
+    """A text with another one that says the same on Spark, of the same tables."""
+
+    spark: str
+
+    def __new__(cls, text: str, spark: str):
+        own = super().__new__(cls, text)
+        own.spark = spark
+        return own
+
+
 class Relational:
-    """An operator in one text. views: named relations that it may use."""
+    """An operator in one text, or in a Twofold. views: named relations that it may use."""
 
     def __init__(self, text: str, views: dict[str, str]):
         self.text, self.views = text, views
@@ -154,7 +167,9 @@ class Relational:
 
     def __call__(self, spark: SparkSession, sf_dir: str = "", **frames: DataFrame) -> DataFrame:
         """Over the tables in sf_dir, or over frames given by the tables' names."""
-        text = _expand(relations(self.text, self.views, "spark"), _SPARK)
+        text = _expand(relations(getattr(self.text, "spark", self.text), self.views, "spark"), _SPARK)
         used = sorted(set(re.findall("\0(\\w+)\1", text)))
         own = {t: frames[t] if t in frames else spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used}
+        if _HINT in text and (own["benchmark"].selectExpr("sum(octet_length(text))").first()[0] or 0) > SMALL:
+            text = text.replace(_HINT, "")
         return spark.sql(text.replace("{", "{{").replace("}", "}}").replace("\0", "{").replace("\1", "}"), **own)

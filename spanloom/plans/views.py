@@ -1,5 +1,8 @@
 """Named relations: how tables stand in for transcripts, spans, moments, shots, clips, ledgers and listings."""
 
+from spanloom.plans import inplace
+from spanloom.plans.dialect import Twofold
+
 VIEWS = {
     # Words of a transcript: half a second each, with a pause of 1.5 s after each 37th.
     "words": "SELECT src, CAST(p AS BIGINT) AS p, w, p * 5e-1 + floor(p / 37e0) * 15e-1 AS s, p * 5e-1 + floor(p / 37e0) * 15e-1 + 4e-1 AS e FROM {doc_words} x",
@@ -143,3 +146,5 @@ VIEWS = {
     "speeches": "SELECT conv_id AS src, CAST(turn AS BIGINT) AS p, role, text, CAST(length(text) AS BIGINT) AS n FROM {conversations}",
     "folds": "SELECT DISTINCT src, HASHINT(STR(src)) % 3 AS fold FROM {candidates} c",
 }
+
+VIEWS |= {k: Twofold(VIEWS[k], text) for k, text in inplace.VIEWS.items()}
