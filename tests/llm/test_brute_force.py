@@ -262,6 +262,37 @@ def test_toxicity_bounds_what_it_fits_on(spark):
     assert Toxicity(max_words=0).fit(d, ls).score(d).columns[-1] == "____score"
 
 
+def test_toxicity_learns_from_every_label(spark, monkeypatch):
+    """The toxic ones all come after the first 5,000 by the hash that a bounded fit goes by."""
+    from pyspark.sql import functions as F
+
+    from spanloom.llm import toxicity as module
+
+    monkeypatch.setattr(module, "PART_ROWS", 2000, raising=False)
+    order = [x.doc_id for x in spark.range(7600).withColumnRenamed("id", "doc_id").orderBy(F.xxhash64(F.lit(3), "doc_id")).collect() if not held(x.doc_id)]
+    late = set(order[5000:][::2])
+    docs = [(i, f"word{i % 50} " + ("vile" if i in late else "mild") + f" word{i % 7}", "en") for i in range(7600)]
+    labels = spark.createDataFrame([(i, 1, int(i in late)) for i, *_ in docs], "doc_id long, quality int, toxic int")
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = module.Toxicity().fit(d, labels)
+    got = {x.doc_id: x.score for x in model.score(d).collect()}
+    assert min(got[i] for i in late) > max(s for i, s in got.items() if i not in late)
+    assert model.fitted == len(order) > 5000
+
+
+def test_toxicity_fits_parts_in_rounds(spark, monkeypatch):
+    from spanloom.llm import toxicity as module
+
+    monkeypatch.setattr(module, "PART_ROWS", 300)
+    docs, labels = insults(1600, 7)
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    ls = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    runs = [{x.doc_id: x.score for x in toxicity(d.repartition(k), ls).collect()} for k in (1, 7)]
+    assert all(abs(runs[0][i] - runs[1][i]) < 1e-5 for i, *_ in docs)
+    bad, good = ([runs[0][i] for i, _, t in labels if held(i) and t == k] for k in (1, 0))
+    assert sum((b > g) + (b == g) / 2 for b in bad for g in good) / (len(bad) * len(good)) > 0.9
+
+
 def test_mix_against_brute_force(spark):
     """Targets by filling up one source after the other; sizes, bounds and sums of what is taken, with a hot source and ties."""
     r = random.Random(9)
