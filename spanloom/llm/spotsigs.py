@@ -1,10 +1,12 @@
-"""Document fingerprints of spot signatures, on built-in functions alone.
+"""Document fingerprints of spot signatures, on built-in functions alone, and the join of them.
 
 A signature is a common word with the chain of content words that follow it. A document's fingerprint
 is the sorted set of its signatures' hashes; likeness is the Jaccard similarity of two such sets."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ ANCHORS = (
 CHAIN, REACH = 3, 12
 #: Documents are dealt by runs of about so many neighbours, within at most so many ranges of doc_ids that hold about as many rows each.
 RUN, RANGES = 256, 1024
+#: Of at most so many signatures, the most common, tasks know how many classes have them; the others pass for equally rare.
+COMMON = 1 << 20
 
 
 def _held(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -129,31 +133,67 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     )
 
 
+def _common(sigs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures that most rows have, at most COMMON of them and none that one row alone has, sorted, and how many rows have each."""
+    counts = durable(sigs.groupBy("sig").agg(F.count("*").alias("df")).filter("df > 1"))
+    least, room = None, COMMON
+    for r in counts.groupBy("df").agg(F.count("*").alias("n")).orderBy(F.col("df").desc()).limit(COMMON).toLocalIterator():
+        room -= r.n
+        if room < 0:
+            break
+        least = r.df
+    found = counts.filter(F.col("df") >= least if least is not None else F.lit(False)).toArrow()
+    sig, df = found.column("sig").to_numpy(), found.column("df").to_numpy()
+    order = np.argsort(sig)
+    return sig[order], df[order]
+
+
+def _heads(classes: DataFrame, t: float) -> DataFrame:
+    """id, n, sig: of each class the rarest of its n signatures, as many as a partner at the threshold can't all miss."""
+    shared = classes.sparkSession.sparkContext.broadcast(_common(classes.select(F.explode("sigs").alias("sig"))))
+
+    def kernel(batches):
+        common, df = shared.value
+        for batch in batches:
+            sets = batch.column(1)
+            n = sets.value_lengths().to_numpy()
+            sig, row = sets.flatten().to_numpy(), np.repeat(np.arange(len(n)), n)
+            at = np.minimum(np.searchsorted(common, sig), max(len(common) - 1, 0))
+            rank = np.where(common[at] == sig, df[at], 0) if len(common) else np.zeros(len(sig), np.int64)
+            order = np.lexsort((sig, rank, row))  # by row, in the one order that all tasks go by
+            place = np.arange(len(sig)) - np.repeat(np.cumsum(n) - n, n)
+            own = order[place < np.repeat(n - np.ceil(t * n - 1e-9).astype(np.int64) + 1, n)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[own])), pa.array(n[row[own]].astype(np.int32)), pa.array(sig[own])], ["id", "n", "sig"])
+
+    return classes.select("id", "sigs").mapInArrow(kernel, "id long, n int, sig long")
+
+
 def near_pairs(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(pairs, members): pairs of classes (a, b, likeness) at or over the threshold, and each doc_id's class.
 
-    A class is the documents of one fingerprint, named by its smallest doc_id, so copies give no pairs.
-    A class's signatures are ordered by how many classes have them, the rarest first; it is filed under the first of
+    A class is the documents of one fingerprint, named by its smallest doc_id, so copies give no pairs; documents meet by 128
+    bits of a hash of it. A class's signatures are ordered by how many classes have them, the rarest first; it is filed under the first of
     them (as many as a partner at the threshold can't all miss) and the partitions of set length that a partner can lie
     in, so what a common passage leaves in many texts brings few of them together. Filed classes whose lengths allow the
     threshold are compared by full Jaccard.
 
+    Sets of signatures are shuffled to make classes and for what is compared; a signature alone is, to count it and where it is filed.
+
     Texts without signatures pair with none, rows without doc_id are left out, a doc_id that repeats with other texts
     is a member of several classes. No rows give none."""
     t = F.lit(threshold)
     own = with_signatures(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter("doc_id is not null"), "text", "sigs")
-    own = durable(own.select("doc_id", "sigs").distinct())
-    classes = durable(own.groupBy("sigs").agg(F.min("doc_id").alias("first")).withColumn("id", F.monotonically_increasing_id()).withColumn("n", F.size("sigs")))
-    members = own.join(classes.select("sigs", "first"), "sigs").select("doc_id", F.col("first").alias("class_id"))
-    each = classes.select("id", "n", F.explode("sigs").alias("sig"))
-    order = each.join(each.groupBy("sig").agg(F.count("*").alias("df")), "sig").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "sig"))).alias("s"))
-    head = F.slice("s", F.lit(1), F.col("n") - F.ceil(t * F.col("n") - 1e-9).cast("int") + 1)
-    filed = order.select("id", "n", F.explode(head).alias("h")).select("id", "n", F.col("h.sig").alias("sig"))
-    part = lambda x: F.floor(F.log(x) / -F.log(t))
-    left = filed.select(F.col("id").alias("a"), F.col("n").alias("na"), "sig", part(F.col("n")).alias("p"))
-    right = filed.select(F.col("id").alias("b"), F.col("n").alias("nb"), "sig", F.explode(F.array(*(part(F.col("n")) + k for k in (-1, 0, 1)))).alias("p"))
+    own = durable(own.select("doc_id", F.xxhash64("sigs").alias("k"), F.xxhash64(F.lit(17), "sigs").alias("l"), "sigs"))
+    first = own.groupBy("k", "l").agg(F.min(F.struct("doc_id", "sigs")).alias("x"))
+    classes = durable(first.select("k", "l", F.col("x.doc_id").alias("first"), F.col("x.sigs").alias("sigs"), F.monotonically_increasing_id().alias("id")))
+    members = own.select("doc_id", "k", "l").distinct().join(classes.select("k", "l", "first"), ["k", "l"]).select("doc_id", F.col("first").alias("class_id"))
+    part = F.floor(F.log("n") / -F.log(t)).cast("int")
+    filed = durable(_heads(classes, threshold).withColumn("p", part))
+    left = filed.select(F.col("id").alias("a"), F.col("n").alias("na"), "sig", "p", F.col("p").alias("pa"))
+    right = filed.select(F.col("id").alias("b"), F.col("n").alias("nb"), "sig", F.explode(F.array(F.col("p"), F.col("p") + 1)).alias("p"), F.col("p").alias("pb"))
     lengths = F.least("na", "nb") >= t * F.greatest("na", "nb") - 1e-9
-    pairs = left.join(right, ["sig", "p"]).filter((F.col("a") < F.col("b")) & lengths).select("a", "b").distinct()
+    once = (F.col("a") < F.col("b")) | (F.col("pa") > F.col("pb"))
+    pairs = left.join(right, ["sig", "p"]).filter(once & lengths).select("a", "b").distinct()
     side = lambda k, sigs: classes.select(F.col("id").alias(k), F.col("first").alias(f"{k}_first"), F.col("sigs").alias(sigs))
     pairs = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").withColumn("likeness", likeness("x", "y")).filter(F.col("likeness") >= threshold - 1e-9)
     return pairs.select(F.least("a_first", "b_first").alias("a"), F.greatest("a_first", "b_first").alias("b"), "likeness"), members

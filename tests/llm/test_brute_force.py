@@ -218,6 +218,23 @@ def test_near_fingerprints_against_brute_force(spark):
     assert {x.doc_id: x.n_links for x in near_classes(table(spark, docs)).collect()} == {i: links[first[s]] for i, s in sets.items()}
 
 
+@pytest.mark.parametrize("common", [0, 3, 1 << 20])
+def test_near_classes_shuffle_sets_once_whatever_is_known_to_be_common(spark, common, monkeypatch):
+    """Documents meet their classes, and classes their rarest signatures, without a shuffle of whole sets by the set."""
+    monkeypatch.setattr(spotsigs, "COMMON", common, raising=False)
+    r = random.Random(9)
+    docs = [(k, " . ".join(["the start of all"] + [f"the c{r.randint(0, 3) if r.random() < 0.02 else j} of g{k % 12}y{j}" for j in range(40)])) for k in range(72)]
+    sets = {i: frozenset(signatures(t)) for i, t in docs}
+    first = {}
+    for i, x in sorted(sets.items()):
+        first.setdefault(x, i)
+    pairs, members = near_pairs(table(spark, docs))
+    want = {(first[a], first[b]) for a in first for b in first if first[a] < first[b] and like(a, b) >= 0.8}
+    assert sorted((x.a, x.b) for x in pairs.collect()) == sorted(want) and want
+    assert {x.doc_id: x.class_id for x in members.collect()} == {i: first[x] for i, x in sets.items()}
+    assert "hashpartitioning(sigs" not in members._jdf.queryExecution().toString()
+
+
 def insults(n, seed, toxic_share=0.3):
     r = random.Random(seed)
     plain, vile = [f"word{k}" for k in range(200)], [f"vile{k}" for k in range(12)]
