@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cluster import durable
-from .components import components
+from .components import labels, stars
 from .textkit import BLANK, FOLD, flat, grams, mix, pieces, whole, word_hashes, words
 
 TOKENS = 64
@@ -174,7 +174,7 @@ class NearCopies:
             below = large.select("id", "node", "size", paths.alias("path")).join(classes.select("id", "tokens"), "id").select("id", "node", "size", self._child("path").alias("child"))
             below = durable(below)
             share = below.groupBy("node", "size", "child").agg(F.count("*").alias("m")).groupBy("node", "size").agg(F.max("m").alias("m"))
-            alike = share.filter(F.col("m") >= F.col("size") * self.threshold).select("node")
+            alike = durable(share.filter(F.col("m") >= F.col("size") * self.threshold).select("node"))
             if not alike.isEmpty():  # branching doesn't part near copies: it would only repeat them
                 found, dense = found.unionByName(self._dealt(large.join(alike, "node", "left_semi"))), True
             named = below.join(alike, "node", "left_anti").select("id", F.col("child").alias("node"))
@@ -330,13 +330,13 @@ class NearCopies:
         classes = known.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("doc_id"), F.first("tokens").alias("tokens"))
         classes = durable(classes.withColumn("id", F.monotonically_increasing_id()))
         nodes, dense = self.nodes(classes)
-        label, ends, links = None, None, None
+        label, ends, found = None, None, None
         pairs = durable(self._likely(nodes.withColumn("label", F.col("id"))))
         if not pairs.isEmpty():
             ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
             sets = self._sets(docs, classes, ends)
-            links = durable(self._confirmed(pairs, sets))
-            label = components(links)
+            found = stars(durable(self._confirmed(pairs, sets)))
+            label = labels(found)
         if dense or label is not None:
             rest = durable(self._open(self._members(nodes, label, dense)))
             if not rest.isEmpty():
@@ -345,14 +345,13 @@ class NearCopies:
                     sets = self._sets(docs, classes, new) if ends is None else sets.unionByName(self._sets(docs, classes, new.join(ends, "id", "left_anti")))
                 more = durable(self._exact(rest.join(sets, "id")))
                 if not more.isEmpty():
-                    label = components(more if links is None else links.unionByName(more))
-        smallest = classes.select("id", "doc_id")
+                    label = labels(stars(more if found is None else found.unionByName(more)))
+        smallest = classes.select("id", "doc_id", "s1", "s2", "n")
         if label is not None:
-            of = smallest.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-            smallest = of.join(of.groupBy("component").agg(F.min("doc_id").alias("least")), "component").select("id", F.col("least").alias("doc_id"), "component")
+            of = durable(smallest.join(label, "id", "left").withColumn("component", F.coalesce("component", "id")).drop("id"))
+            smallest = of.join(of.groupBy("component").agg(F.min("doc_id").alias("least")), "component").drop("doc_id").withColumnRenamed("least", "doc_id")
         else:
-            smallest = smallest.withColumn("component", F.col("id"))
-        smallest = smallest.join(classes.select("id", "s1", "s2", "n"), "id")
+            smallest = smallest.withColumnRenamed("id", "component")
         own = ["row", "component"] if by_text else []
         same = known.select("doc_id", "s1", "s2", "n", *own[:1]).join(smallest.withColumnRenamed("doc_id", "component_id"), ["s1", "s2", "n"]).withColumnRenamed("n", "n_shingles")
         alone = sk.filter("doc_id is null or n = 0").withColumn("component", F.lit(None).cast("long"))
