@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, VariantType
 
 from spanloom.llm.chosenpath import NearCopies
-from spanloom.llm.cluster import durable, shared_folder
+from spanloom.llm.cluster import checkpointed, passing, remove, shared_folder
 from spanloom.llm.decontaminate import contamination
 from spanloom.llm.mixing import by_labels, mix
 from spanloom.llm.sharding import shard
@@ -62,8 +62,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     both, and of those of one group the one with the least hash stays. Of rows equal in doc_id and
     text the one whose other columns have the least hash stays. Texts without words are near to nothing."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    judged = NearCopies(shingle=5, num=80, den=100).run(texts, by_text=True).filter("kept and doc_id is not null")
-    stay = durable(judged.groupBy("doc_id", F.coalesce("component", "row").alias("component")).agg(F.min("row").alias("row")))
+    with passing(spark):
+        judged = NearCopies(shingle=5, num=80, den=100).run(texts, by_text=True).filter("kept and doc_id is not null")
+        stay = checkpointed(judged.groupBy("doc_id", F.coalesce("component", "row").alias("component")).agg(F.min("row").alias("row")))
     other = [F.col(f"doc.`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, (MapType, VariantType))]
     known = _keyed(docs).filter("id is not null").join(_judged(stay), F.expr("id = _id and hash = _hash"), "left_semi")
     known = known.groupBy("id", "hash").agg(F.min_by("doc", F.xxhash64(*other)).alias("doc"))
@@ -108,7 +109,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         stage(spark, docs, sf_dir).write.parquet(own)
         docs = spark.read.parquet(own)
         if before:
-            path = spark._jvm.org.apache.hadoop.fs.Path(before)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            remove(spark, before)
         before = own
     return docs
