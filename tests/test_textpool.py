@@ -26,6 +26,11 @@ def asked(texts, sql):
     return sorted(con.execute(sql).fetchall(), key=repr)
 
 
+def checkpoints(spark):
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return set(Path(folder.get().removeprefix("file:")).rglob("*")) if folder.isDefined() else set()
+
+
 def test_pool_is_that_of_rows(spark, tmp_path):
     spark.createDataFrame([(k * 7, t) for k, t in enumerate(odd_texts())], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got, want = (q(spark, str(tmp_path)) for q in (catalog.QUERIES["select_pool"], selection._pool_of_rows))
@@ -38,13 +43,11 @@ def test_pool_in_one_pass(spark, tmp_path):
     """No row of a sentence or range is shuffled or checkpointed, and the pool is that of SQL where texts and keys are odd."""
     texts = [(k * 10**12 - 7 if k % 3 else -k * 7, t) for k, t in enumerate(odd_texts())] + [(None, " ".join(ODD * 40))]
     spark.createDataFrame(texts, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
-    folder = spark.sparkContext._jsc.sc().getCheckpointDir()
-    files = lambda: {p for p in Path(folder.get().removeprefix("file:")).rglob("*")} if folder.isDefined() else set()
-    before = files()
+    before = checkpoints(spark)
     got = catalog.QUERIES["select_pool"](spark, str(tmp_path))
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, got.collect()), key=repr) == asked(texts, catalog.ORACLE["select_pool"])
-    assert files() == before
+    assert checkpoints(spark) == before
 
 
 def test_pool_where_ids_are_shared_and_packs_are_small(monkeypatch):
@@ -71,3 +74,14 @@ def test_pool_of_keys_too_large_for_its_numbers_is_refused(spark, tmp_path):
     spark.createDataFrame([(1 << 60, " ".join(ODD * 40))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     with pytest.raises(Exception, match="a doc_id beyond"):
         catalog.QUERIES["select_pool"](spark, str(tmp_path)).collect()
+
+
+def test_boundary_counts_shuffle_counts_alone(spark, tmp_path):
+    texts = [(k * 11 - 40, t) for k, t in enumerate(odd_texts())]
+    spark.createDataFrame(texts, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    before = checkpoints(spark)
+    got = catalog.QUERIES["select_boundary_counts"](spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan()
+    assert plan.toString().count("Exchange hashpartitioning(src") == plan.toString().count("Exchange") == 1
+    assert sorted(map(tuple, got.collect()), key=repr) == asked(texts, catalog.ORACLE["select_boundary_counts"])
+    assert checkpoints(spark) == before
